@@ -30,4 +30,4 @@ def register(name: str, oracle: str | None = None):
 def load_all() -> None:
     """Import every catalog module so its queries register themselves."""
     from pertinax.plans import (catalog_clinical, catalog_metrics, catalog_ml,  # noqa: F401
-                                catalog_tables)
+                                catalog_profile, catalog_tables)
