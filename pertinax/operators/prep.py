@@ -136,19 +136,18 @@ def standardize(df: DataFrame, cols: list[str], fit_on: DataFrame | None = None)
 
 # ------------------------------------------------------------------ Spark ML stages
 
-def one_hot_stages(cols: list[str]):
+def one_hot_stages(cols: list[str], prefix: str = ""):
     """M8: StringIndexer(keep unknown) + OneHotEncoder(dropLast=False) per column.
 
-    The encoder keeps one slot for the unknown bucket; ``handle_unknown='ignore'``
-    semantics (all-zero row for an unseen category) hold because no training row ever
-    lands in that slot.
+    The indexer reserves one index for unseen categories, so the vector has one slot per
+    category plus that unknown slot; ``handle_unknown='ignore'`` semantics (no training
+    category is ever hot for an unseen value) hold because no training row lands in it.
     """
     from pyspark.ml.feature import OneHotEncoder, StringIndexer
-    idx = [StringIndexer(inputCol=c, outputCol=f"{c}__idx", handleInvalid="keep",
+    idx = [StringIndexer(inputCol=c, outputCol=f"{prefix}{c}__idx", handleInvalid="keep",
                          stringOrderType="alphabetAsc") for c in cols]
-    ohe = OneHotEncoder(inputCols=[f"{c}__idx" for c in cols],
-                        outputCols=[f"{c}__ohe" for c in cols], dropLast=False,
-                        handleInvalid="keep")
+    ohe = OneHotEncoder(inputCols=[f"{prefix}{c}__idx" for c in cols],
+                        outputCols=[f"{prefix}{c}__ohe" for c in cols], dropLast=False)
     return idx + [ohe]
 
 

@@ -18,8 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 1000
-DEFAULT_ACCURACY = 100_000
+DEFAULT_BUCKETS = 256
+DEFAULT_ACCURACY = 10_000
 
 
 def value_counts(long_df: DataFrame, keys: list[str], value: str = "value",

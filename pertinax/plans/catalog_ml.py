@@ -1 +1,328 @@
-"""Registered queries (filled in below)."""
+"""Registered queries: ML preparation (M*), models (L*), scoring (D1, D6), sinks (S5, S6,
+S8, S9).
+
+The model queries keep the library's production defaults out of the registry (500-tree
+forests take minutes); they train small forests on the whole labelled extract.  They have
+no SQL twin (a trained model is not SQL): the driver checks their rows only.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from pertinax import schema
+from pertinax.functions.features import ALERT_COLUMNS
+from pertinax.operators import models as L
+from pertinax.operators import prep
+from pertinax.operators import score as D
+from pertinax.operators.project import encode_label
+from pertinax.plans import oracle as O
+from pertinax.plans.clinical import prepared_encounters
+from pertinax.plans.registry import register
+from pertinax.session import scratch_dir
+from pertinax.sources import model_store, sinks
+from pertinax.sources.tables import table
+
+ENC = O.encounters_cte()
+H = "substr(md5(CAST(o_orderkey AS VARCHAR) || '42'), 1, 8)"
+
+NUMERIC = ["PA_Sistolica", "PA_Diastolica", "Temperatura", "SatO2", "FC", "FR", "Glasgow",
+           "Hemoglobina", "FiO2"]
+BINARY = ["DVA", "Ventilacion_Mecanica", "Transfusiones", "Compromiso_Conciencia", "Antecedente_HTA",
+          "flag_resp_grave", "flag_circ_grave", "flag_neuro_grave"] + ALERT_COLUMNS
+CATEGORICAL = ["Tipo_Cama"]
+SMALL_FOREST = dict(numTrees=20, maxDepth=6)
+
+
+def model_input(prepared):
+    """Prepared extract -> model input: ``label`` (0/1, NULL when unlabelled), numeric
+    binaries.  Stateless, so it serves batch and streaming frames alike."""
+    return prepared.withColumns({"label": encode_label("Resolucion").cast("double"),
+                                 **{c: F.col(c).cast("double") for c in BINARY}})
+
+
+def training_frame(spark, sf_dir):
+    return model_input(prepared_encounters(spark, sf_dir))
+
+
+def _split(spark, sf_dir):
+    df = training_frame(spark, sf_dir).where(F.col("label").isNotNull())
+    df = prep.stratified_split(df, schema.ROW_ID, "label", 0.2, 42, exact=False)
+    return df.where(~F.col("is_test")), df.where(F.col("is_test"))
+
+
+def _run_dir(spark, name):
+    return scratch_dir(spark, f"{name}-{uuid.uuid4().hex[:10]}")
+
+
+# --------------------------------------------------------------------- M1
+
+@register("m1_split_hash", oracle=f"""
+SELECT o_orderstatus, {H} < '33333333' AS is_test, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY 1, 2""")
+def m1_split_hash(spark, sf_dir):
+    o = prep.stratified_split(table(spark, sf_dir, "orders"), "o_orderkey", "o_orderstatus")
+    return o.groupBy("o_orderstatus", "is_test").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("m1_split_exact", oracle=f"""
+WITH r AS (SELECT o_orderkey, o_orderstatus,
+  row_number() OVER (PARTITION BY o_orderstatus ORDER BY {H}, o_orderkey) AS rn,
+  count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders WHERE o_orderstatus IS NOT NULL)
+SELECT o_orderkey, o_orderstatus, rn <= round(n * 0.2) AS is_test FROM r
+UNION ALL SELECT o_orderkey, o_orderstatus, false FROM orders WHERE o_orderstatus IS NULL""")
+def m1_split_exact(spark, sf_dir):
+    """Exactly round(0.2·n_c) orders per status, smallest (hash, key) first."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    return prep.stratified_split(o, "o_orderkey", "o_orderstatus", exact=True)
+
+
+# --------------------------------------------------------------------- M4–M8
+
+_M4 = ["FC", "SatO2", "Temperatura", "Hemoglobina"]
+
+
+@register("m4_median_impute", oracle=ENC + "\nSELECT row_id, " + ", ".join(
+    f"coalesce({c}, (SELECT median({c}) FROM enc)) AS {c}" for c in _M4) + " FROM enc")
+def m4_median_impute(spark, sf_dir):
+    e = prepared_encounters(spark, sf_dir).select(schema.ROW_ID, *_M4)
+    return prep.median_impute(e, _M4)
+
+
+@register("m5_mode_impute", oracle=ENC + """
+SELECT row_id,
+  coalesce(tc, (SELECT tc FROM (SELECT tipo_cama AS tc FROM encounters) WHERE tc IS NOT NULL GROUP BY tc ORDER BY count(*) DESC, tc LIMIT 1)) AS tipo_cama,
+  coalesce(hta, (SELECT hta FROM encounters WHERE hta IS NOT NULL GROUP BY hta ORDER BY count(*) DESC, hta LIMIT 1)) AS hta
+FROM (SELECT row_id, tipo_cama AS tc, hta FROM encounters)""")
+def m5_mode_impute(spark, sf_dir):
+    from pertinax.plans.fixture import encounters
+    e = encounters(spark, sf_dir).select(schema.ROW_ID, "tipo_cama", "hta")
+    return prep.mode_impute(e, ["tipo_cama", "hta"])
+
+
+@register("m6_constant_impute", oracle=ENC + "\nSELECT row_id, coalesce(Glasgow, 0) AS Glasgow, coalesce(FR, 0) AS FR FROM enc")
+def m6_constant_impute(spark, sf_dir):
+    e = prepared_encounters(spark, sf_dir).select(schema.ROW_ID, "Glasgow", "FR")
+    return prep.constant_impute(e, ["Glasgow", "FR"], 0)
+
+
+@register("m7_standardize", oracle=ENC + """,
+s AS (SELECT avg(FC) AS m1, coalesce(nullif(stddev_pop(FC), 0), 1) AS s1,
+             avg(Glasgow) AS m2, coalesce(nullif(stddev_pop(Glasgow), 0), 1) AS s2 FROM enc)
+SELECT row_id, round((FC - m1) / s1, 6) AS FC, round((Glasgow - m2) / s2, 6) AS Glasgow FROM enc, s""")
+def m7_standardize(spark, sf_dir):
+    e = prepared_encounters(spark, sf_dir).select(schema.ROW_ID, "FC", "Glasgow")
+    out = prep.standardize(e, ["FC", "Glasgow"])
+    return out.withColumns({c: F.round(c, 6) for c in ("FC", "Glasgow")})
+
+
+@register("m8_one_hot", oracle=ENC + """
+SELECT row_id, Tipo_Cama, CAST(dense_rank() OVER (ORDER BY Tipo_Cama) - 1 AS INTEGER) AS hot_index,
+  CAST((SELECT count(DISTINCT Tipo_Cama) FROM enc) + 1 AS INTEGER) AS width FROM enc""")
+def m8_one_hot(spark, sf_dir):
+    """One-hot of the bed type: the hot slot and the vector width (categories + unknown)."""
+    from pyspark.ml import Pipeline
+    e = prepared_encounters(spark, sf_dir).select(schema.ROW_ID, "Tipo_Cama")
+    m = Pipeline(stages=prep.one_hot_stages(["Tipo_Cama"])).fit(e)
+    arr = vector_to_array(F.col("Tipo_Cama__ohe"))
+    return m.transform(e).select(
+        schema.ROW_ID, "Tipo_Cama",
+        (F.array_position(arr, 1.0) - 1).cast("int").alias("hot_index"),
+        F.size(arr).cast("int").alias("width"))
+
+
+@register("m2_assemble")
+def m2_assemble(spark, sf_dir):
+    """Per-kind preparation and assembly into one vector per row."""
+    from pyspark.ml import Pipeline
+    df = training_frame(spark, sf_dir)
+    stages = L.prep_stages(NUMERIC + BINARY, categorical=CATEGORICAL)
+    out = Pipeline(stages=stages).fit(df).transform(df)
+    return out.select(schema.ROW_ID, F.size(vector_to_array("features")).alias("width"))
+
+
+# --------------------------------------------------------------------- L1–L8
+
+def _fit_small(train, kind="forest", weight=None, prefix=""):
+    spec = L.ModelSpec(kind, kind, SMALL_FOREST if kind == "forest" else dict(maxIter=15, maxDepth=4),
+                       weighted=weight is not None)
+    return L.member_pipeline(spec, NUMERIC + BINARY, "label", weight, prefix, CATEGORICAL).fit(train)
+
+
+def _test_predictions(model, test, prefix=""):
+    p = model.transform(test)
+    return p.select(schema.ROW_ID, "label",
+                    F.col(f"{prefix}prediction").alias("prediction"),
+                    vector_to_array(F.col(f"{prefix}probability"))[1].alias("p_pert"))
+
+
+@register("l1_train_forest")
+def l1_train_forest(spark, sf_dir):
+    """Balanced forest (class weights) on the 80 % side, predictions for the 20 % side."""
+    from pertinax.operators.metrics import with_class_weights
+    train, test = _split(spark, sf_dir)
+    train = with_class_weights(train, "label", "weight")
+    return _test_predictions(_fit_small(train, "forest", "weight"), test)
+
+
+@register("l2_train_gbt")
+def l2_train_gbt(spark, sf_dir):
+    train, test = _split(spark, sf_dir)
+    return _test_predictions(_fit_small(train, "gbt"), test)
+
+
+@register("l3_train_boosted")
+def l3_train_boosted(spark, sf_dir):
+    """Boosted member with positive-class weight n_neg / n_pos."""
+    train, test = _split(spark, sf_dir)
+    train = L.with_pos_weight(train, "label", "weight")
+    return _test_predictions(_fit_small(train, "gbt", "weight"), test)
+
+
+@register("l4_soft_vote")
+def l4_soft_vote(spark, sf_dir):
+    train, test = _split(spark, sf_dir)
+    members = [("rf_", _fit_small(train, "forest", prefix="rf_")),
+               ("gb_", _fit_small(train, "gbt", prefix="gb_"))]
+    v = L.soft_vote(members, test)
+    return v.select(schema.ROW_ID, "label", "prediction", "p_pert")
+
+
+@register("l5_search")
+def l5_search(spark, sf_dir):
+    """Three configurations ranked by accuracy on an external set (the labelled rows of the
+    temporal hold-out month), gap = external − internal."""
+    from pertinax.operators.project import temporal_holdout
+    train, test = _split(spark, sf_dir)
+    ext = temporal_holdout(training_frame(spark, sf_dir), "Fecha_Alta", 2024, 1) \
+        .where((F.col("split") == "valid") & F.col("label").isNotNull())
+    specs = [L.ModelSpec("rf_d4", "forest", dict(numTrees=10, maxDepth=4)),
+             L.ModelSpec("rf_d6", "forest", dict(numTrees=20, maxDepth=6)),
+             L.ModelSpec("gbt_d3", "gbt", dict(maxIter=10, maxDepth=3))]
+    board, _ = L.search(specs, train, test, ext, NUMERIC + BINARY)
+    return board
+
+
+@register("l6_cross_validate")
+def l6_cross_validate(spark, sf_dir):
+    df = training_frame(spark, sf_dir).where(F.col("label").isNotNull())
+    spec = L.ModelSpec("rf", "forest", dict(numTrees=10, maxDepth=5))
+    return L.cross_validate(df, NUMERIC + BINARY, spec, schema.ROW_ID, "label", k=3)
+
+
+@register("l7_evaluate_train_test")
+def l7_evaluate_train_test(spark, sf_dir):
+    train, test = _split(spark, sf_dir)
+    return L.evaluate_train_test(_fit_small(train), train, test)
+
+
+@register("l8_train_pipeline")
+def l8_train_pipeline(spark, sf_dir):
+    """Whole training path: prepare -> label -> split -> fit -> evaluate -> persist -> reload
+    and re-score the test side with the reloaded model."""
+    train, test = _split(spark, sf_dir)
+    model = _fit_small(train)
+    acc = L.evaluate_train_test(model, train, test)
+    path = _run_dir(spark, "model")
+    meta = {"features": NUMERIC + BINARY, "categorical": CATEGORICAL,
+            "int_to_label": schema.INT_TO_LABEL, "params": SMALL_FOREST,
+            "accuracy_test": acc.where(F.col("set") == "test").first()["accuracy"]}
+    model_store.save_model(spark, model, path, meta)
+    reloaded, meta2 = model_store.load_model(spark, path)
+    again = L.evaluate(reloaded, test).withColumn("set", F.lit("reloaded_test"))
+    return acc.unionByName(again.select("set", "n", "hits", "errors", "accuracy"))
+
+
+# --------------------------------------------------------------------- D1, D6, S5, S6, S8, S9
+
+@register("d1_predict")
+def d1_predict(spark, sf_dir):
+    """Fit on the labelled extract, then score every encounter: model label, rounded
+    confidence, both probabilities, threshold decision."""
+    train, _ = _split(spark, sf_dir)
+    model = _fit_small(train)
+    df = D.predict(training_frame(spark, sf_dir), model)
+    df = D.probability_columns(df, now="2026-01-01 00:00:00")
+    df = D.apply_threshold(df, 65)
+    return df.select(schema.ROW_ID, "Prediccion_Modelo", "Confianza_%", "Prediccion",
+                     "Prob_PERTINENTE_%", "Prob_NO_PERTINENTE_%", "Fecha_Prediccion")
+
+
+def _raw_extract_csv(spark, sf_dir):
+    """Write the encounter extract as a CSV input with original-style headers."""
+    from pertinax.plans.catalog_profile import form_extract
+    path = _run_dir(spark, "extract-csv")
+    sinks.write_table(form_extract(spark, sf_dir), path, "csv")
+    return path
+
+
+@register("d6_score_file")
+def d6_score_file(spark, sf_dir):
+    """Bulk scoring of a CSV extract: prepare -> backfill -> predict -> hybrid decision ->
+    write; returns the decision shares read back from the written table."""
+    train, _ = _split(spark, sf_dir)
+    model = _fit_small(train)
+    src = _raw_extract_csv(spark, sf_dir)
+    out = _run_dir(spark, "scored")
+    return D.score_file(spark, src, model, NUMERIC + BINARY + CATEGORICAL, out, fmt="csv",
+                        binary=BINARY, categorical=CATEGORICAL)
+
+
+@register("s5_write_predictions")
+def s5_write_predictions(spark, sf_dir):
+    s = training_frame(spark, sf_dir).select(schema.ROW_ID, "Episodio", "CUMPLE_CRITERIO_DECRETO",
+                                             "Categoria_Inferida")
+    path = _run_dir(spark, "predictions")
+    sinks.write_predictions(s, path, "parquet", partition_by=["Categoria_Inferida"])
+    return spark.read.parquet(path)
+
+
+@register("s6_write_errors")
+def s6_write_errors(spark, sf_dir):
+    """Rule-vs-label errors written as CSV (skipped when there is none)."""
+    t = training_frame(spark, sf_dir).where(F.col("label").isNotNull()).withColumn(
+        "rule", F.col("CUMPLE_CRITERIO_DECRETO").cast("double"))
+    path = _run_dir(spark, "errors")
+    wrote = sinks.write_errors(t, "label", "rule", path, [schema.ROW_ID, "Episodio", "label", "rule"])
+    return spark.read.option("header", True).csv(path) if wrote else t.limit(0)
+
+
+@register("s8_convert_files")
+def s8_convert_files(spark, sf_dir):
+    """CSV -> Parquet conversion of every file of a folder (one job per file)."""
+    src = _run_dir(spark, "convert-src")
+    for name in ("customer", "supplier", "orders"):
+        sinks.write_table(table(spark, sf_dir, name).coalesce(1), f"{src}/{name}.csv", "csv")
+    return sinks.convert_files(spark, src, _run_dir(spark, "convert-dst"), "csv", "parquet")
+
+
+@register("s9_model_store")
+def s9_model_store(spark, sf_dir):
+    """Save twice (the first version is kept under a timestamp), reload, re-score."""
+    train, test = _split(spark, sf_dir)
+    model = _fit_small(train)
+    path = _run_dir(spark, "store")
+    model_store.save_model(spark, model, path, {"version": 1})
+    moved = model_store.save_model(spark, model, path, {"version": 2})
+    reloaded, meta = model_store.load_model(spark, path)
+    return _test_predictions(reloaded, test).withColumns(
+        {"version": F.lit(meta["version"]), "previous_kept": F.lit(moved is not None)})
+
+
+@register("d7_score_stream")
+def d7_score_stream(spark, sf_dir):
+    """Structured Streaming: the extract lands as files; each arriving record is range
+    checked, alerted, scored and thresholded; the sink is read back."""
+    from pertinax.plans.clinical import clinical_encounters, prepare_clinical
+    from pertinax.streaming.score_stream import score_stream
+    train, _ = _split(spark, sf_dir)
+    model = _fit_small(train)
+    raw = clinical_encounters(spark, sf_dir)
+    src, sink, ckpt = _run_dir(spark, "stream-src"), _run_dir(spark, "stream-out"), _run_dir(spark, "stream-ckpt")
+    sinks.write_table(raw.repartition(4, schema.ROW_ID), src, "parquet")
+    q = score_stream(spark, src, raw.schema, lambda d: model_input(prepare_clinical(d)), model,
+                     sink, ckpt, keep=[schema.ROW_ID, "Episodio"], max_files_per_trigger=1)
+    q.awaitTermination()
+    return spark.read.parquet(sink)
