@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from pertinax import schema
 
-NUMERIC_RE = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-_EDGE_WS = r"^[ \t\r\n\f]+|[ \t\r\n\f]+$"
+NUMERIC_RE = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+_EDGE_WS = " \t\r\n\f"
 
 
 def col(c: Column | str) -> Column:
@@ -27,8 +27,8 @@ def col(c: Column | str) -> Column:
 
 
 def strip_ws(c: Column | str) -> Column:
-    """Python ``str.strip()`` for the ASCII blanks found in extracts."""
-    return F.regexp_replace(col(c).cast("string"), _EDGE_WS, "")
+    """Python ``str.strip()`` for the ASCII blanks found in extracts (no regex)."""
+    return F.btrim(col(c).cast("string"), F.lit(_EDGE_WS))
 
 
 def flag(cond: Column) -> Column:
@@ -50,6 +50,7 @@ def safe_div(num: Column, den: Column) -> Column:
 # ---------------------------------------------------------------------------- numbers
 
 def _number_of(s: Column) -> Column:
+    # surrounding blanks pass the guard; the cast itself trims them
     return F.when(s.rlike(NUMERIC_RE), s.try_cast("double"))
 
 
@@ -59,7 +60,7 @@ def to_number(c: Column | str) -> Column:
     A regex guard comes before ``try_cast`` because Spark accepts ``'5d'``, ``'nan'`` and
     ``'Infinity'`` as doubles while the original treated them as unparsable.
     """
-    return _number_of(strip_ws(c))
+    return _number_of(col(c).cast("string"))
 
 
 def parse_decimal(c: Column | str) -> Column:
@@ -68,13 +69,14 @@ def parse_decimal(c: Column | str) -> Column:
     trim; '' / null / none / nan -> NULL; drop '%'; with both '.' and ',' the dots are
     thousands separators and the comma is the decimal mark; with only ',' it is the
     decimal mark; then parse or NULL.  ('1,234.56' therefore parses as 1.23456.)
+
+    Compact on purpose (many columns are parsed in one generated method, which must stay
+    small enough to be JIT-compiled): the null-like tokens need no test of their own since
+    they fail the numeric guard, and one ``translate`` maps ',' -> '.' while deleting '.'.
     """
-    s = strip_ws(c)
-    t = F.translate(s, "%", "")
-    # With a comma present the dots (if any) are thousands separators: drop them, then
-    # the comma becomes the decimal point.  Without a comma the text is left as is.
-    t = F.when(t.contains(","), F.translate(F.translate(t, ".", ""), ",", ".")).otherwise(t)
-    return F.when(~F.lower(s).isin(*schema.NULLISH_TOKENS), _number_of(strip_ws(t)))
+    t = F.translate(col(c).cast("string"), "%", "")
+    t = F.when(t.contains(","), F.translate(t, ",.", ".")).otherwise(t)
+    return _number_of(t)
 
 
 def comma_to_dot(c: Column | str) -> Column:

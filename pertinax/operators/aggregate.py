@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from pertinax.functions.clean import comma_to_dot, month_period, to_number
 from pertinax.operators import stats
+from pertinax.sources.tables import spread
 
 MISSING_COLUMN = "COLUMNA NO EXISTE"
 
@@ -165,7 +166,7 @@ def column_stats(df: DataFrame, cols: list[str]) -> DataFrame:
     numeric = numeric.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("column"), (F.col(f"bad{i}") == 0).alias("numeric"))
         for i, c in enumerate(cols)])))
-    long = stats.to_long(parsed, cols)
+    long = stats.to_long(spread(parsed), cols)
     counts = stats.value_counts(long, ["column"])
     base = counts.groupBy("column").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("n_distinct"),
                                         F.min("value").alias("min"), F.max("value").alias("max"))

@@ -7,6 +7,7 @@ refits them per fold — the original fitted them once before CV, which leaks (t
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -21,6 +22,20 @@ from pertinax.operators.ml_stages import ExactMedianImputer, PopulationStandardS
 MAX_DEPTH_SPARK = 30
 
 
+@contextmanager
+def cached(df: DataFrame):
+    """Keep a training frame materialised for the several passes a fit makes (imputer,
+    scaler and indexer fits, split finding, bagging); released when the fit is done.
+    MEMORY_AND_DISK spills instead of failing, and a lost block is recomputed from
+    lineage, so executor loss only costs time."""
+    from pyspark import StorageLevel
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield df
+    finally:
+        df.unpersist()
+
+
 @dataclass
 class ModelSpec:
     """One candidate configuration (a row of the search grid)."""
@@ -155,15 +170,16 @@ def cross_validate(df: DataFrame, features: list[str], spec: ModelSpec, key: str
                    label: str = "label", k: int = 5, weight: str | None = None) -> DataFrame:
     """K-fold CV with preparation refitted per fold; returns one row per fold plus
     ``mean`` and ``two_std`` (population) columns over the fold accuracies."""
-    folded = fold_column(df, key, k)
-    rows = None
-    for i in range(k):
-        train = folded.where(F.col("fold") != i)
-        test = folded.where(F.col("fold") == i)
-        model = Pipeline(stages=prep_stages(features) + [classifier(spec, label, weight=weight)]).fit(train)
-        acc = evaluate(model, test, label).withColumn("fold", F.lit(i))
-        rows = acc if rows is None else rows.unionByName(acc)
-    return _with_summary(rows)
+    rows = []
+    with cached(fold_column(df, key, k)) as folded:
+        for i in range(k):
+            train = folded.where(F.col("fold") != i)
+            test = folded.where(F.col("fold") == i)
+            model = Pipeline(stages=prep_stages(features) + [classifier(spec, label, weight=weight)]).fit(train)
+            rows.append(evaluate(model, test, label).withColumn("fold", F.lit(i)).first().asDict())
+    spark = df.sparkSession
+    out = spark.createDataFrame(rows, "n long, hits long, errors long, accuracy double, fold int")
+    return _with_summary(out)
 
 
 def _with_summary(rows: DataFrame) -> DataFrame:
@@ -181,7 +197,8 @@ def search(specs: list[ModelSpec], train: DataFrame, test: DataFrame, external:
     results, models = [], {}
     spark = train.sparkSession
     for spec in specs:
-        model = Pipeline(stages=prep_stages(features) + [classifier(spec, label, weight=weight)]).fit(train)
+        with cached(train) as tr:
+            model = Pipeline(stages=prep_stages(features) + [classifier(spec, label, weight=weight)]).fit(tr)
         models[spec.name] = model
         t = evaluate(model, test, label).first()
         e = evaluate(model, external, label).first()

@@ -54,8 +54,11 @@ def column_profile(df: DataFrame) -> DataFrame:
     ``numeric`` means every non-null value parses as a number (the spreadsheet reader's
     type inference); min / max / median are computed on the parsed numbers.
     """
+    from pertinax.sources.tables import spread
     cols = df.columns
-    long = stats.to_long(df, cols, cast="string")
+    # one input row becomes one row per column: give the explode + partial aggregation
+    # every core even when the source is a single small file
+    long = stats.to_long(spread(df), cols, cast="string")
     counts = stats.value_counts(long, ["column"])
     counts = counts.withColumn("num", to_number("value"))
     per_col = counts.groupBy("column").agg(

@@ -7,10 +7,9 @@ helpers compute the same exact answers from distributed steps instead:
 * ``value_counts``: ``(keys, value) -> c`` — one hash aggregate with map-side combine, so a
   hot value (a third of all rows) collapses to one row before the shuffle.
 * ``exact_mode``: ``min(struct(-c, value))`` per key — algebraic, partial-aggregated.
-* ``exact_median``: bucket the distinct values by per-key approximate quantile bounds (a
-  bounded-memory sketch), find the one or two buckets holding the middle ranks from the
-  tiny ``keys × buckets`` count table, and rank exactly only the distinct values inside those
-  buckets.
+* ``exact_median``: range-partition the distinct values, take rank offsets from the small
+  per-partition count table, and rank exactly only the partition(s) that hold the middle
+  ranks (no sketch, no per-row array search, everything in generated code).
 """
 
 from __future__ import annotations
@@ -18,10 +17,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 256
-DEFAULT_ACCURACY = 10_000
-
-
 def value_counts(long_df: DataFrame, keys: list[str], value: str = "value",
                  out: str = "c") -> DataFrame:
     v = F.col(value)
@@ -38,36 +33,31 @@ def exact_mode(counts: DataFrame, keys: list[str], value: str = "value", c: str
 
 
 def exact_median(counts: DataFrame, keys: list[str], value: str = "value", c: str = "c",
-                 out: str = "median", buckets: int = DEFAULT_BUCKETS,
-                 accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+                 out: str = "median", partitions: int | None = None) -> DataFrame:
     """Exact median per key (mean of the two middle values when n is even).
 
-    ``counts`` is the output of :func:`value_counts` (numeric ``value``).
+    ``counts`` is the output of :func:`value_counts` (numeric ``value``): one row per
+    distinct value, so a hot value is a single row here.  The rows are range-partitioned on
+    ``(keys, value)`` (sampled bounds keep partitions balanced), per-partition totals give
+    each partition's rank offset inside its key, and only the partition(s) holding the two
+    middle ranks of a key are ranked row by row.
     """
-    probs = [i / buckets for i in range(1, buckets)]
-    # Per-key bucket bounds from a bounded-size quantile sketch (weights via the counts'
-    # values only — the bounds need not be exact, they only shape the buckets).
-    bounds = counts.groupBy(*keys).agg(
-        F.percentile_approx(value, probs, accuracy).alias("__bounds"),
-        F.sum(c).alias("__n"))
-    # one row per key: tiny; AQE broadcasts it after measuring it
-    cb = counts.join(bounds, on=keys).withColumn(
-        "__bucket", F.size(F.filter("__bounds", lambda b: b < F.col(value))))
-    per_bucket = cb.groupBy(*keys, "__bucket").agg(F.sum(c).alias("__bc"),
-                                                   F.first("__n").alias("__n"))
-    w = Window.partitionBy(*keys).orderBy("__bucket")  # keys × buckets rows: small
-    per_bucket = per_bucket.withColumn(
-        "__before", F.coalesce(F.sum("__bc").over(w.rowsBetween(Window.unboundedPreceding, -1)),
-                               F.lit(0)))
+    spark = counts.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parted = counts.repartitionByRange(n, *keys, value).withColumn("__pid", F.spark_partition_id())
+    sizes = parted.groupBy(*keys, "__pid").agg(F.sum(c).alias("__pc"))
+    w = Window.partitionBy(*keys).orderBy("__pid")   # at most `n` rows per key
+    sizes = (sizes
+             .withColumn("__before", F.coalesce(F.sum("__pc").over(
+                 w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+             .withColumn("__n", F.sum("__pc").over(Window.partitionBy(*keys))))
     k_lo = F.floor((F.col("__n") + 1) / 2)
     k_hi = F.floor(F.col("__n") / 2) + 1
-    in_bucket = lambda k: (F.col("__before") < k) & (k <= F.col("__before") + F.col("__bc"))
-    targets = per_bucket.where(in_bucket(k_lo) | in_bucket(k_hi)).select(
-        *keys, "__bucket", "__before", "__n")
-    cand = cb.select(*keys, "__bucket", value, c).join(targets, on=keys + ["__bucket"])
-    # running rank inside each of the (at most two) middle buckets of a key
+    inside = lambda k: (F.col("__before") < k) & (k <= F.col("__before") + F.col("__pc"))
+    targets = sizes.where(inside(k_lo) | inside(k_hi)).select(*keys, "__pid", "__before", "__n")
+    cand = parted.join(targets, on=keys + ["__pid"])   # rows of <= 2 partitions per key
     cand = cand.withColumn("__cum", F.col("__before") + F.sum(c).over(
-        Window.partitionBy(*keys, "__bucket").orderBy(value)
+        Window.partitionBy(*keys, "__pid").orderBy(value)
         .rowsBetween(Window.unboundedPreceding, 0)))
     lo = F.min(F.when(F.col("__cum") >= F.floor((F.col("__n") + 1) / 2), F.col(value)))
     hi = F.min(F.when(F.col("__cum") >= F.floor(F.col("__n") / 2) + 1, F.col(value)))

@@ -15,7 +15,7 @@ from pertinax.plans.clinical import (clinical_encounters, prepare_clinical, prep
                                      production_encounters)
 from pertinax.plans.fixture import FIXTURE_SCORE_SQL, encounters
 from pertinax.plans.registry import register
-from pertinax.sources.tables import table
+from pertinax.sources.tables import spread, table
 
 ENC = O.encounters_cte()
 
@@ -113,7 +113,7 @@ FROM documents""")
 def c9_c13_text_cleaning(spark, sf_dir):
     """Accent stripping (C9), header-style key (C10) and alert cleaning (C13) over every
     document's whole text."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     return d.select("doc_id", C.strip_accents("text").alias("text_no_accents"),
                     C.clean_text("text").alias("text_clean"),
                     C.normalize_key("text").alias("text_key"))
@@ -307,7 +307,7 @@ def f3_features_interaction(spark, sf_dir):
 @register("f4_text_alerts", oracle=ENC + """
 SELECT row_id, """ + ", ".join(ALERT_COLUMNS) + """ FROM enc""")
 def f4_text_alerts(spark, sf_dir):
-    e = clinical_encounters(spark, sf_dir).select(schema.ROW_ID, "Texto_Libre")
+    e = spread(clinical_encounters(spark, sf_dir).select(schema.ROW_ID, "Texto_Libre"))
     return text_alerts(e).select(schema.ROW_ID, *ALERT_COLUMNS)
 
 

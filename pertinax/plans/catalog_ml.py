@@ -148,7 +148,8 @@ def m2_assemble(spark, sf_dir):
 def _fit_small(train, kind="forest", weight=None, prefix=""):
     spec = L.ModelSpec(kind, kind, SMALL_FOREST if kind == "forest" else dict(maxIter=15, maxDepth=4),
                        weighted=weight is not None)
-    return L.member_pipeline(spec, NUMERIC + BINARY, "label", weight, prefix, CATEGORICAL).fit(train)
+    with L.cached(train) as tr:
+        return L.member_pipeline(spec, NUMERIC + BINARY, "label", weight, prefix, CATEGORICAL).fit(tr)
 
 
 def _test_predictions(model, test, prefix=""):

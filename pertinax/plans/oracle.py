@@ -22,7 +22,7 @@ def in_list(values) -> str:
 
 
 def trim_ws(x: str) -> str:
-    return rf"regexp_replace(CAST({x} AS VARCHAR), '^[ \t\r\n\f]+|[ \t\r\n\f]+$', '', 'g')"
+    return rf"trim(CAST({x} AS VARCHAR), chr(32) || chr(9) || chr(13) || chr(10) || chr(12))"
 
 
 def num(x: str) -> str:

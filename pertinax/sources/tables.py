@@ -37,6 +37,23 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet", **options)
     return reader.format(fmt).load(path)
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Give CPU-heavy per-row work (regex parsing, text cleaning) one task per core.
+
+    A scan yields one task per file split, so a small file — or a file written as a single
+    row group — gives a handful of tasks however many cores there are.  Only when the input
+    has fewer partitions than the default parallelism is it round-robin repartitioned; an
+    input that is already split into many tasks (any large table) is returned untouched, so
+    no shuffle is added at scale.  Streaming frames are returned as is.
+    """
+    if df.isStreaming:
+        return df
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def sample_head(df: DataFrame, n: int = 1000, order_by: str = schema.ROW_ID) -> DataFrame:
     """S3: the first ``n`` rows in a deterministic order (top-k, not a full sort)."""
     return df.orderBy(F.col(order_by).asc_nulls_last()).limit(n)

@@ -18,7 +18,7 @@ def test_exact_median_and_mode_with_a_hot_value(spark):
     rows = [("a", v) for v in vals] + [("b", float(i)) for i in range(10)] + [("c", None)]
     df = spark.createDataFrame(rows, "k string, value double")
     counts = stats.value_counts(df, ["k"])
-    med = {r["k"]: r["median"] for r in stats.exact_median(counts, ["k"], buckets=16).collect()}
+    med = {r["k"]: r["median"] for r in stats.exact_median(counts, ["k"], partitions=16).collect()}
     assert med["a"] == pytest.approx(statistics.median(vals))
     assert med["b"] == pytest.approx(4.5)
     assert "c" not in med
@@ -29,7 +29,7 @@ def test_exact_median_and_mode_with_a_hot_value(spark):
 @pytest.mark.parametrize("n", [1, 2, 7, 1000])
 def test_exact_median_small_groups(spark, n):
     df = spark.createDataFrame([("x", float(i * 3 % 11)) for i in range(n)], "k string, value double")
-    got = stats.exact_median(stats.value_counts(df, ["k"]), ["k"], buckets=8).first()["median"]
+    got = stats.exact_median(stats.value_counts(df, ["k"]), ["k"], partitions=8).first()["median"]
     assert got == pytest.approx(statistics.median([float(i * 3 % 11) for i in range(n)]))
 
 
