@@ -442,3 +442,100 @@ def p14_validate_ranges(spark, sf_dir):
     e = prepared_encounters(spark, sf_dir)
     v = P.validate_ranges(e, pas="PA_Sistolica", pad="PA_Diastolica", temp="Temperatura")
     return v.select(schema.ROW_ID, F.array_join("reject_reasons", ",").alias("reject_reasons"), "valid")
+
+
+# --------------------------------------------------------------------- S1, S2, S4, P2, P3, P6, P17
+
+def _scratch(spark, name):
+    import uuid
+    from pertinax.session import scratch_dir
+    return scratch_dir(spark, f"{name}-{uuid.uuid4().hex[:10]}")
+
+
+_ORDERS_TXT = """SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus, o_orderpriority FROM orders"""
+
+
+@register("s1_read_table_csv", oracle=_ORDERS_TXT)
+def s1_read_table_csv(spark, sf_dir):
+    """A CSV extract lands with its header and every column as STRING."""
+    from pertinax.sources.sinks import write_table
+    from pertinax.sources.tables import read_table
+    path = _scratch(spark, "s1-csv")
+    write_table(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"),
+                path, "csv")
+    return read_table(spark, path, "csv")
+
+
+@register("s2_read_table_json", oracle=_ORDERS_TXT)
+def s2_read_table_json(spark, sf_dir):
+    """The same table entering as JSON (the workbook path re-aimed to open formats)."""
+    from pertinax.sources.sinks import write_table
+    from pertinax.sources.tables import read_table
+    path = _scratch(spark, "s2-json")
+    write_table(table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("string").alias("o_orderkey"), "o_orderstatus", "o_orderpriority"),
+        path, "json")
+    return read_table(spark, path, "json")
+
+
+@register("s4_scan_existing_status", oracle="""
+SELECT * FROM (VALUES ('customer', 'ok'), ('no_such_table', 'missing'), ('supplier', 'ok'))
+  t(source_name, status)""")
+def s4_scan_existing_status(spark, sf_dir):
+    """Per requested source, whether it was read (missing files are reported, not fatal)."""
+    from pertinax.sources.tables import scan_existing
+    paths = [f"{sf_dir}/{t}.parquet" for t in ("customer", "no_such_table", "supplier")]
+    _, status = scan_existing(spark, paths)
+    return status.select(F.regexp_extract("source_name", r"([^/]+)\.parquet$", 1).alias("source_name"),
+                         "status")
+
+
+@register("s4_scan_existing_rows", oracle="""
+SELECT 'customer' AS source_name, CAST(count(*) AS BIGINT) AS n, CAST(count(c_mktsegment) AS BIGINT) AS with_segment FROM customer
+UNION ALL SELECT 'supplier', CAST(count(*) AS BIGINT), 0 FROM supplier""")
+def s4_scan_existing_rows(spark, sf_dir):
+    """The readable sources unioned by name (missing columns NULL), rows per source."""
+    from pertinax.sources.tables import scan_existing
+    paths = [f"{sf_dir}/{t}.parquet" for t in ("customer", "no_such_table", "supplier")]
+    data, _ = scan_existing(spark, paths)
+    src = F.regexp_extract("source_name", r"([^/]+)\.parquet$", 1)
+    return data.groupBy(src.alias("source_name")).agg(F.count(F.lit(1)).alias("n"),
+                                                      F.count("c_mktsegment").alias("with_segment"))
+
+
+@register("p1_p2_p3_rename_presets", oracle=RAW + """
+SELECT row_id, fc AS FC_form, sato2 AS SatO2_form, temp AS Temp_form, hta AS DM_form,
+  fc AS FC, sato2 AS SatO2, validacion AS Validacion FROM encounters""")
+def p1_p2_p3_rename_presets(spark, sf_dir):
+    """Form (P1), evaluation (P3) and base (P2) presets on one frame.  The form preset maps the
+    unaccented 'Frecuencia Cardiaca' and leaves the accented header for the evaluation preset
+    (trap T6: the two presets spell the same vital differently)."""
+    e = encounters(spark, sf_dir)
+    d = e.select(schema.ROW_ID,
+                 F.col("fc").alias("Frecuencia Cardiaca"), F.col("fc").alias("Frecuencia Cardíaca"),
+                 F.col("sato2").alias("Saturación de Oxígeno"), F.col("sato2").alias("Saturación Oxígeno"),
+                 F.col("temp").alias("Temperatura en °C"), F.col("hta").alias("Antecedentes Diabéticos"),
+                 F.col("validacion").alias("Resolucion"))
+    d = P.rename_form(d)
+    d = d.withColumnsRenamed({"FC": "FC_form", "SatO2": "SatO2_form", "Temp": "Temp_form",
+                              "DiabetesMellitus": "DM_form"})
+    d = P.rename_base(P.rename_eval(d))
+    return d.select(schema.ROW_ID, "FC_form", "SatO2_form", "Temp_form", "DM_form", "FC", "SatO2",
+                    "Validacion")
+
+
+@register("p6_filter_validated", oracle=RAW + "SELECT row_id, validacion FROM encounters WHERE validacion IS NOT NULL")
+def p6_filter_validated(spark, sf_dir):
+    e = encounters(spark, sf_dir).select(schema.ROW_ID, "validacion")
+    return P.filter_validated(e, "validacion")
+
+
+@register("p17_encode_label_sorted", oracle=RAW + """,
+l AS (SELECT row_id, """ + O.clean_label("validacion") + """ AS label FROM encounters)
+SELECT row_id, label, CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS label_index
+FROM l WHERE label IS NOT NULL""")
+def p17_encode_label_sorted(spark, sf_dir):
+    """Sorted distinct classes -> 0..k-1 (StringIndexer, alphabetical)."""
+    e = encounters(spark, sf_dir).select(schema.ROW_ID, P.clean_label("validacion").alias("label"))
+    out, _ = P.encode_label_sorted(e, "label")
+    return out.where(F.col("label").isNotNull())

@@ -13,7 +13,8 @@ from pertinax.sources.tables import DRIVER_TABLES
 SF = "/root/testdata/sf0.001"
 ORACLES = E.oracle_sql()
 # training-heavy queries are exercised by test_ml; keep a few rows-only ones here
-ROWS_ONLY = ["m2_assemble", "s5_write_predictions", "s6_write_errors", "s8_convert_files"]
+ROWS_ONLY = ["m2_assemble", "s5_write_predictions", "s6_write_errors", "s8_convert_files",
+             "d6_score_file", "d7_score_stream"]
 
 
 def _norm(v):
