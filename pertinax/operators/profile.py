@@ -25,11 +25,13 @@ def columns_as_rows(spark: SparkSession, df: DataFrame, source: str | None = Non
     return spark.createDataFrame(rows, "source string, position int, column string")
 
 
-def name_match(name: Column) -> Column:
+def name_match(name: Column, normalized: bool = False) -> Column:
     """Q2: first target whose alias is inside the normalised name, or whose alias contains
     it (so an empty name matches the first target and 'f' matches 'fc', as in the
-    original).  NULL when no alias matches."""
-    n = normalize_name(name)
+    original).  NULL when no alias matches.  Pass an already normalised column with
+    ``normalized=True`` (the alias tests then reference one column, not a nested
+    expression per test)."""
+    n = name if normalized else normalize_name(name)
     expr = None
     for target, aliases in reversed(schema.VARIABLE_ALIASES):
         cond = None
@@ -42,17 +44,18 @@ def name_match(name: Column) -> Column:
 
 def match_by_name(cols: DataFrame) -> DataFrame:
     """Q2 over a columns-as-rows frame: adds ``variable`` and ``method='nombre'``."""
-    v = name_match(F.col("column"))
-    return cols.withColumns({"variable": v,
-                             "method": F.when(v.isNotNull(), F.lit("nombre"))})
+    out = cols.withColumn("__n", normalize_name("column"))
+    out = out.withColumn("variable", name_match(F.col("__n"), normalized=True))
+    return out.withColumn("method", F.when(F.col("variable").isNotNull(), F.lit("nombre"))).drop("__n")
 
 
-def column_profile(df: DataFrame) -> DataFrame:
+def column_profile(df: DataFrame, median_for: list[str] | None = None) -> DataFrame:
     """Per column ``(column, n, n_distinct, numeric, min, max, median, has_yes_no,
     has_pertinente)`` in one scan + value counts.
 
     ``numeric`` means every non-null value parses as a number (the spreadsheet reader's
-    type inference); min / max / median are computed on the parsed numbers.
+    type inference); min / max / median are computed on the parsed numbers.  The exact
+    median is computed for ``median_for`` (default: every column); others get NULL.
     """
     from pertinax.sources.tables import spread
     cols = df.columns
@@ -67,11 +70,16 @@ def column_profile(df: DataFrame) -> DataFrame:
         F.min("num").alias("min"), F.max("num").alias("max"),
         F.max(F.lower("value").isin(*YES_NO_TOKENS)).alias("has_yes_no"),
         F.max(F.upper("value").contains("PERTINENTE")).alias("has_pertinente"))
-    med = stats.exact_median(counts.where(F.col("num").isNotNull())
-                             .groupBy("column", F.col("num").alias("value")).agg(F.sum("c").alias("c")),
-                             ["column"])
+    median_for = cols if median_for is None else [c for c in median_for if c in cols]
     names = columns_as_rows(df.sparkSession, df).select("position", "column")
-    return (names.join(per_col, "column", "left").join(med, "column", "left")
+    if median_for:
+        med = stats.exact_median(
+            counts.where(F.col("num").isNotNull() & F.col("column").isin(*median_for))
+            .groupBy("column", F.col("num").alias("value")).agg(F.sum("c").alias("c")), ["column"])
+        names = names.join(med, "column", "left")
+    else:
+        names = names.withColumn("median", F.lit(None).cast("double"))
+    return (names.join(per_col, "column", "left")
             .select("position", "column", F.coalesce("n", F.lit(0)).alias("n"),
                     F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"),
                     (F.coalesce(F.col("__non_num"), F.lit(0)) == 0).alias("numeric"),
@@ -80,9 +88,10 @@ def column_profile(df: DataFrame) -> DataFrame:
                     F.coalesce("has_pertinente", F.lit(False)).alias("has_pertinente")))
 
 
-def content_match(p: DataFrame) -> Column:
-    """Q3 rules over a :func:`column_profile` row (applied when no name matched)."""
-    name = normalize_name(F.col("column"))
+def content_match(p: DataFrame, name: Column | None = None) -> Column:
+    """Q3 rules over a :func:`column_profile` row (applied when no name matched);
+    ``name`` is the normalised column name if already computed."""
+    name = normalize_name(F.col("column")) if name is None else name
     has = lambda *subs: _any([name.contains(s) for s in subs])
     lo, hi, med = F.col("min"), F.col("max"), F.col("median")
     num = F.col("numeric") & (F.col("n") > 0)
@@ -113,10 +122,15 @@ def _any(conds: list[Column]) -> Column:
 def detect_variables(df: DataFrame, source: str | None = None) -> DataFrame:
     """Q2 + Q3: ``(source, position, column, variable, method, completeness)`` — name match
     first, content rules otherwise."""
-    prof = column_profile(df)
-    by_name = name_match(F.col("column"))
-    by_content = content_match(prof)
+    # the median feeds one content rule only (names with sat / o2 / ox): plan-time subset
+    from pertinax.operators.project import strip_accents_text
+    needs_median = [c for c in df.columns
+                    if any(k in strip_accents_text(c).lower() for k in ("sat", "o2", "ox"))]
+    prof = column_profile(df, median_for=needs_median).withColumn("__n", normalize_name("column"))
+    prof = prof.withColumns({"__by_name": name_match(F.col("__n"), normalized=True),
+                             "__by_content": content_match(prof, F.col("__n"))})
     total = df.select(F.count(F.lit(1))).scalar()
+    by_name, by_content = F.col("__by_name"), F.col("__by_content")
     return prof.select(
         F.lit(source).alias("source"), "position", "column",
         F.coalesce(by_name, by_content).alias("variable"),
