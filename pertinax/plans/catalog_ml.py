@@ -271,7 +271,8 @@ def d6_score_file(spark, sf_dir):
                         binary=BINARY, categorical=CATEGORICAL)
 
 
-@register("s5_write_predictions")
+@register("s5_write_predictions", oracle=ENC + """
+SELECT row_id, Episodio, CUMPLE_CRITERIO_DECRETO, Categoria_Inferida FROM enc""")
 def s5_write_predictions(spark, sf_dir):
     s = training_frame(spark, sf_dir).select(schema.ROW_ID, "Episodio", "CUMPLE_CRITERIO_DECRETO",
                                              "Categoria_Inferida")
