@@ -42,11 +42,18 @@ def name_match(name: Column, normalized: bool = False) -> Column:
     return expr
 
 
-def match_by_name(cols: DataFrame) -> DataFrame:
-    """Q2 over a columns-as-rows frame: adds ``variable`` and ``method='nombre'``."""
+def match_by_name(cols: DataFrame, data: DataFrame | None = None) -> DataFrame:
+    """Q2 over a columns-as-rows frame: adds ``variable`` and ``method='nombre'``; with
+    ``data`` (the source itself) also the completeness (%) of each column, as reported next
+    to every detected variable."""
     out = cols.withColumn("__n", normalize_name("column"))
     out = out.withColumn("variable", name_match(F.col("__n"), normalized=True))
-    return out.withColumn("method", F.when(F.col("variable").isNotNull(), F.lit("nombre"))).drop("__n")
+    out = out.withColumn("method", F.when(F.col("variable").isNotNull(), F.lit("nombre"))).drop("__n")
+    if data is not None:
+        from pertinax.operators.aggregate import completeness
+        comp = completeness(data, data.columns).select("column", F.col("pct").alias("completeness"))
+        out = out.join(comp, "column", "left")
+    return out
 
 
 def column_profile(df: DataFrame, median_for: list[str] | None = None) -> DataFrame:

@@ -163,18 +163,33 @@ def q1_compat_ranking(spark, sf_dir):
     return Q.compat_ranking(src, ref, label_cols=["Validacion"])
 
 
-@register("q2_match_by_name", oracle="""WITH n AS (SELECT column_name AS "column" FROM (DESCRIBE SELECT * FROM lineitem)
-  UNION ALL SELECT column_name FROM (DESCRIBE SELECT * FROM orders))
-SELECT "column", """ + _name_match_sql('"column"') + """ AS variable,
-  CASE WHEN """ + _name_match_sql('"column"') + """ IS NOT NULL THEN 'nombre' END AS method FROM n""")
+_ORDERS_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
+                "o_orderpriority"]
+
+
+def _completeness_sql(t, cols):
+    return "\n  UNION ALL ".join(
+        f'SELECT \'{c}\' AS "column", round(count({c}) * 100.0 / count(*), 6) AS completeness FROM {t}'
+        for c in cols)
+
+
+_NM = _name_match_sql('n."column"')
+
+
+@register("q2_match_by_name", oracle=f"""WITH n AS (SELECT column_name AS "column" FROM (DESCRIBE SELECT * FROM lineitem)
+  UNION ALL SELECT column_name FROM (DESCRIBE SELECT * FROM orders)),
+c AS ({_completeness_sql("lineitem", _LI_COLS)}
+  UNION ALL {_completeness_sql("orders", _ORDERS_COLS)})
+SELECT n."column", {_NM} AS variable, CASE WHEN {_NM} IS NOT NULL THEN 'nombre' END AS method,
+  c.completeness FROM n LEFT JOIN c ON n."column" = c."column" """)
 def q2_match_by_name(spark, sf_dir):
-    """Q2 over the columns of two native tables (note 'l_orderkey' hits the empty-alias trap
-    only when the normalised name is a substring of an alias)."""
-    names = None
+    """Q2 over the columns of two native tables, each with its completeness."""
+    out = None
     for t in ("lineitem", "orders"):
-        n = Q.columns_as_rows(spark, table(spark, sf_dir, t), t)
-        names = n if names is None else names.unionByName(n)
-    return Q.match_by_name(names).select("column", "variable", "method")
+        src = table(spark, sf_dir, t)
+        m = Q.match_by_name(Q.columns_as_rows(spark, src, t), data=src)
+        out = m if out is None else out.unionByName(m)
+    return out.select("column", "variable", "method", F.round("completeness", 6).alias("completeness"))
 
 
 @register("q3_detect_variables", oracle=_DETECT_ALL)

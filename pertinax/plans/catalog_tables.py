@@ -294,19 +294,34 @@ def _cols_sql(t):
     return f"(SELECT column_name AS column FROM (DESCRIBE SELECT * FROM {t}))"
 
 
+_ORDERS_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
+                "o_orderpriority"]
+_LINEITEM_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+                  "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
+def _nn_sql(t, cols, side):
+    return "\n  UNION ALL ".join(
+        f'SELECT \'{c}\' AS "column", CAST(count({c}) AS BIGINT) AS non_null_{side} FROM {t}' for c in cols)
+
+
 @register("u2_schema_overlap", oracle=f"""
-SELECT coalesce(a.column, b.column) AS column, a.column IS NOT NULL AS in_a, b.column IS NOT NULL AS in_b,
+WITH na AS ({_nn_sql('orders', _ORDERS_COLS, 'a')}), nb AS ({_nn_sql('lineitem', _LINEITEM_COLS, 'b')}),
+o AS (SELECT coalesce(a.column, b.column) AS "column", a.column IS NOT NULL AS in_a, b.column IS NOT NULL AS in_b,
   CASE WHEN a.column IS NOT NULL AND b.column IS NOT NULL THEN 'common'
        WHEN a.column IS NOT NULL THEN 'missing' ELSE 'extra' END AS status
-FROM {_cols_sql('orders')} a FULL JOIN {_cols_sql('lineitem')} b ON a.column = b.column""")
+  FROM {_cols_sql('orders')} a FULL JOIN {_cols_sql('lineitem')} b ON a.column = b.column)
+SELECT o.*, na.non_null_a, nb.non_null_b FROM o LEFT JOIN na USING ("column") LEFT JOIN nb USING ("column")""")
 def u2_schema_overlap(spark, sf_dir):
+    """Column sets of two tables as rows, with each column's non-null count per table."""
     return U.schema_overlap(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"))
 
 
 @register("u3_schema_identical", oracle=f"""
 WITH o AS (SELECT count(*) FILTER (WHERE a.column IS NULL OR b.column IS NULL) AS d
            FROM {_cols_sql('orders')} a FULL JOIN {_cols_sql('lineitem')} b ON a.column = b.column)
-SELECT d = 0 AS identical, CAST(d AS BIGINT) AS sym_diff FROM o""")
+SELECT d = 0 AS identical, CAST(d AS BIGINT) AS sym_diff,
+  (SELECT count(*) FROM orders) AS rows_a, (SELECT count(*) FROM lineitem) AS rows_b FROM o""")
 def u3_schema_identical(spark, sf_dir):
     return U.schema_identical(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"))
 
@@ -418,12 +433,19 @@ def p11_backfill(spark, sf_dir):
                       binary=["HipertencionArterial"], categorical=["Tipo_Cama"])
 
 
-@register("p13_check_required", oracle="""
-SELECT * FROM (VALUES ('FC', 'vitals', true), ('FR', 'vitals', true), ('PAS', 'vitals', true),
-  ('PAD', 'vitals', true), ('SatO2', 'vitals', true), ('Temp', 'vitals', true),
-  ('Glasgow', 'vitals', true), ('Triage', 'vitals', true), ('HipertencionArterial', 'antecedents', true),
-  ('DiabetesMellitus', 'antecedents', false), ('Cardiopatia', 'antecedents', false)) t("column", "group", present)""")
+@register("p13_check_required", oracle=RAW + """SELECT 'FC' AS "column", 'vitals' AS "group", true AS present, CAST(count(fc) AS BIGINT) AS non_null FROM encounters
+UNION ALL SELECT 'FR' AS "column", 'vitals' AS "group", true AS present, CAST(count(fr) AS BIGINT) AS non_null FROM encounters
+UNION ALL SELECT 'PAS' AS "column", 'vitals' AS "group", true AS present, CAST(count(pas) AS BIGINT) AS non_null FROM encounters
+UNION ALL SELECT 'PAD' AS "column", 'vitals' AS "group", true AS present, CAST(count(pad) AS BIGINT) AS non_null FROM encounters
+UNION ALL SELECT 'SatO2' AS "column", 'vitals' AS "group", true AS present, CAST(count(sato2) AS BIGINT) AS non_null FROM encounters
+UNION ALL SELECT 'Temp' AS "column", 'vitals' AS "group", true AS present, CAST(count(temp) AS BIGINT) AS non_null FROM encounters
+UNION ALL SELECT 'Glasgow' AS "column", 'vitals' AS "group", true AS present, CAST(count(glasgow) AS BIGINT) AS non_null FROM encounters
+UNION ALL SELECT 'Triage' AS "column", 'vitals' AS "group", true AS present, CAST(count(triage) AS BIGINT) AS non_null FROM encounters
+UNION ALL SELECT 'HipertencionArterial' AS "column", 'antecedents' AS "group", true AS present, CAST(count(hta) AS BIGINT) AS non_null FROM encounters
+UNION ALL SELECT 'DiabetesMellitus', 'antecedents', false, CAST(NULL AS BIGINT)
+UNION ALL SELECT 'Cardiopatia', 'antecedents', false, CAST(NULL AS BIGINT)""")
 def p13_check_required(spark, sf_dir):
+    """The bulk-scoring contract against the extract: present or not, and how filled."""
     from pertinax.plans.clinical import production_encounters
     report, _ = P.check_required(production_encounters(spark, sf_dir))
     return report
@@ -479,15 +501,16 @@ def s2_read_table_json(spark, sf_dir):
 
 
 @register("s4_scan_existing_status", oracle="""
-SELECT * FROM (VALUES ('customer', 'ok'), ('no_such_table', 'missing'), ('supplier', 'ok'))
-  t(source_name, status)""")
+SELECT 'customer' AS source_name, 'ok' AS status, (SELECT count(*) FROM customer) AS rows
+UNION ALL SELECT 'no_such_table', 'missing', NULL
+UNION ALL SELECT 'supplier', 'ok', (SELECT count(*) FROM supplier)""")
 def s4_scan_existing_status(spark, sf_dir):
     """Per requested source, whether it was read (missing files are reported, not fatal)."""
     from pertinax.sources.tables import scan_existing
     paths = [f"{sf_dir}/{t}.parquet" for t in ("customer", "no_such_table", "supplier")]
     _, status = scan_existing(spark, paths)
     return status.select(F.regexp_extract("source_name", r"([^/]+)\.parquet$", 1).alias("source_name"),
-                         "status")
+                         "status", "rows")
 
 
 @register("s4_scan_existing_rows", oracle="""

@@ -105,4 +105,9 @@ def scan_existing(spark: SparkSession, paths: list[str], fmt: str = "parquet",
     for df in frames:
         data = df if data is None else data.unionByName(df, allowMissingColumns=True)
     status_df = spark.createDataFrame(status, f"{source_col} string, status string, error string")
+    if data is not None:   # rows read per source (one aggregate over the union)
+        rows = data.groupBy(source_col).agg(F.count(F.lit(1)).alias("rows"))
+        status_df = status_df.join(rows, source_col, "left")
+    else:
+        status_df = status_df.withColumn("rows", F.lit(None).cast("long"))
     return data, status_df
