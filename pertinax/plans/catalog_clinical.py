@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from pertinax import schema
 from pertinax.functions import clean as C
-from pertinax.functions.features import (ALERT_COLUMNS, features_archive, features_interaction,
-                                         features_production, text_alerts)
+from pertinax.functions.features import (ALERT_COLUMNS, alert_list, features_archive,
+                                         features_interaction, features_production, text_alerts)
 from pertinax.functions.rules import category_context, clinical_alerts, patient_category
 from pertinax.operators import metrics, project
 from pertinax.plans import oracle as O
@@ -311,6 +311,17 @@ def f4_text_alerts(spark, sf_dir):
     return text_alerts(e).select(schema.ROW_ID, *ALERT_COLUMNS)
 
 
+@register("f4_alert_list", oracle=ENC + """
+SELECT row_id, array_to_string(list_filter([""" + ", ".join(
+    f"CASE WHEN {c} THEN '{c[len('alert_'):]}' END" for c in ALERT_COLUMNS) + """], lambda x: x IS NOT NULL), ',') AS alerts
+FROM enc""")
+def f4_alert_list(spark, sf_dir):
+    """the names of the alerts that fired, per record."""
+    e = spread(clinical_encounters(spark, sf_dir).select(schema.ROW_ID, "Texto_Libre"))
+    a = text_alerts(e)
+    return a.select(schema.ROW_ID, F.array_join(alert_list(a), ",").alias("alerts"))
+
+
 @register("f5_patient_category", oracle=ENC + """
 SELECT Categoria_Inferida, CAST(count(*) AS BIGINT) AS n FROM enc GROUP BY 1""")
 def f5_patient_category(spark, sf_dir):
