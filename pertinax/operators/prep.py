@@ -57,15 +57,17 @@ def stratified_split(df: DataFrame, key: str | list[str], label: str, frac: floa
         F.when(F.col("__before") + F.col("__bc") <= F.col("__k"), F.lit("in"))
         .when(F.col("__before") < F.col("__k"), F.lit("edge")).otherwise(F.lit("out")).alias("__m"),
         (F.col("__k") - F.col("__before")).alias("__need"))
-    tagged = tmp.join(marks, on=[label, "__b"], how="left")
-    edge = tagged.where(F.col("__m") == "edge").withColumn(
-        "__rn", F.row_number().over(Window.partitionBy(label, "__b").orderBy("__h", *keys)))
-    edge = edge.withColumn(out, F.col("__rn") <= F.col("__need")).drop("__rn")
-    rest = tagged.where(F.col("__m") != "edge").withColumn(out, F.col("__m") == "in")
-    nolabel = tmp.where(F.col(label).isNull()).withColumn(out, F.lit(False))
-    cols = df.columns + [out]
-    return (edge.select(*cols).unionByName(rest.select(*cols))
-            .unionByName(nolabel.select(*cols)))
+    # cut-off inside the boundary bucket: the __need-th smallest (hash, key) of the class —
+    # only that bucket's rows are ranked, then one row per class remains
+    order = [F.col("__h")] + [F.col(k) for k in keys]
+    edge = tmp.join(marks.where(F.col("__m") == "edge"), on=[label, "__b"])
+    cut = (edge.withColumn("__rn", F.row_number().over(Window.partitionBy(label).orderBy(*order)))
+           .where(F.col("__rn") == F.col("__need"))
+           .select(label, F.struct(*order).alias("__cut")))
+    tagged = tmp.join(marks, on=[label, "__b"], how="left").join(cut, on=label, how="left")
+    is_test = (F.coalesce(F.col("__m") == "in", F.lit(False))
+               | F.coalesce((F.col("__m") == "edge") & (F.struct(*order) <= F.col("__cut")), F.lit(False)))
+    return tagged.select(*df.columns, is_test.alias(out))
 
 
 # ------------------------------------------------------------------ imputation
