@@ -56,38 +56,54 @@ def match_by_name(cols: DataFrame, data: DataFrame | None = None) -> DataFrame:
     return out
 
 
-def column_profile(df: DataFrame, median_for: list[str] | None = None) -> DataFrame:
-    """Per column ``(column, n, n_distinct, numeric, min, max, median, has_yes_no,
-    has_pertinente)`` in one scan + value counts.
-
-    ``numeric`` means every non-null value parses as a number (the spreadsheet reader's
-    type inference); min / max / median are computed on the parsed numbers.  The exact
-    median is computed for ``median_for`` (default: every column); others get NULL.
+def column_profiles(sources: dict[str, DataFrame],
+                    median_for: dict[str, list[str]] | None = None) -> DataFrame:
+    """Per source and column ``(source, position, column, n, n_distinct, numeric, min, max,
+    median, has_yes_no, has_pertinente)``.
+
+    All sources go through ONE columns-as-rows union keyed by ``(source, column)``: one
+    value-count shuffle (hot values collapse map-side) and one exact-median pass serve every
+    source.  ``numeric`` means every non-null value parses as a number (the spreadsheet
+    reader's type inference); min / max / median are computed on the parsed numbers.  The
+    exact median is computed for the columns in ``median_for[source]`` (default: all).
     """
     from pertinax.sources.tables import spread
-    cols = df.columns
-    # one input row becomes one row per column: give the explode + partial aggregation
-    # every core even when the source is a single small file
-    long = stats.to_long(spread(df), cols, cast="string")
-    counts = stats.value_counts(long, ["column"])
-    counts = counts.withColumn("num", to_number("value"))
-    per_col = counts.groupBy("column").agg(
+    spark = next(iter(sources.values())).sparkSession
+    longs = []
+    for name, df in sources.items():
+        # one input row becomes one row per column: give the explode every core
+        longs.append(stats.to_long(spread(df), df.columns, cast="string")
+                     .withColumn("source", F.lit(name)))
+    long = longs[0]
+    for x in longs[1:]:
+        long = long.unionByName(x)
+    keys = ["source", "column"]
+    counts = stats.value_counts(long, keys).withColumn("num", to_number("value"))
+    per_col = counts.groupBy(*keys).agg(
         F.sum("c").alias("n"), F.count(F.lit(1)).alias("n_distinct"),
         F.count_if(F.col("num").isNull()).alias("__non_num"),
         F.min("num").alias("min"), F.max("num").alias("max"),
         F.max(F.lower("value").isin(*YES_NO_TOKENS)).alias("has_yes_no"),
         F.max(F.upper("value").contains("PERTINENTE")).alias("has_pertinente"))
-    median_for = cols if median_for is None else [c for c in median_for if c in cols]
-    names = columns_as_rows(df.sparkSession, df).select("position", "column")
-    if median_for:
+    wanted = {name: (list(df.columns) if median_for is None else
+                     [c for c in median_for.get(name, []) if c in df.columns])
+              for name, df in sources.items()}
+    rows = [(name, i, c) for name, df in sources.items() for i, c in enumerate(df.columns)]
+    names = spark.createDataFrame(rows, "source string, position int, column string")
+    pick = None
+    for name, cols in wanted.items():
+        if cols:
+            cond = (F.col("source") == name) & F.col("column").isin(*cols)
+            pick = cond if pick is None else pick | cond
+    if pick is not None:
         med = stats.exact_median(
-            counts.where(F.col("num").isNotNull() & F.col("column").isin(*median_for))
-            .groupBy("column", F.col("num").alias("value")).agg(F.sum("c").alias("c")), ["column"])
-        names = names.join(med, "column", "left")
+            counts.where(F.col("num").isNotNull() & pick)
+            .groupBy(*keys, F.col("num").alias("value")).agg(F.sum("c").alias("c")), keys)
+        names = names.join(med, keys, "left")
     else:
         names = names.withColumn("median", F.lit(None).cast("double"))
-    return (names.join(per_col, "column", "left")
-            .select("position", "column", F.coalesce("n", F.lit(0)).alias("n"),
+    return (names.join(per_col, keys, "left")
+            .select("source", "position", "column", F.coalesce("n", F.lit(0)).alias("n"),
                     F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"),
                     (F.coalesce(F.col("__non_num"), F.lit(0)) == 0).alias("numeric"),
                     "min", "max", "median",
@@ -95,6 +111,12 @@ def column_profile(df: DataFrame, median_for: list[str] | None = None) -> DataFr
                     F.coalesce("has_pertinente", F.lit(False)).alias("has_pertinente")))
 
 
+def column_profile(df: DataFrame, median_for: list[str] | None = None) -> DataFrame:
+    """Single-source :func:`column_profiles` (without the ``source`` column)."""
+    mf = None if median_for is None else {"_": median_for}
+    return column_profiles({"_": df}, mf).drop("source")
+
+
 def content_match(p: DataFrame, name: Column | None = None) -> Column:
     """Q3 rules over a :func:`column_profile` row (applied when no name matched);
     ``name`` is the normalised column name if already computed."""
@@ -126,24 +148,37 @@ def _any(conds: list[Column]) -> Column:
     return out
 
 
-def detect_variables(df: DataFrame, source: str | None = None) -> DataFrame:
-    """Q2 + Q3: ``(source, position, column, variable, method, completeness)`` — name match
-    first, content rules otherwise."""
-    # the median feeds one content rule only (names with sat / o2 / ox): plan-time subset
+def _needs_median(cols: list[str]) -> list[str]:
+    """The median feeds one content rule only (names with sat / o2 / ox): plan-time subset."""
     from pertinax.operators.project import strip_accents_text
-    needs_median = [c for c in df.columns
-                    if any(k in strip_accents_text(c).lower() for k in ("sat", "o2", "ox"))]
-    prof = column_profile(df, median_for=needs_median).withColumn("__n", normalize_name("column"))
+    return [c for c in cols if any(k in strip_accents_text(c).lower() for k in ("sat", "o2", "ox"))]
+
+
+def detect_variables_many(sources: dict[str, DataFrame]) -> DataFrame:
+    """Q2 + Q3 for several sources at once: ``(source, position, column, variable, method,
+    completeness)`` — name match first, content rules otherwise."""
+    spark = next(iter(sources.values())).sparkSession
+    prof = column_profiles(sources, {n: _needs_median(df.columns) for n, df in sources.items()})
+    prof = prof.withColumn("__n", normalize_name("column"))
     prof = prof.withColumns({"__by_name": name_match(F.col("__n"), normalized=True),
                              "__by_content": content_match(prof, F.col("__n"))})
-    total = df.select(F.count(F.lit(1))).scalar()
+    totals = None
+    for name, df in sources.items():   # one row per source
+        t = df.agg(F.count(F.lit(1)).alias("__total")).withColumn("source", F.lit(name))
+        totals = t if totals is None else totals.unionByName(t)
     by_name, by_content = F.col("__by_name"), F.col("__by_content")
-    return prof.select(
-        F.lit(source).alias("source"), "position", "column",
+    return prof.join(totals, "source", "left").select(
+        "source", "position", "column",
         F.coalesce(by_name, by_content).alias("variable"),
         F.when(by_name.isNotNull(), F.lit("nombre"))
         .when(by_content.isNotNull(), F.lit("contenido")).alias("method"),
-        F.coalesce(F.try_divide(F.col("n") * 100.0, total), F.lit(0.0)).alias("completeness"))
+        F.coalesce(F.try_divide(F.col("n") * 100.0, F.col("__total")), F.lit(0.0)).alias("completeness"))
+
+
+def detect_variables(df: DataFrame, source: str | None = None) -> DataFrame:
+    """Q2 + Q3 for one source."""
+    out = detect_variables_many({source or "_": df})
+    return out if source else out.withColumn("source", F.lit(None).cast("string"))
 
 
 def quality_score(detected: DataFrame) -> DataFrame:

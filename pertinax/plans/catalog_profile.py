@@ -122,13 +122,9 @@ _DETECT_ALL = (_RAW + "\n" + "SELECT * FROM (" + _detect_sql("encounters", _RAW_
 
 
 def _detected(spark, sf_dir):
-    out = None
-    for name, df in (("extract_short", encounters(spark, sf_dir)),
-                     ("extract_form", form_extract(spark, sf_dir)),
-                     ("lineitem", table(spark, sf_dir, "lineitem"))):
-        d = Q.detect_variables(df, name)
-        out = d if out is None else out.unionByName(d)
-    return out.withColumn("completeness", F.round("completeness", 6))
+    srcs = {"extract_short": encounters(spark, sf_dir), "extract_form": form_extract(spark, sf_dir),
+            "lineitem": table(spark, sf_dir, "lineitem")}
+    return Q.detect_variables_many(srcs).withColumn("completeness", F.round("completeness", 6))
 
 
 # ------------------------------------------------------------------ queries
