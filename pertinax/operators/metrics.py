@@ -140,16 +140,18 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     """Per class ``(label, n_c, balanced_weight, pos_weight)``.
 
     balanced = n / (k · n_c); pos_weight = n_neg / n_pos (binary 0/1 labels).  The class
-    count k and totals are scalar subqueries, so no cross join is needed.
+    table is one hash aggregate; n, k, n_pos and n_neg come from ONE scalar subquery over
+    that table (a struct), so there is no cross join and no extra pass per number.
     """
-    known = df.where(F.col(label).isNotNull())
-    n = known.select(F.count(F.lit(1))).scalar()
-    k = known.select(F.count_distinct(F.col(label))).scalar()
-    n_pos = known.select(F.count_if(F.col(label) == 1)).scalar()
-    n_neg = known.select(F.count_if(F.col(label) == 0)).scalar()
-    return (known.groupBy(label).agg(F.count(F.lit(1)).alias("n_c"))
-            .withColumn("balanced_weight", n.cast("double") / (k * F.col("n_c")))
-            .withColumn("pos_weight", F.try_divide(n_neg.cast("double"), n_pos)))
+    per = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n_c"))
+    tot = per.select(F.struct(
+        F.sum("n_c").alias("n"), F.count(F.lit(1)).alias("k"),
+        F.sum(F.when(F.col(label) == 1, F.col("n_c"))).alias("pos"),
+        F.sum(F.when(F.col(label) == 0, F.col("n_c"))).alias("neg"))).scalar()
+    return (per.withColumn("balanced_weight",
+                           tot.getField("n").cast("double") / (tot.getField("k") * F.col("n_c")))
+            .withColumn("pos_weight", F.try_divide(tot.getField("neg").cast("double"),
+                                                   tot.getField("pos"))))
 
 
 def with_class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:

@@ -109,11 +109,10 @@ def train_gbt(train: DataFrame, features: list[str], label: str = "label",
 
 def with_pos_weight(df: DataFrame, label: str = "label", out: str = "weight") -> DataFrame:
     """L3: boosted members weight positives by n_neg / n_pos (scalar subqueries)."""
-    known = df.where(F.col(label).isNotNull())
-    n_pos = known.select(F.count_if(F.col(label) == 1)).scalar()
-    n_neg = known.select(F.count_if(F.col(label) == 0)).scalar()
-    return df.withColumn(out, F.when(F.col(label) == 1, F.try_divide(n_neg.cast("double"), n_pos))
-                         .otherwise(F.lit(1.0)))
+    t = df.select(F.struct(F.count_if(F.col(label) == 1).alias("pos"),
+                           F.count_if(F.col(label) == 0).alias("neg"))).scalar()
+    ratio = F.try_divide(t.getField("neg").cast("double"), t.getField("pos"))
+    return df.withColumn(out, F.when(F.col(label) == 1, ratio).otherwise(F.lit(1.0)))
 
 
 def positive_probability(model: PipelineModel, df: DataFrame, prob: str = "probability",
