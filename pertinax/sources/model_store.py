@@ -1,8 +1,15 @@
-"""Model persistence (S9): Spark ML writer plus a one-row metadata table.
+"""Model persistence (S9): Spark ML writer plus a one-row metadata table per version.
 
-Layout under ``path``: ``model/`` (the fitted ``PipelineModel``) and ``metadata/`` (JSON,
-one row: dates, counts, accuracies, feature list, parameters, label mapping).  Saving over
-an existing model first moves the previous version to ``path_<yyyymmdd_HHMMSS>``.
+Layout under ``path``::
+
+    v<yyyymmdd_HHMMSS_ffffff>/model/      the fitted PipelineModel
+    v<yyyymmdd_HHMMSS_ffffff>/metadata/   JSON, one row: dates, counts, accuracies, features,
+                                          parameters, label mapping
+    latest/                               JSON, one row: the current version folder
+
+Saving never overwrites: a new version folder is written first and the ``latest`` pointer is
+replaced last, so a reader always sees a complete model and earlier versions stay available
+(the original kept the previous model under a timestamp).
 """
 
 from __future__ import annotations
@@ -13,32 +20,43 @@ import json
 from pyspark.sql import SparkSession
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
+def _write_json(spark: SparkSession, obj: dict, path: str) -> None:
+    spark.createDataFrame([(json.dumps(obj, ensure_ascii=False, default=str),)], "value string") \
+        .coalesce(1).write.mode("overwrite").text(path)
+
+
+def _read_json(spark: SparkSession, path: str) -> dict | None:
+    from pyspark.errors import AnalysisException
+    try:
+        row = spark.read.text(path).first()
+    except AnalysisException:
+        return None
+    return json.loads(row["value"]) if row else None
 
 
-def save_model(spark: SparkSession, model, path: str, metadata: dict,
-               keep_previous: bool = True) -> str | None:
-    """Persist ``model`` and ``metadata``; returns where the previous version went."""
-    fs, p, jvm = _fs(spark, path)
-    moved = None
-    if fs.exists(p) and keep_previous:
-        stamp = _dt.datetime.now().strftime("%Y%m%d_%H%M%S")
-        moved = f"{path.rstrip('/')}_{stamp}"
-        fs.rename(p, jvm.org.apache.hadoop.fs.Path(moved))
-    model.write().overwrite().save(f"{path.rstrip('/')}/model")
+def save_model(spark: SparkSession, model, path: str, metadata: dict) -> str | None:
+    """Persist ``model`` and ``metadata`` as a new version; returns the folder of the
+    version that was current before (kept as is), or ``None`` for the first save."""
+    base = path.rstrip("/")
+    previous = _read_json(spark, f"{base}/latest")
+    version = "v" + _dt.datetime.now().strftime("%Y%m%d_%H%M%S_%f")
+    model.write().save(f"{base}/{version}/model")
     meta = dict(metadata)
     meta.setdefault("saved_at", _dt.datetime.now().isoformat(timespec="seconds"))
-    spark.createDataFrame([(json.dumps(meta, ensure_ascii=False, default=str),)], "metadata string") \
-        .coalesce(1).write.mode("overwrite").text(f"{path.rstrip('/')}/metadata")
-    return moved
+    meta["version"] = meta.get("version", version)
+    _write_json(spark, meta, f"{base}/{version}/metadata")
+    _write_json(spark, {"version": version}, f"{base}/latest")
+    return f"{base}/{previous['version']}" if previous else None
 
 
-def load_model(spark: SparkSession, path: str):
-    """Return ``(PipelineModel, metadata dict)``."""
+def load_model(spark: SparkSession, path: str, version: str | None = None):
+    """Return ``(PipelineModel, metadata dict)`` for ``version`` (default: latest)."""
     from pyspark.ml import PipelineModel
-    model = PipelineModel.load(f"{path.rstrip('/')}/model")
-    row = spark.read.text(f"{path.rstrip('/')}/metadata").first()
-    return model, json.loads(row["value"]) if row else {}
+    base = path.rstrip("/")
+    if version is None:
+        pointer = _read_json(spark, f"{base}/latest")
+        if pointer is None:
+            raise FileNotFoundError(f"no model saved under {path}")
+        version = pointer["version"]
+    model = PipelineModel.load(f"{base}/{version}/model")
+    return model, _read_json(spark, f"{base}/{version}/metadata") or {}

@@ -38,6 +38,7 @@ def write_errors(df: DataFrame, real: str, pred: str, path: str, cols: list[str]
 
 
 def _list_files(spark: SparkSession, src_dir: str, ext: str) -> list[str]:
+    # folder listing through the Hadoop FileSystem of the session (any storage scheme)
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(src_dir)

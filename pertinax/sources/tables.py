@@ -72,14 +72,6 @@ def with_row_id(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
     return df.withColumn(schema.ROW_ID, F.monotonically_increasing_id())
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(conf)
-    return bool(fs.globStatus(p))
-
-
 def scan_existing(spark: SparkSession, paths: list[str], fmt: str = "parquet",
                   source_col: str = "source_name", **options) -> tuple[DataFrame | None, DataFrame]:
     """Union the sources that exist and read cleanly; report every source.
@@ -89,17 +81,19 @@ def scan_existing(spark: SparkSession, paths: list[str], fmt: str = "parquet",
     requested path ``(source_name, status, error)``.  Only schema resolution touches the
     driver; the rows stay distributed.
     """
+    from pyspark.errors import AnalysisException
     frames, status = [], []
     for path in paths:
-        if not _exists(spark, path):
-            status.append((path, "missing", None))
-            continue
         try:
             df = read_table(spark, path, fmt, **options)
             df.schema  # resolve now so a corrupt header is reported here, not later
             frames.append(df.withColumn(source_col, F.lit(path)))
             status.append((path, "ok", None))
-        except Exception as exc:  # a bad file must not stop the others
+        except AnalysisException as exc:  # a missing or bad file must not stop the others
+            missing = (exc.getCondition() or "").startswith("PATH_NOT_FOUND")
+            status.append((path, "missing" if missing else "failed",
+                           None if missing else str(exc).splitlines()[0][:200]))
+        except Exception as exc:
             status.append((path, "failed", str(exc).splitlines()[0][:200]))
     data = None
     for df in frames:
