@@ -219,8 +219,8 @@ def l7_evaluate_train_test(spark, sf_dir):
     return L.evaluate_train_test(_fit_small(train), train, test)
 
 
-@register("l8_train_pipeline")
-def l8_train_pipeline(spark, sf_dir):
+@register("l8_train_end_to_end")
+def l8_train_end_to_end(spark, sf_dir):
     """Whole training path: prepare -> label -> split -> fit -> evaluate -> persist -> reload
     and re-score the test side with the reloaded model."""
     train, test = _split(spark, sf_dir)
