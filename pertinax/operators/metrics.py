@@ -2,7 +2,8 @@
 
 Every metric is one global conditional aggregate (partial aggregation on each executor,
 a single tiny final merge) followed by a projection that reshapes the one result row into
-report rows with ``inline``.  No join, no window, no collect: the cost is one scan.
+report rows with ``inline``: one scan, no window, no collect.  The only join is attaching the
+per-class weight table (one row per class) back to the rows in ``with_class_weights``.
 """
 
 from __future__ import annotations
