@@ -238,8 +238,8 @@ def a10_monthly_counts(spark, sf_dir):
 
 @register("a11_validator_counts", oracle=RAW + """,
 v AS (SELECT validacion AS raw_label, """ + O.clean_label("validacion") + """ AS clean_label,
-             CASE WHEN event_id % 2 = 0 THEN validacion END AS second_pass
-      FROM encounters JOIN events ON encounters.row_id = events.event_id),
+             CASE WHEN tipo_cama IS NOT NULL THEN validacion END AS second_pass
+      FROM encounters),
 c AS (SELECT """ + ", ".join(
     f"count({c}) AS n{i}, count(*) FILTER (WHERE upper(trim({c})) = 'PERTINENTE') AS p{i}, "
     f"count(*) FILTER (WHERE upper(trim({c})) = 'NO PERTINENTE') AS q{i}"
@@ -251,12 +251,12 @@ UNION ALL SELECT 'clean_label', CAST(n1 AS BIGINT), CAST(p1 AS BIGINT), CAST(q1
 UNION ALL SELECT 'second_pass', CAST(n2 AS BIGINT), CAST(p2 AS BIGINT), CAST(q2 AS BIGINT),
   n2 = greatest(n0, n1, n2) AND n0 < n2 AND n1 < n2 FROM c""")
 def a11_validator_counts(spark, sf_dir):
-    """A11 over three label passes of the extract (raw, cleaned, a second reviewer who saw
-    every other record)."""
+    """A11 over three label passes of the extract (raw, cleaned, and a second reviewer who
+    only labelled records that carry a bed type)."""
     e = encounters(spark, sf_dir)
     v = e.select(F.col("validacion").alias("raw_label"),
                  P.clean_label("validacion").alias("clean_label"),
-                 F.when(F.col(schema.ROW_ID) % 2 == 0, F.col("validacion")).alias("second_pass"))
+                 F.when(F.col("tipo_cama").isNotNull(), F.col("validacion")).alias("second_pass"))
     return A.validator_counts(v, ["raw_label", "clean_label", "second_pass"])
 
 
