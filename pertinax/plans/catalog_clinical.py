@@ -11,7 +11,7 @@ from pertinax.functions.features import (ALERT_COLUMNS, alert_list, features_arc
 from pertinax.functions.rules import category_context, clinical_alerts, patient_category
 from pertinax.operators import metrics, project
 from pertinax.plans import oracle as O
-from pertinax.plans.clinical import (clinical_encounters, prepare_clinical, prepared_encounters,
+from pertinax.plans.clinical import (clinical_encounters, prepared_encounters,
                                      production_encounters)
 from pertinax.plans.fixture import FIXTURE_SCORE_SQL, encounters
 from pertinax.plans.registry import register
