@@ -68,8 +68,12 @@ def classifier(spec: ModelSpec, label: str = "label", features: str = "features"
 
 
 def prep_stages(features: list[str], impute: bool = True, scale: bool = True,
-                out: str = "features", prefix: str = "", categorical: list[str] | None = None):
-    """Imputation (exact median) -> population scaling -> (one-hot categoricals) -> vector."""
+                out: str = "features", prefix: str = "", categorical: list[str] | None = None,
+                binary: list[str] | None = None):
+    """Per-kind preparation (M2): numeric -> exact median imputation -> population scaling;
+    binary -> most-frequent imputation (Spark ``Imputer(strategy='mode')``, exact, smallest
+    value on ties); categorical -> one-hot; then one vector."""
+    from pyspark.ml.feature import Imputer
     from pertinax.operators.prep import one_hot_stages
     stages, cols = [], list(features)
     if impute:
@@ -80,6 +84,11 @@ def prep_stages(features: list[str], impute: bool = True, scale: bool = True,
         sc = [f"{prefix}{c}__sc" for c in cols]
         stages.append(PopulationStandardScaler(inputCols=cols, outputCols=sc))
         cols = sc
+    bins = list(binary or [])
+    if bins:
+        bout = [f"{prefix}{c}__bin" for c in bins]
+        stages.append(Imputer(inputCols=bins, outputCols=bout, strategy="mode"))
+        cols = cols + bout
     cats = list(categorical or [])
     if cats:
         stages += one_hot_stages(cats, prefix=prefix)
@@ -122,10 +131,12 @@ def positive_probability(model: PipelineModel, df: DataFrame, prob: str = "proba
 
 def member_pipeline(spec: ModelSpec, features: list[str], label: str = "label",
                     weight: str | None = None, prefix: str = "",
-                    categorical: list[str] | None = None) -> Pipeline:
-    """A complete pipeline whose every output column carries ``prefix`` (ensemble member)."""
+                    categorical: list[str] | None = None,
+                    binary: list[str] | None = None) -> Pipeline:
+    """A complete pipeline whose every output column carries ``prefix`` (ensemble member).
+    ``features`` are numeric; ``binary`` and ``categorical`` get their own preparation."""
     return Pipeline(stages=prep_stages(features, out=f"{prefix}features", prefix=prefix,
-                                       categorical=categorical)
+                                       categorical=categorical, binary=binary)
                     + [classifier(spec, label, f"{prefix}features", weight, prefix)])
 
 

@@ -118,6 +118,10 @@ def score_file(spark, path: str, model, features: list[str], out_path: str,
     df = raw.select("*", *[F.col(f"`{c}`").alias(k) for k, c in copies.items()])
     df = prepare_clinical(df)
     df = backfill(df, features, policy="by_kind", binary=binary, categorical=categorical)
+    # binaries enter the model as numbers (P21), as the original cast them before predicting
+    num = {c: F.coalesce(F.col(c).cast("int"), F.lit(0)).cast("double")
+           for c in (binary or []) if c in df.columns}
+    df = df.withColumns(num) if num else df
     df = predict(df, model)
     df = df.withColumn("conf", F.greatest("p_pert", "p_no_pert"))
     df = hybrid_decision(df)

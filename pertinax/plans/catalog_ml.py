@@ -138,7 +138,7 @@ def m2_assemble(spark, sf_dir):
     """Per-kind preparation and assembly into one vector per row."""
     from pyspark.ml import Pipeline
     df = training_frame(spark, sf_dir)
-    stages = L.prep_stages(NUMERIC + BINARY, categorical=CATEGORICAL)
+    stages = L.prep_stages(NUMERIC, categorical=CATEGORICAL, binary=BINARY)
     out = Pipeline(stages=stages).fit(df).transform(df)
     return out.select(schema.ROW_ID, F.size(vector_to_array("features")).alias("width"))
 
@@ -149,7 +149,7 @@ def _fit_small(train, kind="forest", weight=None, prefix=""):
     spec = L.ModelSpec(kind, kind, SMALL_FOREST if kind == "forest" else dict(maxIter=15, maxDepth=4),
                        weighted=weight is not None)
     with L.cached(train) as tr:
-        return L.member_pipeline(spec, NUMERIC + BINARY, "label", weight, prefix, CATEGORICAL).fit(tr)
+        return L.member_pipeline(spec, NUMERIC, "label", weight, prefix, CATEGORICAL, BINARY).fit(tr)
 
 
 def _test_predictions(model, test, prefix=""):
