@@ -79,3 +79,16 @@ def test_model_store_roundtrip_keeps_previous(spark, learnable):
     a = model.transform(learnable).select(vector_to_array("probability")[1]).collect()
     b = reloaded.transform(learnable).select(vector_to_array("probability")[1]).collect()
     assert a == b
+
+
+def test_per_kind_preparation(spark):
+    from pyspark.ml import Pipeline
+    df = spark.createDataFrame(
+        [(1.0, 1.0, "a"), (None, 1.0, "b"), (3.0, None, "a"), (10.0, 0.0, None)],
+        "x double, flag double, cat string")
+    stages = L.prep_stages(["x"], scale=False, binary=["flag"], categorical=["cat"])
+    out = Pipeline(stages=stages).fit(df.fillna({"cat": "z"})).transform(df.fillna({"cat": "z"}))
+    rows = out.select("x__imp", "flag__bin").collect()
+    assert sorted(r["x__imp"] for r in rows) == [1.0, 3.0, 3.0, 10.0]      # exact median 3
+    assert sorted(r["flag__bin"] for r in rows) == [0.0, 1.0, 1.0, 1.0]    # mode 1
+    assert out.select(F.size(vector_to_array("features"))).first()[0] == 1 + 1 + 4
