@@ -7,10 +7,10 @@ own configuration: every setting below is applied only when the key is unset.
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings a job of this library wants; cluster-provided values always win.
 _DEFAULTS = {
@@ -39,25 +39,37 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """Return the shared folder named by ``spark.checkpoint.dir`` (scheme kept).
 
-    On a cluster that folder is configured by the operator (a shared file system).  Only
-    when it is unset (tests, a laptop) do we create a private folder for this process.
+    On a cluster the folder must be configured: a per-machine temporary folder would split
+    intermediate tables over the nodes, so an unset folder raises there.  Only a local
+    master (tests, a laptop) gets a private folder for this process.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all "
+                             "executors share; intermediate tables are written there")
         configured = tempfile.mkdtemp(prefix="pertinax-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
-    sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir() or configured
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(configured)
+    return configured
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A sub-folder of the shared checkpoint location for intermediate tables."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base.replace("file:", ""), name) if base.startswith("file:") \
-        else base.rstrip("/") + "/" + name
+    """A sub-folder of the shared checkpoint location for intermediate tables.  The URI
+    scheme is kept, so an explicit ``file:`` folder stays on that file system."""
+    return ensure_checkpoint_dir(spark).rstrip("/") + "/" + name
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet under the shared folder and return a scan of it.
+
+    This is how the library cuts lineage: the rows are computed a single time, later steps
+    read files that outlive any executor, and Catalyst sees a plain scan."""
+    spark = df.sparkSession
+    path = scratch_dir(spark, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
