@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pertinax.llm import exact_dedup, mixing
+from pertinax.llm import exact_dedup, license_scan, mixing
 from pertinax.llm.common import documents
 
 LOWER_ASCII = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -51,9 +51,14 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, z AS source_size, target,
 FROM r
 """
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir)).drop("spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mix_sources": op9_mix_sources,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLES: dict[str, str] = {
