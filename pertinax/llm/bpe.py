@@ -1,11 +1,13 @@
 """BPE encoding and decoding by tree concatenation.
 
-A text is cut at white space, which the tokenizer drops anyway, so the parts are encoded each for
-itself; ids of short parts are kept in a bounded dictionary.  What white space does not split and
-is longer than ``LEAF`` characters goes through the tree:
+The tokenizer cuts a text into pieces (runs of letters, digits, other marks), drops white space
+and encodes each piece for itself.  Texts of Latin letters are cut here by the same rule; others
+are cut at white space only, and the library normalises and cuts their parts.  Ids of short
+pieces and parts are kept in a bounded dictionary, so the library encodes a frequent one once.
 
-* the library's own normaliser and splitter give its pieces;
-* a piece longer than ``LEAF`` is halved until the leaves are short, and all leaves are encoded in
+Text that nothing splits and that is longer than ``LEAF`` characters goes through the tree:
+
+* the piece is halved until the leaves are short, and all leaves are encoded in
   one batch call, which the library runs in parallel;
 * neighbours are joined pair by pair.  A window of tokens around the join is encoded again and
   grows until one of its tokens equals a token of the left side and a later one equals a token of
@@ -28,8 +30,9 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,10 +45,28 @@ from pertinax.llm.common import col
 LEAF = 512
 #: Texts are worked on so many characters at a time, and so many parts kept encoded.
 SLICE_CHARS = 1_000_000
-CACHE_PARTS = 200_000
+CACHE_PARTS = 300_000
 BATCH_PARTS = 10_000
 #: Fixed value: the split of a tokenizer that drops white space and never joins across it.
 WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Texts of these characters are cut by PLAIN_SPLIT, once lower-cased: they have nothing to
+#: normalise, and their letters, digits and white space are the same in every Unicode version.
+PLAIN = re.compile("[\t\n\r -~À-ÖØ-öø-įĲ-ňŊ-ž]*")
+PLAIN_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ž]+|[0-9]|[^a-zß-öø-ž0-9\t\n\r ]+")
+WHITE = re.compile(r"[\t\n\r ]+")
+
+
+class Known(dict):
+    """The ids of units by unit; a unit that is not long stays once it has been encoded."""
+
+    def __init__(self, encode: Callable[[str], bytes], leaf: int):
+        self.encode, self.leaf = encode, leaf
+
+    def __missing__(self, unit: str) -> bytes:
+        ids = self.encode(unit)
+        if len(unit) <= self.leaf:
+            self[unit] = ids
+        return ids
 
 
 class Codec:
@@ -68,7 +89,7 @@ class Codec:
         size = max(self.tokenizer.get_vocab(True).values()) + 1
         self.tokens = [(self.tokenizer.id_to_token(i) or "").encode() for i in range(size)]
         self.joined = spec.get("decoder") is None
-        self.kept: dict[str, bytes] = {"": b""}
+        self.pieces, self.parts = Known(self.encode_piece, leaf), Known(self.encode_part, leaf)
 
     # -- encoding ---------------------------------------------------------------------------
 
@@ -77,20 +98,30 @@ class Codec:
         if not self.by_parts:
             return [array("I", e.ids).tobytes()
                     for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        kept = self.kept
-        new = list({p for ps in parts for p in ps if p not in kept})
-        if len(kept) + len(new) > CACHE_PARTS:
-            kept = self.kept = {"": b""}
-            new = list({p for ps in parts for p in ps} - kept.keys())
-        short = [p for p in new if len(p) <= self.leaf]
-        for i in range(0, len(short), BATCH_PARTS):
-            some = short[i:i + BATCH_PARTS]
-            for p, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
-                kept[p] = array("I", e.ids).tobytes()
-        long = {p: self.encode_unsplit(p) for p in new if len(p) > self.leaf}
-        get = (kept | long).__getitem__ if long else kept.__getitem__
-        return [b"".join(map(get, ps)) for ps in parts]
+        out = []
+        for known in (self.pieces, self.parts):
+            if len(known) > CACHE_PARTS:
+                known.clear()
+        for text in texts:
+            if PLAIN.fullmatch(text) and not any(s in text for s in self.special):
+                out.append(b"".join(map(self.pieces.__getitem__, PLAIN_SPLIT.findall(text.lower()))))
+            else:
+                out.append(b"".join(map(self.parts.__getitem__, WHITE.split(text))))
+        return out
+
+    def encode_piece(self, piece: str) -> bytes:
+        """The ids of a piece as the splitter gives it."""
+        spelled = piece if piece.isascii() else "".join(
+            p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(piece))
+        if len(spelled) > self.leaf:
+            return array("I", self.tree(spelled)[0].tolist()).tobytes()
+        return array("I", self.piece.encode(spelled).ids).tobytes()
+
+    def encode_part(self, part: str) -> bytes:
+        """The ids of a part of a text that was cut at white space."""
+        if len(part) > self.leaf:
+            return self.encode_unsplit(part)
+        return array("I", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
 
     def encode_unsplit(self, part: str) -> bytes:
         """The ids of a long part without white space."""

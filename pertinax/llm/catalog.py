@@ -2,17 +2,31 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from pertinax.llm import exact_dedup, license_scan, mixing
+from pertinax.llm import bpe, exact_dedup, license_scan, mixing, token_store
 from pertinax.llm.common import documents
+from pertinax.session import scratch_dir
+
+#: The tokenizer of the queries.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 LOWER_ASCII = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_dir(spark, f"token-store-{uuid.uuid4().hex}")
+    return token_store.read(spark, token_store.write(documents(spark, sf_dir), folder, TOKENIZER, end_id=2))
+
+
+def op7_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.roundtrip(documents(spark, sf_dir), TOKENIZER)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(documents(spark, sf_dir))
 
@@ -56,6 +70,8 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_token_store": op4_token_store,
+    "op7_bpe_roundtrip": op7_bpe_roundtrip,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mix_sources": op9_mix_sources,
     "op10_license_scan": op10_license_scan,
