@@ -7,8 +7,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pertinax.llm import bpe, exact_dedup, license_scan, mixing, token_store
+from pertinax.llm import bpe, exact_dedup, hd_langid, license_scan, mixing, simhash, token_store
 from pertinax.llm.common import documents
 from pertinax.session import scratch_dir
 
@@ -18,11 +19,20 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 LOWER_ASCII = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_dir(spark, f"token-store-{uuid.uuid4().hex}")
     return token_store.read(spark, token_store.write(documents(spark, sf_dir), folder, TOKENIZER, end_id=2))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return hd_langid.predict(docs, hd_langid.train(docs.where(~hd_langid.held_out(F.col("doc_id")))))
+
+
 def op7_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.roundtrip(documents(spark, sf_dir), TOKENIZER)
 
@@ -70,7 +80,9 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_simhash_dedup": op2_simhash_dedup,
     "op4_token_store": op4_token_store,
+    "op6_language_id": op6_language_id,
     "op7_bpe_roundtrip": op7_bpe_roundtrip,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mix_sources": op9_mix_sources,
