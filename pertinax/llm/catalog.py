@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pertinax.llm import bpe, exact_dedup, hd_langid, license_scan, mixing, simhash, token_store
+from pertinax.llm import bpe, exact_dedup, hd_langid, license_scan, mixing, pii, simhash, token_store
 from pertinax.llm.common import documents
 from pertinax.session import scratch_dir
 
@@ -19,6 +19,10 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 LOWER_ASCII = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(documents(spark, sf_dir))
+
+
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
@@ -80,6 +84,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_simhash_dedup": op2_simhash_dedup,
     "op4_token_store": op4_token_store,
     "op6_language_id": op6_language_id,
