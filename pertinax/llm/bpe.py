@@ -57,17 +57,31 @@ WHITE = re.compile(r"[\t\n\r ]+")
 
 
 class Known(dict):
-    """The ids of units by unit; a unit that is not long stays once it has been encoded."""
+    """The ids of units by unit; a unit that is not long stays once it has been encoded.  A full
+    dictionary becomes the older one, from which units that are still in use come back."""
 
     def __init__(self, encode: Callable[[str], bytes], leaf: int):
-        self.encode, self.leaf = encode, leaf
+        self.encode, self.leaf, self.older = encode, leaf, {}
 
     def __missing__(self, unit: str) -> bytes:
-        ids = self.encode(unit)
+        ids = self.older.get(unit)
+        if ids is None:
+            ids = self.encode(unit)
         if len(unit) <= self.leaf:
             self[unit] = ids
         return ids
 
+    def age(self) -> None:
+        if len(self) > CACHE_PARTS:
+            self.older = dict(self)
+            self.clear()
+
+
+#: Byte -> its letter in a byte-level vocabulary: printable bytes stand for themselves, the others
+#: follow from 256 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+SPELLING = {b: 256 + k for k, b in enumerate(sorted({*range(256)} - _PRINTABLE))}
+
 
 class Codec:
     """A tokenizer file with its encoder and decoder."""
@@ -99,9 +113,8 @@ class Codec:
             return [array("I", e.ids).tobytes()
                     for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         out = []
-        for known in (self.pieces, self.parts):
-            if len(known) > CACHE_PARTS:
-                known.clear()
+        self.pieces.age()
+        self.parts.age()
         for text in texts:
             if PLAIN.fullmatch(text) and not any(s in text for s in self.special):
                 out.append(b"".join(map(self.pieces.__getitem__, PLAIN_SPLIT.findall(text.lower()))))
@@ -111,8 +124,7 @@ class Codec:
 
     def encode_piece(self, piece: str) -> bytes:
         """The ids of a piece as the splitter gives it."""
-        spelled = piece if piece.isascii() else "".join(
-            p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(piece))
+        spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(SPELLING)
         if len(spelled) > self.leaf:
             return array("I", self.tree(spelled)[0].tolist()).tobytes()
         return array("I", self.piece.encode(spelled).ids).tobytes()
