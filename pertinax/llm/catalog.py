@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pertinax.llm import bpe, exact_dedup, hd_langid, license_scan, mixing, pii, simhash, token_store
+from pertinax.llm import bpe, byte_cnn, exact_dedup, hd_langid, license_scan, mixing, pii, simhash, token_store
 from pertinax.llm.common import documents
 from pertinax.session import scratch_dir
 
@@ -27,6 +27,11 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    return byte_cnn.predict(docs, byte_cnn.train(docs, labels))
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_dir(spark, f"token-store-{uuid.uuid4().hex}")
     return token_store.read(spark, token_store.write(documents(spark, sf_dir), folder, TOKENIZER, end_id=2))
@@ -86,6 +91,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_simhash_dedup": op2_simhash_dedup,
+    "op3_quality": op3_quality,
     "op4_token_store": op4_token_store,
     "op6_language_id": op6_language_id,
     "op7_bpe_roundtrip": op7_bpe_roundtrip,
