@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pertinax.llm import bpe, byte_cnn, exact_dedup, hd_langid, license_scan, mixing, pii, simhash, token_store
+from pertinax.llm import bpe, byte_cnn, cover_tree, exact_dedup, hd_langid, license_scan, mixing, pii, simhash, token_store
 from pertinax.llm.common import documents
 from pertinax.session import scratch_dir
 
@@ -37,6 +37,22 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(spark, token_store.write(documents(spark, sf_dir), folder, TOKENIZER, end_id=2))
 
 
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet")
+    return cover_tree.top_k(rows, F.col("vec_id") % 50 == 0, k=5)
+
+
+OP5_SQL = """
+WITH v AS (SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) for x in embedding] AS vec
+           FROM embeddings WHERE embedding IS NOT NULL),
+s AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(list_inner_product(q.vec, d.vec) AS BIGINT) AS score
+      FROM v q JOIN v d ON q.vec_id % 50 = 0 AND d.vec_id <> q.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id, score
+FROM s QUALIFY rank <= 5
+"""
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return hd_langid.predict(docs, hd_langid.train(docs.where(~hd_langid.held_out(F.col("doc_id")))))
@@ -93,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_dedup": op2_simhash_dedup,
     "op3_quality": op3_quality,
     "op4_token_store": op4_token_store,
+    "op5_exact_top_k": op5_exact_top_k,
     "op6_language_id": op6_language_id,
     "op7_bpe_roundtrip": op7_bpe_roundtrip,
     "op8_exact_dedup": op8_exact_dedup,
@@ -101,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op5_exact_top_k": OP5_SQL,
     "op8_exact_dedup": OP8_SQL,
     "op9_mix_sources": OP9_SQL,
 }

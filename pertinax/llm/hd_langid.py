@@ -220,6 +220,19 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "d
     return rows.mapInArrow(run, schema)
 
 
+def keep_identified(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose text has no language, all columns kept."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classify = classifier(prototypes)
+        for batch in batches:
+            langs, _ = classify([t or "" for t in batch.column(at).to_pylist()])
+            yield batch.filter(pa.array([lang != UNKNOWN for lang in langs], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classifier(prototypes: dict[str, np.ndarray]):
     """texts -> (languages, scores)."""
     names = np.array([*prototypes, UNKNOWN])
