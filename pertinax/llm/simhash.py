@@ -9,8 +9,10 @@ byte would hold 1/256 of all fingerprints each, and pairing inside them is quadr
 four bytes is 2^24 times rarer.  Lists with one member go at once (a count aggregated on the map
 side).
 
-* Lists of up to ``SHORT`` fingerprints are paired, the positional bytes that a pair shares are
-  tallied, pairs below the minimum go, and the bits of the rest are compared.
+* Lists of up to ``SHORT`` fingerprints are worked on one at a time: the positional bytes that two
+  members share are tallied, pairs below the minimum go, and the bits of the rest are compared.
+  Of the links found, a list sends one per member, to the smallest member that links reach inside
+  the list: what is shuffled afterwards grows with the lists, not with their squares.
 * Fingerprints on a longer list (a large group of near copies) are never paired.  Each of them
   names all points at most two bits away.  Two fingerprints at most four bits apart share such a
   point, and any two that share one are at most four bits apart: all who name a point are linked,
@@ -35,7 +37,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,8 +48,8 @@ from pertinax.session import written
 SHINGLE = 4
 MAX_BITS = 4
 SEED = 42
-#: Longest list whose members are paired.
-SHORT = 64
+#: Longest list whose members are compared with each other.
+SHORT = 1024
 #: Shingles whose bits are counted at a time.
 BLOCK = 1 << 15
 
@@ -101,13 +103,22 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return written(rows.mapInArrow(run, schema), "fingerprints")
 
 
-def _bits(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b))
-
-
-def _shared_bytes(a: Column, b: Column) -> Column:
-    both = a.bitwiseXOR(b)
-    return sum(F.when(both.bitwiseAND(F.lit(_signed(0xFF << 8 * p))) == 0, 1).otherwise(0) for p in range(8))
+def list_links(members: np.ndarray, max_bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Links of the members of one list: each to the smallest member that links inside the list
+    reach from it."""
+    members = np.unique(members)
+    differ = (members[:, None] ^ members[None]).view(np.uint64)
+    shared = (differ.view(np.uint8).reshape(*differ.shape, 8) == 0).sum(axis=2)
+    linked = (shared >= 4) & (np.bitwise_count(differ) <= max_bits)
+    least = np.arange(len(members))
+    while True:
+        lower = np.where(linked, least[None], len(members)).min(axis=1, initial=len(members))
+        lower = lower[lower] if len(members) else lower
+        if (lower == least).all():
+            break
+        least = lower
+    moved = least != np.arange(len(members))
+    return members[least[moved]], members[moved]
 
 
 def links(distinct: DataFrame, max_bits: int = MAX_BITS, short: int = SHORT) -> DataFrame:
@@ -123,14 +134,15 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, short: int = SHORT) ->
     listed = written(entries.join(sizes, ["positions", "bytes"]), "posting-lists")
 
     members = (listed.where(F.col("size") <= short).groupBy("positions", "bytes")
-               .agg(F.collect_list("fp").alias("members")))
-    pairs = (members.select("members", F.explode("members").alias("a"))
-             .select("a", F.explode(F.filter("members", lambda b: b > F.col("a"))).alias("b"))
-             .distinct())
-    tallied = pairs.withColumn("shared", _shared_bytes(F.col("a"), F.col("b")))
-    paired = tallied.where((F.col("shared") >= 4)
-                           & (_bits(F.col("a"), F.col("b")) <= max_bits)).select("a", "b")
+               .agg(F.collect_list("fp").alias("members")).select("members"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [list_links(np.array(m.values, np.int64), max_bits) for m in batch.column(0)]
+            a, b = (np.concatenate([np.empty(0, np.int64), *(f[k] for f in found)]) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
+    paired = members.mapInArrow(run, "a long, b long").distinct()
     crowd = listed.where(F.col("size") > short).select("fp").distinct()
     return paired.union(_crowd_links(crowd, max_bits))
 
