@@ -151,6 +151,12 @@ def _accent_table() -> tuple[str, str]:
 _ACCENT_SRC, _ACCENT_DST = _accent_table()
 
 
+def plain_key(header: str) -> str:
+    """Plan-time form of C10's header key, from the same accent table."""
+    letters = header.translate(str.maketrans(_ACCENT_SRC, _ACCENT_DST))
+    return " ".join("".join(x for x in letters if unicodedata.category(x) != "Mn").split()).lower()
+
+
 def strip_accents(c: Column | str) -> Column:
     """NFD + drop non-spacing marks (ñ -> n, é -> e); NULL stays NULL."""
     return F.regexp_replace(F.translate(col(c), _ACCENT_SRC, _ACCENT_DST), r"\p{Mn}+", "")

@@ -112,11 +112,3 @@ def clinical_alerts(pas="PAS", pad="PAD", fc="FC", temp="Temp", glasgow="Glasgow
     ]
     return F.array_compact(F.array(*[
         F.when(_true(c), F.lit(name)) for c, name in zip(conds, ALERT_NAMES)]))
-
-
-def alert_flag_count(*conds: Column) -> Column:
-    """Row-wise sum of 0/1 flags."""
-    total = F.lit(0)
-    for c in conds:
-        total = total + flag(c)
-    return total

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pertinax import schema
+from pertinax.functions.clean import strip_ws
 from pertinax.operators import aggregate as A
-from pertinax.operators import joins as J
 from pertinax.operators import metrics as M
 
 
@@ -69,15 +69,14 @@ def correct_contrast(df: DataFrame, real: str, pred: str, cols: list[str],
 
 def validate_scored(pred: DataFrame, truth: DataFrame, real: str, decision: str,
                     rule: str = "CUMPLE_CRITERIO_DECRETO", row_id: str = schema.ROW_ID):
-    """After scoring, when a truth exists — restrict to labelled rows (J6) and report
+    """After scoring, when a truth exists — join the labelled rows and report
     accuracy (A14), accuracy by origin (A17) and by label (A18).
 
     Labels are compared after trim + upper on both sides.
     """
-    labelled = J.restrict_to_labelled(pred, truth, row_id=row_id)
-    j = labelled.join(truth.select(row_id, real), row_id)
-    j = j.withColumns({"__real": F.upper(F.trim(F.col(real))),
-                       "__pred": F.upper(F.trim(F.col(decision)))})
+    j = pred.join(truth.select(row_id, real).where(F.col(real).isNotNull()), row_id)
+    j = j.withColumns({"__real": F.upper(strip_ws(F.col(real))),
+                       "__pred": F.upper(strip_ws(F.col(decision)))})
     return (M.accuracy(j, "__real", "__pred"),
             M.accuracy_by_origin(j, "__real", "__pred", rule),
             M.accuracy_by_label(j, "__real", "__pred").withColumnRenamed("__real", "real"))

@@ -156,13 +156,14 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def with_class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
-    """A20 joined back as a ``weightCol`` (rows without a label get NULL).
+    """A20 as a ``weightCol`` (rows without a label get NULL).
 
-    The per-class table has one row per class; the join is left to AQE, which broadcasts
-    it after measuring it at runtime.
+    The weights, one per class, are a map-valued scalar subquery that every row looks its
+    label up in: no join, so no shuffle on a label of a few values.
     """
-    w = class_weights(df, label).select(label, F.col("balanced_weight").alias(out))
-    return df.join(w, on=label, how="left")
+    weights = class_weights(df, label).agg(F.map_from_entries(F.collect_list(
+        F.struct(label, "balanced_weight")))).scalar()
+    return df.withColumn(out, F.try_element_at(weights, F.col(label)))
 
 
 def score_summary(df: DataFrame, decision: str = "Prediccion") -> DataFrame:

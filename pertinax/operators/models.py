@@ -52,8 +52,8 @@ def classifier(spec: ModelSpec, label: str = "label", features: str = "features"
     if spec.weighted and weight:
         out["weightCol"] = weight
     p = dict(spec.params)
-    if "maxDepth" in p:
-        p["maxDepth"] = min(int(p["maxDepth"]), MAX_DEPTH_SPARK)
+    if int(p.get("maxDepth", 0)) > MAX_DEPTH_SPARK:
+        raise ValueError(f"{spec.name}: trees deeper than {MAX_DEPTH_SPARK} are not supported")
     if spec.kind == "forest":
         p.setdefault("featureSubsetStrategy", "sqrt")
         p.setdefault("minInstancesPerNode", 2)

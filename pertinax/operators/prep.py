@@ -44,30 +44,29 @@ def stratified_split(df: DataFrame, key: str | list[str], label: str, frac: floa
         return df.withColumn(out, hash_split_flag(keys, frac, seed))
     h = F.conv(_hash32(keys, seed), 16, 10).cast("long")
     tmp = df.withColumn("__h", h).withColumn("__b", F.shiftright("__h", 32 - HASH_BUCKET_BITS))
-    per_bucket = tmp.groupBy(label, "__b").agg(F.count(F.lit(1)).alias("__bc"))
+    per_bucket = tmp.where(F.col(label).isNotNull()).groupBy(label, "__b").agg(F.count(F.lit(1)).alias("__bc"))
     w = Window.partitionBy(label).orderBy("__b")
     per_bucket = (per_bucket
                   .withColumn("__before", F.coalesce(F.sum("__bc").over(
                       w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
                   .withColumn("__n", F.sum("__bc").over(Window.partitionBy(label)))
                   .withColumn("__k", F.round(F.col("__n") * frac, 0).cast("long")))
-    # per class: buckets fully inside the test share, and the single boundary bucket
-    marks = per_bucket.select(
-        label, "__b",
-        F.when(F.col("__before") + F.col("__bc") <= F.col("__k"), F.lit("in"))
-        .when(F.col("__before") < F.col("__k"), F.lit("edge")).otherwise(F.lit("out")).alias("__m"),
-        (F.col("__k") - F.col("__before")).alias("__need"))
-    # cut-off inside the boundary bucket: the __need-th smallest (hash, key) of the class —
-    # only that bucket's rows are ranked, then one row per class remains
-    order = [F.col("__h")] + [F.col(k) for k in keys]
-    edge = tmp.join(marks.where(F.col("__m") == "edge"), on=[label, "__b"])
-    cut = (edge.withColumn("__rn", F.row_number().over(Window.partitionBy(label).orderBy(*order)))
-           .where(F.col("__rn") == F.col("__need"))
-           .select(label, F.struct(*order).alias("__cut")))
-    tagged = tmp.join(marks, on=[label, "__b"], how="left").join(cut, on=label, how="left")
-    is_test = (F.coalesce(F.col("__m") == "in", F.lit(False))
-               | F.coalesce((F.col("__m") == "edge") & (F.struct(*order) <= F.col("__cut")), F.lit(False)))
-    return tagged.select(*df.columns, is_test.alias(out))
+    # per class: the one bucket in which the test share ends, and how many rows it still takes
+    edge = per_bucket.where((F.col("__before") < F.col("__k"))
+                            & (F.col("__k") <= F.col("__before") + F.col("__bc")))
+    edges = edge.agg(F.map_from_entries(F.collect_list(F.struct(
+        F.col(label), F.struct(F.col("__b").alias("b"),
+                               (F.col("__k") - F.col("__before")).alias("need")))))).scalar()
+    mine = F.try_element_at(edges, F.col(label))
+    # the cut inside that bucket: only its rows are ranked, then one row per class remains
+    order = F.struct(F.col("__h"), *[F.col(k) for k in keys])
+    inside = tmp.withColumn("__e", mine).where(F.col("__b") == F.col("__e.b"))
+    cut = (inside.withColumn("__rn", F.row_number().over(Window.partitionBy(label).orderBy(order)))
+           .where(F.col("__rn") == F.col("__e.need")).select(label, order.alias("__cut")))
+    cuts = cut.agg(F.map_from_entries(F.collect_list(F.struct(label, "__cut")))).scalar()
+    # one entry per class, looked up by every row: the table itself is never shuffled
+    is_test = F.coalesce(order <= F.try_element_at(cuts, F.col(label)), F.lit(False))
+    return tmp.select(*df.columns, is_test.alias(out))
 
 
 # ------------------------------------------------------------------ imputation
@@ -105,8 +104,8 @@ def mode_impute(df: DataFrame, cols: list[str], fit_on: DataFrame | None = None)
     src = fit_on if fit_on is not None else df
     kinds = dict(src.dtypes)
     values = {}
-    for c in cols:
-        values.update(fit_mode(src, [c], cast=kinds[c]))
+    for kind in sorted({kinds[c] for c in cols}):   # one pass per type
+        values.update(fit_mode(src, [c for c in cols if kinds[c] == kind], cast=kind))
     return apply_fill(df, values)
 
 
@@ -139,36 +138,14 @@ def standardize(df: DataFrame, cols: list[str], fit_on: DataFrame | None = None)
 # ------------------------------------------------------------------ Spark ML stages
 
 def one_hot_stages(cols: list[str], prefix: str = ""):
-    """M8: StringIndexer(keep unknown) + OneHotEncoder(dropLast=False) per column.
+    """M8: StringIndexer + OneHotEncoder per column, one slot per training category.
 
-    The indexer reserves one index for unseen categories, so the vector has one slot per
-    category plus that unknown slot; ``handle_unknown='ignore'`` semantics (no training
-    category is ever hot for an unseen value) hold because no training row lands in it.
+    The indexer keeps an index for unseen categories and the encoder drops exactly that last
+    slot, so an unseen or missing value has no hot slot (``handle_unknown='ignore'``).
     """
     from pyspark.ml.feature import OneHotEncoder, StringIndexer
     idx = [StringIndexer(inputCol=c, outputCol=f"{prefix}{c}__idx", handleInvalid="keep",
                          stringOrderType="alphabetAsc") for c in cols]
     ohe = OneHotEncoder(inputCols=[f"{prefix}{c}__idx" for c in cols],
-                        outputCols=[f"{prefix}{c}__ohe" for c in cols], dropLast=False)
+                        outputCols=[f"{prefix}{c}__ohe" for c in cols], dropLast=True)
     return idx + [ohe]
-
-
-def assemble_stages(numeric: list[str], binary: list[str], categorical: list[str],
-                    out: str = "features"):
-    """M2: per-kind preparation stages and the final ``VectorAssembler``.
-
-    Numeric: median imputation (``Imputer``); binary: mode imputation; categorical:
-    one-hot.  Columns not listed are dropped from the feature vector.
-    """
-    from pyspark.ml.feature import Imputer, VectorAssembler
-    stages = []
-    num_out, bin_out = [f"{c}__num" for c in numeric], [f"{c}__bin" for c in binary]
-    if numeric:
-        stages.append(Imputer(inputCols=numeric, outputCols=num_out, strategy="median",
-                              relativeError=0.0001))
-    if binary:
-        stages.append(Imputer(inputCols=binary, outputCols=bin_out, strategy="mode"))
-    stages += one_hot_stages(categorical) if categorical else []
-    stages.append(VectorAssembler(inputCols=num_out + bin_out + [f"{c}__ohe" for c in categorical],
-                                  outputCol=out, handleInvalid="keep"))
-    return stages

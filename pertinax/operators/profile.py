@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pertinax import schema
-from pertinax.functions.clean import normalize_name, to_number
+from pertinax.functions.clean import normalize_name, plain_key, to_number
 from pertinax.operators import order, stats
 
 YES_NO_TOKENS = ["si", "sí", "no", "s", "n"]
@@ -56,69 +56,83 @@ def match_by_name(cols: DataFrame, data: DataFrame | None = None) -> DataFrame:
     return out
 
 
-def column_profiles(sources: dict[str, DataFrame],
-                    median_for: dict[str, list[str]] | None = None) -> DataFrame:
-    """Per source and column ``(source, position, column, n, n_distinct, numeric, min, max,
-    median, has_yes_no, has_pertinente)``.
-
-    All sources go through ONE columns-as-rows union keyed by ``(source, column)``: one
-    value-count shuffle (hot values collapse map-side) and one exact-median pass serve every
-    source.  ``numeric`` means every non-null value parses as a number (the spreadsheet
-    reader's type inference); min / max / median are computed on the parsed numbers.  The
-    exact median is computed for the columns in ``median_for[source]`` (default: all).
+def _names_matched(spark: SparkSession, names: list[str]) -> set[str]:
+    """The column names that match a variable by name (a local relation: no job)."""
+    rows = spark.createDataFrame([(c,) for c in names], "column string")
+    return {r["column"] for r in rows.where(name_match(F.col("column")).isNotNull()).collect()}
+
+
+def _contents(df: DataFrame, source: str, matched: set[str]) -> DataFrame:
+    """One wide aggregate: per column its counts, and for columns that no name matched the
+    number of unparsable values, the range and whether yes/no or label words occur."""
+    aggs, rows = [F.count(F.lit(1)).alias("t")], []
+    for i, c in enumerate(df.columns):
+        text = F.col(f"`{c}`").cast("string")
+        aggs.append(F.count(text).alias(f"n{i}"))
+        facts = {"non_num": F.lit(0).cast("long"), "min": F.lit(None).cast("double"),
+                 "max": F.lit(None).cast("double"), "yes": F.lit(False), "label": F.lit(False)}
+        if c not in matched:
+            num = to_number(text)
+            aggs += [F.count_if(text.isNotNull() & num.isNull()).alias(f"x{i}"), F.min(num).alias(f"lo{i}"),
+                     F.max(num).alias(f"hi{i}"), F.max(F.lower(text).isin(*YES_NO_TOKENS)).alias(f"y{i}"),
+                     F.max(F.upper(text).contains("PERTINENTE")).alias(f"l{i}")]
+            facts = {"non_num": F.col(f"x{i}"), "min": F.col(f"lo{i}"), "max": F.col(f"hi{i}"),
+                     "yes": F.coalesce(F.col(f"y{i}"), F.lit(False)),
+                     "label": F.coalesce(F.col(f"l{i}"), F.lit(False))}
+        rows.append(F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), F.col("t").alias("total"),
+                             F.col(f"n{i}").alias("n"), (facts["non_num"] == 0).alias("numeric"),
+                             facts["min"].alias("min"), facts["max"].alias("max"),
+                             facts["yes"].alias("has_yes_no"), facts["label"].alias("has_pertinente")))
+    return df.agg(*aggs).select(F.lit(source).alias("source"), F.inline(F.array(*rows)))
+
+
+def column_profiles(sources: dict[str, DataFrame]) -> DataFrame:
+    """Per source and column ``(source, position, column, total, n, numeric, min, max,
+    has_yes_no, has_pertinente, n_distinct, median)``.
+
+    Two phases.  First one wide aggregate per source, all in one job: nothing of it is
+    shuffled but one row per task, and one row per column reaches the driver.  Columns that
+    their name identifies are only counted.  Exact distinct counts and medians are then taken
+    for the few columns whose rules still need them: yes/no or label words in the content, or
+    a name that hints at a saturation.  ``numeric``: every non-null value parses as a number.
     """
-    from pertinax.sources.tables import spread
     spark = next(iter(sources.values())).sparkSession
+    keys = ["source", "column"]
+    parts, hinted = [], {}
+    for name, df in sources.items():
+        matched = _names_matched(spark, df.columns)
+        hinted[name] = [c for c in _needs_median(df.columns) if c not in matched]
+        parts.append(_contents(df, name, matched))
+    facts = parts[0]
+    for p in parts[1:]:
+        facts = facts.unionByName(p)
+    rows = facts.collect()
+    facts = spark.createDataFrame(rows, facts.schema)
     longs = []
     for name, df in sources.items():
-        # one input row becomes one row per column: give the explode every core
-        longs.append(stats.to_long(spread(df), df.columns, cast="string")
-                     .withColumn("source", F.lit(name)))
+        words = [r["column"] for r in rows if r["source"] == name and (r["has_yes_no"] or r["has_pertinente"])]
+        wanted = [c for c in df.columns if c in words or c in hinted[name]]
+        if wanted:
+            cells = [F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value"),
+                              F.lit(c in hinted[name]).alias("hint")) for c in wanted]
+            longs.append(df.select(F.lit(name).alias("source"), F.inline(F.array(*cells))))
+    if not longs:
+        return facts.withColumns({"n_distinct": F.lit(0).cast("long"), "median": F.lit(None).cast("double")})
     long = longs[0]
     for x in longs[1:]:
         long = long.unionByName(x)
-    keys = ["source", "column"]
-    counts = stats.value_counts(long, keys).withColumn("num", to_number("value"))
-    per_col = counts.groupBy(*keys).agg(
-        F.sum("c").alias("n"), F.count(F.lit(1)).alias("n_distinct"),
-        F.count_if(F.col("num").isNull()).alias("__non_num"),
-        F.min("num").alias("min"), F.max("num").alias("max"),
-        F.max(F.lower("value").isin(*YES_NO_TOKENS)).alias("has_yes_no"),
-        F.max(F.upper("value").contains("PERTINENTE")).alias("has_pertinente"))
-    wanted = {name: (list(df.columns) if median_for is None else
-                     [c for c in median_for.get(name, []) if c in df.columns])
-              for name, df in sources.items()}
-    rows = [(name, i, c) for name, df in sources.items() for i, c in enumerate(df.columns)]
-    names = spark.createDataFrame(rows, "source string, position int, column string")
-    pick = None
-    for name, cols in wanted.items():
-        if cols:
-            cond = (F.col("source") == name) & F.col("column").isin(*cols)
-            pick = cond if pick is None else pick | cond
-    if pick is not None:
-        med = stats.exact_median(
-            counts.where(F.col("num").isNotNull() & pick)
-            .groupBy(*keys, F.col("num").alias("value")).agg(F.sum("c").alias("c")), keys)
-        names = names.join(med, keys, "left")
-    else:
-        names = names.withColumn("median", F.lit(None).cast("double"))
-    return (names.join(per_col, keys, "left")
-            .select("source", "position", "column", F.coalesce("n", F.lit(0)).alias("n"),
-                    F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"),
-                    (F.coalesce(F.col("__non_num"), F.lit(0)) == 0).alias("numeric"),
-                    "min", "max", "median",
-                    F.coalesce("has_yes_no", F.lit(False)).alias("has_yes_no"),
-                    F.coalesce("has_pertinente", F.lit(False)).alias("has_pertinente")))
-
-
-def column_profile(df: DataFrame, median_for: list[str] | None = None) -> DataFrame:
-    """Single-source :func:`column_profiles` (without the ``source`` column)."""
-    mf = None if median_for is None else {"_": median_for}
-    return column_profiles({"_": df}, mf).drop("source")
+    counts = stats.value_counts(long, [*keys, "hint"])
+    distinct = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_distinct"))
+    facts = facts.join(distinct, keys, "left")  # one row per column on both sides
+    if not any(hinted.values()):
+        return facts.withColumn("median", F.lit(None).cast("double"))
+    numbers = (counts.where("hint").withColumn("value", to_number("value")).where(F.col("value").isNotNull())
+               .groupBy(*keys, "value").agg(F.sum("c").alias("c")))
+    return facts.join(stats.exact_median(numbers, keys), keys, "left")
 
 
 def content_match(p: DataFrame, name: Column | None = None) -> Column:
-    """Q3 rules over a :func:`column_profile` row (applied when no name matched);
+    """Q3 rules over a :func:`column_profiles` row (applied when no name matched);
     ``name`` is the normalised column name if already computed."""
     name = normalize_name(F.col("column")) if name is None else name
     has = lambda *subs: _any([name.contains(s) for s in subs])
@@ -150,29 +164,22 @@ def _any(conds: list[Column]) -> Column:
 
 def _needs_median(cols: list[str]) -> list[str]:
     """The median feeds one content rule only (names with sat / o2 / ox): plan-time subset."""
-    from pertinax.operators.project import strip_accents_text
-    return [c for c in cols if any(k in strip_accents_text(c).lower() for k in ("sat", "o2", "ox"))]
+    return [c for c in cols if any(k in plain_key(c) for k in ("sat", "o2", "ox"))]
 
 
 def detect_variables_many(sources: dict[str, DataFrame]) -> DataFrame:
     """Q2 + Q3 for several sources at once: ``(source, position, column, variable, method,
     completeness)`` — name match first, content rules otherwise."""
-    spark = next(iter(sources.values())).sparkSession
-    prof = column_profiles(sources, {n: _needs_median(df.columns) for n, df in sources.items()})
-    prof = prof.withColumn("__n", normalize_name("column"))
+    prof = column_profiles(sources).withColumn("__n", normalize_name("column"))
     prof = prof.withColumns({"__by_name": name_match(F.col("__n"), normalized=True),
                              "__by_content": content_match(prof, F.col("__n"))})
-    totals = None
-    for name, df in sources.items():   # one row per source
-        t = df.agg(F.count(F.lit(1)).alias("__total")).withColumn("source", F.lit(name))
-        totals = t if totals is None else totals.unionByName(t)
     by_name, by_content = F.col("__by_name"), F.col("__by_content")
-    return prof.join(totals, "source", "left").select(
+    return prof.select(
         "source", "position", "column",
         F.coalesce(by_name, by_content).alias("variable"),
         F.when(by_name.isNotNull(), F.lit("nombre"))
         .when(by_content.isNotNull(), F.lit("contenido")).alias("method"),
-        F.coalesce(F.try_divide(F.col("n") * 100.0, F.col("__total")), F.lit(0.0)).alias("completeness"))
+        F.coalesce(F.try_divide(F.col("n") * 100.0, F.col("total")), F.lit(0.0)).alias("completeness"))
 
 
 def detect_variables(df: DataFrame, source: str | None = None) -> DataFrame:

@@ -44,17 +44,6 @@ def schema_overlap(a: DataFrame, b: DataFrame, with_counts: bool = True) -> Data
     return out
 
 
-def overlap_summary(overlap: DataFrame) -> DataFrame:
-    """Common / missing / extra counts and % compatibility (= common / |a|)."""
-    agg = overlap.agg(F.count_if(F.col("status") == "common").alias("common"),
-                      F.count_if(F.col("status") == "missing").alias("missing"),
-                      F.count_if(F.col("status") == "extra").alias("extra"),
-                      F.count_if(F.col("in_a")).alias("n_ref"))
-    return agg.select("common", "missing", "extra",
-                      F.coalesce(F.try_divide(F.col("common") * 100.0, F.col("n_ref")),
-                                 F.lit(0.0)).alias("pct_compat"))
-
-
 def schema_identical(a: DataFrame, b: DataFrame) -> DataFrame:
     """``(identical, sym_diff, rows_a, rows_b)`` — set equality of the column names,
     else the size of the symmetric difference, with the row count of each table."""

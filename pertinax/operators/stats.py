@@ -7,9 +7,9 @@ helpers compute the same exact answers from distributed steps instead:
 * ``value_counts``: ``(keys, value) -> c`` — one hash aggregate with map-side combine, so a
   hot value (a third of all rows) collapses to one row before the shuffle.
 * ``exact_mode``: ``min(struct(-c, value))`` per key — algebraic, partial-aggregated.
-* ``exact_median``: range-partition the distinct values, take rank offsets from the small
-  per-partition count table, and rank exactly only the partition(s) that hold the middle
-  ranks (no sketch, no per-row array search, everything in generated code).
+* ``exact_median``: deal the distinct values to range buckets (a function of the value, see
+  ``order.with_range_bucket``), take rank offsets from the small per-bucket count table, and rank
+  exactly only the bucket(s) that hold the middle ranks.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pertinax.operators.order import with_range_bucket
+
 def value_counts(long_df: DataFrame, keys: list[str], value: str = "value",
                  out: str = "c") -> DataFrame:
     v = F.col(value)
@@ -37,14 +39,14 @@ def exact_median(counts: DataFrame, keys: list[str], value: str = "value", c: st
     """Exact median per key (mean of the two middle values when n is even).
 
     ``counts`` is the output of :func:`value_counts` (numeric ``value``): one row per
-    distinct value, so a hot value is a single row here.  The rows are range-partitioned on
-    ``(keys, value)`` (sampled bounds keep partitions balanced), per-partition totals give
-    each partition's rank offset inside its key, and only the partition(s) holding the two
-    middle ranks of a key are ranked row by row.
+    distinct value, so a hot value is a single row here.  The rows go to range buckets of
+    ``(keys, value)`` (sampled bounds keep them balanced), per-bucket totals give each bucket's
+    rank offset inside its key, and only the bucket(s) holding the two middle ranks of a key
+    are ranked row by row.
     """
     spark = counts.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parted = counts.repartitionByRange(n, *keys, value).withColumn("__pid", F.spark_partition_id())
+    parted = with_range_bucket(counts, F.struct(*keys, value), n, "__pid")
     sizes = parted.groupBy(*keys, "__pid").agg(F.sum(c).alias("__pc"))
     w = Window.partitionBy(*keys).orderBy("__pid")   # at most `n` rows per key
     sizes = (sizes

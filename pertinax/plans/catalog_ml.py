@@ -120,9 +120,9 @@ def m7_standardize(spark, sf_dir):
 
 @register("m8_one_hot", oracle=ENC + """
 SELECT row_id, Tipo_Cama, CAST(dense_rank() OVER (ORDER BY Tipo_Cama) - 1 AS INTEGER) AS hot_index,
-  CAST((SELECT count(DISTINCT Tipo_Cama) FROM enc) + 1 AS INTEGER) AS width FROM enc""")
+  CAST((SELECT count(DISTINCT Tipo_Cama) FROM enc) AS INTEGER) AS width FROM enc""")
 def m8_one_hot(spark, sf_dir):
-    """One-hot of the bed type: the hot slot and the vector width (categories + unknown)."""
+    """One-hot of the bed type: the hot slot and the vector width (one slot per category)."""
     from pyspark.ml import Pipeline
     e = prepared_encounters(spark, sf_dir).select(schema.ROW_ID, "Tipo_Cama")
     m = Pipeline(stages=prep.one_hot_stages(["Tipo_Cama"])).fit(e)

@@ -346,12 +346,11 @@ def o1_leaderboard_segments(spark, sf_dir):
 
 
 @register("o1_global_rank_customers", oracle="""
-SELECT c_custkey, c_acctbal, CAST(row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS BIGINT) AS rank
+SELECT *, CAST(row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS BIGINT) AS rank
 FROM customer""")
 def o1_global_rank_customers(spark, sf_dir):
     """O1 over a whole table: distributed 1..n rank (no single-partition window)."""
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
-    return OR.global_rank(c, [F.col("c_acctbal").desc(), F.col("c_custkey").asc()])
+    return OR.global_rank(table(spark, sf_dir, "customer"), [("c_acctbal", "desc"), "c_custkey"])
 
 
 @register("o2_top3", oracle="""

@@ -17,14 +17,12 @@ from pertinax.functions.features import text_alerts
 from pertinax.functions.rules import decree_flags
 from pertinax.operators.project import clean_label, normalize_columns, rename
 from pertinax.plans.fixture import encounters
-from pertinax.sources.tables import spread
 
 
 def prepare_clinical(df: DataFrame, key: str | None = "Episodio",
                      accent_insensitive: bool = False) -> DataFrame:
     if key and key in df.columns:
         df = df.where(F.col(key).isNotNull())
-    df = spread(df)  # regex-heavy per-row work: at least one task per core
     df = normalize_columns(df)
     conv = {c: parse_decimal(c) for c in schema.CLINICAL_NUMERIC if c in df.columns}
     df = df.withColumns(conv) if conv else df

@@ -15,7 +15,6 @@ from __future__ import annotations
 LABEL_POS = "PERTINENTE"
 LABEL_NEG = "NO PERTINENTE"
 LABEL_UNDETERMINED = "INDETERMINADO - Requiere revisión manual"
-LABEL_TO_INT = {"NO PERTINENTE": 0, "PERTINENTE": 1}
 INT_TO_LABEL = {0: "NO PERTINENTE", 1: "PERTINENTE"}
 # Label cleaning (exact, untrimmed): these become null, RECHAZO becomes NO PERTINENTE.
 LABEL_NULL_TOKENS = ["ND", "Nd", "nd", "#N/D"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pertinax.sources.tables import read_table
+from pertinax.sources.tables import first_line, read_table
 
 ERROR_TEXT_CHARS = 40
 
@@ -71,5 +71,5 @@ def convert_files(spark: SparkSession, src_dir: str, dst_dir: str, from_fmt: str
             rows = spark.read.format(to_fmt).load(target).count()
             results.append((name, True, rows, None))
         except Exception as exc:  # keep converting the other files
-            results.append((name, False, None, str(exc).strip().splitlines()[0][:ERROR_TEXT_CHARS]))
+            results.append((name, False, None, first_line(exc)[:ERROR_TEXT_CHARS]))
     return spark.createDataFrame(results, "file string, ok boolean, rows long, error string")

@@ -37,39 +37,15 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet", **options)
     return reader.format(fmt).load(path)
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Give CPU-heavy per-row work (regex parsing, text cleaning) one task per core.
-
-    A scan yields one task per file split, so a small file — or a file written as a single
-    row group — gives a handful of tasks however many cores there are.  Only when the input
-    has fewer partitions than the default parallelism is it round-robin repartitioned; an
-    input that is already split into many tasks (any large table) is returned untouched, so
-    no shuffle is added at scale.  Streaming frames are returned as is.
-    """
-    if df.isStreaming:
-        return df
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
-
-
 def sample_head(df: DataFrame, n: int = 1000, order_by: str = schema.ROW_ID) -> DataFrame:
     """S3: the first ``n`` rows in a deterministic order (top-k, not a full sort)."""
     return df.orderBy(F.col(order_by).asc_nulls_last()).limit(n)
 
 
-def with_row_id(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
-    """Attach a stable ``row_id``.
-
-    With ``order_by`` the id is the row's key (a unique business key); without it Spark's
-    monotonically increasing id is used, which is unique and stable for a given input
-    split but not consecutive.
-    """
-    if order_by:
-        key = F.xxhash64(*[F.col(c) for c in order_by])
-        return df.withColumn(schema.ROW_ID, key)
-    return df.withColumn(schema.ROW_ID, F.monotonically_increasing_id())
+def first_line(exc: Exception) -> str:
+    """The first line of an error's text; its type's name if the text is empty."""
+    lines = str(exc).strip().splitlines()
+    return lines[0] if lines else type(exc).__name__
 
 
 def scan_existing(spark: SparkSession, paths: list[str], fmt: str = "parquet",
@@ -92,9 +68,9 @@ def scan_existing(spark: SparkSession, paths: list[str], fmt: str = "parquet",
         except AnalysisException as exc:  # a missing or bad file must not stop the others
             missing = (exc.getCondition() or "").startswith("PATH_NOT_FOUND")
             status.append((path, "missing" if missing else "failed",
-                           None if missing else str(exc).splitlines()[0][:200]))
+                           None if missing else first_line(exc)))
         except Exception as exc:
-            status.append((path, "failed", str(exc).splitlines()[0][:200]))
+            status.append((path, "failed", first_line(exc)))
     data = None
     for df in frames:
         data = df if data is None else data.unionByName(df, allowMissingColumns=True)

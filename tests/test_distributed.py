@@ -43,7 +43,7 @@ def test_column_stats_matches_python(spark):
 def test_global_rank_is_dense_and_ordered(spark):
     rows = [(i, float((i * 7919) % 101)) for i in range(2000)]
     df = spark.createDataFrame(rows, "id long, v double")
-    got = order.global_rank(df, [F.col("v").desc(), F.col("id")], partitions=5).collect()
+    got = order.global_rank(df, [("v", "desc"), "id"], buckets=5).collect()
     expected = sorted(rows, key=lambda r: (-r[1], r[0]))
     by_rank = sorted(got, key=lambda r: r["rank"])
     assert [r["rank"] for r in by_rank] == list(range(1, 2001))
@@ -90,3 +90,54 @@ def test_median_impute_and_standardize(spark):
     assert z == [-1.0, 1.0]                           # population sigma = 1
     const = spark.createDataFrame([(5.0,), (5.0,)], "x double")
     assert [r["x"] for r in prep.standardize(const, ["x"]).collect()] == [0.0, 0.0]
+
+
+@pytest.mark.parametrize("reuse", ["true", "false"])
+def test_global_rank_with_payload_whatever_the_exchange_reuse(spark, reuse):
+    old = spark.conf.get("spark.sql.exchange.reuse")
+    spark.conf.set("spark.sql.exchange.reuse", reuse)
+    try:
+        n = 2_000_000
+        df = spark.range(n, numPartitions=16).select(
+            "id", ((F.col("id") * 7919) % 1009).cast("double").alias("v"),
+            F.concat(F.lit("payload "), F.col("id")).alias("payload"))
+        got = order.global_rank(df, [("v", "desc"), "id"], buckets=50)
+        r = got.agg(F.count_distinct("rank").alias("d"), F.min("rank").alias("lo"), F.max("rank").alias("hi"),
+                    F.count("payload").alias("p")).first()
+        assert (r["d"], r["lo"], r["hi"], r["p"]) == (n, 1, n, n)
+        first = got.where("rank <= 3").orderBy("rank").collect()
+        assert [(x["v"], x["id"] * 7919 % 1009) for x in first] == [(1008.0, 1008)] * 3
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", old)
+
+
+def test_global_rank_orders_strings_dates_and_nulls(spark):
+    rows = [("b", 1), ("ba", 2), ("a", 3), (None, 4), ("", 5), ("é", 6)]
+    df = spark.createDataFrame(rows, "s string, id int")
+    up = [r["id"] for r in order.global_rank(df, ["s", "id"], buckets=3).orderBy("rank").collect()]
+    down = [r["id"] for r in order.global_rank(df, [("s", "desc"), "id"], buckets=3).orderBy("rank").collect()]
+    assert up == [5, 3, 1, 2, 6, 4] and down == [6, 2, 1, 3, 5, 4]
+
+
+def test_exact_median_without_exchange_reuse(spark):
+    old = spark.conf.get("spark.sql.exchange.reuse")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        df = spark.range(300_000, numPartitions=8).select(
+            F.explode(F.create_map(F.lit("a"), F.col("id") * 1.0, F.lit("b"), F.col("id") * -3.0)).alias("k", "value"))
+        med = {r["k"]: r["median"] for r in stats.exact_median(
+            stats.value_counts(df, ["k"]), ["k"], partitions=40).collect()}
+        assert med == {"a": 149999.5, "b": -449998.5}
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", old)
+
+
+def test_weights_and_exact_split_never_shuffle_rows_by_label(spark):
+    from pertinax.operators.metrics import with_class_weights
+    df = spark.range(1000).select("id", (F.col("id") % 2).cast("int").alias("label"), F.lit("x").alias("payload"))
+    for out in (with_class_weights(df, "label"), prep.stratified_split(df, "id", "label", exact=True)):
+        plan = out._jdf.queryExecution().executedPlan().toString().split("Subquery")[0]
+        assert "Join" not in plan and "hashpartitioning(label" not in plan
+    with pytest.raises(ValueError):
+        from pertinax.operators.models import ModelSpec, classifier
+        classifier(ModelSpec("deep", "forest", {"maxDepth": 31}))

@@ -6,7 +6,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from pertinax.sources import sinks
-from pertinax.sources.tables import read_table, scan_existing, spread
+from pertinax.sources.tables import read_table, scan_existing
 
 
 def _tmp(name):
@@ -54,13 +54,6 @@ def test_convert_files_keeps_going_after_a_failure(spark):
     assert not out["empty.csv"]["ok"] and len(out["empty.csv"]["error"]) <= 40
 
 
-def test_spread_only_splits_small_inputs(spark):
-    one = spark.range(100).coalesce(1)
-    assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    many = spark.range(100).repartition(spark.sparkContext.defaultParallelism + 3)
-    assert spread(many).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism + 3
-
-
 def test_stream_scoring_matches_batch(spark, sf_small):
     from __spark_entry__ import queries
     out = queries()["d7_score_stream"](spark, sf_small)
