@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from pertinax.llm.common import col
+from pertinax.llm.common import col, map_batches
 
 #: Longest part, in characters, that is encoded in one go.
 LEAF = 512
@@ -255,4 +255,4 @@ def roundtrip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                     columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values)))
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 
-    return rows.mapInArrow(run, T.StructType(fields))
+    return map_batches(rows, run, T.StructType(fields))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pertinax.llm.common import col
+from pertinax.llm.common import col, map_batches
 from pertinax.llm.hd_langid import held_out
 
 EMBEDDING, CHANNELS, WIDTH, FILTERS = 6, 8, 8, 24
@@ -173,7 +173,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
                  pa.array([b"".join(f for _, f in c) for c in chunks], pa.binary())],
                 names=["id", "label", "data", "flags"])
 
-    drawn = rows.mapInArrow(run, "id string, label int, data binary, flags binary").limit(2 * SAMPLE_DOCS).collect()
+    drawn = map_batches(rows, run, "id string, label int, data binary, flags binary").limit(2 * SAMPLE_DOCS).collect()
     drawn = sorted((r for r in drawn if r["data"]), key=lambda r: (r["id"], bytes(r["data"])))
     size = CHUNK + WIDTH - 1
     return ([np.frombuffer(r["data"], np.int16).reshape(-1, size) for r in drawn],
@@ -268,4 +268,4 @@ def predict(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_co
                 [batch.column(0), batch.column(1), pa.array(scores, pa.float64()),
                  pa.array((scores >= threshold).astype(np.int32))], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return map_batches(rows, run, schema)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,3 +42,15 @@ def tie_break(df: DataFrame) -> Column:
     """A hash over all hashable columns: orders rows that are equal in every key."""
     plain = [col(c) for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
     return F.xxhash64(*plain) if plain else F.lit(0).cast("long")
+
+
+#: Rows of an Arrow batch, unless the session sets its own number: texts can be long.
+BATCH_ROWS = 1_000
+
+
+def map_batches(rows: DataFrame, run: Callable, schema) -> DataFrame:
+    """``mapInArrow`` with batches that stay small for rows of texts."""
+    conf, key = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if key not in conf.getAll:
+        conf.set(key, str(BATCH_ROWS))
+    return rows.mapInArrow(run, schema)

@@ -29,12 +29,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pertinax.llm.common import col
+from pertinax.llm.common import col, map_batches
 
 DIM = 1024
 #: Work at a time: characters, and cells of the table of counts (documents x trigrams).
 SLICE_CHARS = 400_000
-CELLS = 4_000_000
+CELLS = 2_000_000
 #: Trigrams whose vectors a Python worker keeps.
 KEPT_VECTORS = 20_000
 BORDER = 32
@@ -194,7 +194,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> di
                 [pa.array([lang] * DIM, pa.string()), pa.array(range(DIM), pa.int32()), pa.array(total)],
                 names=["lang", "dim", "total"])
 
-    parts = rows.mapInArrow(run, "lang string, dim int, total long")
+    parts = map_batches(rows, run, "lang string, dim int, total long")
     out: dict[str, np.ndarray] = {}
     for r in parts.groupBy("lang", "dim").agg(F.sum("total").alias("total")).collect():
         out.setdefault(r["lang"], np.zeros(DIM))[r["dim"]] = r["total"]
@@ -217,7 +217,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "d
                 [batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
                 names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return map_batches(rows, run, schema)
 
 
 def keep_identified(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text") -> DataFrame:
@@ -230,7 +230,7 @@ def keep_identified(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col
             langs, _ = classify([t or "" for t in batch.column(at).to_pylist()])
             yield batch.filter(pa.array([lang != UNKNOWN for lang in langs], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
 
 
 def classifier(prototypes: dict[str, np.ndarray]):

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pertinax.llm.bpe import slices
-from pertinax.llm.common import col
+from pertinax.llm.common import col, map_batches
 from pertinax.session import written
 
 WINDOW = 8
@@ -164,7 +164,7 @@ def co_occurrences(docs: DataFrame, text_col: str = "text") -> DataFrame:
                      pa.array([k[2] for k in found], pa.int64()), pa.array(found.values(), pa.int64())],
                     names=["entity", "term", "context", "n"])
 
-    seen = _texts(docs, text_col).mapInArrow(run, "entity long, term string, context long, n long")
+    seen = map_batches(_texts(docs, text_col), run, "entity long, term string, context long, n long")
     return (seen.groupBy("entity", "term", "context").agg(F.sum("n").alias("n"))
             .groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count(F.lit(1)).alias("contexts")))
 
@@ -210,7 +210,7 @@ def occurrences(docs: DataFrame, bits: np.ndarray, text_col: str = "text") -> Da
                     [pa.array([*kept, None], pa.string()),
                      pa.array([*(found[t] for t in kept), found.total()], pa.int64())], names=["term", "n"])
 
-    return (_texts(docs, text_col).mapInArrow(run, "term string, n long")
+    return (map_batches(_texts(docs, text_col), run, "term string, n long")
             .groupBy("term").agg(F.sum("n").alias("n_t")))
 
 
@@ -265,7 +265,7 @@ def find(docs: DataFrame, table: DataFrame, id_col: str = "doc_id", text_col: st
                     columns.append(part.column(1))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    found = written(rows.mapInArrow(run, schema).withColumn("row_id", F.monotonically_increasing_id()), "pii-spans")
+    found = written(map_batches(rows, run, schema).withColumn("row_id", F.monotonically_increasing_id()), "pii-spans")
     confirmed = (found.where(F.size("hits") > 0).select("row_id", F.inline("hits"))
                  .join(table, "term").groupBy("row_id")
                  .agg(F.array_sort(F.collect_list(F.struct("start", "end", "term", "disclosure"))).alias("terms")))
@@ -304,7 +304,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), batch.column(2)],
                                              names=["doc_id", "text", "spans"])
 
-    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], T.StructField("text", T.StringType()),
+    return map_batches(rows, run, T.StructType([rows.schema["doc_id"], T.StructField("text", T.StringType()),
                                               T.StructField("spans", T.StringType())]))
 
 

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pertinax.llm.common import col, fresh, tie_break
+from pertinax.llm.common import col, fresh, map_batches, tie_break
 from pertinax.llm.components import components
 from pertinax.session import written
 
@@ -100,7 +100,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 [batch.column(0), batch.column(1), pa.array(np.array(found, np.uint64).view(np.int64))],
                 names=schema.names)
 
-    return written(rows.mapInArrow(run, schema), "fingerprints")
+    return written(map_batches(rows, run, schema), "fingerprints")
 
 
 def list_links(members: np.ndarray, max_bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:

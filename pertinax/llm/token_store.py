@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pertinax.llm.bpe import codec, slices
-from pertinax.llm.common import col
+from pertinax.llm.common import col, map_batches
 from pertinax.session import written
 
 MAGIC, VERSION = b"PTXTOK\x00\x01", 1
@@ -88,7 +88,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col:
                 yield pa.RecordBatch.from_arrays([part.column(0), counts, frames],
                                                  names=["doc_id", "n_tokens", "frame"])
 
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, frame binary")
+    return map_batches(rows, run, "doc_id long, n_tokens long, frame binary")
 
 
 def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
