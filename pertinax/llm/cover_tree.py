@@ -106,11 +106,13 @@ class Best:
         r, c = np.nonzero(fit)
         if not len(r):
             return
+        found = scores[r, c]
+        found = found if found.dtype == np.int64 else np.rint(found).astype(np.int64)
         touched = np.zeros(len(self.kth), bool)
         touched[rows[r]] = True
         old = touched[self.row]
         row = np.concatenate([self.row[old], rows[r]])
-        score = np.concatenate([self.score[old], np.rint(scores[r, c]).astype(np.int64)])
+        score = np.concatenate([self.score[old], found])
         id_ = np.concatenate([self.id[old], ids[c]])
         order = np.lexsort((id_, -score, row))
         row, score, id_ = row[order], score[order], id_[order]
@@ -147,17 +149,35 @@ def search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, ids: np
                + radii * q_tree.norm[center] + radius * radii)
         return top + 1e-9 * np.abs(top) + 1e-6  # rounding never prunes
 
+    def singles(rows: np.ndarray, d: int) -> None:
+        """Queries that are nodes by themselves (radius 0), each with its own bound."""
+        stack = [(rows, d)]
+        while stack:
+            rows, d = stack.pop()
+            nodes = np.array([d, *d_tree.children[d]], np.int64)
+            centers = np.array([d_tree.center[n] for n in nodes])
+            radii = np.array([d_tree.radius[n] for n in nodes])
+            tops = q_tree.points[rows] @ d_tree.points[centers].T + q_tree.norm[rows][:, None] * radii
+            tops += 1e-9 * np.abs(tops) + 1e-6
+            alive = tops >= best.kth[rows][:, None]
+            near = rows[alive[:, 0]]
+            if len(near) and len(d_tree.loose[d]):
+                compare(near, d_tree.loose[d])
+            for k in np.argsort(tops[:, 1:].max(axis=0)) + 1:  # the most promising child comes first
+                if (some := alive[:, 0] & alive[:, k]).any():
+                    stack.append((rows[some], int(nodes[k])))
+
     todo = [(0, 0, np.inf)]
     while todo:
         q, d, top = todo.pop()
-        q_rows, d_rows = q_tree.rows[q], d_tree.rows[d]
+        q_rows = q_tree.rows[q]
         if top < best.kth[q_rows].min():
             continue
-        if q_tree.children[q] and q_tree.radius[q] > d_tree.radius[d]:
+        if q_tree.radius[q] > 0 and (q_tree.radius[q] > d_tree.radius[d] or not d_tree.children[d]):
             for child in q_tree.children[q]:
                 todo.append((child, d, float(bound(child, np.array([d_tree.center[d]]), np.array([d_tree.radius[d]]))[0])))
             if len(q_tree.loose[q]):
-                compare_pruned(q_tree.loose[q], d_rows, compare, best, q_tree, d_tree)
+                singles(q_tree.loose[q], d)
             continue
         loose = d_tree.loose[d]
         if len(loose):
@@ -173,15 +193,6 @@ def search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, ids: np
     return best.row, best.score, best.id
 
 
-def compare_pruned(q_rows: np.ndarray, d_rows: np.ndarray, compare, best: Best, q_tree: Tree, d_tree: Tree) -> None:
-    """Queries that are nodes by themselves against all points of a data node: a point whose norm
-    is too small for every one of them (Cauchy-Schwarz, the bound at radius 0) is left out."""
-    reach = q_tree.norm[q_rows].max() * d_tree.norm[d_rows]
-    near = d_rows[reach + 1e-9 * np.abs(reach) + 1e-6 >= best.kth[q_rows].min()]
-    if len(near):
-        compare(q_rows, near)
-
-
 # -- on Spark -----------------------------------------------------------------------------------
 
 
