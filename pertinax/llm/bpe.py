@@ -39,13 +39,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from pertinax.llm.common import col, map_batches
+from pertinax.llm.common import col, map_batches, worker_state
 
 #: Longest part, in characters, that is encoded in one go.
 LEAF = 512
 #: Texts are worked on so many characters at a time, and so many parts kept encoded.
 SLICE_CHARS = 1_000_000
-CACHE_PARTS = 300_000
+CACHE_PARTS = 250_000
 BATCH_PARTS = 10_000
 #: Fixed value: the split of a tokenizer that drops white space and never joins across it.
 WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -205,15 +205,13 @@ class Codec:
         return self.tokenizer.decode(ids.tolist(), skip_special_tokens=False).encode()
 
 
-_CODECS: dict[str, Codec] = {}
-
-
 def codec(path: str) -> Codec:
     """The codec of a file, loaded once per Python worker."""
-    if path not in _CODECS:
+    codecs = worker_state("bpe")
+    if path not in codecs:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the cores belong to other tasks
-        _CODECS[path] = Codec(path)
-    return _CODECS[path]
+        codecs[path] = Codec(path)
+    return codecs[path]
 
 
 def slices(batch: pa.RecordBatch, text_at: int = 1) -> Iterator[tuple[pa.RecordBatch, list[str]]]:

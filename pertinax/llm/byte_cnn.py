@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pertinax.llm.common import col, map_batches
+from pertinax.llm.common import col, map_batches, worker_state
 from pertinax.llm.hd_langid import held_out
 
 EMBEDDING, CHANNELS, WIDTH, FILTERS = 6, 8, 8, 24
@@ -262,6 +262,7 @@ def predict(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_co
                            T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("byte_cnn")
         for batch in batches:
             scores = score([t.as_py() or b"" for t in batch.column(2)], model)
             yield pa.RecordBatch.from_arrays(

@@ -44,6 +44,18 @@ def tie_break(df: DataFrame) -> Column:
     return F.xxhash64(*plain) if plain else F.lit(0).cast("long")
 
 
+_STATE: dict = {}
+
+
+def worker_state(owner: str) -> dict:
+    """What an operator keeps between the batches of a Python worker.  Workers are used again for
+    other operators; the one that runs drops what the one before has left."""
+    if _STATE.get("owner") != owner:
+        _STATE.clear()
+        _STATE["owner"] = owner
+    return _STATE
+
+
 #: Rows of an Arrow batch, unless the session sets its own number: texts can be long.
 BATCH_ROWS = 1_000
 

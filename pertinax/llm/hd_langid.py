@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pertinax.llm.common import col, map_batches
+from pertinax.llm.common import col, map_batches, worker_state
 
 DIM = 1024
 #: Work at a time: characters, and cells of the table of counts (documents x trigrams).
@@ -45,19 +45,17 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 5 == 0
 
 
-_STATE: dict = {}
-
-
 def _letters() -> np.ndarray:
     """By code point: the lower-case letter, or BORDER.  Built once per worker."""
-    if "letters" not in _STATE:
+    state = worker_state("hd_langid")
+    if "letters" not in state:
         table = np.full(0x110000, BORDER, np.int64)
         for c in range(0x110000):
             if (s := chr(c)).isalpha():
                 low = s.lower()
                 table[c] = ord(low) if len(low) == 1 else c
-        _STATE["letters"] = table
-    return _STATE["letters"]
+        state["letters"] = table
+    return state["letters"]
 
 
 def letter_vector(code: int) -> np.ndarray:
@@ -67,7 +65,7 @@ def letter_vector(code: int) -> np.ndarray:
 
 def gram_vectors(grams: np.ndarray) -> np.ndarray:
     """The bound vectors of packed trigrams, one row each."""
-    kept = _STATE.setdefault("vectors", {})
+    kept = worker_state("hd_langid").setdefault("vectors", {})
     if len(kept) > KEPT_VECTORS:
         kept.clear()
     out = np.empty((len(grams), DIM), np.float32)
@@ -80,7 +78,7 @@ def gram_vectors(grams: np.ndarray) -> np.ndarray:
 
 
 def letter_cached(code: int) -> np.ndarray:
-    kept = _STATE.setdefault("letter_vectors", {})
+    kept = worker_state("hd_langid").setdefault("letter_vectors", {})
     if code not in kept:
         kept[code] = letter_vector(code)
     return kept[code]

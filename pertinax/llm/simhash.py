@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pertinax.llm.common import col, fresh, map_batches, tie_break
+from pertinax.llm.common import col, fresh, map_batches, tie_break, worker_state
 from pertinax.llm.components import components
 from pertinax.session import written
 
@@ -94,6 +94,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                            T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("simhash")
         for batch in batches:
             found = [fingerprint(t.as_py() or b"", shingle) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays(

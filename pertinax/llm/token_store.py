@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pertinax.llm.bpe import codec, slices
-from pertinax.llm.common import col, map_batches
+from pertinax.llm.common import col, map_batches, worker_state
 from pertinax.session import written
 
 MAGIC, VERSION = b"PTXTOK\x00\x01", 1
@@ -123,6 +123,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str
     digest = hashlib.sha256(dictionary).digest()
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("token_store")  # the tokenizer is not needed any more
         task = TaskContext.get()
         name = f"shard-{task.partitionId():05d}"
         ids, ends, counts, out, at = [], [], [], None, HEAD_SIZE
@@ -206,13 +207,14 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     listed = spark.createDataFrame([(s["name"], s["start"]) for s in shards], "name string, start long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("token_store")
         dictionary = _get(f"{folder}/dictionary")
         for batch in batches:
             for name, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 s = Shard(f"{folder}/{name}", dictionary)
                 starts = start + np.cumsum(s.counts) - s.counts
-                for lo in range(0, len(s), 10_000):
-                    hi = min(len(s), lo + 10_000)
+                for lo in range(0, len(s), 1_000):
+                    hi = min(len(s), lo + 1_000)
                     ids = [s.document(k) for k in range(lo, hi)]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(s.ids[lo:hi], pa.int64(), mask=s.null[lo:hi]),
