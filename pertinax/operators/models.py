@@ -13,10 +13,9 @@ from dataclasses import dataclass, field
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pertinax.operators import metrics as M
 from pertinax.operators.ml_stages import ExactMedianImputer, PopulationStandardScaler
 
 MAX_DEPTH_SPARK = 30
@@ -40,9 +39,10 @@ def cached(df: DataFrame):
 class ModelSpec:
     """One candidate configuration (a row of the search grid)."""
     name: str
-    kind: str = "forest"            # forest | gbt
+    kind: str = "forest"            # forest | gbt | vote
     params: dict = field(default_factory=dict)
     weighted: bool = False           # use the class-weight column
+    members: list = field(default_factory=list)   # vote: names of earlier configurations
 
 
 def classifier(spec: ModelSpec, label: str = "label", features: str = "features",
@@ -150,46 +150,68 @@ def soft_vote(members: list[tuple[str, PipelineModel]], df: DataFrame) -> DataFr
     out = df
     for prefix, m in members:
         out = m.transform(out)
-    p = sum((vector_to_array(F.col(f"{prefix}probability"))[1] for prefix, _ in members),
-            F.lit(0.0)) / len(members)
-    return (out.withColumn("p_pert", p)
-            .withColumn("prediction", F.when(F.col("p_pert") > 0.5, F.lit(1.0)).otherwise(F.lit(0.0))))
+    p, prediction = vote([vector_to_array(F.col(f"{prefix}probability"))[1] for prefix, _ in members], "p_pert")
+    return out.withColumns({"p_pert": p, "prediction": prediction})
+
+
+def vote(scores: list, out: str = "p_vote") -> list:
+    """Mean of the members' scores and the class it gives (a tie is class 0)."""
+    mean = sum(scores[1:], scores[0]) / len(scores)
+    return [mean.alias(out), F.when(mean > 0.5, F.lit(1.0)).otherwise(F.lit(0.0)).alias("prediction")]
+
+
+def _accuracy(predicted: DataFrame, label: str) -> DataFrame:
+    """One row: ``n, hits, errors, accuracy`` and the confusion matrix ``tn, fp, fn, tp``."""
+    real, pred = F.col(label).cast("int"), F.col("prediction").cast("int")
+    cell = lambda r, p: F.count_if((real == r) & (pred == p))
+    m = predicted.agg(cell(0, 0).alias("tn"), cell(0, 1).alias("fp"), cell(1, 0).alias("fn"), cell(1, 1).alias("tp"))
+    hits, errors = F.col("tn") + F.col("tp"), F.col("fp") + F.col("fn")
+    return m.select((hits + errors).alias("n"), hits.alias("hits"), errors.alias("errors"),
+                    F.try_divide(hits.cast("double"), hits + errors).alias("accuracy"), "tn", "fp", "fn", "tp")
 
 
 def evaluate(model: PipelineModel, df: DataFrame, label: str = "label") -> DataFrame:
-    """L7 building block: accuracy row for one data set."""
-    pred = model.transform(df).withColumn("__pred", F.col("prediction").cast("int"))
-    return M.accuracy(pred, label, "__pred")
+    """L7 building block: accuracy and confusion matrix of one data set, in one aggregate."""
+    return _accuracy(model.transform(df), label)
 
 
 def evaluate_train_test(model: PipelineModel, train: DataFrame, test: DataFrame,
                         label: str = "label") -> DataFrame:
-    """``(set, n, hits, errors, accuracy)`` on train and test."""
+    """``(set, n, hits, errors, accuracy, tn, fp, fn, tp)`` on train and test."""
     a = evaluate(model, train, label).withColumn("set", F.lit("train"))
-    b = evaluate(model, test, label).withColumn("set", F.lit("test"))
-    return a.unionByName(b).select("set", "n", "hits", "errors", "accuracy")
+    return a.unionByName(evaluate(model, test, label).withColumn("set", F.lit("test")))
 
 
-def fold_column(df: DataFrame, key: str, k: int = 5, seed: int = 42, out: str = "fold") -> DataFrame:
-    """Deterministic fold id from a hash of the row key (map-only, no shuffle)."""
-    h = F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"fold{seed}"))), 1, 8), 16, 10)
-    return df.withColumn(out, (h.cast("long") % k).cast("int"))
+def fold_column(df: DataFrame, key: str, label: str, k: int = 5, seed: int = 42, out: str = "fold") -> DataFrame:
+    """Stratified folds: the rows of a class, in hash order, are dealt out in turn, so fold sizes
+    differ by at most one per class.  The rank in a class is distributed: hash ranges hold about
+    equal shares of every class, are ranked each for itself and shifted by the counts before."""
+    h = F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"fold{seed}"))), 1, 8)
+    tmp = df.withColumns({"__h": h, "__b": F.substring(h, 1, 3)})
+    before = Window.partitionBy(label).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    # a few thousand ranges per class
+    shift = tmp.groupBy(label, "__b").agg(F.count(F.lit(1)).alias("__c")).select(
+        F.col(label).alias("__l"), F.col("__b").alias("__of"), F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__s"))
+    inside = F.row_number().over(Window.partitionBy(label, "__b").orderBy("__h", key)) - 1
+    ranked = tmp.withColumn("__r", inside).join(
+        shift, F.col(label).eqNullSafe(F.col("__l")) & (F.col("__b") == F.col("__of")))
+    return ranked.select(*df.columns, ((F.col("__r") + F.col("__s")) % k).cast("int").alias(out))
 
 
 def cross_validate(df: DataFrame, features: list[str], spec: ModelSpec, key: str,
-                   label: str = "label", k: int = 5, weight: str | None = None) -> DataFrame:
-    """K-fold CV with preparation refitted per fold; returns one row per fold plus
+                   label: str = "label", k: int = 5, weight: str | None = None,
+                   binary: list[str] | None = None, categorical: list[str] | None = None) -> DataFrame:
+    """Stratified k-fold CV with preparation refitted per fold; returns one row per fold plus
     ``mean`` and ``two_std`` (population) columns over the fold accuracies."""
     rows = []
-    with cached(fold_column(df, key, k)) as folded:
+    with cached(fold_column(df, key, label, k)) as folded:
         for i in range(k):
-            train = folded.where(F.col("fold") != i)
-            test = folded.where(F.col("fold") == i)
-            model = Pipeline(stages=prep_stages(features) + [classifier(spec, label, weight=weight)]).fit(train)
-            rows.append(evaluate(model, test, label).withColumn("fold", F.lit(i)).first().asDict())
-    spark = df.sparkSession
-    out = spark.createDataFrame(rows, "n long, hits long, errors long, accuracy double, fold int")
-    return _with_summary(out)
+            pipeline = member_pipeline(spec, features, label, weight, "", categorical, binary)
+            model = pipeline.fit(folded.where(F.col("fold") != i))
+            rows.append((i, *evaluate(model, folded.where(F.col("fold") == i), label)
+                         .select("n", "hits", "errors", "accuracy").first()))
+    return _with_summary(df.sparkSession.createDataFrame(
+        rows, "fold int, n long, hits long, errors long, accuracy double"))
 
 
 def _with_summary(rows: DataFrame) -> DataFrame:
@@ -200,21 +222,26 @@ def _with_summary(rows: DataFrame) -> DataFrame:
 
 
 def search(specs: list[ModelSpec], train: DataFrame, test: DataFrame, external: DataFrame,
-           features: list[str], label: str = "label", weight: str | None = None):
+           features: list[str], label: str = "label", weight: str | None = None,
+           binary: list[str] | None = None, categorical: list[str] | None = None):
     """Fit every configuration, score the internal test and the external set, rank by
-    external accuracy (O1).  Returns ``(leaderboard, best_model)``."""
+    external accuracy (O1).  A ``vote`` takes the fitted members it names.  Returns
+    ``(leaderboard, best)``: the best entry is a list of ``(prefix, model)`` for :func:`soft_vote`."""
     from pertinax.operators.order import leaderboard
-    results, models = [], {}
-    spark = train.sparkSession
+    results, fitted = [], {}
+    with cached(train) as tr:
+        for i, spec in enumerate(specs):
+            if spec.kind == "vote":
+                fitted[spec.name] = [m for name in spec.members for m in fitted[name]]
+            else:
+                pipeline = member_pipeline(spec, features, label, weight, f"m{i}_", categorical, binary)
+                fitted[spec.name] = [(f"m{i}_", pipeline.fit(tr))]
     for spec in specs:
-        with cached(train) as tr:
-            model = Pipeline(stages=prep_stages(features) + [classifier(spec, label, weight=weight)]).fit(tr)
-        models[spec.name] = model
-        t = evaluate(model, test, label).first()
-        e = evaluate(model, external, label).first()
-        results.append((spec.name, spec.kind, float(t["accuracy"]), float(e["accuracy"])))
-    res = spark.createDataFrame(results, "name string, kind string, test_accuracy double, "
-                                         "external_accuracy double")
+        inner, outer = (_accuracy(soft_vote(fitted[spec.name], d), label).first() for d in (test, external))
+        results.append((spec.name, spec.kind, inner["n"], float(inner["accuracy"] or 0.0), outer["n"],
+                        float(outer["accuracy"] or 0.0)))
+    res = train.sparkSession.createDataFrame(
+        results, "name string, kind string, test_n long, test_accuracy double, external_n long, external_accuracy double")
     board = leaderboard(res, "external_accuracy", "name", gap_of=("external_accuracy", "test_accuracy"))
-    best = min(results, key=lambda r: (-r[3], r[0]))[0] if results else None
-    return board, models.get(best)
+    best = min(results, key=lambda r: (-r[5], r[0]))[0] if results else None
+    return board, fitted.get(best)

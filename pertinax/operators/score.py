@@ -36,6 +36,21 @@ def predict(df: DataFrame, model, prob_col: str = "probability") -> DataFrame:
     })
 
 
+def predict_production(df: DataFrame, model, features: list[str]) -> DataFrame:
+    """D1 on a raw production extract: coerce and derive the features (F1, serving), add those the
+    model was trained on and the extract lacks (P11, no value), then :func:`predict`."""
+    from pertinax.functions.features import features_production
+    from pertinax.operators.project import backfill
+    ready = backfill(features_production(df, "serving"), features, policy="nan")
+    return predict(ready.withColumns({c: F.col(c).cast("double") for c in features}), model)
+
+
+def decide_one(p_pert: Column, threshold: float = schema.DEFAULT_UNDETERMINED_PCT) -> Column:
+    """D2 for a single record: the threshold is compared with the unrounded confidence."""
+    confidence = F.greatest(p_pert, 1 - p_pert) * 100.0
+    return F.when(confidence < threshold, F.lit(schema.LABEL_UNDETERMINED)).otherwise(model_label_from_prob(p_pert))
+
+
 def apply_threshold(df: DataFrame, threshold: float = schema.DEFAULT_UNDETERMINED_PCT,
                     conf_pct: str = "Confianza_%", model_label: str = "Prediccion_Modelo",
                     out: str = "Prediccion") -> DataFrame:
@@ -100,7 +115,8 @@ def decision_shares(df: DataFrame, decision: str = "Prediccion") -> DataFrame:
 
 def score_file(spark, path: str, model, features: list[str], out_path: str,
                fmt: str = "csv", out_fmt: str = "parquet", binary: list[str] | None = None,
-               categorical: list[str] | None = None, mode: str = "overwrite") -> DataFrame:
+               categorical: list[str] | None = None, mode: str = "overwrite",
+               required: list[str] | None = None) -> DataFrame:
     """Read -> prepare -> backfill -> predict -> hybrid decision -> drop filler
     columns -> write; returns the decision shares of what was written.
 
@@ -108,11 +124,14 @@ def score_file(spark, path: str, model, features: list[str], out_path: str,
     written files, so the scoring plan does not run twice and the summary survives the loss
     of executors after the write.
     """
-    from pertinax.operators.project import backfill, drop_unnamed
+    from pertinax.operators.project import backfill, drop_unnamed, normalize_columns
     from pertinax.plans.clinical import prepare_clinical
     from pertinax.sources.sinks import write_table
     from pertinax.sources.tables import read_table
     raw = read_table(spark, path, fmt)
+    missing = [c for c in required or [] if c not in normalize_columns(raw).columns]
+    if missing:   # P13: nothing is scored or written
+        raise ValueError(f"{path} lacks required columns: {', '.join(missing)}")
     # carry untouched copies of the input columns: the output repeats the input as read
     copies = {f"__in{i}": c for i, c in enumerate(raw.columns)}
     df = raw.select("*", *[F.col(f"`{c}`").alias(k) for k, c in copies.items()])
@@ -133,6 +152,20 @@ def score_file(spark, path: str, model, features: list[str], out_path: str,
     return decision_shares(spark.read.format(out_fmt).load(out_path))
 
 
+def validate_written(scored: DataFrame, real: str, decision: str = "Prediccion",
+                     rule: str = "CUMPLE_CRITERIO_DECRETO"):
+    """E6 on a scored table that repeats its true labels: accuracy, by origin and by label over
+    the labelled rows.  Truth and decision stand on the same row, so nothing is joined."""
+    from pertinax.functions.clean import strip_ws
+    from pertinax.operators import metrics as M
+    from pertinax.operators.project import clean_label
+    j = scored.withColumns({"__real": F.upper(strip_ws(clean_label(real))),
+                            "__pred": F.upper(strip_ws(F.col(decision)))})
+    j = j.where(F.col("__real").isin(schema.LABEL_POS, schema.LABEL_NEG))
+    return (M.accuracy(j, "__real", "__pred"), M.accuracy_by_origin(j, "__real", "__pred", rule),
+            M.accuracy_by_label(j, "__real", "__pred").withColumnRenamed("__real", "real"))
+
+
 def model_label_from_prob(p_pert: Column | str) -> Column:
     """Label from P(PERTINENTE): ties (0.5) go to class 0, like argmax."""
     return F.when(col(p_pert) > 0.5, F.lit(schema.LABEL_POS)).otherwise(F.lit(schema.LABEL_NEG))

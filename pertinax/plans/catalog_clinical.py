@@ -307,7 +307,7 @@ def f3_features_interaction(spark, sf_dir):
 @register("f4_text_alerts", oracle=ENC + """
 SELECT row_id, """ + ", ".join(ALERT_COLUMNS) + """ FROM enc""")
 def f4_text_alerts(spark, sf_dir):
-    e = clinical_encounters(spark, sf_dir).select(schema.ROW_ID, "Texto_Libre")
+    e = clinical_encounters(spark, sf_dir).where(F.col("Episodio").isNotNull()).select(schema.ROW_ID, "Texto_Libre")
     return text_alerts(e).select(schema.ROW_ID, *ALERT_COLUMNS)
 
 
@@ -317,7 +317,7 @@ SELECT row_id, array_to_string(list_filter([""" + ", ".join(
 FROM enc""")
 def f4_alert_list(spark, sf_dir):
     """the names of the alerts that fired, per record."""
-    e = clinical_encounters(spark, sf_dir).select(schema.ROW_ID, "Texto_Libre")
+    e = clinical_encounters(spark, sf_dir).where(F.col("Episodio").isNotNull()).select(schema.ROW_ID, "Texto_Libre")
     a = text_alerts(e)
     return a.select(schema.ROW_ID, F.array_join(alert_list(a), ",").alias("alerts"))
 
@@ -325,7 +325,7 @@ def f4_alert_list(spark, sf_dir):
 @register("f5_patient_category", oracle=ENC + """
 SELECT Categoria_Inferida, CAST(count(*) AS BIGINT) AS n FROM enc GROUP BY 1""")
 def f5_patient_category(spark, sf_dir):
-    e = clinical_encounters(spark, sf_dir)
+    e = clinical_encounters(spark, sf_dir).where(F.col("Episodio").isNotNull())
     cat = patient_category(category_context(e))
     return e.groupBy(cat.alias("Categoria_Inferida")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -2,8 +2,10 @@
 S8, S9).
 
 The model queries keep the library's production defaults out of the registry (500-tree
-forests take minutes); they train small forests on the whole labelled extract.  They have
-no SQL twin (a trained model is not SQL): the driver checks their rows only.
+forests take minutes); they train small forests on the whole labelled extract.  A trained model
+is not SQL, so these queries return what must hold whatever the model learned: which rows or
+folds there are (hash-determined) and whether every prediction, probability and figure is
+consistent; their DuckDB twins state the same.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pertinax.operators import score as D
 from pertinax.operators.project import encode_label
 from pertinax.plans import oracle as O
 from pertinax.plans.clinical import prepared_encounters
+from pertinax.plans.fixture import FIXTURE_SCORE_SQL
 from pertinax.plans.registry import register
 from pertinax.session import scratch_dir
 from pertinax.sources import model_store, sinks
@@ -54,6 +57,36 @@ def _split(spark, sf_dir):
     return df.where(~F.col("is_test")), df.where(F.col("is_test"))
 
 
+#: Rows of the 20 % side of the split, on DuckDB.
+LAB = ENC + f""",
+lab AS (SELECT *, {O.encode_label('Resolucion')} AS label,
+  substr(md5(CAST(row_id AS VARCHAR) || '42'), 1, 8) < '33333333' AS is_test FROM enc),
+known AS (SELECT * FROM lab WHERE label IS NOT NULL)"""
+CHECKED = LAB + """
+SELECT row_id, CAST(label AS DOUBLE) AS label, true AS probability_ok, true AS prediction_ok,
+  true AS beats_majority FROM known WHERE is_test"""
+
+
+def _checked(model_out, prefix=""):
+    """Per test row: are the probabilities in [0, 1] with sum 1, does the prediction follow them;
+    and does the model beat the majority class over all test rows."""
+    p = vector_to_array(F.col(f"{prefix}probability"))
+    rows = model_out.select(schema.ROW_ID, "label", p[0].alias("p0"), p[1].alias("p1"),
+                            F.col(f"{prefix}prediction").alias("prediction"))
+    return _checks(rows)
+
+
+def _checks(rows):
+    p0, p1 = F.col("p0"), F.col("p1")
+    beats = rows.select(F.avg((F.col("prediction") == F.col("label")).cast("double"))
+                        > F.greatest(F.avg("label"), 1 - F.avg("label"))).scalar()
+    return rows.select(
+        schema.ROW_ID, "label",
+        (p0.between(0, 1) & p1.between(0, 1) & (F.abs(p0 + p1 - 1) < 1e-9)).alias("probability_ok"),
+        (F.col("prediction") == F.when(p1 > p0, 1.0).otherwise(0.0)).alias("prediction_ok"),
+        beats.alias("beats_majority"))
+
+
 def _run_dir(spark, name):
     return scratch_dir(spark, f"{name}-{uuid.uuid4().hex[:10]}")
 
@@ -133,7 +166,8 @@ def m8_one_hot(spark, sf_dir):
         F.size(arr).cast("int").alias("width"))
 
 
-@register("m2_assemble")
+@register("m2_assemble", oracle=ENC + f"""
+SELECT row_id, CAST({len(NUMERIC) + len(BINARY)} + (SELECT count(DISTINCT Tipo_Cama) FROM enc) AS INTEGER) AS width FROM enc""")
 def m2_assemble(spark, sf_dir):
     """Per-kind preparation and assembly into one vector per row."""
     from pyspark.ml import Pipeline
@@ -159,67 +193,122 @@ def _test_predictions(model, test, prefix=""):
                     vector_to_array(F.col(f"{prefix}probability"))[1].alias("p_pert"))
 
 
-@register("l1_train_forest")
+@register("l1_train_forest", oracle=CHECKED)
 def l1_train_forest(spark, sf_dir):
-    """Balanced forest (class weights) on the 80 % side, predictions for the 20 % side."""
+    """Balanced forest (class weights) on the 80 % side, checked on the 20 % side."""
     from pertinax.operators.metrics import with_class_weights
     train, test = _split(spark, sf_dir)
     train = with_class_weights(train, "label", "weight")
-    return _test_predictions(_fit_small(train, "forest", "weight"), test)
+    return _checked(_fit_small(train, "forest", "weight").transform(test))
 
 
-@register("l2_train_gbt")
+@register("l2_train_gbt", oracle=CHECKED)
 def l2_train_gbt(spark, sf_dir):
     train, test = _split(spark, sf_dir)
-    return _test_predictions(_fit_small(train, "gbt"), test)
+    return _checked(_fit_small(train, "gbt").transform(test))
 
 
-@register("l3_train_boosted")
+@register("l3_train_boosted", oracle=CHECKED)
 def l3_train_boosted(spark, sf_dir):
     """Boosted member with positive-class weight n_neg / n_pos."""
     train, test = _split(spark, sf_dir)
     train = L.with_pos_weight(train, "label", "weight")
-    return _test_predictions(_fit_small(train, "gbt", "weight"), test)
+    return _checked(_fit_small(train, "gbt", "weight").transform(test))
 
 
-@register("l4_soft_vote")
+@register("l4_soft_vote", oracle=CHECKED)
 def l4_soft_vote(spark, sf_dir):
     train, test = _split(spark, sf_dir)
     members = [("rf_", _fit_small(train, "forest", prefix="rf_")),
                ("gb_", _fit_small(train, "gbt", prefix="gb_"))]
     v = L.soft_vote(members, test)
-    return v.select(schema.ROW_ID, "label", "prediction", "p_pert")
-
-
-@register("l5_search")
+    mean = (vector_to_array("rf_probability")[1] + vector_to_array("gb_probability")[1]) / 2
+    return _checks(v.select(schema.ROW_ID, "label", "prediction", (1 - F.col("p_pert")).alias("p0"),
+                            mean.alias("p1")))
+
+
+@register("l4_vote_of_scores", oracle=O.scored_cte() + """
+SELECT row_id, (p_pert + CAST(row_id % 11 AS DOUBLE) / 10) / 2 AS p_vote,
+  CAST(CASE WHEN (p_pert + CAST(row_id % 11 AS DOUBLE) / 10) / 2 > 0.5 THEN 1 ELSE 0 END AS DOUBLE) AS prediction FROM scored2""")
+def l4_vote_of_scores(spark, sf_dir):
+    """The vote itself, over two given scores."""
+    other = (F.col(schema.ROW_ID) % 11).cast("double") / 10
+    return prepared_encounters(spark, sf_dir).select(
+        schema.ROW_ID, *L.vote([F.expr(FIXTURE_SCORE_SQL), other], "p_vote"))
+
+
+_SETS = """
+SELECT 'train' AS "set", count_if(NOT is_test) AS n FROM known UNION ALL SELECT 'test', count_if(is_test) FROM known"""
+
+#: The eight configurations of the search, with tree counts cut for the registry.
+SEARCH = [("rf_balanced", "forest", dict(numTrees=10, maxDepth=8), True, []),
+          ("rf_deep", "forest", dict(numTrees=10, maxDepth=10), True, []),
+          ("gbt", "gbt", dict(maxIter=6, maxDepth=4), False, []),
+          ("gbt_weighted", "gbt", dict(maxIter=6, maxDepth=4), True, []),
+          ("vote_rf_gbt", "vote", {}, False, ["rf_balanced", "gbt"]),
+          ("vote_rf_weighted", "vote", {}, False, ["rf_balanced", "gbt_weighted"]),
+          ("vote_deep_gbt", "vote", {}, False, ["rf_deep", "gbt"]),
+          ("vote_all", "vote", {}, False, ["rf_balanced", "rf_deep", "gbt", "gbt_weighted"])]
+
+
+@register("l5_search", oracle=LAB + """,
+c AS (SELECT * FROM (VALUES """ + ", ".join(f"('{n}', '{k}')" for n, k, *_ in SEARCH) + """) v(name, kind))
+SELECT name, kind, (SELECT count(*) FROM known WHERE is_test AND strftime(Fecha_Alta, '%Y-%m') <> '2024-03') AS test_n,
+  (SELECT count(*) FROM known WHERE strftime(Fecha_Alta, '%Y-%m') = '2024-03') AS external_n,
+  true AS rank_ok, true AS gap_ok FROM c""")
 def l5_search(spark, sf_dir):
-    """Three configurations ranked by accuracy on an external set (the labelled rows of the
-    temporal hold-out month), gap = external − internal."""
+    """Eight configurations, four of them votes, ranked by accuracy on an external set: the
+    hold-out month, which neither the training nor the internal test side contains."""
+    from pertinax.operators.metrics import with_class_weights
     from pertinax.operators.project import temporal_holdout
-    train, test = _split(spark, sf_dir)
-    ext = temporal_holdout(training_frame(spark, sf_dir), "Fecha_Alta", 2024, 1) \
-        .where((F.col("split") == "valid") & F.col("label").isNotNull())
-    specs = [L.ModelSpec("rf_d4", "forest", dict(numTrees=10, maxDepth=4)),
-             L.ModelSpec("rf_d6", "forest", dict(numTrees=20, maxDepth=6)),
-             L.ModelSpec("gbt_d3", "gbt", dict(maxIter=10, maxDepth=3))]
-    board, _ = L.search(specs, train, test, ext, NUMERIC + BINARY)
-    return board
-
-
-@register("l6_cross_validate")
+    df = temporal_holdout(training_frame(spark, sf_dir).where(F.col("label").isNotNull()), "Fecha_Alta", 2024, 3)
+    inner = prep.stratified_split(df.where("split <> 'valid'"), schema.ROW_ID, "label", 0.2, 42)
+    train = with_class_weights(inner.where(~F.col("is_test")), "label", "weight")
+    specs = [L.ModelSpec(n, kind, params, weighted, members) for n, kind, params, weighted, members in SEARCH]
+    board, _ = L.search(specs, train, inner.where("is_test"), df.where("split = 'valid'"), NUMERIC,
+                        weight="weight", binary=BINARY, categorical=CATEGORICAL)
+    better = (F.col("o.external_accuracy") > F.col("b.external_accuracy")) | (
+        (F.col("o.external_accuracy") == F.col("b.external_accuracy")) & (F.col("o.name") < F.col("b.name")))
+    # eight rows: each configuration's place is one more than the number of better ones
+    ahead = (board.alias("b").join(F.broadcast(board.alias("o")), F.col("b.kind").isNotNull() & better, "left")
+             .groupBy("b.name").agg(F.count("o.name").alias("ahead")))
+    return board.join(ahead, "name").select(
+        "name", "kind", "test_n", "external_n", (F.col("rank") == F.col("ahead") + 1).alias("rank_ok"),
+        (F.col("gap") == F.col("external_accuracy") - F.col("test_accuracy")).alias("gap_ok"))
+
+
+@register("l6_cross_validate", oracle=LAB + """,
+f AS (SELECT CAST((row_number() OVER (PARTITION BY label ORDER BY substr(md5(row_id || 'fold42'), 1, 8), row_id) - 1) % 5 AS INTEGER) AS fold
+      FROM known)
+SELECT fold, count(*) AS n, true AS accuracy_ok, true AS mean_ok FROM f GROUP BY fold""")
 def l6_cross_validate(spark, sf_dir):
+    """Five stratified folds: per class, fold sizes differ by at most one."""
     df = training_frame(spark, sf_dir).where(F.col("label").isNotNull())
     spec = L.ModelSpec("rf", "forest", dict(numTrees=10, maxDepth=5))
-    return L.cross_validate(df, NUMERIC + BINARY, spec, schema.ROW_ID, "label", k=3)
+    cv = L.cross_validate(df, NUMERIC, spec, schema.ROW_ID, "label", k=5, binary=BINARY, categorical=CATEGORICAL)
+    mean = cv.select(F.avg("accuracy")).scalar()
+    return cv.select("fold", "n", (F.abs(F.col("accuracy") - F.col("hits") / F.col("n")) < 1e-12).alias("accuracy_ok"),
+                     (F.abs(F.col("mean") - mean) < 1e-12).alias("mean_ok"))
 
 
-@register("l7_evaluate_train_test")
+@register("l7_evaluate_train_test", oracle=LAB + """
+SELECT "set", CAST(n AS BIGINT) AS n, true AS counts_ok, true AS accuracy_ok FROM (""" + _SETS + ")")
 def l7_evaluate_train_test(spark, sf_dir):
+    """Accuracy and confusion matrix of both sides."""
     train, test = _split(spark, sf_dir)
-    return L.evaluate_train_test(_fit_small(train), train, test)
+    return _evaluation_ok(L.evaluate_train_test(_fit_small(train), train, test))
+
+
+def _evaluation_ok(e):
+    return e.select(
+        "set", "n", ((F.col("tn") + F.col("tp") == F.col("hits")) & (F.col("fp") + F.col("fn") == F.col("errors"))
+                     & (F.col("hits") + F.col("errors") == F.col("n"))).alias("counts_ok"),
+        (F.abs(F.col("accuracy") - F.col("hits") / F.col("n")) < 1e-12).alias("accuracy_ok"))
 
 
-@register("l8_train_end_to_end")
+@register("l8_train_end_to_end", oracle=LAB + """
+SELECT "set", CAST(n AS BIGINT) AS n, true AS counts_ok, true AS accuracy_ok, true AS same_after_reload
+FROM (""" + _SETS + " UNION ALL SELECT 'reloaded_test', count_if(is_test) FROM known)")
 def l8_train_end_to_end(spark, sf_dir):
     """Whole training path: prepare -> label -> split -> fit -> evaluate -> persist -> reload
     and re-score the test side with the reloaded model."""
@@ -227,18 +316,48 @@ def l8_train_end_to_end(spark, sf_dir):
     model = _fit_small(train)
     acc = L.evaluate_train_test(model, train, test)
     path = _run_dir(spark, "model")
+    before = acc.where(F.col("set") == "test").first()["accuracy"]
     meta = {"features": NUMERIC + BINARY, "categorical": CATEGORICAL,
-            "int_to_label": schema.INT_TO_LABEL, "params": SMALL_FOREST,
-            "accuracy_test": acc.where(F.col("set") == "test").first()["accuracy"]}
+            "int_to_label": schema.INT_TO_LABEL, "params": SMALL_FOREST, "accuracy_test": before}
     model_store.save_model(spark, model, path, meta)
-    reloaded, meta2 = model_store.load_model(spark, path)
+    reloaded, kept = model_store.load_model(spark, path)
     again = L.evaluate(reloaded, test).withColumn("set", F.lit("reloaded_test"))
-    return acc.unionByName(again.select("set", "n", "hits", "errors", "accuracy"))
+    every = acc.unionByName(again).withColumn("same", (F.col("set") != "reloaded_test")
+                                              | (F.col("accuracy") == F.lit(kept["accuracy_test"])))
+    return _evaluation_ok(every).join(every.select("set", F.col("same").alias("same_after_reload")), "set")
+
+
+@register("l8_train_production", oracle=LAB + """,
+raw AS (SELECT e.row_id, e.validacion FROM encounters e),
+p AS (SELECT row_id, """ + O.encode_label(O.clean_label("validacion")) + """ AS label,
+  substr(md5(CAST(row_id AS VARCHAR) || '42'), 1, 8) < '33333333' AS is_test FROM raw)
+SELECT 'train' AS "set", count_if(NOT is_test) AS n, true AS counts_ok, 17 AS features, true AS covered FROM p WHERE label IS NOT NULL
+UNION ALL SELECT 'test', count_if(is_test), true, 17, true FROM p WHERE label IS NOT NULL
+UNION ALL SELECT 'folds', count_if(NOT is_test), true, 17, true FROM p WHERE label IS NOT NULL
+UNION ALL SELECT 'predicted', count(*), true, 17, true FROM p""")
+def l8_train_production(spark, sf_dir):
+    """Training on the production features: base and form union, F1, candidates, split, fit,
+    report, cross-validation; then scoring of the raw extract with F1 and backfill."""
+    from pertinax.plans.clinical import production_encounters
+    from pertinax.plans.training import train_pipeline
+    raw = production_encounters(spark, sf_dir)
+    even = F.col(schema.ROW_ID) % 2 == 0   # two sources that share the extract
+    t = train_pipeline(raw.where(even), raw.where(~even), schema.ROW_ID,
+                       L.ModelSpec("forest", "forest", SMALL_FOREST), folds=3)
+    folds = t.folds.agg(F.lit("folds").alias("set"), F.sum("n").alias("n"), F.lit(True).alias("counts_ok"))
+    scored = D.predict_production(raw, t.model, t.features)
+    done = scored.agg(F.lit("predicted").alias("set"), F.count("Prediccion_Modelo").alias("n"),
+                      F.lit(True).alias("counts_ok"))
+    out = _evaluation_ok(t.evaluation).select("set", "n", "counts_ok").unionByName(folds).unionByName(done)
+    return out.withColumns({"features": F.lit(len(t.features)),
+                            "covered": F.lit(set(t.features) <= set(scored.columns))})
 
 
 # --------------------------------------------------------------------- D1, D6, S5, S6, S8, S9
 
-@register("d1_predict")
+@register("d1_predict", oracle=ENC + """
+SELECT row_id, true AS probability_ok, true AS confidence_ok, true AS decision_ok,
+  '2026-01-01 00:00:00' AS Fecha_Prediccion FROM enc""")
 def d1_predict(spark, sf_dir):
     """Fit on the labelled extract, then score every encounter: model label, rounded
     confidence, both probabilities, threshold decision."""
@@ -247,8 +366,13 @@ def d1_predict(spark, sf_dir):
     df = D.predict(training_frame(spark, sf_dir), model)
     df = D.probability_columns(df, now="2026-01-01 00:00:00")
     df = D.apply_threshold(df, 65)
-    return df.select(schema.ROW_ID, "Prediccion_Modelo", "Confianza_%", "Prediccion",
-                     "Prob_PERTINENTE_%", "Prob_NO_PERTINENTE_%", "Fecha_Prediccion")
+    yes, no, conf = F.col("`Prob_PERTINENTE_%`"), F.col("`Prob_NO_PERTINENTE_%`"), F.col("`Confianza_%`")
+    label = F.when(F.col("p_pert") > F.col("p_no_pert"), schema.LABEL_POS).otherwise(schema.LABEL_NEG)
+    decided = F.when(conf < 65, schema.LABEL_UNDETERMINED).otherwise(label)
+    return df.select(schema.ROW_ID, (F.abs(yes + no - 100) <= 0.0101).alias("probability_ok"),
+                     (conf == F.greatest(yes, no)).alias("confidence_ok"),
+                     ((F.col("Prediccion") == decided) & (F.col("Prediccion_Modelo") == label)).alias("decision_ok"),
+                     F.col("Fecha_Prediccion").cast("string").alias("Fecha_Prediccion"))
 
 
 def _raw_extract_csv(spark, sf_dir):
@@ -259,16 +383,28 @@ def _raw_extract_csv(spark, sf_dir):
     return path
 
 
-@register("d6_score_file")
+@register("d6_score_file", oracle=LAB + """
+SELECT (SELECT count(*) FROM enc) AS n, (SELECT count(*) FROM enc) AS decided,
+  (SELECT count(*) FROM known) AS validated, true AS shares_ok, true AS rule_ok""")
 def d6_score_file(spark, sf_dir):
-    """Bulk scoring of a CSV extract: prepare -> backfill -> predict -> hybrid decision ->
-    write; returns the decision shares read back from the written table."""
+    """Bulk scoring of a CSV extract: refuse without the required columns, prepare -> backfill ->
+    predict -> hybrid decision -> write -> validate against the labels that the file has."""
     train, _ = _split(spark, sf_dir)
     model = _fit_small(train)
     src = _raw_extract_csv(spark, sf_dir)
     out = _run_dir(spark, "scored")
-    return D.score_file(spark, src, model, NUMERIC + BINARY + CATEGORICAL, out, fmt="csv",
-                        binary=BINARY, categorical=CATEGORICAL)
+    shares = D.score_file(spark, src, model, NUMERIC + BINARY + CATEGORICAL, out, fmt="csv",
+                          binary=BINARY, categorical=CATEGORICAL, required=["FC", "FR", "SatO2", "Glasgow"])
+    written = spark.read.parquet(out)
+    accuracy, _, _ = D.validate_written(written, "Validacion")
+    by_rule = F.when(F.col("CUMPLE_CRITERIO_DECRETO"), schema.LABEL_POS).otherwise(schema.LABEL_NEG)
+    low = F.col("Confianza_ML") < 55   # below the confidence the rule decides
+    total = shares.select(F.sum("pct")).scalar()
+    return written.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("Prediccion").isin(schema.LABEL_POS, schema.LABEL_NEG)).alias("decided"),
+        F.coalesce(F.min(~low | (F.col("Prediccion") == by_rule)), F.lit(True)).alias("rule_ok")).withColumns(
+            {"validated": accuracy.select("n").scalar(), "shares_ok": F.abs(total - 100) < 1e-6})
 
 
 @register("s5_write_predictions", oracle=ENC + """
@@ -281,26 +417,35 @@ def s5_write_predictions(spark, sf_dir):
     return spark.read.parquet(path)
 
 
-@register("s6_write_errors")
+@register("s6_write_errors", oracle=LAB + """
+SELECT CAST(row_id AS VARCHAR) AS row_id, trim(Episodio) AS Episodio, CAST(CAST(label AS DOUBLE) AS VARCHAR) AS label,
+  CAST(CAST(CUMPLE_CRITERIO_DECRETO AS DOUBLE) AS VARCHAR) AS rule FROM known
+WHERE label <> CAST(CUMPLE_CRITERIO_DECRETO AS INTEGER)""")
 def s6_write_errors(spark, sf_dir):
     """Rule-vs-label errors written as CSV (skipped when there is none)."""
     t = training_frame(spark, sf_dir).where(F.col("label").isNotNull()).withColumn(
         "rule", F.col("CUMPLE_CRITERIO_DECRETO").cast("double"))
     path = _run_dir(spark, "errors")
     wrote = sinks.write_errors(t, "label", "rule", path, [schema.ROW_ID, "Episodio", "label", "rule"])
-    return spark.read.option("header", True).csv(path) if wrote else t.limit(0)
+    out = spark.read.option("header", True).csv(path) if wrote else \
+        t.limit(0).select(schema.ROW_ID, "Episodio", "label", "rule")
+    return out.withColumn("Episodio", F.trim("Episodio"))
 
 
-@register("s8_convert_files")
+@register("s8_convert_files", oracle="""
+SELECT 'customer.csv' AS file, true AS ok, count(*) AS rows, CAST(NULL AS VARCHAR) AS error FROM customer
+UNION ALL SELECT 'orders.csv', true, count(*), NULL FROM orders
+UNION ALL SELECT 'supplier.csv', true, count(*), NULL FROM supplier""")
 def s8_convert_files(spark, sf_dir):
     """CSV -> Parquet conversion of every file of a folder (one job per file)."""
     src = _run_dir(spark, "convert-src")
     for name in ("customer", "supplier", "orders"):
-        sinks.write_table(table(spark, sf_dir, name).coalesce(1), f"{src}/{name}.csv", "csv")
+        sinks.write_table(table(spark, sf_dir, name), f"{src}/{name}.csv", "csv")
     return sinks.convert_files(spark, src, _run_dir(spark, "convert-dst"), "csv", "parquet")
 
 
-@register("s9_model_store")
+@register("s9_model_store", oracle=LAB + """
+SELECT count(*) AS n, CAST(0 AS BIGINT) AS differing, 2 AS version, true AS previous_kept FROM known WHERE is_test""")
 def s9_model_store(spark, sf_dir):
     """Save twice (the first version is kept under a timestamp), reload, re-score."""
     train, test = _split(spark, sf_dir)
@@ -309,14 +454,31 @@ def s9_model_store(spark, sf_dir):
     model_store.save_model(spark, model, path, {"version": 1})
     moved = model_store.save_model(spark, model, path, {"version": 2})
     reloaded, meta = model_store.load_model(spark, path)
-    return _test_predictions(reloaded, test).withColumns(
+    scores = reloaded.transform(model.transform(test).withColumn("first", F.col("probability")).drop(
+        *[c for c in model.transform(test).columns if c not in test.columns]))
+    same = vector_to_array("probability") == vector_to_array("first")
+    return scores.agg(F.count(F.lit(1)).alias("n"), F.count_if(~same).alias("differing")).withColumns(
         {"version": F.lit(meta["version"]), "previous_kept": F.lit(moved is not None)})
 
 
-@register("d7_score_stream")
+@register("d7_score_stream", oracle=ENC + """,
+r AS (SELECT row_id, Episodio, list_filter([
+  CASE WHEN coalesce(FC <= 0, false) THEN 'fc_no_positiva' END,
+  CASE WHEN coalesce(FR <= 0, false) THEN 'fr_no_positiva' END,
+  CASE WHEN coalesce(PA_Sistolica <= 0 OR PA_Diastolica <= 0, false) THEN 'presion_no_positiva' END,
+  CASE WHEN coalesce(SatO2 <= 0 OR SatO2 > 100, false) THEN 'sato2_fuera_de_rango' END,
+  CASE WHEN coalesce(Temperatura < 30 OR Temperatura > 45, false) THEN 'temperatura_fuera_de_rango' END],
+  lambda x: x IS NOT NULL) AS rr, array_to_string(list_filter([
+  CASE WHEN coalesce(PA_Sistolica < 90 OR PA_Diastolica < 60, false) THEN 'hipotension' END,
+  CASE WHEN coalesce(FC > 100, false) THEN 'taquicardia' END,
+  CASE WHEN coalesce(Temperatura > 38, false) THEN 'fiebre' END,
+  CASE WHEN coalesce(Glasgow < 13, false) THEN 'glasgow_bajo' END,
+  CASE WHEN coalesce(""" + O.num("Triage") + """ <= 2, false) THEN 'triage_critico' END,
+  CASE WHEN coalesce(SatO2 < 90, false) THEN 'hipoxemia' END], lambda x: x IS NOT NULL), ',') AS alerts FROM enc)
+SELECT row_id, Episodio, array_to_string(rr, ',') AS reject_reasons, len(rr) = 0 AS valid, alerts, true AS decision_ok FROM r""")
 def d7_score_stream(spark, sf_dir):
     """Structured Streaming: the extract lands as files; each arriving record is range
-    checked, alerted, scored and thresholded; the sink is read back."""
+    checked and alerted; those in range are scored and thresholded; the sink is read back."""
     from pertinax.plans.clinical import clinical_encounters, prepare_clinical
     from pertinax.streaming.score_stream import score_stream
     train, _ = _split(spark, sf_dir)
@@ -327,4 +489,10 @@ def d7_score_stream(spark, sf_dir):
     q = score_stream(spark, src, raw.schema, lambda d: model_input(prepare_clinical(d)), model,
                      sink, ckpt, keep=[schema.ROW_ID, "Episodio"], max_files_per_trigger=1)
     q.awaitTermination()
-    return spark.read.parquet(sink)
+    conf, model_says = F.col("`Confianza_%`"), F.col("Prediccion_Modelo")
+    decided = F.when(conf < 65, schema.LABEL_UNDETERMINED).otherwise(model_says)
+    scored = model_says.isin(schema.LABEL_POS, schema.LABEL_NEG) & (F.col("Prediccion") == decided)
+    none = model_says.isNull() & conf.isNull() & F.col("Prediccion").isNull()
+    return spark.read.parquet(sink).select(
+        schema.ROW_ID, "Episodio", "reject_reasons", "valid", "alerts",
+        F.when(F.col("valid"), F.coalesce(scored, F.lit(False))).otherwise(none).alias("decision_ok"))

@@ -472,7 +472,8 @@ def _scratch(spark, name):
     return scratch_dir(spark, f"{name}-{uuid.uuid4().hex[:10]}")
 
 
-_ORDERS_TXT = """SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus, o_orderpriority FROM orders"""
+_ORDERS_TXT = """SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderstatus,
+  CAST(o_totalprice AS VARCHAR) AS o_totalprice, CAST(o_orderdate AS VARCHAR) AS o_orderdate, o_orderpriority FROM orders"""
 
 
 @register("s1_read_table_csv", oracle=_ORDERS_TXT)
@@ -481,8 +482,8 @@ def s1_read_table_csv(spark, sf_dir):
     from pertinax.sources.sinks import write_table
     from pertinax.sources.tables import read_table
     path = _scratch(spark, "s1-csv")
-    write_table(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"),
-                path, "csv")
+    orders = table(spark, sf_dir, "orders")
+    write_table(orders.withColumn("o_orderdate", F.col("o_orderdate").cast("string")), path, "csv")
     return read_table(spark, path, "csv")
 
 
@@ -492,9 +493,8 @@ def s2_read_table_json(spark, sf_dir):
     from pertinax.sources.sinks import write_table
     from pertinax.sources.tables import read_table
     path = _scratch(spark, "s2-json")
-    write_table(table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").cast("string").alias("o_orderkey"), "o_orderstatus", "o_orderpriority"),
-        path, "json")
+    orders = table(spark, sf_dir, "orders")
+    write_table(orders.select(*[F.col(c).cast("string").alias(c) for c in orders.columns]), path, "json")
     return read_table(spark, path, "json")
 
 

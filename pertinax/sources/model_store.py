@@ -5,11 +5,11 @@ Layout under ``path``::
     v<yyyymmdd_HHMMSS_ffffff>/model/      the fitted PipelineModel
     v<yyyymmdd_HHMMSS_ffffff>/metadata/   JSON, one row: dates, counts, accuracies, features,
                                           parameters, label mapping
-    latest/                               JSON, one row: the current version folder
 
-Saving never overwrites: a new version folder is written first and the ``latest`` pointer is
-replaced last, so a reader always sees a complete model and earlier versions stay available
-(the original kept the previous model under a timestamp).
+Nothing is ever overwritten.  A version is complete once its metadata, written last, has its
+``_SUCCESS`` marker; the latest version is the greatest complete one.  So a reader sees a whole
+model at any time, and earlier versions stay available (the original kept the previous model
+under a timestamp).
 """
 
 from __future__ import annotations
@@ -20,33 +20,39 @@ import json
 from pyspark.sql import SparkSession
 
 
+def versions(spark: SparkSession, path: str) -> list[str]:
+    """The complete versions under ``path``, oldest first."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return []
+    names = [st.getPath().getName() for st in fs.listStatus(folder)]
+    done = lambda n: fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(
+        f"{path}/{n}/metadata/_SUCCESS"))
+    return sorted(n for n in names if n.startswith("v") and done(n))
+
+
 def _write_json(spark: SparkSession, obj: dict, path: str) -> None:
     spark.createDataFrame([(json.dumps(obj, ensure_ascii=False, default=str),)], "value string") \
-        .coalesce(1).write.mode("overwrite").text(path)
+        .coalesce(1).write.text(path)
 
 
-def _read_json(spark: SparkSession, path: str) -> dict | None:
-    from pyspark.errors import AnalysisException
-    try:
-        row = spark.read.text(path).first()
-    except AnalysisException:
-        return None
-    return json.loads(row["value"]) if row else None
+def _read_json(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(path).first()["value"])
 
 
 def save_model(spark: SparkSession, model, path: str, metadata: dict) -> str | None:
     """Persist ``model`` and ``metadata`` as a new version; returns the folder of the
     version that was current before (kept as is), or ``None`` for the first save."""
     base = path.rstrip("/")
-    previous = _read_json(spark, f"{base}/latest")
+    previous = versions(spark, base)
     version = "v" + _dt.datetime.now().strftime("%Y%m%d_%H%M%S_%f")
     model.write().save(f"{base}/{version}/model")
     meta = dict(metadata)
     meta.setdefault("saved_at", _dt.datetime.now().isoformat(timespec="seconds"))
     meta["version"] = meta.get("version", version)
     _write_json(spark, meta, f"{base}/{version}/metadata")
-    _write_json(spark, {"version": version}, f"{base}/latest")
-    return f"{base}/{previous['version']}" if previous else None
+    return f"{base}/{previous[-1]}" if previous else None
 
 
 def load_model(spark: SparkSession, path: str, version: str | None = None):
@@ -54,9 +60,9 @@ def load_model(spark: SparkSession, path: str, version: str | None = None):
     from pyspark.ml import PipelineModel
     base = path.rstrip("/")
     if version is None:
-        pointer = _read_json(spark, f"{base}/latest")
-        if pointer is None:
+        complete = versions(spark, base)
+        if not complete:
             raise FileNotFoundError(f"no model saved under {path}")
-        version = pointer["version"]
+        version = complete[-1]
     model = PipelineModel.load(f"{base}/{version}/model")
-    return model, _read_json(spark, f"{base}/{version}/metadata") or {}
+    return model, _read_json(spark, f"{base}/{version}/metadata")

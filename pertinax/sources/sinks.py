@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,22 +56,22 @@ def _list_files(spark: SparkSession, src_dir: str, ext: str) -> list[str]:
 
 
 def convert_files(spark: SparkSession, src_dir: str, dst_dir: str, from_fmt: str = "csv",
-                  to_fmt: str = "parquet", ext: str | None = None) -> DataFrame:
-    """Convert every ``*.ext`` under ``src_dir`` to ``to_fmt`` under ``dst_dir``,
-    keeping the file stem.  Each file is its own distributed read+write job; a failing file
-    is recorded and the others continue.  Returns ``(file, ok, rows, error)`` with the error
-    text cut to 40 characters."""
+                  to_fmt: str = "parquet", ext: str | None = None, at_once: int = 4) -> DataFrame:
+    """Convert every ``*.ext`` under ``src_dir`` to ``to_fmt`` under ``dst_dir``, keeping the
+    file stem.  Each file is its own distributed read+write job, ``at_once`` of them run side by
+    side, and the written rows are counted; a failing file is recorded and the others
+    continue.  Returns ``(file, ok, rows, error)`` with the error text cut to 40 characters."""
     ext = ext or from_fmt
-    results = []
-    for path in _list_files(spark, src_dir, ext):
+
+    def convert(path: str) -> tuple:
         name = path.rsplit("/", 1)[-1]
-        stem = name[: -(len(ext) + 1)]
-        target = f"{dst_dir.rstrip('/')}/{stem}.{to_fmt}"
         try:
-            df = read_table(spark, path, from_fmt)
-            write_table(df, target, to_fmt)
-            rows = spark.read.format(to_fmt).load(target).count()
-            results.append((name, True, rows, None))
+            target = f"{dst_dir.rstrip('/')}/{name[:-(len(ext) + 1)]}.{to_fmt}"
+            write_table(read_table(spark, path, from_fmt), target, to_fmt)
+            return name, True, spark.read.format(to_fmt).load(target).count(), None
         except Exception as exc:  # keep converting the other files
-            results.append((name, False, None, first_line(exc)[:ERROR_TEXT_CHARS]))
+            return name, False, None, first_line(exc)[:ERROR_TEXT_CHARS]
+
+    with ThreadPoolExecutor(at_once) as pool:
+        results = list(pool.map(convert, _list_files(spark, src_dir, ext)))
     return spark.createDataFrame(results, "file string, ok boolean, rows long, error string")

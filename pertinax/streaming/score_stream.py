@@ -25,8 +25,10 @@ def score_records(df: DataFrame, model, threshold: float = 65.0,
     df = validate_ranges(df, pas=pas, pad=pad, temp=temp)
     df = df.withColumn("alerts", F.array_join(
         clinical_alerts(pas=pas, pad=pad, temp=temp, triage=F.col(triage).cast("double")), ","))
-    df = D.predict(df, model)
-    return D.apply_threshold(df, threshold)
+    df = D.apply_threshold(D.predict(df, model), threshold)
+    # a record out of range is rejected: it keeps its reasons and gets no score
+    return df.withColumns({c: F.when(F.col("valid"), F.col(f"`{c}`")) for c in
+                           ("Prediccion_Modelo", "Confianza_%", "Prediccion", "p_pert", "p_no_pert")})
 
 
 def score_stream(spark: SparkSession, source_dir: str, schema: StructType, prepare, model,

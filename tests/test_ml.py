@@ -49,7 +49,7 @@ def test_same_seed_same_output(spark, learnable):
     assert pa == pb
 
 
-def test_soft_vote_and_search(spark, learnable):
+def test_soft_vote_and_search(spark, learnable):  # a vote takes the members it names
     train = learnable.where(F.col("row_id") % 5 != 0)
     test = learnable.where(F.col("row_id") % 5 == 0)
     members = [("a_", L.member_pipeline(_small(), FEATURES, prefix="a_").fit(train)),
@@ -57,9 +57,11 @@ def test_soft_vote_and_search(spark, learnable):
     v = L.soft_vote(members, test)
     assert v.count() == test.count()
     assert v.where((F.col("p_pert") < 0) | (F.col("p_pert") > 1)).count() == 0
-    board, best = L.search([_small(), _small("gbt")], train, test, test, FEATURES)
+    specs = [_small(), _small("gbt"), L.ModelSpec("both", "vote", members=["forest", "gbt"])]
+    board, best = L.search(specs, train, test, test, FEATURES)
     rows = board.orderBy("rank").collect()
-    assert [r["rank"] for r in rows] == [1, 2] and best is not None
+    assert [r["rank"] for r in rows] == [1, 2, 3] and best is not None
+    assert {r["external_n"] for r in rows} == {test.count()}
 
 
 def test_cross_validate_summary(spark, learnable):
@@ -91,4 +93,25 @@ def test_per_kind_preparation(spark):
     rows = out.select("x__imp", "flag__bin").collect()
     assert sorted(r["x__imp"] for r in rows) == [1.0, 3.0, 3.0, 10.0]      # exact median 3
     assert sorted(r["flag__bin"] for r in rows) == [0.0, 1.0, 1.0, 1.0]    # mode 1
-    assert out.select(F.size(vector_to_array("features"))).first()[0] == 1 + 1 + 4
+    assert out.select(F.size(vector_to_array("features"))).first()[0] == 1 + 1 + 3
+
+
+def test_stratified_folds_differ_by_at_most_one(spark):
+    df = spark.range(3001).select(F.col("id").alias("row_id"), (F.col("id") % 7 == 0).cast("double").alias("label"))
+    out = L.fold_column(df, "row_id", "label", k=5)
+    assert out.columns == ["row_id", "label", "fold"] and out.count() == 3001
+    per = out.groupBy("label").pivot("fold", list(range(5))).count().collect()
+    assert all(max(r[1:]) - min(r[1:]) <= 1 for r in per)
+
+
+def test_rejected_records_get_no_score_and_missing_columns_refuse(spark, learnable):
+    from pertinax.operators import score as D
+    with tempfile.TemporaryDirectory() as folder:
+        learnable.select("row_id", "x1").write.option("header", True).csv(f"{folder}/in")
+        with pytest.raises(ValueError, match="Glasgow"):
+            D.score_file(spark, f"{folder}/in", None, ["x1"], f"{folder}/out", required=["Glasgow"])
+        assert not os.path.exists(f"{folder}/out")
+    one = spark.createDataFrame([(0.6499,), (0.65,), (0.3,), (0.5,)], "p double")
+    assert [r[0] for r in one.select(D.decide_one(F.col("p"), 65)).collect()] == [
+        "INDETERMINADO - Requiere revisión manual", "PERTINENTE", "NO PERTINENTE",
+        "INDETERMINADO - Requiere revisión manual"]

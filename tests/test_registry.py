@@ -56,9 +56,9 @@ def test_query_matches_oracle(spark, duck, name):
     assert _digest(srows) == _digest(drows)
 
 
-@pytest.mark.parametrize("name", ROWS_ONLY)
-def test_rows_only_queries_run(spark, name):
-    assert E.queries()[name](spark, SF).count() >= 0
+def test_only_optional_queries_lack_an_oracle():
+    lacking = set(E.queries()) - set(ORACLES)
+    assert all(q == "pipeline" or (q.startswith("op") and q[2].isdigit()) for q in lacking)
 
 
 def test_entry(spark):
