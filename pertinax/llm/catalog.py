@@ -104,6 +104,43 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir)).drop("spans")
 
 
+def _op10_sql() -> str:
+    """The votes, spans and labels of the scan; grams are compared as strings."""
+    templates = license_scan.PHRASES + license_scan.NOTICES
+    grams, facts = [], []
+    for i, t in enumerate(templates):
+        words = license_scan.template_words(t.text)
+        own = [" ".join(words[k:k + 3]) for k in range(len(words) - 2)]
+        grams += [f"({i}, {k}, '{g}')" for k, g in enumerate(own)]
+        facts.append(f"({i}, '{t.label}', {t.exact}, {len(words)}, {sum(1 << k for k, g in enumerate(own) if g == t.key)})")
+    covered = "bit_count({0} | ({0} << 1) | ({0} << 2))"
+    return rf"""
+WITH t(template, spot, gram) AS (VALUES {", ".join(grams)}),
+f(template, label, exact, n, key) AS (VALUES {", ".join(facts)}),
+w AS (SELECT doc_id, regexp_extract_all({LOWER_ASCII}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+g AS (SELECT doc_id, i, ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3] AS gram
+      FROM (SELECT doc_id, ws, unnest(range(len(ws) - 2)) AS i FROM w)),
+v AS (SELECT doc_id, template, i - spot AS diagonal, bit_or(CAST(1 AS BIGINT) << spot) AS mask, min(i) AS first, max(i) + 2 AS last
+      FROM g JOIN t USING (gram) GROUP BY ALL),
+s AS (SELECT v.*, label, exact, n, key, CASE WHEN NOT exact AND diagonal - lag(diagonal) OVER p <= 4 THEN 0 ELSE 1 END AS start
+      FROM v JOIN f USING (template) WINDOW p AS (PARTITION BY doc_id, template ORDER BY diagonal)),
+p AS (SELECT *, sum(start) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM s),
+m AS (SELECT doc_id, label, exact, n, key, bool_or(bit_count(mask) = n - 2) AS whole, bit_or(mask) AS mask,
+             max({covered.format("mask")}) AS alone, min(first) AS first, max(last) AS last
+      FROM p GROUP BY doc_id, template, label, exact, n, key, span),
+c AS (SELECT *, greatest(alone, CASE WHEN last - first + 1 <= n * 1.5 THEN {covered.format("mask")} ELSE 0 END) / CAST(n AS DOUBLE) AS coverage FROM m),
+r AS (SELECT *, exact AND whole AS base, CASE WHEN exact THEN whole ELSE mask & key = key AND coverage >= 0.8 END AS verified FROM c)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+FROM w LEFT JOIN (
+  SELECT doc_id, count_if(base) AS n_base, CAST(min(first) FILTER (WHERE base) AS BIGINT) AS first_word,
+         CAST(max(first) FILTER (WHERE base) AS BIGINT) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE verified) AS labels,
+         max(coverage) FILTER (WHERE verified) AS score FROM r GROUP BY doc_id) USING (doc_id)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_simhash_dedup": op2_simhash_dedup,
@@ -121,4 +158,5 @@ ORACLES: dict[str, str] = {
     "op5_exact_top_k": OP5_SQL,
     "op8_exact_dedup": OP8_SQL,
     "op9_mix_sources": OP9_SQL,
+    "op10_license_scan": _op10_sql(),
 }
