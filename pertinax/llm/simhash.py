@@ -186,15 +186,26 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
              max_bits: int = MAX_BITS) -> DataFrame:
     """``docs`` with one row of each component (its smallest doc_id, null last; of rows equal in
-    id and text, one), all columns kept."""
+    id and text, one), all columns kept.
+
+    The rows that something happens to are written as a narrow table.  Spark broadcasts it if its
+    size allows, so that most texts are not shuffled, and joins by shuffle if not."""
     found = report(docs, id_col, text_col, shingle, max_bits)
+    keys = found.groupBy("component", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("copies"))
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"))
-    kept = found.groupBy("component").agg(F.min(order).alias("least")).select(
-        F.col("least.doc_id").alias("kept_id"), F.col("least.text_hash").alias("kept_hash"))
+    best = keys.groupBy("component").agg(F.min(order).alias("least"))
+    touched = keys.join(best, "component").select(
+        F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash"), "copies",
+        order.eqNullSafe(F.col("least")).alias("kept"))
+    touched = written(touched.where(~F.col("kept") | (F.col("copies") > 1)), "near-copies")
     text_hash, tie, rank = fresh(docs, "text_hash", "tie", "rank")
-    rows = docs.withColumn(text_hash, F.xxhash64(col(text_col))).withColumn(tie, tie_break(docs))
-    rows = rows.join(kept, col(id_col).eqNullSafe(kept["kept_id"]) & (col(text_hash) == kept["kept_hash"]),
-                     "left_semi")
+    rows = docs.withColumn(text_hash, F.xxhash64(col(text_col)))
+
+    def joined(table: DataFrame, how: str) -> DataFrame:
+        return rows.join(table, col(id_col).eqNullSafe(table["of_id"]) & (col(text_hash) == table["of_hash"]), how)
+
     once = Window.partitionBy(col(id_col), col(text_hash)).orderBy(col(tie))
-    return rows.withColumn(rank, F.row_number().over(once)).where(col(rank) == 1).select(
-        *[col(c) for c in docs.columns])
+    repeated = joined(touched.where("kept"), "left_semi").withColumn(tie, tie_break(docs))
+    repeated = repeated.withColumn(rank, F.row_number().over(once)).where(col(rank) == 1)
+    columns = [col(c) for c in docs.columns]
+    return joined(touched, "left_anti").select(*columns).unionAll(repeated.select(*columns))
