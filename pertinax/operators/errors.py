@@ -74,9 +74,16 @@ def validate_scored(pred: DataFrame, truth: DataFrame, real: str, decision: str,
 
     Labels are compared after trim + upper on both sides.
     """
-    j = pred.join(truth.select(row_id, real).where(F.col(real).isNotNull()), row_id)
-    j = j.withColumns({"__real": F.upper(strip_ws(F.col(real))),
-                       "__pred": F.upper(strip_ws(F.col(decision)))})
+    return validate_rows(pred.join(truth.select(row_id, real), row_id), real, decision, rule)
+
+
+def validate_rows(scored: DataFrame, real: str, decision: str = "Prediccion",
+                  rule: str = "CUMPLE_CRITERIO_DECRETO"):
+    """E6 where truth and decision stand on the same row: nothing is joined.  Rows whose truth is
+    null are left out."""
+    j = scored.withColumns({"__real": F.upper(strip_ws(F.col(real))),
+                            "__pred": F.upper(strip_ws(F.col(decision)))})
+    j = j.where(F.col("__real").isNotNull())
     return (M.accuracy(j, "__real", "__pred"),
             M.accuracy_by_origin(j, "__real", "__pred", rule),
             M.accuracy_by_label(j, "__real", "__pred").withColumnRenamed("__real", "real"))

@@ -152,20 +152,6 @@ def score_file(spark, path: str, model, features: list[str], out_path: str,
     return decision_shares(spark.read.format(out_fmt).load(out_path))
 
 
-def validate_written(scored: DataFrame, real: str, decision: str = "Prediccion",
-                     rule: str = "CUMPLE_CRITERIO_DECRETO"):
-    """E6 on a scored table that repeats its true labels: accuracy, by origin and by label over
-    the labelled rows.  Truth and decision stand on the same row, so nothing is joined."""
-    from pertinax.functions.clean import strip_ws
-    from pertinax.operators import metrics as M
-    from pertinax.operators.project import clean_label
-    j = scored.withColumns({"__real": F.upper(strip_ws(clean_label(real))),
-                            "__pred": F.upper(strip_ws(F.col(decision)))})
-    j = j.where(F.col("__real").isin(schema.LABEL_POS, schema.LABEL_NEG))
-    return (M.accuracy(j, "__real", "__pred"), M.accuracy_by_origin(j, "__real", "__pred", rule),
-            M.accuracy_by_label(j, "__real", "__pred").withColumnRenamed("__real", "real"))
-
-
 def model_label_from_prob(p_pert: Column | str) -> Column:
     """Label from P(PERTINENTE): ties (0.5) go to class 0, like argmax."""
     return F.when(col(p_pert) > 0.5, F.lit(schema.LABEL_POS)).otherwise(F.lit(schema.LABEL_NEG))

@@ -292,10 +292,8 @@ def e5_correct_contrast(spark, sf_dir):
 
 def _e6(spark, sf_dir):
     s = labelled_scores(spark, sf_dir)
-    pred = D.hybrid_decision(s).select(schema.ROW_ID, "Prediccion", "CUMPLE_CRITERIO_DECRETO")
-    truth = s.where(F.col("Resolucion").isNotNull() & encode_label("Resolucion").isNotNull()) \
-        .select(schema.ROW_ID, "Resolucion")
-    return E.validate_scored(pred, truth, "Resolucion", "Prediccion")
+    labelled = D.hybrid_decision(s.where(encode_label("Resolucion").isNotNull()))
+    return E.validate_rows(labelled, "Resolucion", "Prediccion")
 
 
 _E6 = _D4_SQL + """,

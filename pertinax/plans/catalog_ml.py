@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 
 from pertinax import schema
 from pertinax.functions.features import ALERT_COLUMNS
+from pertinax.operators import errors as E
 from pertinax.operators import models as L
 from pertinax.operators import prep
 from pertinax.operators import score as D
-from pertinax.operators.project import encode_label
+from pertinax.operators.project import clean_label, encode_label
 from pertinax.plans import oracle as O
 from pertinax.plans.clinical import prepared_encounters
 from pertinax.plans.fixture import FIXTURE_SCORE_SQL
@@ -396,7 +397,9 @@ def d6_score_file(spark, sf_dir):
     shares = D.score_file(spark, src, model, NUMERIC + BINARY + CATEGORICAL, out, fmt="csv",
                           binary=BINARY, categorical=CATEGORICAL, required=["FC", "FR", "SatO2", "Glasgow"])
     written = spark.read.parquet(out)
-    accuracy, _, _ = D.validate_written(written, "Validacion")
+    truth = F.upper(F.trim(clean_label("Validacion")))
+    labelled = written.withColumn("truth", F.when(truth.isin(schema.LABEL_POS, schema.LABEL_NEG), truth))
+    accuracy, _, _ = E.validate_rows(labelled, "truth")
     by_rule = F.when(F.col("CUMPLE_CRITERIO_DECRETO"), schema.LABEL_POS).otherwise(schema.LABEL_NEG)
     low = F.col("Confianza_ML") < 55   # below the confidence the rule decides
     total = shares.select(F.sum("pct")).scalar()

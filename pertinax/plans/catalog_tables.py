@@ -97,6 +97,14 @@ def j4_attach_scores(spark, sf_dir):
                            ["pred", "conf"])
 
 
+@register("j4_attach_labels", oracle="""
+SELECT d.doc_id, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)""")
+def j4_attach_labels(spark, sf_dir):
+    """J4 on two tables: labels written back on their documents by row identity."""
+    return J.attach_scores(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"),
+                           ["quality", "toxic"], row_id="doc_id")
+
+
 @register("j5_value_lookup", oracle="""
 SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'final' WHEN 'O' THEN 'open' END AS status_text
 FROM orders""")
@@ -113,6 +121,14 @@ def j6_restrict_to_labelled(spark, sf_dir):
                                   label="real")
 
 
+@register("j6_labelled_documents", oracle="""
+SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality IS NOT NULL)""")
+def j6_labelled_documents(spark, sf_dir):
+    """J6 on two tables: the documents that have a label."""
+    return J.restrict_to_labelled(table(spark, sf_dir, "documents").select("doc_id", "lang"),
+                                  table(spark, sf_dir, "labels"), row_id="doc_id", label="quality")
+
+
 # --------------------------------------------------------------------- A1–A12
 
 @register("a1_class_distribution", oracle="""

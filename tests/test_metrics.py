@@ -97,3 +97,16 @@ def test_score_summary_and_errors(spark):
     assert (e["false_pos"], e["false_neg"], e["correct"]) == (1, 1, 1)
     errs = E.errors(df, "ep", "real", "Prediccion").collect()
     assert sorted(r["ep"] for r in errs) == ["B", "C", "D"]
+
+
+def test_validate_scored_joins_the_truth_of_another_table(spark):
+    from pertinax.operators import errors as ER
+    pred = spark.createDataFrame([(1, "PERTINENTE", True), (2, "NO PERTINENTE", False), (3, "PERTINENTE", False)],
+                                 "row_id long, Prediccion string, CUMPLE_CRITERIO_DECRETO boolean")
+    truth = spark.createDataFrame([(1, "\tpertinente "), (2, "PERTINENTE"), (3, None), (4, "PERTINENTE")],
+                                  "row_id long, real string")
+    acc, origin, label = ER.validate_scored(pred, truth, "real", "Prediccion")
+    r = acc.first()
+    assert (r["n"], r["hits"], r["errors"], r["accuracy"]) == (2, 1, 1, 0.5)
+    assert {x["origin"]: (x["n"], x["hits"]) for x in origin.collect()} == {"decree": (1, 1), "model": (1, 0)}
+    assert [(x["real"], x["cases"], x["hits"]) for x in label.collect()] == [("PERTINENTE", 2, 1)]
