@@ -16,6 +16,7 @@ from pertinax.functions.clean import normalize_name, plain_key, to_number
 from pertinax.operators import order, stats
 
 YES_NO_TOKENS = ["si", "sí", "no", "s", "n"]
+NUMBER_TYPES = {"tinyint", "smallint", "int", "bigint", "float", "double"}
 LABEL_COLUMNS = ["VALIDACIÓN", "Validacion", "validacion", "PERTINENTE"]
 
 
@@ -65,17 +66,24 @@ def _names_matched(spark: SparkSession, names: list[str]) -> set[str]:
 def _contents(df: DataFrame, source: str, matched: set[str]) -> DataFrame:
     """One wide aggregate: per column its counts, and for columns that no name matched the
     number of unparsable values, the range and whether yes/no or label words occur."""
-    aggs, rows = [F.count(F.lit(1)).alias("t")], []
+    aggs, rows, kinds = [F.count(F.lit(1)).alias("t")], [], dict(df.dtypes)
     for i, c in enumerate(df.columns):
-        text = F.col(f"`{c}`").cast("string")
+        text = F.col(f"`{c}`") if kinds[c] in NUMBER_TYPES else F.col(f"`{c}`").cast("string")
         aggs.append(F.count(text).alias(f"n{i}"))
         facts = {"non_num": F.lit(0).cast("long"), "min": F.lit(None).cast("double"),
                  "max": F.lit(None).cast("double"), "yes": F.lit(False), "label": F.lit(False)}
         if c not in matched:
-            num = to_number(text)
+            kind = kinds[c]
+            if kind in NUMBER_TYPES or kind.startswith("decimal"):   # typed: nothing to parse
+                value = F.col(f"`{c}`").cast("double")
+                num, yes, label = F.when(F.abs(value) < float("inf"), value), F.lit(False), F.lit(False)
+            elif kind in ("date", "timestamp", "timestamp_ntz", "boolean"):
+                num, yes, label = F.lit(None).cast("double"), F.lit(False), F.lit(False)
+            else:
+                num, yes = to_number(text), F.lower(text).isin(*YES_NO_TOKENS)
+                label = F.upper(text).contains("PERTINENTE")
             aggs += [F.count_if(text.isNotNull() & num.isNull()).alias(f"x{i}"), F.min(num).alias(f"lo{i}"),
-                     F.max(num).alias(f"hi{i}"), F.max(F.lower(text).isin(*YES_NO_TOKENS)).alias(f"y{i}"),
-                     F.max(F.upper(text).contains("PERTINENTE")).alias(f"l{i}")]
+                     F.max(num).alias(f"hi{i}"), F.max(yes).alias(f"y{i}"), F.max(label).alias(f"l{i}")]
             facts = {"non_num": F.col(f"x{i}"), "min": F.col(f"lo{i}"), "max": F.col(f"hi{i}"),
                      "yes": F.coalesce(F.col(f"y{i}"), F.lit(False)),
                      "label": F.coalesce(F.col(f"l{i}"), F.lit(False))}
@@ -99,8 +107,8 @@ def column_profiles(sources: dict[str, DataFrame]) -> DataFrame:
     spark = next(iter(sources.values())).sparkSession
     keys = ["source", "column"]
     parts, hinted = [], {}
+    matched = _names_matched(spark, sorted({c for df in sources.values() for c in df.columns}))
     for name, df in sources.items():
-        matched = _names_matched(spark, df.columns)
         hinted[name] = [c for c in _needs_median(df.columns) if c not in matched]
         parts.append(_contents(df, name, matched))
     facts = parts[0]
