@@ -2,16 +2,22 @@
 
 The patterns (email, ip, card, phone) find the protected entities.  A term that stands near the
 same entity again and again tells who or what it is even after the entity is masked.  How much it
-tells is estimated from the corpus: with ``n_te`` co-occurrences of term and entity (in a window
-of WINDOW words to each side), ``n_t`` occurrences of the term anywhere, ``n_e`` terms in all
-windows of the entity and ``N`` words in all,
+tells is estimated from the corpus: with ``n_te`` documents in which the term stands near the
+entity (in a window of WINDOW words to each side), ``n_t`` documents that hold the term anywhere,
+``n_e`` terms in all windows of the entity and ``N`` words in all,
 
     disclosure = log2(n_te * N / (n_t * n_e)) / log2(N / n_e)
 
 is the pointwise mutual information of the two as a share of the entity's own information: 1 if
-the term occurs with the entity only, 0 if it is independent of it.  Terms of at least MIN_CONTEXTS
-different windows of an entity whose disclosure reaches GENERALISE are generalised wherever they
-stand in the corpus, those that reach REMOVE are removed.
+the term occurs with the entity only, 0 if it is independent of it.  Documents are counted, so a
+name that a document uses often and puts beside its entity once still tells all, and a signature
+counts as often as it was copied.  Every pair of entity and term is scored.  It counts unless it may
+be chance: that a term of ``n_t`` documents meets the entity in ``n_te`` of them, at the rate
+``q = n_e / N`` of the entity's windows among all words, has a probability of at most
+``2 ** (-n_t * KL(n_te / n_t, q))`` (Chernoff's bound), which has to be CHANCE or less.  One meeting
+of a term that occurs nowhere else is enough where ``q`` is CHANCE or less.  Terms whose disclosure
+reaches GENERALISE are generalised wherever they stand in the corpus, those that reach REMOVE are
+removed.
 
 Three scans of the texts: windows of the mentions; occurrences of the terms that can still reach
 a threshold; spans.  Terms travel to the tasks as a bit map of fixed size (2^MAP_BITS hashes), so
@@ -44,10 +50,11 @@ from pertinax.session import written
 WINDOW = 8
 #: Characters that are searched for the window's words, to each side.
 REACH = 200
-MIN_CONTEXTS = 3
 MIN_LETTERS = 3
 GENERALISE = 0.95
 REMOVE = 0.98
+#: Greatest probability of a pair by chance.
+CHANCE = 0.01
 MAP_BITS = 24
 KINDS = ("email", "ip", "card", "phone")
 
@@ -146,27 +153,29 @@ def _texts(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def co_occurrences(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``entity, term, n_te, contexts`` over all mentions; ``contexts``: different windows."""
+    """``entity, term, n_te, n_words`` over all mentions: documents, and words in the windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, texts in slices(batch):
-                found: Counter = Counter()
+                found: dict[tuple[int, str], list[int]] = {}
                 for text in texts:
-                    spans = base_spans(text)
+                    spans, near = base_spans(text), Counter()
                     for kind, a, b in spans:
-                        near = window(text, a, b, spans)
-                        context = term_hash(" ".join(near))
                         who = entity(kind, text[a:b])
-                        found.update((who, t, context) for t in near)
+                        near.update((who, t) for t in window(text, a, b, spans))
+                    for pair, n in near.items():
+                        seen = found.setdefault(pair, [0, 0])
+                        seen[0] += 1
+                        seen[1] += n
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([k[0] for k in found], pa.int64()), pa.array([k[1] for k in found], pa.string()),
-                     pa.array([k[2] for k in found], pa.int64()), pa.array(found.values(), pa.int64())],
-                    names=["entity", "term", "context", "n"])
+                     pa.array([n[0] for n in found.values()], pa.int64()),
+                     pa.array([n[1] for n in found.values()], pa.int64())],
+                    names=["entity", "term", "docs", "words"])
 
-    seen = map_batches(_texts(docs, text_col), run, "entity long, term string, context long, n long")
-    return (seen.groupBy("entity", "term", "context").agg(F.sum("n").alias("n"))
-            .groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count(F.lit(1)).alias("contexts")))
+    seen = map_batches(_texts(docs, text_col), run, "entity long, term string, docs long, words long")
+    return seen.groupBy("entity", "term").agg(F.sum("docs").alias("n_te"), F.sum("words").alias("n_words"))
 
 
 def term_map(table: DataFrame) -> np.ndarray:
@@ -196,36 +205,41 @@ class Wanted(dict):
 
 
 def occurrences(docs: DataFrame, bits: np.ndarray, text_col: str = "text") -> DataFrame:
-    """``term, n_t`` of the terms in the map over all texts, and all words under a null term."""
+    """``term, n_t``: documents of each term in the map, and all words under a null term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = Wanted(bits)
         for batch in batches:
             for _, texts in slices(batch):
-                found: Counter = Counter()
+                found, total = Counter(), 0
                 for text in texts:
-                    found.update(terms(text))
+                    words = terms(text)
+                    total += len(words)
+                    found.update(set(words))
                 kept = [t for t in found if wanted[t]]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([*kept, None], pa.string()),
-                     pa.array([*(found[t] for t in kept), found.total()], pa.int64())], names=["term", "n"])
+                     pa.array([*(found[t] for t in kept), total], pa.int64())], names=["term", "n"])
 
     return (map_batches(_texts(docs, text_col), run, "term string, n long")
             .groupBy("term").agg(F.sum("n").alias("n_t")))
 
 
-def disclosing_terms(docs: DataFrame, text_col: str = "text", min_contexts: int = MIN_CONTEXTS,
-                     threshold: float = GENERALISE) -> DataFrame:
+def disclosing_terms(docs: DataFrame, text_col: str = "text", threshold: float = GENERALISE) -> DataFrame:
     """``term, disclosure`` of the terms that reach the threshold for some entity; written."""
     pairs = written(co_occurrences(docs, text_col), "pii-pairs")
-    sizes = pairs.groupBy("entity").agg(F.sum("n_te").alias("n_e"))
-    candidates = pairs.where(F.col("contexts") >= min_contexts)
-    counts = written(occurrences(docs, term_map(candidates), text_col), "pii-terms")
+    sizes = pairs.groupBy("entity").agg(F.sum("n_words").alias("n_e"))
+    counts = written(occurrences(docs, term_map(pairs), text_col), "pii-terms")
     total = counts.where(F.col("term").isNull()).agg(F.sum("n_t").alias("n")).scalar()
-    scored = candidates.join(counts, "term").join(sizes, "entity").withColumn("n", total)
+    scored = pairs.join(counts, "term").join(sizes, "entity").withColumn("n", total)
     own = F.when(F.col("n_e") < F.col("n"), F.log2(F.col("n") / F.col("n_e")))
-    share = F.least(F.lit(1.0), F.log2(F.col("n_te") * F.col("n") / (F.col("n_t") * F.col("n_e"))) / own)
-    table = scored.groupBy("term").agg(F.max(share).alias("disclosure")).where(F.col("disclosure") >= threshold)
+    p, q = F.col("n_te") / F.col("n_t"), F.col("n_e") / F.col("n")
+    share = F.least(F.lit(1.0), F.log2(p / q) / own)
+    bits = F.col("n_te") * F.log2(p / q) + F.when(
+        p < 1, (F.col("n_t") - F.col("n_te")) * F.log2((1 - p) / (1 - q))).otherwise(0.0)
+    sure = (p > q) & (bits >= -np.log2(CHANCE).item())
+    table = scored.where(sure).groupBy("term").agg(F.max(share).alias("disclosure")) \
+        .where(F.col("disclosure") >= threshold)
     return written(table, "pii-disclosing")
 
 
@@ -288,10 +302,10 @@ def redact(text: str, spans: str, removed: set[tuple[int, int]]) -> str:
     return "".join(out) + text[at:]
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_contexts: int = MIN_CONTEXTS,
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """``doc_id, text`` (masked), ``spans`` of every row."""
-    table = disclosing_terms(docs, text_col, min_contexts, generalise)
+    table = disclosing_terms(docs, text_col, generalise)
     found = find(docs, table, id_col, text_col, with_text=True)
     gone = F.transform(F.filter(F.coalesce("terms", F.array()), lambda t: t["disclosure"] >= remove),
                        lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end")))

@@ -102,6 +102,25 @@ def test_disclosure_is_pmi_over_information(private):
     assert row["disclosure"] == pytest.approx(min(1.0, want))
 
 
+def test_copied_signatures_and_names_seen_once_are_found(spark):
+    rng = random.Random(8)
+    common = ["report", "meeting", "about", "project", "final", "update", "review", "budget"]
+    plain = lambda n: " ".join(rng.choices(common, k=n))
+    rows = [(i, plain(60)) for i in range(400)]
+    # a block that repeats word for word: one window in forty documents
+    block = " " + " ".join(common) + " Quillian Vantro +1 415 555 0100 " + " ".join(common)
+    rows += [(i, plain(12) + block) for i in range(400, 440)]
+    rows += [(440, plain(10) + " Ostrander ost@example.org " + plain(10)),    # seen once
+             # often in its document, beside its address once
+             (441, "Belvoir " + plain(12) + " Belvoir " + plain(12) + " Belvoir bel@example.org " + plain(12) + " Belvoir")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r["term"] for r in pii.disclosing_terms(docs).collect()} == {"quillian", "vantro", "ostrander", "belvoir"}
+    got = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    for i, names in {400: ("Quillian", "Vantro"), 440: ("Ostrander",), 441: ("Belvoir",)}.items():
+        assert not any(n in got[i] for n in names)
+    assert all(got[i] == rows[i][1] for i in range(400))
+
+
 def test_pii_of_odd_and_empty_tables(clashing, odd_rows, empty):
     assert pii.report(clashing).count() == len(odd_rows)
     assert pii.report(empty).count() == 0 and pii.sanitise(empty).count() == 0
