@@ -24,7 +24,9 @@ a threshold; spans.  Terms travel to the tasks as a bit map of fixed size (2^MAP
 nothing that grows with the corpus is broadcast; what passes the map is joined with the terms
 themselves, so a collision never shows in the result.
 
-Defined results: a null text counts as empty; without any mention no term is sanitised; spans of
+Defined results: a term is a run of letters and digits of any length and script (in text without
+spaces, what stands between punctuation), other than an English function word of one or two letters
+in lower case; a window takes its words wherever the nearest ones stand; a null text counts as empty; without any mention no term is sanitised; spans of
 different kinds may overlap, as the patterns are independent; repeated rows give one result row
 each; an empty table gives an empty result; other columns are ignored whatever their names.
 """
@@ -35,6 +37,7 @@ import hashlib
 import re
 from collections import Counter, deque
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -48,9 +51,10 @@ from pertinax.llm.common import col, map_batches
 from pertinax.session import written
 
 WINDOW = 8
-#: Characters that are searched for the window's words, to each side.
+#: Characters that are searched first for the words before a mention; more if they hold too few.
 REACH = 200
-MIN_LETTERS = 3
+#: English function words of one or two letters, no terms where written in lower case.
+FUNCTION_WORDS = frozenset("a an as at be by do he i if in is it me my no of on or so to up us we".split())
 GENERALISE = 0.95
 REMOVE = 0.98
 #: Greatest probability of a pair by chance.
@@ -128,24 +132,36 @@ def terms(text: str) -> list[str]:
     return TERM.findall(lowered) if len(lowered) == len(text) else [t.lower() for t in TERM.findall(text)]
 
 
+def _before(text: str, start: int) -> deque:
+    """The last WINDOW words that end before ``start``, however far back they stand."""
+    reach = REACH
+    while True:
+        lo = max(0, start - reach)
+        # a word that the reach cuts is not seen whole yet; one that touches the mention is none
+        found = deque((m for m in TERM.finditer(text, lo, start)
+                       if (m.start() > lo or lo == 0) and m.end() < start), WINDOW)
+        if lo == 0 or len(found) == WINDOW:
+            return found
+        reach *= 4
+
+
+def _after(text: str, end: int) -> list[re.Match]:
+    """The first WINDOW words that start after ``end``, however far on they stand."""
+    return list(islice((m for m in TERM.finditer(text, end) if m.start() > end), WINDOW))
+
+
 def window(text: str, start: int, end: int, spans: list[tuple[str, int, int]]) -> list[str]:
     """The terms around a mention, without those inside any mention."""
-    lo, hi = max(0, start - REACH), min(len(text), end + REACH)
+    near = [*_before(text, start), *_after(text, end)]
+    if not near:
+        return []
+    lo, hi = near[0].start(), near[-1].end()
     covered = [(a, b) for _, a, b in spans if b > lo and a < hi]
 
     def free(m: re.Match) -> bool:
-        return len(m[0]) >= MIN_LETTERS and not any(a < m.end() and m.start() < b for a, b in covered)
-
-    # a word that the reach cuts, or that touches the mention, is none
-    before = deque((m for m in TERM.finditer(text, lo, start)
-                    if (m.start() > lo or lo == 0) and m.end() < start), WINDOW)
-    after = []
-    for m in TERM.finditer(text, end, hi):
-        if len(after) == WINDOW or m.end() == hi < len(text):
-            break
-        if m.start() > end:
-            after.append(m)
-    return [m[0].lower() for m in (*before, *after) if free(m)]
+        return m[0] not in FUNCTION_WORDS and not any(a < m.end() and m.start() < b for a, b in covered)
+
+    return [m[0].lower() for m in near if free(m)]
 
 
 def _texts(docs: DataFrame, text_col: str) -> DataFrame:

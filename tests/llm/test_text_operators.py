@@ -121,6 +121,42 @@ def test_copied_signatures_and_names_seen_once_are_found(spark):
     assert all(got[i] == rows[i][1] for i in range(400))
 
 
+def test_short_names_and_names_far_off_are_found(spark):
+    rng = random.Random(9)
+    common = ["report", "meeting", "about", "project", "final", "update", "review", "budget"]
+    plain = lambda n: " ".join(rng.choices(common, k=n))
+    rows = [(i, plain(60)) for i in range(400)]
+    rows += [(400, plain(9) + " Ng wrote from ng1@example.org " + plain(9)), (401, plain(9) + " 王伟 wei@example.org " + plain(9)),
+             (402, plain(9) + " ask li li1@example.org " + plain(9)),
+             (403, plain(9) + " Farrow" + " " * 5_000 + "far@example.org" + "-" * 5_000 + " Wenlock " + plain(9)),
+             (404, plain(9) + " Tarn " + "x" * 300 + " tarn@example.org " + plain(9)),
+             (405, plain(9) + " is at as@example.org of " + plain(9))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {r["term"] for r in pii.disclosing_terms(docs).collect()}
+    assert found == {"ng", "王伟", "li", "farrow", "wenlock", "tarn", "x" * 300, "wrote", "from", "ask"}
+    got = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    for i, name in {400: " Ng ", 401: "王伟", 402: " li ", 403: "Farrow", 404: "Tarn"}.items():
+        assert name not in got[i]
+
+
+def test_windows_walk_word_by_word():
+    rng = random.Random(4)
+    for _ in range(3_000):
+        text = "".join(rng.choice(["ab ", "q" * 90, "  " * 60, "-", " x1", "Ärzte ", "to ", "y" * 300, ". "])
+                       for _ in range(rng.randint(0, 40)))
+        start = rng.randint(0, len(text))
+        end = rng.randint(start, len(text))
+        # runs that the mention cuts touch it
+        before = [m[0] for m in pii.TERM.finditer(text[:start]) if m.end() < start][-8:]
+        after = [m[0] for m in pii.TERM.finditer(text[end:]) if m.start() > 0][:8]
+        want = [w.lower() for w in before + after if w not in pii.FUNCTION_WORDS]
+        assert pii.window(text, start, end, []) == want
+    # gaps and long words are crossed a few times at most, not once a mention
+    text = ("mail a@b.cc" + " " * 50_000) * 20 + "z" * 500_000 + " a@b.cc" * 20
+    for kind, a, b in (spans := pii.base_spans(text)):
+        pii.window(text, a, b, spans)
+
+
 def test_pii_of_odd_and_empty_tables(clashing, odd_rows, empty):
     assert pii.report(clashing).count() == len(odd_rows)
     assert pii.report(empty).count() == 0 and pii.sanitise(empty).count() == 0
