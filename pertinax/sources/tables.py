@@ -7,7 +7,7 @@ format.  Parquet keeps its own schema and gets projection + predicate pushdown.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from pertinax import schema
@@ -48,36 +48,40 @@ def first_line(exc: Exception) -> str:
     return lines[0] if lines else type(exc).__name__
 
 
+def read_whole(df: DataFrame) -> int:
+    """Read every column of every row in one job, keeping nothing; the number of rows.  Raises
+    what any later read of the same files would raise."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.format("noop").mode("overwrite").save()
+    return seen.get["rows"]
+
+
 def scan_existing(spark: SparkSession, paths: list[str], fmt: str = "parquet",
                   source_col: str = "source_name", **options) -> tuple[DataFrame | None, DataFrame]:
     """Union the sources that exist and read cleanly; report every source.
 
     Returns ``(data, status)``: ``data`` is the by-name union of the readable sources with
     a ``source_name`` column (missing columns -> NULL), ``status`` has one row per
-    requested path ``(source_name, status, error)``.  Only schema resolution touches the
-    driver; the rows stay distributed.
+    requested path ``(source_name, status, error, rows)``.  A source is ``ok`` if one job of its
+    own has read all its columns, so a bad page or column chunk fails that source only.  The
+    rows stay distributed.
     """
     from pyspark.errors import AnalysisException
     frames, status = [], []
     for path in paths:
         try:
             df = read_table(spark, path, fmt, **options)
-            df.schema  # resolve now so a corrupt header is reported here, not later
+            rows = read_whole(df)  # a corrupt header or page is reported here, not later
             frames.append(df.withColumn(source_col, F.lit(path)))
-            status.append((path, "ok", None))
+            status.append((path, "ok", None, rows))
         except AnalysisException as exc:  # a missing or bad file must not stop the others
             missing = (exc.getCondition() or "").startswith("PATH_NOT_FOUND")
             status.append((path, "missing" if missing else "failed",
-                           None if missing else first_line(exc)))
+                           None if missing else first_line(exc), None))
         except Exception as exc:
-            status.append((path, "failed", first_line(exc)))
+            status.append((path, "failed", first_line(exc), None))
     data = None
     for df in frames:
         data = df if data is None else data.unionByName(df, allowMissingColumns=True)
-    status_df = spark.createDataFrame(status, f"{source_col} string, status string, error string")
-    if data is not None:   # rows read per source (one aggregate over the union)
-        rows = data.groupBy(source_col).agg(F.count(F.lit(1)).alias("rows"))
-        status_df = status_df.join(rows, source_col, "left")
-    else:
-        status_df = status_df.withColumn("rows", F.lit(None).cast("long"))
-    return data, status_df
+    return data, spark.createDataFrame(
+        status, f"{source_col} string, status string, error string, rows long")

@@ -35,6 +35,26 @@ def test_scan_existing_reports_missing_and_bad_files(spark):
     assert data.where(F.col("source_name") == good).count() == 1
 
 
+def test_scan_existing_goes_on_after_a_bad_column_chunk(spark):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    good, bad, none = _tmp("good.parquet"), _tmp("bad.parquet"), _tmp("none.parquet")
+    rows = spark.createDataFrame([(i, f"v{i}", {"a": i}) for i in range(50)], "k int, v string, m map<string,int>")
+    rows.write.parquet(good)
+    rows.limit(0).write.parquet(none)
+    pq.write_table(pa.table({"k": list(range(5_000)), "v": [f"text {i}" for i in range(5_000)]}), bad)
+    chunk = pq.ParquetFile(bad).metadata.row_group(0).column(1)
+    with open(bad, "r+b") as fh:   # the footer and the other column stay whole
+        fh.seek(chunk.dictionary_page_offset or chunk.data_page_offset)
+        fh.write(b"\xff" * chunk.total_compressed_size)
+    assert spark.read.parquet(bad).count() == 5_000
+    data, status = scan_existing(spark, [good, bad, none])
+    st = {os.path.basename(r["source_name"]): r for r in status.collect()}
+    assert [st[n]["status"] for n in ("good.parquet", "bad.parquet", "none.parquet")] == ["ok", "failed", "ok"]
+    assert [st[n]["rows"] for n in ("good.parquet", "bad.parquet", "none.parquet")] == [50, None, 0]
+    assert st["bad.parquet"]["error"] and sorted(r["v"] for r in data.collect()) == sorted(f"v{i}" for i in range(50))
+
+
 def test_write_errors_skips_when_clean(spark):
     ok = spark.createDataFrame([(1, 1), (0, 0)], "real int, pred int")
     assert sinks.write_errors(ok, "real", "pred", _tmp("e"), ["real", "pred"]) is False
