@@ -1,12 +1,13 @@
 """License scan by diagonal voting (DataFrame functions only).
 
 All rolling word 3-grams of a text are hashed and joined to the 3-grams of the templates (a
-constant table of a few hundred rows, broadcast).  A joined gram must also be equal word for
+constant table of some thousand rows, broadcast).  A joined gram must also be equal word for
 word, so a hash collision never counts.  A hit at word ``p`` of the text and word ``t`` of a
 template lies on the diagonal ``p - t``: an unbroken copy puts all its hits on one diagonal, an
 edited copy on a few neighbouring ones.
 
-* votes: per (document, template, diagonal) a bit mask of the template grams that were hit;
+* votes: per (document, template, diagonal) a bit mask of the template grams that were hit, in as
+  many longs as the longest template needs;
 * merge: diagonals of a template at most ``SLACK`` apart form one span;
 * verify: a span counts if the words its grams cover make up ``MIN_COVERAGE`` of the template
   and it is not stretched beyond ``MAX_STRETCH`` of its length.  A diagonal that alone covers
@@ -18,6 +19,10 @@ words stand consecutively.
 One scan of the texts: each document also sends one row of its own, which carries its word count,
 so documents without a hit come out of the same aggregation and texts are never shuffled.
 
+Whole license texts (``licenses/``) are cut into parts of about PART words that share a label, so a
+document that holds any stretch of a license gets its label.  A passage that two licenses share
+gives both.
+
 Defined results: a null text counts as empty; texts of fewer than three words have no grams and
 no labels; repeated rows give one result row each; label strings are empty where nothing was
 found; an empty table gives an empty result; other columns are ignored whatever their names.
@@ -27,6 +32,9 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,8 +45,11 @@ GRAM = 3
 SLACK = 4
 MIN_COVERAGE = 0.8
 MAX_STRETCH = 1.5
-#: A mask of grams has to fit a long.
-MAX_WORDS = 60
+#: Grams in one long of a mask.
+BITS = 60
+#: Words of the parts of a whole license text.
+PART = 40
+TEXTS = Path(__file__).with_name("licenses")
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -58,7 +69,7 @@ PHRASES = [
     Template("cc-by-nc", "cc by nc", exact=True),
 ]
 
-#: Notices of public licenses, cut to at most MAX_WORDS words each.
+#: Notices of public licenses, and the parts of whole ones.
 NOTICES = [
     Template("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of "
                     "this software and associated documentation files (the Software), to deal in the "
@@ -83,45 +94,74 @@ NOTICES = [
 ]
 
 
+def parts(label: str, text: str) -> list[Template]:
+    """A long text as templates of about PART words that follow one another."""
+    ws = template_words(text)
+    n = max(1, round(len(ws) / PART))
+    cuts = [len(ws) * k // n for k in range(n + 1)]
+    return [Template(label, " ".join(ws[a:b])) for a, b in zip(cuts, cuts[1:])]
+
+
 def template_words(text: str) -> list[str]:
     lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
     return [w for w in re.split(SEPARATORS, lowered) if w]
 
 
+NOTICES += [t for f in sorted(TEXTS.glob("*.txt")) for t in parts(f.stem, f.read_text("utf-8"))]
+
+
 def words(text: Column) -> Column:
     return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), SEPARATORS), "")
 
 
-def _templates(spark: SparkSession, templates: list[Template]) -> tuple[DataFrame, DataFrame]:
+def _templates(spark: SparkSession, templates: list[Template]) -> tuple[DataFrame, DataFrame, int]:
+    """The grams of the templates, their facts, and the longs of a mask."""
+    split = [template_words(t.text) for t in templates]
+    longs = max([1, *(-(-len(ws) // BITS) for ws in split)])
     grams, facts = [], []
-    for i, t in enumerate(templates):
-        ws = template_words(t.text)
-        if not GRAM <= len(ws) <= MAX_WORDS:
-            raise ValueError(f"template {t.label!r} has {len(ws)} words, not {GRAM} to {MAX_WORDS}")
-        grams += [(i, k, " ".join(ws[k:k + GRAM])) for k in range(len(ws) - GRAM + 1)]
-        key = sum(1 << at for of, at, gram in grams if of == i and gram == t.key)
-        if t.key and not key:
+    for i, (t, ws) in enumerate(zip(templates, split)):
+        if len(ws) < GRAM:
+            raise ValueError(f"template {t.label!r} has {len(ws)} words, not {GRAM} or more")
+        own = [" ".join(ws[k:k + GRAM]) for k in range(len(ws) - GRAM + 1)]
+        grams += [(i, k, gram) for k, gram in enumerate(own)]
+        key = [0] * longs
+        for at, gram in enumerate(own):
+            if gram == t.key:
+                key[at // BITS] |= 1 << at % BITS
+        if t.key and not any(key):
             raise ValueError(f"the key of template {t.label!r} is not a gram of its text")
-        facts.append((i, t.label, t.exact, len(ws), key))
+        facts.append((i, t.label, t.exact, len(ws), *key))
     # the gram of the row that every document sends for itself is empty
     positions = spark.createDataFrame([*grams, (-1, 0, "")], "template int, at int, template_gram string")
     positions = positions.withColumn("template_hash", F.xxhash64("template_gram"))
-    return positions, spark.createDataFrame(facts, "template int, label string, exact boolean, n int, key long")
+    keys = "".join(f", key{w} long" for w in range(longs))
+    return positions, spark.createDataFrame(facts, f"template int, label string, exact boolean, n int{keys}"), longs
+
+
+def _sum(columns: list[Column]) -> Column:
+    return sum(columns[1:], columns[0])
 
 
-def _covered(mask: Column) -> Column:
+def _covered(masks: list[Column]) -> Column:
     """Words that the grams of a mask cover."""
-    shifted = mask
-    for k in range(1, GRAM):
-        shifted = shifted.bitwiseOR(F.shiftleft(mask, k))
-    return F.bit_count(shifted)
+    out = []
+    for w, mask in enumerate([*masks, F.lit(0).cast("long")] if len(masks) > 1 else masks):
+        shifted = mask
+        for k in range(1, GRAM):
+            shifted = shifted.bitwiseOR(F.shiftleft(mask, k))
+        if len(masks) > 1:   # what the shift carries from long to long
+            shifted = shifted.bitwiseAND(F.lit((1 << BITS) - 1))
+            for k in range(1, GRAM) if w else ():
+                shifted = shifted.bitwiseOR(F.shiftright(masks[w - 1], BITS - k))
+        out.append(F.bit_count(shifted))
+    return _sum(out)
 
 
 def scan(docs: DataFrame, templates: list[Template] | None = None, id_col: str = "doc_id",
          text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, n_words, n_base, first_word, last_word, base_labels,
     labels, score, spans`` (``spans``: the verified ones, ``label, first, last`` in words)."""
-    positions, facts = _templates(docs.sparkSession, PHRASES + NOTICES if templates is None else templates)
+    positions, facts, longs = _templates(docs.sparkSession, PHRASES + NOTICES if templates is None else templates)
     text = col(text_col)
     doc = ["doc_id", "text_hash", "text_length", "n_words"]
     rows = docs.select(col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"),
@@ -134,27 +174,31 @@ def scan(docs: DataFrame, templates: list[Template] | None = None, id_col: str =
                         F.posexplode(F.concat(rolling, F.array(F.lit("")))).alias("pos", "gram"))
     hits = grams.join(F.broadcast(positions), (F.xxhash64("gram") == F.col("template_hash"))
                       & (F.col("gram") == F.col("template_gram")))
+    names, keys = [f"mask{w}" for w in range(longs)], [f"key{w}" for w in range(longs)]
+    masks = [F.col(m) for m in names]
+    bit = F.expr(f"shiftleft(1L, at % {BITS})")
     votes = (hits.groupBy(*doc, "template", (F.col("pos") - F.col("at")).alias("diagonal"))
-             .agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask"),
+             .agg(*[F.bit_or(F.when(F.expr(f"at div {BITS}") == w, bit).otherwise(F.lit(0).cast("long"))).alias(m)
+                    for w, m in enumerate(names)],
                   F.min("pos").alias("first"), (F.max("pos") + GRAM - 1).alias("last"),
                   F.count(F.lit(1)).alias("copies")))
     votes = votes.join(F.broadcast(facts), "template", "left")
-    whole = F.bit_count("mask") == F.col("n") - GRAM + 1
+    whole = _sum([F.bit_count(m) for m in masks]) == F.col("n") - GRAM + 1
     along = Window.partitionBy(*doc, "template").orderBy("diagonal")
     # an exact phrase is never merged: each of its diagonals is a span of its own
     apart = F.col("exact") | (F.col("diagonal") - F.lag("diagonal").over(along) > SLACK)
     spans = (votes.withColumn("start", F.when(F.coalesce(apart, F.lit(True)), 1).otherwise(0))
              .withColumn("span", F.sum("start").over(along))
-             .groupBy(*doc, "template", "label", "exact", "n", "key", "span")
-             .agg(F.max(whole).alias("whole"), F.bit_or("mask").alias("mask"),
-                  F.max(_covered(F.col("mask"))).alias("alone"),
+             .groupBy(*doc, "template", "label", "exact", "n", *keys, "span")
+             .agg(F.max(whole).alias("whole"), *[F.bit_or(m).alias(m) for m in names],
+                  F.max(_covered(masks)).alias("alone"),
                   F.min("first").alias("first"), F.max("last").alias("last"),
                   F.max("copies").alias("copies")))
     merged = F.when(F.col("last") - F.col("first") + 1 <= F.col("n") * MAX_STRETCH,
-                    _covered(F.col("mask"))).otherwise(F.lit(0))
+                    _covered(masks)).otherwise(F.lit(0))
     coverage = F.greatest(F.col("alone"), merged) / F.col("n")
     base = F.col("exact") & F.col("whole")
-    keyed = F.col("mask").bitwiseAND(F.col("key")) == F.col("key")
+    keyed = reduce(and_, [m.bitwiseAND(F.col(k)) == F.col(k) for m, k in zip(masks, keys)])
     verified = F.when(F.col("exact"), F.col("whole")).otherwise(keyed & (coverage >= MIN_COVERAGE))
     labels = lambda kept: F.array_join(F.array_sort(F.collect_set(F.when(kept, F.col("label")))), ",")
     return (spans.groupBy(*doc).agg(

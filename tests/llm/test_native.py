@@ -1,6 +1,7 @@
 """Exact dedup, source mixing and the license scan against plain Python."""
 
 import hashlib
+import random
 import re
 from collections import defaultdict
 
@@ -181,6 +182,40 @@ def test_license_scan_of_an_empty_table(empty):
     assert license_scan.scan(empty).count() == 0
 
 
+def test_any_part_of_a_license_gives_its_label(spark):
+    text = lambda name: (license_scan.TEXTS / f"{name}.txt").read_text("utf-8")
+    names = ["apache-2", "bsd", "cc0", "gpl-2", "gpl-3", "isc", "mit", "zlib"]
+    rows = [(i, "a word before " + text(n)) for i, n in enumerate(names)]
+    rows += [(20, text("mit")[text("mit").index("THE SOFTWARE IS"):]),                    # the warranty alone
+             (21, " ".join(license_scan.template_words(text("gpl-3"))[3000:3100])),
+             (22, " ".join(license_scan.template_words(text("apache-2"))[700:800]))]
+    got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, n in enumerate(names):
+        assert n in got[i]["labels"].split(","), n
+    assert [got[i]["labels"] for i in (20, 21, 22)] == ["mit", "gpl-3", "apache-2"]
+
+
+def test_templates_of_any_length(spark):
+    rng = random.Random(6)
+    ws = [f"w{i}" for i in range(400)]
+    long, short = license_scan.Template("long", " ".join(ws), key="w130 w131 w132"), license_scan.Template("short", "w1 w2 w3 x")
+    cases = [ws, ws[:330], ws[:310], ws[70:], ws[140:], [w for w in ws if w not in {"w59", "w60", "w61", "w200"}],
+             ["a"] * 9 + ws[:100] + ["b", "c"] + ws[100:]]
+    cases += [[w for w in ws if rng.random() > 0.02] for _ in range(6)]
+    out = license_scan.scan(spark.createDataFrame([(i, " ".join(c)) for i, c in enumerate(cases)], "doc_id int, text string"),
+                            [long, short])
+    got = {r["doc_id"]: r for r in out.collect()}
+    grams = {tuple(ws[k:k + 3]): k for k in range(398)}
+    for i, case in enumerate(cases):
+        hits = [grams[g] for g in zip(case, case[1:], case[2:]) if g in grams]
+        covered = len({k + j for k in hits for j in range(3)}) / 400
+        diagonals = sorted({p - grams[g] for p, g in enumerate(zip(case, case[1:], case[2:])) if g in grams})
+        if all(b - a <= license_scan.SLACK for a, b in zip(diagonals, diagonals[1:])):
+            want = covered if covered >= 0.8 and 130 in hits else 0
+            assert got[i]["score"] == pytest.approx(want), i
+            assert got[i]["labels"] == ("long" if want else ""), i
+
+
 def test_templates_must_fit(spark, empty):
     with pytest.raises(ValueError):
         license_scan.scan(empty, [license_scan.Template("short", "two words")])
