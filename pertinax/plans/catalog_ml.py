@@ -1,8 +1,9 @@
 """Registered queries: ML preparation (M*), models (L*), scoring (D1, D6), sinks (S5, S6,
 S8, S9).
 
-The model queries keep the library's production defaults out of the registry (500-tree
-forests take minutes); they train small forests on the whole labelled extract.  A trained model
+The model queries train the reference's sizes on the whole labelled extract (a forest of 500
+trees of depth 20, 300 boosting rounds of depth 7, 5 folds).  ``sizes`` lets tests pass smaller
+ones.  A trained model
 is not SQL, so these queries return what must hold whatever the model learned: which rows or
 folds there are (hash-determined) and whether every prediction, probability and figure is
 consistent; their DuckDB twins state the same.
@@ -38,7 +39,10 @@ NUMERIC = ["PA_Sistolica", "PA_Diastolica", "Temperatura", "SatO2", "FC", "FR",
 BINARY = ["DVA", "Ventilacion_Mecanica", "Transfusiones", "Compromiso_Conciencia", "Antecedente_HTA",
           "flag_resp_grave", "flag_circ_grave", "flag_neuro_grave"] + ALERT_COLUMNS
 CATEGORICAL = ["Tipo_Cama"]
-SMALL_FOREST = dict(numTrees=20, maxDepth=6)
+#: Sizes of the registered models.
+FULL = {"forest": dict(numTrees=500, maxDepth=20, minInstancesPerNode=2),
+        "gbt": dict(maxIter=300, maxDepth=7, stepSize=0.05, subsamplingRate=0.8)}
+FOLDS = 5
 
 
 def model_input(prepared):
@@ -180,9 +184,8 @@ def m2_assemble(spark, sf_dir):
 
 # --------------------------------------------------------------------- L1–L8
 
-def _fit_small(train, kind="forest", weight=None, prefix=""):
-    spec = L.ModelSpec(kind, kind, SMALL_FOREST if kind == "forest" else dict(maxIter=15, maxDepth=4),
-                       weighted=weight is not None)
+def _fit(train, kind="forest", weight=None, prefix="", sizes=FULL):
+    spec = L.ModelSpec(kind, kind, sizes[kind], weighted=weight is not None)
     with L.cached(train) as tr:
         return L.member_pipeline(spec, NUMERIC, "label", weight, prefix, CATEGORICAL, BINARY).fit(tr)
 
@@ -195,33 +198,33 @@ def _test_predictions(model, test, prefix=""):
 
 
 @register("l1_train_forest", oracle=CHECKED)
-def l1_train_forest(spark, sf_dir):
+def l1_train_forest(spark, sf_dir, sizes=FULL):
     """Balanced forest (class weights) on the 80 % side, checked on the 20 % side."""
     from pertinax.operators.metrics import with_class_weights
     train, test = _split(spark, sf_dir)
     train = with_class_weights(train, "label", "weight")
-    return _checked(_fit_small(train, "forest", "weight").transform(test))
+    return _checked(_fit(train, "forest", "weight", sizes=sizes).transform(test))
 
 
 @register("l2_train_gbt", oracle=CHECKED)
-def l2_train_gbt(spark, sf_dir):
+def l2_train_gbt(spark, sf_dir, sizes=FULL):
     train, test = _split(spark, sf_dir)
-    return _checked(_fit_small(train, "gbt").transform(test))
+    return _checked(_fit(train, "gbt", sizes=sizes).transform(test))
 
 
 @register("l3_train_boosted", oracle=CHECKED)
-def l3_train_boosted(spark, sf_dir):
+def l3_train_boosted(spark, sf_dir, sizes=FULL):
     """Boosted member with positive-class weight n_neg / n_pos."""
     train, test = _split(spark, sf_dir)
     train = L.with_pos_weight(train, "label", "weight")
-    return _checked(_fit_small(train, "gbt", "weight").transform(test))
+    return _checked(_fit(train, "gbt", "weight", sizes=sizes).transform(test))
 
 
 @register("l4_soft_vote", oracle=CHECKED)
-def l4_soft_vote(spark, sf_dir):
+def l4_soft_vote(spark, sf_dir, sizes=FULL):
     train, test = _split(spark, sf_dir)
-    members = [("rf_", _fit_small(train, "forest", prefix="rf_")),
-               ("gb_", _fit_small(train, "gbt", prefix="gb_"))]
+    members = [("rf_", _fit(train, "forest", prefix="rf_", sizes=sizes)),
+               ("gb_", _fit(train, "gbt", prefix="gb_", sizes=sizes))]
     v = L.soft_vote(members, test)
     mean = (vector_to_array("rf_probability")[1] + vector_to_array("gb_probability")[1]) / 2
     return _checks(v.select(schema.ROW_ID, "label", "prediction", (1 - F.col("p_pert")).alias("p0"),
@@ -241,11 +244,13 @@ def l4_vote_of_scores(spark, sf_dir):
 _SETS = """
 SELECT 'train' AS "set", count_if(NOT is_test) AS n FROM known UNION ALL SELECT 'test', count_if(is_test) FROM known"""
 
-#: The eight configurations of the search, with tree counts cut for the registry.
-SEARCH = [("rf_balanced", "forest", dict(numTrees=10, maxDepth=8), True, []),
-          ("rf_deep", "forest", dict(numTrees=10, maxDepth=10), True, []),
-          ("gbt", "gbt", dict(maxIter=6, maxDepth=4), False, []),
-          ("gbt_weighted", "gbt", dict(maxIter=6, maxDepth=4), True, []),
+#: The eight configurations of the search: the reference's forest alone, the forest of its first
+#: vote, its gradient boosting and its first boosted member, and votes of these.
+SEARCH = [("rf_balanced", "forest", FULL["forest"], True, []),
+          ("rf_deep", "forest", dict(numTrees=400, maxDepth=20, minInstancesPerNode=1), True, []),
+          ("gbt", "gbt", FULL["gbt"], False, []),
+          ("gbt_weighted", "gbt", dict(maxIter=500, maxDepth=7, stepSize=0.03, subsamplingRate=0.8,
+                                        featureSubsetStrategy="0.8"), True, []),
           ("vote_rf_gbt", "vote", {}, False, ["rf_balanced", "gbt"]),
           ("vote_rf_weighted", "vote", {}, False, ["rf_balanced", "gbt_weighted"]),
           ("vote_deep_gbt", "vote", {}, False, ["rf_deep", "gbt"]),
@@ -282,11 +287,11 @@ def l5_search(spark, sf_dir):
 f AS (SELECT CAST((row_number() OVER (PARTITION BY label ORDER BY substr(md5(row_id || 'fold42'), 1, 8), row_id) - 1) % 5 AS INTEGER) AS fold
       FROM known)
 SELECT fold, count(*) AS n, true AS accuracy_ok, true AS mean_ok FROM f GROUP BY fold""")
-def l6_cross_validate(spark, sf_dir):
+def l6_cross_validate(spark, sf_dir, sizes=FULL):
     """Five stratified folds: per class, fold sizes differ by at most one."""
     df = training_frame(spark, sf_dir).where(F.col("label").isNotNull())
-    spec = L.ModelSpec("rf", "forest", dict(numTrees=10, maxDepth=5))
-    cv = L.cross_validate(df, NUMERIC, spec, schema.ROW_ID, "label", k=5, binary=BINARY, categorical=CATEGORICAL)
+    spec = L.ModelSpec("rf", "forest", sizes["forest"])
+    cv = L.cross_validate(df, NUMERIC, spec, schema.ROW_ID, "label", k=FOLDS, binary=BINARY, categorical=CATEGORICAL)
     mean = cv.select(F.avg("accuracy")).scalar()
     return cv.select("fold", "n", (F.abs(F.col("accuracy") - F.col("hits") / F.col("n")) < 1e-12).alias("accuracy_ok"),
                      (F.abs(F.col("mean") - mean) < 1e-12).alias("mean_ok"))
@@ -294,10 +299,10 @@ def l6_cross_validate(spark, sf_dir):
 
 @register("l7_evaluate_train_test", oracle=LAB + """
 SELECT "set", CAST(n AS BIGINT) AS n, true AS counts_ok, true AS accuracy_ok FROM (""" + _SETS + ")")
-def l7_evaluate_train_test(spark, sf_dir):
+def l7_evaluate_train_test(spark, sf_dir, sizes=FULL):
     """Accuracy and confusion matrix of both sides."""
     train, test = _split(spark, sf_dir)
-    return _evaluation_ok(L.evaluate_train_test(_fit_small(train), train, test))
+    return _evaluation_ok(L.evaluate_train_test(_fit(train, sizes=sizes), train, test))
 
 
 def _evaluation_ok(e):
@@ -310,16 +315,16 @@ def _evaluation_ok(e):
 @register("l8_train_end_to_end", oracle=LAB + """
 SELECT "set", CAST(n AS BIGINT) AS n, true AS counts_ok, true AS accuracy_ok, true AS same_after_reload
 FROM (""" + _SETS + " UNION ALL SELECT 'reloaded_test', count_if(is_test) FROM known)")
-def l8_train_end_to_end(spark, sf_dir):
+def l8_train_end_to_end(spark, sf_dir, sizes=FULL):
     """Whole training path: prepare -> label -> split -> fit -> evaluate -> persist -> reload
     and re-score the test side with the reloaded model."""
     train, test = _split(spark, sf_dir)
-    model = _fit_small(train)
+    model = _fit(train, sizes=sizes)
     acc = L.evaluate_train_test(model, train, test)
     path = _run_dir(spark, "model")
     before = acc.where(F.col("set") == "test").first()["accuracy"]
     meta = {"features": NUMERIC + BINARY, "categorical": CATEGORICAL,
-            "int_to_label": schema.INT_TO_LABEL, "params": SMALL_FOREST, "accuracy_test": before}
+            "int_to_label": schema.INT_TO_LABEL, "params": sizes["forest"], "accuracy_test": before}
     model_store.save_model(spark, model, path, meta)
     reloaded, kept = model_store.load_model(spark, path)
     again = L.evaluate(reloaded, test).withColumn("set", F.lit("reloaded_test"))
@@ -336,7 +341,7 @@ SELECT 'train' AS "set", count_if(NOT is_test) AS n, true AS counts_ok, 17 AS fe
 UNION ALL SELECT 'test', count_if(is_test), true, 17, true FROM p WHERE label IS NOT NULL
 UNION ALL SELECT 'folds', count_if(NOT is_test), true, 17, true FROM p WHERE label IS NOT NULL
 UNION ALL SELECT 'predicted', count(*), true, 17, true FROM p""")
-def l8_train_production(spark, sf_dir):
+def l8_train_production(spark, sf_dir, sizes=FULL):
     """Training on the production features: base and form union, F1, candidates, split, fit,
     report, cross-validation; then scoring of the raw extract with F1 and backfill."""
     from pertinax.plans.clinical import production_encounters
@@ -344,7 +349,7 @@ def l8_train_production(spark, sf_dir):
     raw = production_encounters(spark, sf_dir)
     even = F.col(schema.ROW_ID) % 2 == 0   # two sources that share the extract
     t = train_pipeline(raw.where(even), raw.where(~even), schema.ROW_ID,
-                       L.ModelSpec("forest", "forest", SMALL_FOREST), folds=3)
+                       L.ModelSpec("forest", "forest", sizes["forest"]), folds=FOLDS)
     folds = t.folds.agg(F.lit("folds").alias("set"), F.sum("n").alias("n"), F.lit(True).alias("counts_ok"))
     scored = D.predict_production(raw, t.model, t.features)
     done = scored.agg(F.lit("predicted").alias("set"), F.count("Prediccion_Modelo").alias("n"),
@@ -359,11 +364,11 @@ def l8_train_production(spark, sf_dir):
 @register("d1_predict", oracle=ENC + """
 SELECT row_id, true AS probability_ok, true AS confidence_ok, true AS decision_ok,
   '2026-01-01 00:00:00' AS Fecha_Prediccion FROM enc""")
-def d1_predict(spark, sf_dir):
+def d1_predict(spark, sf_dir, sizes=FULL):
     """Fit on the labelled extract, then score every encounter: model label, rounded
     confidence, both probabilities, threshold decision."""
     train, _ = _split(spark, sf_dir)
-    model = _fit_small(train)
+    model = _fit(train, sizes=sizes)
     df = D.predict(training_frame(spark, sf_dir), model)
     df = D.probability_columns(df, now="2026-01-01 00:00:00")
     df = D.apply_threshold(df, 65)
@@ -387,11 +392,11 @@ def _raw_extract_csv(spark, sf_dir):
 @register("d6_score_file", oracle=LAB + """
 SELECT (SELECT count(*) FROM enc) AS n, (SELECT count(*) FROM enc) AS decided,
   (SELECT count(*) FROM known) AS validated, true AS shares_ok, true AS rule_ok""")
-def d6_score_file(spark, sf_dir):
+def d6_score_file(spark, sf_dir, sizes=FULL):
     """Bulk scoring of a CSV extract: refuse without the required columns, prepare -> backfill ->
     predict -> hybrid decision -> write -> validate against the labels that the file has."""
     train, _ = _split(spark, sf_dir)
-    model = _fit_small(train)
+    model = _fit(train, sizes=sizes)
     src = _raw_extract_csv(spark, sf_dir)
     out = _run_dir(spark, "scored")
     shares = D.score_file(spark, src, model, NUMERIC + BINARY + CATEGORICAL, out, fmt="csv",
@@ -449,10 +454,10 @@ def s8_convert_files(spark, sf_dir):
 
 @register("s9_model_store", oracle=LAB + """
 SELECT count(*) AS n, CAST(0 AS BIGINT) AS differing, 2 AS version, true AS previous_kept FROM known WHERE is_test""")
-def s9_model_store(spark, sf_dir):
+def s9_model_store(spark, sf_dir, sizes=FULL):
     """Save twice (the first version is kept under a timestamp), reload, re-score."""
     train, test = _split(spark, sf_dir)
-    model = _fit_small(train)
+    model = _fit(train, sizes=sizes)
     path = _run_dir(spark, "store")
     model_store.save_model(spark, model, path, {"version": 1})
     moved = model_store.save_model(spark, model, path, {"version": 2})
@@ -479,13 +484,13 @@ r AS (SELECT row_id, Episodio, list_filter([
   CASE WHEN coalesce(""" + O.num("Triage") + """ <= 2, false) THEN 'triage_critico' END,
   CASE WHEN coalesce(SatO2 < 90, false) THEN 'hipoxemia' END], lambda x: x IS NOT NULL), ',') AS alerts FROM enc)
 SELECT row_id, Episodio, array_to_string(rr, ',') AS reject_reasons, len(rr) = 0 AS valid, alerts, true AS decision_ok FROM r""")
-def d7_score_stream(spark, sf_dir):
+def d7_score_stream(spark, sf_dir, sizes=FULL):
     """Structured Streaming: the extract lands as files; each arriving record is range
     checked and alerted; those in range are scored and thresholded; the sink is read back."""
     from pertinax.plans.clinical import clinical_encounters, prepare_clinical
     from pertinax.streaming.score_stream import score_stream
     train, _ = _split(spark, sf_dir)
-    model = _fit_small(train)
+    model = _fit(train, sizes=sizes)
     raw = clinical_encounters(spark, sf_dir)
     src, sink, ckpt = _run_dir(spark, "stream-src"), _run_dir(spark, "stream-out"), _run_dir(spark, "stream-ckpt")
     sinks.write_table(raw.repartition(4, schema.ROW_ID), src, "parquet")

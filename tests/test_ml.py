@@ -115,3 +115,29 @@ def test_rejected_records_get_no_score_and_missing_columns_refuse(spark, learnab
     assert [r[0] for r in one.select(D.decide_one(F.col("p"), 65)).collect()] == [
         "INDETERMINADO - Requiere revisión manual", "PERTINENTE", "NO PERTINENTE",
         "INDETERMINADO - Requiere revisión manual"]
+
+
+def test_registered_models_have_the_reference_sizes(spark, sf_small, monkeypatch):
+    from pertinax.plans import catalog_ml as M
+
+    class Stop(Exception):
+        pass
+
+    seen = []
+
+    def record(spec, *args, **kwargs):
+        seen.append(spec.params)
+        raise Stop
+
+    with monkeypatch.context() as m:
+        m.setattr("pertinax.operators.models.member_pipeline", record)
+        for query in (M.l1_train_forest, M.l2_train_gbt, M.l3_train_boosted, M.l4_soft_vote, M.l5_search,
+                      M.l6_cross_validate, M.l7_evaluate_train_test, M.l8_train_end_to_end,
+                      M.l8_train_production, M.d1_predict, M.d6_score_file, M.d7_score_stream):
+            with pytest.raises(Stop):
+                query(spark, sf_small)
+    forest = dict(numTrees=500, maxDepth=20, minInstancesPerNode=2)
+    gbt = dict(maxIter=300, maxDepth=7, stepSize=0.05, subsamplingRate=0.8)
+    assert seen == [forest, gbt, gbt, *[forest] * 9] and M.FOLDS == 5
+    small = {"forest": dict(numTrees=5, maxDepth=3), "gbt": dict(maxIter=2, maxDepth=2)}
+    assert M.l7_evaluate_train_test(spark, sf_small, sizes=small).where("counts_ok AND accuracy_ok").count() == 2
