@@ -8,7 +8,8 @@ pieces and parts are kept in a bounded dictionary, so the library encodes a freq
 Text that nothing splits and that is longer than ``LEAF`` characters goes through the tree:
 
 * the piece is halved until the leaves are short, and all leaves are encoded in
-  one batch call, which the library runs in parallel;
+  one batch call.  The library's own threads are off (``codec``), as the cores belong to other
+  tasks, so the leaves and joins of one text run one after another in one task;
 * neighbours are joined pair by pair.  A window of tokens around the join is encoded again and
   grows until one of its tokens equals a token of the left side and a later one equals a token of
   the right side, in id and place.  Tokens before the one and behind the other are kept from the
