@@ -9,9 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pertinax.llm import bpe, byte_cnn, cover_tree, exact_dedup, hd_langid, license_scan, mixing, pii, simhash, token_store
+from pertinax.llm import bpe, byte_cnn, cover_tree, exact_dedup, filter_audit, hd_langid, license_scan, mixing, pii, simhash, token_store
 from pertinax.llm.common import documents
-from pertinax.session import scratch_dir
+from pertinax.session import scratch_dir, written
 
 #: The tokenizer of the queries.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -141,6 +141,67 @@ FROM w LEFT JOIN (
 """
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet"))
+
+
+def filter_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The audit of five filters: too short, repetitive, shouting, symbols, copy of an earlier text."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    words = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
+    capitals = F.length(text) - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
+    n, distinct = F.size("words"), F.size(F.array_distinct("words"))
+    rows = docs.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("part"), text.alias("text"),
+                       words.alias("words")).select(
+        "doc_id", "part", F.unhex(F.sha2("text", 256)).alias("digest"),
+        filter_audit.fail_mask([n < 200, 100 * distinct < 50 * n, 100 * capitals > 2 * F.length("text"),
+                                F.col("text").rlike(r"[#$%&*|]")]).alias("mask"))
+    flagged = filter_audit.first_holders(written(rows, "filter-masks"), "digest", "doc_id", "copy")
+    # repeated rows collapse before ids are looked up, so a hot id is a handful of rows
+    few = flagged.groupBy("doc_id", "part", (F.col("mask") + F.when(F.col("copy"), 16).otherwise(0)).alias("mask")).agg(
+        F.count(F.lit(1)).alias("copies"))
+    marks = labels.groupBy(F.col("doc_id").alias("of")).agg(
+        F.max(F.coalesce((F.col("quality") == 1).cast("int"), F.lit(0))).alias("good"),
+        F.max(F.coalesce((F.col("toxic") == 1).cast("int"), F.lit(0))).alias("toxic"))
+    rows = few.join(marks, F.col("doc_id") == F.col("of"), "left")
+    weights = {c: F.col("copies") * F.coalesce(F.col(c), F.lit(0)) for c in ("good", "toxic")}
+    counts = filter_audit.cells(rows, F.col("part"), F.col("mask"), weights, F.col("copies"))
+    return filter_audit.audit(counts, "ABCDE", ["good", "toxic"])
+
+
+#: Every order and step by itself, from the failures of each document.
+OP13_SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+                  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+first AS (SELECT t, min(doc_id) AS first FROM w GROUP BY t),
+d AS (SELECT w.doc_id, part, [len(ws) < 200, 100 * len(list_distinct(ws)) < 50 * len(ws),
+        100 * (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 2 * length(t),
+        regexp_matches(t, '[#$%&*|]'), coalesce(w.doc_id > first, false)] AS f
+      FROM w JOIN first USING (t)),
+l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic
+      FROM labels GROUP BY doc_id),
+m AS (SELECT part, f, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n
+      FROM d LEFT JOIN l USING (doc_id) GROUP BY ALL),
+x AS (SELECT unnest([1, 2, 3, 4, 5]) AS i),
+o AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS p FROM x a, x b, x c, x d, x e
+      WHERE a.i NOT IN (b.i, c.i, d.i, e.i) AND b.i NOT IN (c.i, d.i, e.i) AND c.i NOT IN (d.i, e.i) AND d.i <> e.i),
+s AS (SELECT list_aggregate(list_transform(p, lambda i: substr('ABCDE', i, 1)), 'string_agg', '') AS filter_order,
+             x.i AS step, p[x.i] AS own, p[:x.i - 1] AS before FROM o, x),
+r AS (SELECT part, filter_order, step, own, f[own] AND NOT list_bool_or([false] || list_transform(before, lambda i: f[i])) AS gone,
+             list_bool_or([false] || list_transform(before, lambda i: f[i])) AS earlier, f, good, toxic, n FROM m, s),
+c AS (SELECT part, filter_order, step, own,
+        CAST(coalesce(sum(n) FILTER (WHERE NOT earlier AND NOT f[own]), 0) AS BIGINT) AS kept,
+        CAST(coalesce(sum(n) FILTER (WHERE gone), 0) AS BIGINT) AS removed,
+        CAST(coalesce(sum(n) FILTER (WHERE f[own] AND earlier), 0) AS BIGINT) AS redundant,
+        CAST(coalesce(sum(n) FILTER (WHERE f[own] AND len(list_filter(f, lambda y: y)) = 1), 0) AS BIGINT) AS unique_fails,
+        CAST(coalesce(sum(n) FILTER (WHERE gone AND good), 0) AS BIGINT) AS good_lost,
+        CAST(coalesce(sum(n) FILTER (WHERE gone AND toxic), 0) AS BIGINT) AS toxic_lost
+      FROM r GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM c
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_simhash_dedup": op2_simhash_dedup,
@@ -152,6 +213,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mix_sources": op9_mix_sources,
     "op10_license_scan": op10_license_scan,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLES: dict[str, str] = {
@@ -159,4 +221,5 @@ ORACLES: dict[str, str] = {
     "op8_exact_dedup": OP8_SQL,
     "op9_mix_sources": OP9_SQL,
     "op10_license_scan": _op10_sql(),
+    "op13_filter_audit": OP13_SQL,
 }
