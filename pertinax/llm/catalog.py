@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pertinax.llm import bpe, byte_cnn, cover_tree, exact_dedup, filter_audit, hd_langid, license_scan, mixing, pii, simhash, token_store
+from pertinax.llm import (bpe, byte_cnn, conversation_repair, cover_tree, exact_dedup, filter_audit, hd_langid, license_scan,
+                          mixing, pii, simhash, token_store)
 from pertinax.llm.common import documents
 from pertinax.session import scratch_dir, written
 
@@ -141,6 +142,35 @@ FROM w LEFT JOIN (
 """
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_report(spark.read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet"))
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """``conv_id, turn, role, text`` after the damage that a hash of each row's key calls for."""
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.lit(":"),
+                   F.coalesce(F.col("turn").cast("string"), F.lit(" ")))
+    harm = (F.crc32(key) % 20).alias("harm")
+    role, text = (F.coalesce(F.col(c).cast("string"), F.lit(" ")).alias(c) for c in ("role", "text"))
+    rows = rows.select("conv_id", "turn", role, text, harm).where("harm <> 0")
+    rows = rows.select("conv_id", "turn", F.when(F.col("harm") == 4, "user").otherwise(F.col("role")).alias("role"),
+                       F.when(F.col("harm") == 1, "").when(F.col("harm") == 2, F.translate("text", ".!?", ""))
+                       .otherwise(F.col("text")).alias("text"),
+                       F.explode(F.array_repeat(F.lit(0), F.when(F.col("harm") == 3, 2).otherwise(1))))
+    return rows.drop("col")
+
+
+def repair_report(rows: DataFrame) -> DataFrame:
+    """Each original conversation's counts, cheapest edits and digest after damage and repair."""
+    ids = rows.select(F.col("conv_id").alias("of")).distinct()
+    done = conversation_repair.report(damaged(rows))
+    out = ids.join(done, F.col("of").eqNullSafe(F.col("conv_id")), "left")
+    zero = [F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+            for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select(F.col("of").alias("conv_id"), *zero, F.coalesce("audit", F.lit("")).alias("audit"),
+                      F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet"))
 
@@ -213,6 +243,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mix_sources": op9_mix_sources,
     "op10_license_scan": op10_license_scan,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_filter_audit": op13_filter_audit,
 }
 
