@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pertinax.llm import (bpe, byte_cnn, conversation_repair, cover_tree, exact_dedup, filter_audit, hd_langid, license_scan,
-                          mixing, pii, simhash, token_store)
+                          mixing, packing, pii, simhash, token_store)
 from pertinax.llm.common import documents
 from pertinax.session import scratch_dir, written
 
@@ -142,6 +142,10 @@ FROM w LEFT JOIN (
 """
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), room=1024, end_id=2)
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_report(spark.read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet"))
 
@@ -243,6 +247,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mix_sources": op9_mix_sources,
     "op10_license_scan": op10_license_scan,
+    "op11_packing": op11_packing,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_filter_audit": op13_filter_audit,
 }
