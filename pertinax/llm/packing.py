@@ -26,7 +26,6 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from array import array
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -37,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pertinax.llm.bpe import Codec, codec, slices
+from pertinax.llm.bpe import SPELLING, slices
 from pertinax.llm.common import col, map_batches, worker_state
 from pertinax.session import written
 
@@ -278,7 +277,7 @@ class ByteEncoder:
     run; all other texts go to the tokenizers library itself."""
 
     def __init__(self, path: str):
-        self.codec: Codec = codec(path)
+        self.path, self.library = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre, self.fast = spec.get("pre_tokenizer") or {}, None
@@ -288,8 +287,6 @@ class ByteEncoder:
         if plain:
             import public_tokenizers
             import tiktoken
-            from pertinax.llm.bpe import SPELLING
-
             byte = {chr(c): b for b, c in SPELLING.items()}
             special = {t["content"] for t in spec.get("added_tokens") or []}
             byte |= {chr(b): b for b in range(256) if b not in SPELLING}
@@ -298,26 +295,28 @@ class ByteEncoder:
         self.special = [t["content"] for t in spec.get("added_tokens") or []]
         self.long_run = re.compile(r"\S{%d}|\s{%d}" % (RUN, RUN))
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out, slow = [], []
-        for k, text in enumerate(texts):
-            if self.fast is None or any(s in text for s in self.special) or (len(text) >= RUN and self.long_run.search(text)):
-                slow.append(k)
-                out.append(None)
-            else:
-                out.append(np.array(self.fast.encode_ordinary(text), "<u4"))
-        for k, ids in zip(slow, self.codec.tokenizer.encode_batch([texts[k] for k in slow], add_special_tokens=False)):
-            out[k] = np.frombuffer(array("I", ids.ids).tobytes(), "<u4")
-        return out
+    def encode(self, text: str) -> np.ndarray:
+        if self.fast is None or any(s in text for s in self.special) or (len(text) >= RUN and self.long_run.search(text)):
+            return np.array(self.slow().encode(text, add_special_tokens=False).ids, "<u4")
+        return np.array(self.fast.encode_ordinary(text), "<u4")
+
+    def slow(self):
+        """The library's tokenizer, loaded once a text needs it."""
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+            self.library.no_truncation()
+            self.library.no_padding()
+        return self.library
 
 
 def encoder(path: str) -> ByteEncoder:
-    codec(path)                              # claims the worker's state
-    state = worker_state("bpe")
-    key = ("byte encoder", path)
-    if key not in state:
-        state[key] = ByteEncoder(path)
-    return state[key]
+    """The encoder of a file, loaded once per Python worker."""
+    state = worker_state("packing")
+    if path not in state:
+        state[path] = ByteEncoder(path)
+    return state[path]
 
 
 # ------------------------------------------------------------------ on Spark
@@ -342,8 +341,8 @@ def pieces(docs: DataFrame, path: str, room: int, end_id: int, id_col: str = "do
         for batch in batches:
             for part, texts in slices(batch):
                 of, made = [], []
-                for row, ids in enumerate(e.encode(texts)):
-                    ids = np.append(ids, np.array([end_id], "<u4"))
+                for row, text in enumerate(texts):
+                    ids = np.append(e.encode(text), np.array([end_id], "<u4"))
                     at = 0
                     for k, size in enumerate(cut(len(ids), room)):
                         mine = ids[at:at + size].tobytes()

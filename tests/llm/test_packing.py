@@ -116,8 +116,8 @@ def texts():
 def test_encoder_is_the_library():
     t = Tokenizer.from_file(PATH)
     want = [e.ids for e in t.encode_batch(texts(), add_special_tokens=False)]
-    got = packing.ByteEncoder(PATH).encode(texts())
-    assert [g.tolist() for g in got] == want
+    e = packing.ByteEncoder(PATH)
+    assert [e.encode(t).tolist() for t in texts()] == want
 
 
 def check(docs, room=1024):
