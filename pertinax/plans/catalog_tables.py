@@ -12,6 +12,7 @@ from pertinax.operators import joins as J
 from pertinax.operators import order as OR
 from pertinax.operators import project as P
 from pertinax.operators import setops as U
+from pertinax.operators.nearest import nearest_join
 from pertinax.plans import oracle as O
 from pertinax.plans.clinical import prepared_encounters
 from pertinax.plans.fixture import FIXTURE_SCORE_SQL, encounters
@@ -131,6 +132,19 @@ def j6_labelled_documents(spark, sf_dir):
 
 # --------------------------------------------------------------------- A1–A12
 
+@register("j7_nearest", oracle="""
+WITH d AS (SELECT s_suppkey, min({'d': ((s_acctbal - c_acctbal) * (s_acctbal - c_acctbal)
+      + CAST(s_nationkey - c_nationkey AS DOUBLE) * (s_nationkey - c_nationkey)) * 2 / 2, 'i': c_custkey}, 3) AS best
+  FROM supplier, customer GROUP BY s_suppkey)
+SELECT s_suppkey, CAST(k AS INTEGER) AS rank, best[k].i AS c_custkey, round(sqrt(best[k].d), 6) AS distance
+FROM d, (VALUES (1), (2), (3)) v(k) WHERE k <= len(best)""")
+def j7_nearest(spark, sf_dir):
+    """Each supplier's three nearest customers by balance and nation."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_acctbal").alias("balance"), F.col("s_nationkey").alias("nation"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").alias("balance"), F.col("c_nationkey").alias("nation"))
+    return rnd(nearest_join(s, c, ["balance", "nation"], 3, "s_suppkey", "c_custkey"), ["distance"])
+
+
 @register("a1_class_distribution", oracle="""
 SELECT lang, CAST(count(*) AS BIGINT) AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang""")
 def a1_class_distribution(spark, sf_dir):
