@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +17,7 @@ from pertinax.operators.project import (clean_label, encode_label, rename_base,
 
 @dataclass
 class Trained:
-    model: PipelineModel
+    model: object            # scores by its transform()
     features: list[str]
     evaluation: DataFrame    # train and test: accuracy and confusion matrix
     folds: DataFrame         # cross-validation on the training side
@@ -29,7 +28,8 @@ def train_pipeline(base: DataFrame, form: DataFrame, key: str, spec: L.ModelSpec
     """Rename both sources (P1, P2), union by name (U1), coerce and derive the features (F1), keep
     the candidates that exist (P10), encode the label, split by hash (M1), fit, report, and
     cross-validate.  Default: the forest of 500 trees of depth 20."""
-    spec = spec or L.ModelSpec("forest", "forest", dict(numTrees=500, maxDepth=20))
+    spec = spec or L.ModelSpec("forest", "forest", dict(numTrees=500, maxDepth=20, minInstancesPerNode=2,
+                                                       minSamplesSplit=5))
     both = rename_base(base).unionByName(rename_form(form), allowMissingColumns=True)
     ready = features_production(both, "train").withColumn(
         "label", encode_label(clean_label(label)).cast("double"))
@@ -40,7 +40,6 @@ def train_pipeline(base: DataFrame, form: DataFrame, key: str, spec: L.ModelSpec
     binary = [c for c in features if c in schema.PRODUCTION_BINARY]
     numeric = [c for c in features if c not in binary]
     train, test = rows.where(~F.col("is_test")), rows.where("is_test")
-    with L.cached(train) as side:
-        model = L.member_pipeline(spec, numeric, binary=binary).fit(side)
-        cv = L.cross_validate(side, numeric, spec, key, k=folds, binary=binary)
+    model = L.member_pipeline(spec, numeric, binary=binary).fit(train)
+    cv = L.cross_validate(train, numeric, spec, key, k=folds, binary=binary)
     return Trained(model, features, L.evaluate_train_test(model, train, test), cv)

@@ -1,8 +1,8 @@
-"""Model persistence (S9): Spark ML writer plus a one-row metadata table per version.
+"""Model persistence (S9): the model and a one-row metadata table per version.
 
 Layout under ``path``::
 
-    v<yyyymmdd_HHMMSS_ffffff>/model/      the fitted PipelineModel
+    v<yyyymmdd_HHMMSS_ffffff>/model/      the fitted PipelineModel, or an ensemble's node table
     v<yyyymmdd_HHMMSS_ffffff>/metadata/   JSON, one row: dates, counts, accuracies, features,
                                           parameters, label mapping
 
@@ -19,6 +19,8 @@ import json
 
 from pyspark.sql import SparkSession
 
+from pertinax.operators.ensembles import Ensemble
+
 
 def versions(spark: SparkSession, path: str) -> list[str]:
     """The complete versions under ``path``, oldest first."""
@@ -32,6 +34,11 @@ def versions(spark: SparkSession, path: str) -> list[str]:
     return sorted(n for n in names if n.startswith("v") and done(n))
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def _write_json(spark: SparkSession, obj: dict, path: str) -> None:
     spark.createDataFrame([(json.dumps(obj, ensure_ascii=False, default=str),)], "value string") \
         .coalesce(1).write.text(path)
@@ -47,7 +54,10 @@ def save_model(spark: SparkSession, model, path: str, metadata: dict) -> str | N
     base = path.rstrip("/")
     previous = versions(spark, base)
     version = "v" + _dt.datetime.now().strftime("%Y%m%d_%H%M%S_%f")
-    model.write().save(f"{base}/{version}/model")
+    if isinstance(model, Ensemble):
+        model.save(spark, f"{base}/{version}/model")
+    else:
+        model.write().save(f"{base}/{version}/model")
     meta = dict(metadata)
     meta.setdefault("saved_at", _dt.datetime.now().isoformat(timespec="seconds"))
     meta["version"] = meta.get("version", version)
@@ -56,7 +66,7 @@ def save_model(spark: SparkSession, model, path: str, metadata: dict) -> str | N
 
 
 def load_model(spark: SparkSession, path: str, version: str | None = None):
-    """Return ``(PipelineModel, metadata dict)`` for ``version`` (default: latest)."""
+    """Return ``(model, metadata dict)`` for ``version`` (default: latest)."""
     from pyspark.ml import PipelineModel
     base = path.rstrip("/")
     if version is None:
@@ -64,5 +74,6 @@ def load_model(spark: SparkSession, path: str, version: str | None = None):
         if not complete:
             raise FileNotFoundError(f"no model saved under {path}")
         version = complete[-1]
-    model = PipelineModel.load(f"{base}/{version}/model")
+    folder = f"{base}/{version}/model"
+    model = Ensemble.load(spark, folder) if _exists(spark, f"{folder}/ensemble") else PipelineModel.load(folder)
     return model, _read_json(spark, f"{base}/{version}/metadata")

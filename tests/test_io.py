@@ -76,7 +76,7 @@ def test_convert_files_keeps_going_after_a_failure(spark):
 
 def test_stream_scoring_matches_batch(spark, sf_small):
     from __spark_entry__ import queries
-    out = queries()["d7_score_stream"](spark, sf_small)
+    out = queries()["d7_score_stream"](spark, sf_small, sizes={"forest": dict(numTrees=20, maxDepth=6)})
     rows = out.collect()
     assert len(rows) == spark.read.parquet(f"{sf_small}/events.parquet").where("event_id % 61 <> 0").count()  # a key is required
     assert all(r["decision_ok"] for r in rows)      # in range: scored; out of range: not

@@ -117,27 +117,13 @@ def test_rejected_records_get_no_score_and_missing_columns_refuse(spark, learnab
         "INDETERMINADO - Requiere revisión manual"]
 
 
-def test_registered_models_have_the_reference_sizes(spark, sf_small, monkeypatch):
+def test_registered_models_have_the_published_sizes():
     from pertinax.plans import catalog_ml as M
 
-    class Stop(Exception):
-        pass
-
-    seen = []
-
-    def record(spec, *args, **kwargs):
-        seen.append(spec.params)
-        raise Stop
-
-    with monkeypatch.context() as m:
-        m.setattr("pertinax.operators.models.member_pipeline", record)
-        for query in (M.l1_train_forest, M.l2_train_gbt, M.l3_train_boosted, M.l4_soft_vote, M.l5_search,
-                      M.l6_cross_validate, M.l7_evaluate_train_test, M.l8_train_end_to_end,
-                      M.l8_train_production, M.d1_predict, M.d6_score_file, M.d7_score_stream):
-            with pytest.raises(Stop):
-                query(spark, sf_small)
-    forest = dict(numTrees=500, maxDepth=20, minInstancesPerNode=2)
-    gbt = dict(maxIter=300, maxDepth=7, stepSize=0.05, subsamplingRate=0.8)
-    assert seen == [forest, gbt, gbt, *[forest] * 9] and M.FOLDS == 5
-    small = {"forest": dict(numTrees=5, maxDepth=3), "gbt": dict(maxIter=2, maxDepth=2)}
-    assert M.l7_evaluate_train_test(spark, sf_small, sizes=small).where("counts_ok AND accuracy_ok").count() == 2
+    forest, gbt, boosted = (L.tree_spec(L.ModelSpec(k, M.KIND[k], M.FULL[k])) for k in ("forest", "gbt", "boosted"))
+    assert (forest.trees, forest.depth, forest.min_split, forest.min_leaf) == (500, 20, 5, 2) and M.FOLDS == 5
+    assert (gbt.trees, gbt.depth, gbt.step, gbt.subsample, gbt.l2) == (300, 7, 0.05, 0.8, 0.0)
+    assert (boosted.trees, boosted.depth, boosted.step, boosted.tree_columns, boosted.l2) == (500, 7, 0.03, 0.8, 1.0)
+    assert len(M.SEARCH) == 8 and [len(c.members) for c in M.SEARCH] == [0, 0, 0, 0, 2, 2, 3, 4]
+    assert [m.params["maxIter" if m.kind == "boost" else "numTrees"] for c in M.SEARCH for m in c.members] == [
+        400, 400, 400, 300, 350, 300, 250, 300, 200, 200, 200]
