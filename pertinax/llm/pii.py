@@ -14,14 +14,16 @@ name that a document uses often and puts beside its entity once still tells all,
 counts as often as it was copied.  Every pair of entity and term is scored.  It counts unless it may
 be chance: that a term of ``n_t`` documents meets the entity in ``n_te`` of them, at the rate
 ``q = n_e / N`` of the entity's windows among all words, has a probability of at most
-``2 ** (-n_t * KL(n_te / n_t, q))`` (Chernoff's bound), which has to be CHANCE or less.  One meeting
-of a term that occurs nowhere else is enough where ``q`` is CHANCE or less.  Terms whose disclosure
+``2 ** (-n_t * KL(n_te / n_t, q))`` (Chernoff's bound).  Of all pairs those are taken whose expected share
+of chance meetings is CHANCE or less (Benjamini and Hochberg's rule, on a histogram of the pairs' bits).
+So one meeting of a term that occurs nowhere else is enough where ``q`` is small, and tells as little or as
+much of an ordinary rare word as of a name.  Terms whose disclosure
 reaches GENERALISE are generalised wherever they stand in the corpus, those that reach REMOVE are
 removed.
 
 Three scans of the texts: windows of the mentions; occurrences of the terms that can still reach
-a threshold; spans.  Terms travel to the tasks as a bit map of fixed size (2^MAP_BITS hashes), so
-nothing that grows with the corpus is broadcast; what passes the map is joined with the terms
+a threshold; spans.  Terms travel to the tasks as a bit map of 16 bits a term, at most 16 MB (a fuller
+map only lets more words through to the join), so what is broadcast has a fixed bound; what passes the map is joined with the terms
 themselves, so a collision never shows in the result.
 
 Defined results: a term is a run of letters and digits of any length and script (in text without
@@ -35,6 +37,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections import Counter, deque
 from collections.abc import Iterator
 from itertools import islice
@@ -59,7 +62,8 @@ GENERALISE = 0.95
 REMOVE = 0.98
 #: Greatest probability of a pair by chance.
 CHANCE = 0.01
-MAP_BITS = 24
+#: The bit map has MAP_LOAD places a term, and at least 2^MIN_MAP_BITS, at most 2^MAX_MAP_BITS (16 MB).
+MAP_LOAD, MIN_MAP_BITS, MAX_MAP_BITS = 16, 20, 27
 KINDS = ("email", "ip", "card", "phone")
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -96,7 +100,7 @@ def _ips(text: str) -> Iterator[tuple[int, int]]:
         for k in range(0, len(parts) - 3, 4):
             four = parts[k:k + 4]
             length = sum(map(len, four)) + 3
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in four):
+            if all(len(n := p.lstrip("0")) <= 3 and int(n or 0) <= 255 for p in four):
                 yield start, start + length
             start += length + 1
 
@@ -150,18 +154,28 @@ def _after(text: str, end: int) -> list[re.Match]:
     return list(islice((m for m in TERM.finditer(text, end) if m.start() > end), WINDOW))
 
 
-def window(text: str, start: int, end: int, spans: list[tuple[str, int, int]]) -> list[str]:
-    """The terms around a mention, without those inside any mention."""
-    near = [*_before(text, start), *_after(text, end)]
-    if not near:
-        return []
-    lo, hi = near[0].start(), near[-1].end()
-    covered = [(a, b) for _, a, b in spans if b > lo and a < hi]
+class Cover:
+    """The stretches that mentions cover, merged, for look-ups by place."""
+
+    def __init__(self, spans: list[tuple[str, int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for start, end in sorted((a, b) for _, a, b in spans):
+            if self.ends and start <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def meets(self, start: int, end: int) -> bool:
+        k = bisect_right(self.ends, start)
+        return k < len(self.ends) and self.starts[k] < end
 
-    def free(m: re.Match) -> bool:
-        return m[0] not in FUNCTION_WORDS and not any(a < m.end() and m.start() < b for a, b in covered)
 
-    return [m[0].lower() for m in near if free(m)]
+def window(text: str, start: int, end: int, cover: Cover) -> list[str]:
+    """The terms around a mention, without those inside any mention."""
+    near = [*_before(text, start), *_after(text, end)]
+    return [m[0].lower() for m in near if m[0] not in FUNCTION_WORDS and not cover.meets(m.start(), m.end())]
 
 
 def _texts(docs: DataFrame, text_col: str) -> DataFrame:
@@ -177,9 +191,10 @@ def co_occurrences(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 found: dict[tuple[int, str], list[int]] = {}
                 for text in texts:
                     spans, near = base_spans(text), Counter()
+                    cover = Cover(spans)
                     for kind, a, b in spans:
                         who = entity(kind, text[a:b])
-                        near.update((who, t) for t in window(text, a, b, spans))
+                        near.update((who, t) for t in window(text, a, b, cover))
                     for pair, n in near.items():
                         seen = found.setdefault(pair, [0, 0])
                         seen[0] += 1
@@ -195,14 +210,15 @@ def co_occurrences(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def term_map(table: DataFrame) -> np.ndarray:
-    """The bit map of the terms in a table: at most 2^MAP_BITS / 64 rows reach the driver."""
-    place = F.xxhash64("term").bitwiseAND(F.lit((1 << MAP_BITS) - 1))
+    """The bit map of the terms in a table, by their number; its non-zero words reach the driver."""
+    count = table.agg(F.approx_count_distinct("term")).first()[0]
+    size = min(max((MAP_LOAD * count).bit_length(), MIN_MAP_BITS), MAX_MAP_BITS)
+    place = F.xxhash64("term").bitwiseAND(F.lit((1 << size) - 1))
     words = (table.select(F.shiftright(place, 6).alias("word"),
                           F.expr("shiftleft(1L, CAST(xxhash64(term) & 63 AS INT))").alias("bit"))
-             .groupBy("word").agg(F.bit_or("bit").alias("bits")))
-    out = np.zeros(1 << MAP_BITS - 6, np.int64)
-    for r in words.collect():
-        out[r["word"]] = r["bits"]
+             .groupBy("word").agg(F.bit_or("bit").alias("bits"))).toArrow()
+    out = np.zeros(1 << size - 6, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     return out
 
 
@@ -210,21 +226,22 @@ class Wanted(dict):
     """term -> whether it may be in the map; a bounded memory of answers."""
 
     def __init__(self, bits: np.ndarray):
-        self.bits = bits
+        self.bits, self.mask = bits, 64 * len(bits) - 1
 
     def __missing__(self, term: str) -> bool:
         if len(self) > 300_000:
             self.clear()
-        place = term_hash(term) & (1 << MAP_BITS) - 1
+        place = term_hash(term) & self.mask
         self[term] = out = bool(int(self.bits[place >> 6]) >> (place & 63) & 1)
         return out
 
 
 def occurrences(docs: DataFrame, bits: np.ndarray, text_col: str = "text") -> DataFrame:
     """``term, n_t``: documents of each term in the map, and all words under a null term."""
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = Wanted(bits)
+        wanted = Wanted(sent.value)
         for batch in batches:
             for _, texts in slices(batch):
                 found, total = Counter(), 0
@@ -241,6 +258,19 @@ def occurrences(docs: DataFrame, bits: np.ndarray, text_col: str = "text") -> Da
             .groupBy("term").agg(F.sum("n").alias("n_t")))
 
 
+def least_bits(scored: DataFrame, pairs: int, chance: float = CHANCE) -> float:
+    """The fewest bits at which ``chance`` of the taken pairs at most meet by chance: with ``r`` pairs of
+    ``b`` bits or more, ``pairs * 2 ** -b <= chance * r``.  Bits are counted in steps of 1/16, up to 128."""
+    step = F.least(F.floor(F.col("bits") * 16), F.lit(2048)).cast("int")
+    counts = dict(scored.groupBy(step.alias("step")).agg(F.count(F.lit(1))).collect())
+    taken, best = 0, float("inf")
+    for k in sorted(counts, reverse=True):
+        taken += counts[k]
+        if pairs * 2.0 ** (-k / 16) <= chance * taken:
+            best = k / 16
+    return max(best, -np.log2(chance).item())
+
+
 def disclosing_terms(docs: DataFrame, text_col: str = "text", threshold: float = GENERALISE) -> DataFrame:
     """``term, disclosure`` of the terms that reach the threshold for some entity; written."""
     pairs = written(co_occurrences(docs, text_col), "pii-pairs")
@@ -253,8 +283,8 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", threshold: float =
     share = F.least(F.lit(1.0), F.log2(p / q) / own)
     bits = F.col("n_te") * F.log2(p / q) + F.when(
         p < 1, (F.col("n_t") - F.col("n_te")) * F.log2((1 - p) / (1 - q))).otherwise(0.0)
-    sure = (p > q) & (bits >= -np.log2(CHANCE).item())
-    table = scored.where(sure).groupBy("term").agg(F.max(share).alias("disclosure")) \
+    scored = written(scored.where(p > q).select("term", share.alias("share"), bits.alias("bits")), "pii-scored")
+    table = scored.where(F.col("bits") >= least_bits(scored, pairs.count())).groupBy("term").agg(F.max("share").alias("disclosure")) \
         .where(F.col("disclosure") >= threshold)
     return written(table, "pii-disclosing")
 
@@ -267,7 +297,7 @@ def find(docs: DataFrame, table: DataFrame, id_col: str = "doc_id", text_col: st
          with_text: bool = False) -> DataFrame:
     """One row per input row: ``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans`` and
     ``terms`` (array of term, start, end, disclosure), with the text if asked for."""
-    bits = term_map(table)
+    sent = docs.sparkSession.sparkContext.broadcast(term_map(table))
     rows = docs.select(col(id_col).alias("doc_id"), col(text_col).cast("string").alias("text"))
     hit = pa.struct([("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
     fields = [rows.schema["doc_id"], *(T.StructField(f"n_{k}", T.LongType()) for k in KINDS),
@@ -279,7 +309,7 @@ def find(docs: DataFrame, table: DataFrame, id_col: str = "doc_id", text_col: st
         schema = schema.add("text", T.StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, some = Wanted(bits), bits.any()
+        wanted, some = Wanted(sent.value), sent.value.any()
         for batch in batches:
             for part, texts in slices(batch):
                 spans = [base_spans(t) for t in texts]
