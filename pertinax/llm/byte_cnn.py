@@ -162,7 +162,10 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
              .groupBy(col(id_col).alias("label_id")).agg(F.max(col(label_col)).cast("int").alias("label"))
              .orderBy(F.xxhash64("label_id"), "label_id").limit(SAMPLE_DOCS))
     rows = docs.select(col(id_col).alias("doc_id"), col(text_col).cast("string").cast("binary").alias("text"))
-    rows = rows.join(F.broadcast(known), F.col("doc_id") == F.col("label_id")).select("doc_id", "label", "text")
+    rows = rows.join(F.broadcast(known), F.col("doc_id") == F.col("label_id"))
+    # one row an id: of several, the one whose text has the smallest hash
+    rows = rows.groupBy("doc_id").agg(F.min_by(F.struct("label", "text"), F.struct(F.xxhash64("text"), "text")).alias("r")).select(
+        "doc_id", "r.label", "r.text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,7 +176,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
                  pa.array([b"".join(f for _, f in c) for c in chunks], pa.binary())],
                 names=["id", "label", "data", "flags"])
 
-    drawn = map_batches(rows, run, "id string, label int, data binary, flags binary").limit(2 * SAMPLE_DOCS).collect()
+    drawn = map_batches(rows, run, "id string, label int, data binary, flags binary").collect()
     drawn = sorted((r for r in drawn if r["data"]), key=lambda r: (r["id"], bytes(r["data"])))
     size = CHUNK + WIDTH - 1
     return ([np.frombuffer(r["data"], np.int16).reshape(-1, size) for r in drawn],
