@@ -84,7 +84,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col:
             for part, texts in slices(batch):
                 ids = [e + end for e in c.encode(texts)]
                 counts = pa.array([len(i) // 4 for i in ids], pa.int64())
-                frames = pa.array([pack(i[:4 * most] if most else i) for i in ids], pa.binary())
+                frames = pa.array([pack(drawn_blocks(i, most) if most else i) for i in ids], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), counts, frames],
                                                  names=["doc_id", "n_tokens", "frame"])
 
@@ -99,13 +99,26 @@ def compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(dictionary))
 
 
+def drawn_blocks(ids: bytes, most: int, block: int = 256) -> bytes:
+    """At most ``most`` ids of a document: blocks from all over it, chosen by a hash of its ids."""
+    if len(ids) <= 4 * most:
+        return ids
+    places = np.random.default_rng(zlib.crc32(ids)).choice(-(-len(ids) // (4 * block)), most // block, replace=False)
+    return b"".join(ids[4 * block * k:4 * block * (k + 1)] for k in sorted(places.tolist()))
+
+
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str) -> bytes:
-    """A dictionary from the id arrays of about SAMPLE_DOCS documents, drawn by hash; as raw
-    content where there are too few of them to train on, empty for an empty table."""
-    total = docs.count()
-    share = min(1.0, 1.5 * SAMPLE_DOCS / max(total, 1))
-    drawn = F.pmod(F.xxhash64(col(id_col)), F.lit(1 << 32)) < int(share * (1 << 32))
-    sample = encoded(docs.where(drawn).limit(SAMPLE_DOCS), tokenizer, end_id, id_col, text_col, most=SAMPLE_IDS)
+    """A dictionary from the id arrays of SAMPLE_DOCS documents, those with the smallest hashes, and of
+    each at most SAMPLE_IDS ids; as raw content where there are too few of them to train on, empty for an
+    empty table.  The same table gives the same dictionary."""
+    of_id, of_hash = "__id", "__hash"
+    key = F.xxhash64(col(id_col), col(text_col))
+    # narrow: the texts are read again for the few that are drawn
+    drawn = (docs.select(col(id_col).alias(of_id), key.alias(of_hash)).distinct()
+             .orderBy(of_hash, of_id).limit(SAMPLE_DOCS))
+    same = col(id_col).eqNullSafe(F.col(of_id)) & (key == F.col(of_hash))
+    few = docs.select(col(id_col), col(text_col)).join(F.broadcast(drawn), same).dropDuplicates([of_id, of_hash]).drop(of_id, of_hash)
+    sample = encoded(few, tokenizer, end_id, id_col, text_col, most=SAMPLE_IDS)
     arrays = sorted(bytes(r["frame"]) for r in sample.select("frame").collect())
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, arrays, k=256, d=8).as_bytes()
