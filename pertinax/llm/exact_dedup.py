@@ -7,7 +7,8 @@
 3. The listed digests are counted exactly; those that really reach ``support`` are the
    verified winners.  There are at most ``1 / support`` of them, so they are broadcast and the
    hot rows are settled on the map side, without a shuffle.
-4. The remaining digests hold at most ``support`` of the rows each and are shuffled by digest.
+4. The remaining digests hold at most ``support`` of the rows each.  Their winners and sizes are
+   aggregated, combined on the map side, and joined to the rows by digest.
 
 Defined results: a null text counts as empty; the largest doc_id of equal texts stays (a null
 doc_id is smaller than any other); of rows equal in text and doc_id exactly one stays; an empty
@@ -17,7 +18,7 @@ ignored (``report``) whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pertinax.llm.common import col, fresh, lower_ascii, tie_break
@@ -60,14 +61,13 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hot = winners(digests, support).select("digest", F.col("best").alias("hot_best"),
                                            F.col("group_size").alias("hot_size"))
     rows = digests.join(F.broadcast(hot), "digest", "left")
-    group = Window.partitionBy("digest")
     settled = rows.where(F.col("hot_size").isNotNull()).select(
         "doc_id", "row_id", "digest", F.col("hot_best").alias("best"),
         F.col("hot_size").alias("group_size"))
-    shuffled = rows.where(F.col("hot_size").isNull()).select(
-        "doc_id", "row_id", "digest",
-        F.max(F.struct("doc_id", "row_id")).over(group).alias("best"),
-        F.count(F.lit(1)).over(group).alias("group_size"))
+    rest = rows.where(F.col("hot_size").isNull()).select("doc_id", "row_id", "digest")
+    groups = rest.groupBy("digest").agg(F.max(F.struct("doc_id", "row_id")).alias("best"),
+                                        F.count(F.lit(1)).alias("group_size"))
+    shuffled = rest.join(groups, "digest").select("doc_id", "row_id", "digest", "best", "group_size")
     return settled.unionByName(shuffled).select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size",
         (F.col("row_id") == F.col("best.row_id")).alias("kept"),
@@ -78,16 +78,33 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     support: float = SUPPORT) -> DataFrame:
     """``docs`` without its duplicate rows, all columns kept.
 
-    Rows of a frequent digest other than its winner leave on the map side; what remains is
-    shuffled by digest, where at most ``support`` of the rows share one."""
-    digest, hot_digest, best, tie, rank = fresh(docs, "digest", "hot_digest", "best", "tie", "rank")
-    hot = winners(digest_table(docs, id_col, text_col), support).select(
-        F.col("digest").alias(hot_digest), F.col("best.doc_id").alias(best))
+    Rows of a frequent digest other than its winner leave on the map side.  What else has to go is
+    found on the narrow table of ids and digests; Spark broadcasts the list of it if its size allows, so
+    that no text is shuffled, and joins by shuffle if not.  Rows equal in id and text are merged by an
+    aggregate, which combines them on the map side."""
+    digest, hot_digest, best, row, of_digest, of_id = fresh(
+        docs, "digest", "hot_digest", "best", "row", "of_digest", "of_id")
+    digests = digest_table(docs, id_col, text_col)
+    hot = written(winners(digests, support).select("digest", F.col("best.doc_id").alias("best_id")), "winners")
+    rest = digests.join(F.broadcast(hot), "digest", "left_anti").select("digest", "doc_id")
+    largest = rest.groupBy("digest").agg(F.max("doc_id").alias("best_id"))
+    losers = rest.join(largest, "digest").where(~F.col("doc_id").eqNullSafe(F.col("best_id"))).select("digest", "doc_id")
+    repeated = digests.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "doc_id")
+    listed = written(losers.distinct().withColumn("lost", F.lit(True)).unionByName(
+        repeated.withColumn("lost", F.lit(False))).select(F.col("digest").alias(of_digest), F.col("doc_id").alias(of_id), "lost"),
+        "exact-copies")
     rows = (docs.withColumn(digest, digest_hex(col(text_col)))
-            .join(F.broadcast(hot), col(digest) == col(hot_digest), "left")
+            .join(F.broadcast(hot.select(F.col("digest").alias(hot_digest), F.col("best_id").alias(best))),
+                  col(digest) == col(hot_digest), "left")
             .where(col(hot_digest).isNull() | col(id_col).eqNullSafe(col(best))))
-    order = Window.partitionBy(col(digest)).orderBy(col(id_col).desc_nulls_last(), col(tie))
-    return (rows.withColumn(tie, tie_break(docs))
-            .withColumn(rank, F.row_number().over(order))
-            .where(col(rank) == 1)
-            .select(*[col(c) for c in docs.columns]))
+
+    def matched(of: DataFrame, table: DataFrame, how: str) -> DataFrame:
+        same = (col(digest) == col(of_digest)) & col(id_col).eqNullSafe(col(of_id))
+        return of.join(table.select(of_digest, of_id), same, how)
+
+    columns = [col(c) for c in docs.columns]
+    lost = listed.where("lost")
+    merged = (matched(matched(rows, listed.where("NOT lost"), "left_semi"), lost, "left_anti")
+              .groupBy(col(id_col), col(digest)).agg(F.min_by(F.struct(*columns), tie_break(docs)).alias(row)))
+    return matched(rows, listed, "left_anti").select(*columns).unionAll(
+        merged.select(*[col(row).getField(c).alias(c) for c in docs.columns]))
