@@ -14,15 +14,16 @@ On Spark:
 2. Every query block meets one block of the pivot it points to most: that gives each query a first
    k-th score and each query pivot its worst one.
 3. Pairs of pivots whose bound, with the covering radii over all their vectors, is below that are
-   never joined.  The other pairs of blocks are searched tree against tree, starting from the
-   scores of step 2.  Each query's best ``k`` of all blocks are its result.
+   never joined.  A data block goes to one task, where its tree is built once, and the query blocks
+   that it may have something for pass by it as a stream, each packed into one row; both are searched
+   tree against tree, starting from the scores of step 2.  Each query's best ``k`` of all are its result.
 
 All vectors are indexed; the bound of the sample concerns where the pivots stand, not what is found.
 Scores are computed on integers, so they are exact (64 bit).
 
 Defined results: a vector that is null, or has a null or non-finite component, takes no part, nor
-does a row without id; an id that occurs more than once counts once, with its smallest vector; a
-shorter vector counts as followed by zeros; other columns are ignored whatever their names; an
+does a row without id; rows that share an id are candidates each for itself, but not for a query of
+that id, and as queries they have one result together (equal rows ask once); a shorter vector counts as followed by zeros; other columns are ignored whatever their names; an
 empty table gives an empty result.
 """
 
@@ -126,14 +127,16 @@ class Best:
 
 
 def search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, ids: np.ndarray, k: int,
-           floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(query row, score, id)`` of each query's best k; scores below its ``floor`` may miss."""
+           floor: np.ndarray | None = None, d_tree: Tree | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(query row, score, id)`` of each query's best k; scores below its ``floor`` may miss.
+    ``d_tree``: the tree of ``data``, if there is one already."""
     best = Best(query_ids, k, np.full(len(queries), -np.inf) if floor is None else floor)
     if not len(queries) or not len(data):
         return best.row, best.score, best.id
     largest = float(np.abs(queries).max(initial=0)) * float(np.abs(data).max(initial=0)) * data.shape[1]
     exact = largest < 2 ** 53  # then sums of products are whole numbers in floating point too
-    q_tree, d_tree = Tree(queries.astype(np.float64)), Tree(data.astype(np.float64))
+    q_tree = Tree(queries.astype(np.float64))
+    d_tree = Tree(data.astype(np.float64)) if d_tree is None else d_tree
 
     def compare(q_rows: np.ndarray, d_rows: np.ndarray) -> None:
         step = max(1, TILE // len(q_rows))
@@ -202,12 +205,12 @@ def integers(vector: Column) -> Column:
 
 
 def vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """``vec_id, vec`` of the rows that take part, one per id; written once."""
+    """``vec_id, vec, row`` of the rows that take part, ``row`` a number of its own; written once."""
     v = col(vector_col)
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
     usable = rows.where(col(id_col).isNotNull() & v.isNotNull() & finite)
-    return written(usable.select(col(id_col).cast("long").alias("vec_id"), integers(v).alias("vec"))
-                   .groupBy("vec_id").agg(F.min("vec").alias("vec")), "vectors")
+    return written(usable.select(col(id_col).cast("long").alias("vec_id"), integers(v).alias("vec"),
+                                 F.monotonically_increasing_id().alias("row")), "vectors")
 
 
 def _matrix(vecs, width: int | None = None) -> np.ndarray:
@@ -224,7 +227,7 @@ def _blocks(points: DataFrame, block: int, name: str) -> tuple[DataFrame, pd.Dat
     """Points with ``pivot, block``; per pivot: its size, its number of blocks and covering radius;
     the pivots."""
     n = points.count()
-    pivots = (points.orderBy(F.xxhash64("vec_id"), "vec_id")
+    pivots = (points.orderBy(F.xxhash64("vec_id", "row"), "row")
               .limit(min(MAX_PIVOTS, max(1, -(-n // block)))).collect())
     center = _matrix([r["vec"] for r in pivots]).astype(np.float64)
 
@@ -236,11 +239,11 @@ def _blocks(points: DataFrame, block: int, name: str) -> tuple[DataFrame, pd.Dat
             which = ((c ** 2).sum(axis=1) - 2 * x @ c.T).argmin(axis=1)
             distance = np.linalg.norm(x - c[which], axis=1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(which.astype(np.int32)), pa.array(distance)],
-                names=["vec_id", "vec", "pivot", "distance"])
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(which.astype(np.int32)), pa.array(distance)],
+                names=["vec_id", "vec", "row", "pivot", "distance"])
 
-    placed = written(points.select("vec_id", "vec").mapInArrow(
-        nearest, "vec_id long, vec array<long>, pivot int, distance double"), name)
+    placed = written(points.select("vec_id", "vec", "row").mapInArrow(
+        nearest, "vec_id long, vec array<long>, row long, pivot int, distance double"), name)
     facts = placed.groupBy("pivot").agg(F.count(F.lit(1)).alias("size"), F.max("distance").alias("radius"))
     facts = facts.toPandas().sort_values("pivot").reset_index(drop=True)
     facts["blocks"] = -(-facts["size"] // block)
@@ -248,29 +251,72 @@ def _blocks(points: DataFrame, block: int, name: str) -> tuple[DataFrame, pd.Dat
     dealt = spark.createDataFrame([(int(p), int(b)) for p, b in zip(facts["pivot"], facts["blocks"])],
                                   "pivot int, blocks int")
     placed = placed.join(F.broadcast(dealt), "pivot").select(
-        "vec_id", "vec", "pivot", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"))
+        "vec_id", "vec", "row", "pivot", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int").alias("block"))
     return placed, facts, center
 
 
+_PACKED = "pivot int, block int, ids binary, rows binary, floors binary, vecs binary, width int"
+
+
+def _packed(placed: DataFrame) -> DataFrame:
+    """One row a block: ids, rows, floors and vectors as bytes; written.  A block is bounded."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        vecs = rows.column("vec").to_pylist()
+        x = _matrix(vecs)
+        floor = np.array([-np.inf if f is None else f for f in rows.column("floor").to_pylist()], np.float64)
+        return pa.table({"pivot": rows.column("pivot")[:1], "block": rows.column("block")[:1],
+                         "ids": pa.array([rows.column("vec_id").to_numpy().tobytes()], pa.binary()),
+                         "rows": pa.array([rows.column("row").to_numpy().tobytes()], pa.binary()),
+                         "floors": pa.array([floor.tobytes()], pa.binary()), "vecs": pa.array([x.tobytes()], pa.binary()),
+                         "width": pa.array([x.shape[1]], pa.int32())})
+
+    if "floor" not in placed.columns:
+        placed = placed.withColumn("floor", F.lit(None).cast("double"))
+    rows = placed.select("pivot", "block", "vec_id", "row", "floor", "vec")
+    return written(rows.groupBy("pivot", "block").applyInArrow(run, _PACKED), "packed-blocks")
+
+
+class _Block:
+    """A packed block, unpacked."""
+
+    def __init__(self, ids: bytes, rows: bytes, floors: bytes, vecs: bytes, width: int):
+        self.ids, self.rows = np.frombuffer(ids, np.int64), np.frombuffer(rows, np.int64)
+        self.floor = np.frombuffer(floors, np.float64)
+        self.x = np.frombuffer(vecs, np.int64).reshape(len(self.ids), width)
+
+    def padded(self, width: int) -> np.ndarray:
+        return np.pad(self.x, ((0, 0), (0, width - self.x.shape[1]))) if width > self.x.shape[1] else self.x
+
+
 def _search_pairs(queries: DataFrame, data: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """``query_id, vec_id, score`` of each query's best k in each listed pair of blocks (``q_pivot,
-    q_block, d_pivot, d_block``); the queries bring their floor."""
-    key = ["q_pivot", "q_block", "d_pivot", "d_block"]
-    left = queries.select(F.col("pivot").alias("q_pivot"), F.col("block").alias("q_block"),
-                          "vec_id", "vec", "floor").join(pairs, ["q_pivot", "q_block"])
-    right = data.select(F.col("pivot").alias("d_pivot"), F.col("block").alias("d_block"),
-                        "vec_id", "vec").join(pairs, ["d_pivot", "d_block"])
-
-    def run(q: pa.Table, d: pa.Table) -> pa.Table:
-        q_vec, d_vec = q.column("vec").to_pylist(), d.column("vec").to_pylist()
-        width = max(map(len, [*q_vec, *d_vec]), default=0)
-        q_ids, d_ids = q.column("vec_id").to_numpy(), d.column("vec_id").to_numpy()
-        floor = np.array([-np.inf if f is None else f for f in q.column("floor").to_pylist()], np.float64)
-        row, score, ids = search(_matrix(q_vec, width), q_ids, _matrix(d_vec, width), d_ids, k, floor)
-        return pa.table({"query_id": q_ids[row], "vec_id": ids, "score": score})
-
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(
-        run, "query_id long, vec_id long, score long")
+    """``query_row, query_id, vec_id, score`` of each query's best k in each listed pair of packed
+    blocks (``q_pivot, q_block, d_pivot, d_block``)."""
+    names = ["ids", "rows", "floors", "vecs", "width"]
+    key = ["d_pivot", "d_block"]
+    wanted = pairs.select(*key).distinct()
+    hosts = data.withColumnsRenamed({"pivot": "d_pivot", "block": "d_block"}).join(wanted, key).select(
+        *key, F.lit(-1).alias("q_pivot"), F.lit(-1).alias("q_block"), *names)
+    guests = pairs.join(queries.withColumnsRenamed({"pivot": "q_pivot", "block": "q_block"}), ["q_pivot", "q_block"]).select(
+        *key, "q_pivot", "q_block", *names)
+    stream = hosts.unionByName(guests).repartition(*key).sortWithinPartitions(*key, "q_pivot", "q_block")
+
+    def run(batches):
+        host = tree = None
+        for batch in batches:
+            for i in range(len(batch)):
+                block = _Block(*(batch.column(j)[i].as_py() for j in range(4, 9)))
+                if batch.column(2)[i].as_py() < 0:
+                    host, tree = block, Tree(block.x.astype(np.float64))
+                    continue
+                width = max(host.x.shape[1], block.x.shape[1])
+                same = width == host.x.shape[1]
+                row, score, ids = search(block.padded(width), block.ids, host.padded(width), host.ids, k,
+                                         block.floor.copy(), tree if same else None)
+                yield pa.RecordBatch.from_arrays([pa.array(block.rows[row]), pa.array(block.ids[row]), pa.array(ids), pa.array(score)],
+                                                 names=["query_row", "query_id", "vec_id", "score"])
+
+    return stream.mapInArrow(run, "query_row long, query_id long, vec_id long, score long")
 
 
 def top_k(rows: DataFrame, query: Column, k: int = 5, id_col: str = "vec_id",
@@ -280,7 +326,8 @@ def top_k(rows: DataFrame, query: Column, k: int = 5, id_col: str = "vec_id",
     spark = rows.sparkSession
     points = vectors(rows, id_col, vector_col)
     data, facts, center = _blocks(points, DATA_BLOCK, "data-blocks")
-    queries, q_facts, q_center = _blocks(points.where(query), QUERY_BLOCK, "query-blocks")
+    asked = points.where(query).groupBy("vec_id", "vec").agg(F.min("row").alias("row")).select("vec_id", "vec", "row")
+    queries, q_facts, q_center = _blocks(written(asked, "queries"), QUERY_BLOCK, "query-blocks")
     shape = "q_pivot int, q_block int, d_pivot int, d_block int"
     if not len(facts) or not len(q_facts):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -297,12 +344,12 @@ def top_k(rows: DataFrame, query: Column, k: int = 5, id_col: str = "vec_id",
     # a first block for every query block: one of the pivot that its centre points to most
     first = {int(p): int(facts["pivot"][j]) for p, j in zip(q_facts["pivot"], towards.argmax(axis=1))}
     seeds = [(int(p), b, first[int(p)], 0) for p, n in zip(q_facts["pivot"], q_facts["blocks"]) for b in range(n)]
-    seeded = written(_search_pairs(queries.withColumn("floor", F.lit(None).cast("double")), data,
-                                   spark.createDataFrame(seeds, shape), k), "first-scores")
-    floors = (seeded.groupBy("query_id").agg(F.min("score").cast("double").alias("floor"),
-                                            F.count(F.lit(1)).alias("found"))
-              .select("query_id", F.when(F.col("found") == k, F.col("floor")).alias("floor")))
-    queries = written(queries.join(floors, F.col("vec_id") == F.col("query_id"), "left").drop("query_id"), "floors")
+    packed = _packed(data)
+    seeded = written(_search_pairs(_packed(queries), packed, spark.createDataFrame(seeds, shape), k), "first-scores")
+    floors = (seeded.groupBy("query_row").agg(F.min("score").cast("double").alias("floor"),
+                                             F.count(F.lit(1)).alias("found"))
+              .select("query_row", F.when(F.col("found") == k, F.col("floor")).alias("floor")))
+    queries = written(queries.join(floors, F.col("row") == F.col("query_row"), "left").drop("query_row"), "floors")
     worst = {r["pivot"]: r["worst"] for r in queries.groupBy("pivot").agg(
         F.min(F.coalesce("floor", F.lit(float("-inf")))).alias("worst")).collect()}
 
@@ -318,7 +365,8 @@ def top_k(rows: DataFrame, query: Column, k: int = 5, id_col: str = "vec_id",
                  .select("q_pivot", "q_block", "d_pivot", "d_block")
                  .join(F.broadcast(spark.createDataFrame(seeds, shape)),
                        ["q_pivot", "q_block", "d_pivot", "d_block"], "left_anti"))
-        seeded = seeded.unionByName(_search_pairs(queries, data, pairs, k))
+        seeded = seeded.unionByName(_search_pairs(_packed(queries), packed, pairs, k))
+    # first each query row's best, then those of rows that share an id
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return (seeded.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

@@ -88,3 +88,24 @@ def test_few_vectors_and_none(spark):
     assert [tuple(r) for r in cover_tree.top_k(df, F.col("vec_id") % 50 == 0).collect()] == [(0, 1, 7, -65536)]
     assert cover_tree.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
     assert cover_tree.top_k(df.where("vec_id = 7"), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_rows_that_share_an_id(spark, monkeypatch):
+    """All rows of a repeated id take part, as the SQL of the query says; a hot id fills many blocks."""
+    import duckdb
+
+    from pertinax.llm.catalog import OP5_SQL
+
+    monkeypatch.setattr(cover_tree, "DATA_BLOCK", 32)
+    monkeypatch.setattr(cover_tree, "QUERY_BLOCK", 8)
+    rng = np.random.default_rng(9)
+    rows = [(0, [1.0, 0.0]), (7, [2.0, 0.0]), (7, [9.0, 0.0]), (8, [3.0, 0.0]), (7, [9.0, 0.0]), (50, [0.5, -1.0]), (50, [-0.5, 1.0])]
+    rows += [(100 + int(i % 60), [float(x) for x in rng.normal(0, 1, 2).round(2)]) for i in range(200)]
+    rows += [(33, [float(x) for x in rng.normal(0, 1, 2).round(2)]) for _ in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted(tuple(r) for r in cover_tree.top_k(df, F.col("vec_id") % 50 == 0, k=5).select(
+        "query_id", "rank", "vec_id", "score").collect())
+    con = duckdb.connect()
+    embeddings = df.toPandas()  # noqa: F841
+    assert got == sorted(con.execute(f"SELECT query_id, rank, vec_id, score FROM ({OP5_SQL})").fetchall())
+    assert [(r[2], r[3]) for r in got if r[0] == 0][:2] == [(7, 589824), (7, 589824)]
