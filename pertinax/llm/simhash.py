@@ -4,13 +4,13 @@ A fingerprint is eight bytes.  Two fingerprints that differ in at most four bits
 four bytes, so four shared positional bytes are the guaranteed minimum of a pair that links.
 
 The index lists, for each set of four positions and the bytes there, the fingerprints that have
-them, so a pair stands in a list exactly if it reaches the minimum.  Lists of a single positional
-byte would hold 1/256 of all fingerprints each, and pairing inside them is quadratic; a list of
-four bytes is 2^24 times rarer.  Lists with one member go at once (a count aggregated on the map
-side).
+them.  So the count filter is in the key: a pair stands in some list exactly if it shares the minimum of
+positional bytes, and every pair below it is never formed.  Lists of single positional bytes, with
+a tally across lists, would find the same pairs, but only after forming those that share one byte: of
+``N`` evenly spread fingerprints ``8 * N^2 / 512`` pairs instead of ``70 * N^2 / 2^33``, a million times
+as many.  Lists with one member go at once (a count aggregated on the map side).
 
-* Lists of up to ``SHORT`` fingerprints are worked on one at a time: the positional bytes that two
-  members share are tallied, pairs below the minimum go, and the bits of the rest are compared.
+* Lists of up to ``SHORT`` fingerprints are worked on one at a time: the bits of all pairs are compared.
   Of the links found, a list sends one per member, to the smallest member that links reach inside
   the list: what is shuffled afterwards grows with the lists, not with their squares.
 * Fingerprints on a longer list (a large group of near copies) are never paired.  Each of them
@@ -50,6 +50,8 @@ MAX_BITS = 4
 SEED = 42
 #: Longest list whose members are compared with each other.
 SHORT = 1024
+#: Keys that the fingerprints of one component are spread over.
+SALTS = 32
 #: Shingles whose bits are counted at a time.
 BLOCK = 1 << 15
 
@@ -109,8 +111,7 @@ def list_links(members: np.ndarray, max_bits: int = MAX_BITS) -> tuple[np.ndarra
     reach from it."""
     members = np.unique(members)
     differ = (members[:, None] ^ members[None]).view(np.uint64)
-    shared = (differ.view(np.uint8).reshape(*differ.shape, 8) == 0).sum(axis=2)
-    linked = (shared >= 4) & (np.bitwise_count(differ) <= max_bits)
+    linked = np.bitwise_count(differ) <= max_bits
     least = np.arange(len(members))
     while True:
         lower = np.where(linked, least[None], len(members)).min(axis=1, initial=len(members))
@@ -128,7 +129,8 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, short: int = SHORT) ->
     if not 0 <= max_bits <= 4:
         raise ValueError("four shared bytes are guaranteed up to a distance of four bits")
     fp = F.col("fp")
-    entries = distinct.select("fp", F.posexplode(F.array(*[fp.bitwiseAND(F.lit(m)) for m in MASKS]))
+    # the table is narrow, its entries are not: dealt out before they are made
+    entries = distinct.repartition("fp").select("fp", F.posexplode(F.array(*[fp.bitwiseAND(F.lit(m)) for m in MASKS]))
                               .alias("positions", "bytes"))
     sizes = (entries.groupBy("positions", "bytes").agg(F.count(F.lit(1)).alias("size"))
              .where("size > 1"))
@@ -174,10 +176,15 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     prints = fingerprints(docs, id_col, text_col, shingle) if prints is None else prints
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
     joined = components(links(distinct.select("fp"), max_bits))
-    marked = distinct.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
-        "component", F.coalesce("component", "fp"))
-    named = marked.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    classes = marked.select("fp", "component").join(named, "component")
+    marked = written(distinct.join(joined.withColumnRenamed("node", "fp"), "fp", "left"), "components")
+    # a component may hold a third of all fingerprints: its smallest id is looked up through SALTS keys
+    salt = F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")
+    linked = marked.where(F.col("component").isNotNull())
+    named = linked.groupBy("component").agg(F.min("first_id").alias("component_id")).select(
+        "component", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    classes = linked.select("fp", "component", salt.alias("salt")).join(named, ["component", "salt"]).select(
+        "fp", "component", "component_id").unionAll(
+        marked.where(F.col("component").isNull()).select("fp", F.col("fp").alias("component"), F.col("first_id").alias("component_id")))
     return prints.join(classes, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id",
         "text_hash", "fp", "component")
@@ -192,11 +199,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     size allows, so that most texts are not shuffled, and joins by shuffle if not."""
     found = report(docs, id_col, text_col, shingle, max_bits)
     keys = found.groupBy("component", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("copies"))
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("text_hash"))
     best = keys.groupBy("component").agg(F.min(order).alias("least"))
-    touched = keys.join(best, "component").select(
-        F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash"), "copies",
-        order.eqNullSafe(F.col("least")).alias("kept"))
+    # the row that stays is looked up by its whole key, so a component's rows spread
+    best = best.select(F.col("component").alias("in"), F.col("least.doc_id").alias("best_id"), F.col("least.text_hash").alias("best_hash"))
+    same = ((F.col("component") == F.col("in")) & F.col("doc_id").eqNullSafe(F.col("best_id"))
+            & F.col("text_hash").eqNullSafe(F.col("best_hash")))
+    touched = keys.join(best, same, "left").select(
+        F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash"), "copies", F.col("in").isNotNull().alias("kept"))
     touched = written(touched.where(~F.col("kept") | (F.col("copies") > 1)), "near-copies")
     text_hash, tie, rank = fresh(docs, "text_hash", "tie", "rank")
     rows = docs.withColumn(text_hash, F.xxhash64(col(text_col)))
