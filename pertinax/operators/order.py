@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Keys sampled per bucket.
 SAMPLE_PER_BUCKET = 20
@@ -37,28 +36,30 @@ def ascending(name: str, df: DataFrame, descending: bool = False) -> Column:
 def with_range_bucket(df: DataFrame, key: Column, buckets: int, out: str) -> DataFrame:
     """Add the number of each row's range bucket.
 
-    The bounds are quantiles of a bounded sample of the keys (those with the smallest hashes):
-    ``buckets - 1`` rows, collected once when the plan is built.  A row finds its bucket by a
-    binary search written as nested conditions, all in generated code."""
-    keys = df.select(key.alias("k"))
-    sample = keys.orderBy(F.xxhash64("k"), "k").limit(SAMPLE_PER_BUCKET * buckets).agg(
-        F.array_sort(F.collect_list("k")).alias("ks"))
-    bounds = sample.select(F.filter("ks", lambda _, i: (i % SAMPLE_PER_BUCKET == 0) & (i > 0)).alias("b")).first()["b"]
-    kind = keys.schema["k"].dataType
-
-    def search(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("__k") < _literal(bounds[mid], kind), search(lo, mid)).otherwise(search(mid + 1, hi))
-
-    return df.withColumn("__k", key).withColumn(out, search(0, len(bounds))).drop("__k")
-
-
-def _literal(value, kind: T.DataType) -> Column:
-    if isinstance(kind, T.StructType):
-        return F.struct(*[_literal(v, f.dataType).alias(f.name) for v, f in zip(value, kind)])
-    return F.lit(value).cast(kind)
+    The bounds are quantiles of a bounded sample of the distinct keys (those with the smallest hashes), an
+    array that a scalar subquery makes: nothing is collected, and the plan is the same size whatever
+    their number.  A row finds its bucket by binary search in the array."""
+    keys = df.select(key.alias("k")).withColumn("h", F.xxhash64("k"))
+    size = SAMPLE_PER_BUCKET * buckets
+    # about twice the sample passes the first cut, whatever the number of keys; copies of a key count once
+    kinds = keys.agg(F.approx_count_distinct("h")).scalar()
+    drawn = keys.where(F.col("h") / F.lit(2.0 ** 64) + 0.5 <= 2.0 * size / kinds).groupBy("k").agg(F.min("h").alias("h"))
+    sample = drawn.orderBy("h", "k").limit(size).agg(F.array_sort(F.collect_list("k")).alias("ks"))
+    step = F.greatest(F.size("ks") / F.lit(buckets), F.lit(1.0))
+    bounds = sample.select(F.transform(
+        F.sequence(F.lit(1), F.greatest(F.least(F.size("ks"), F.lit(buckets)) - 1, F.lit(1))),
+        lambda i: F.get("ks", F.least((i * step).cast("int"), F.size("ks") - 1))).alias("b")).scalar()
+    placed = df.withColumns({"__k": key, "__bounds": F.coalesce(bounds, F.array())})
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        below = F.col("__k") < F.get("__bounds", mid)
+        return F.when(s["lo"] >= s["hi"], s).otherwise(F.struct(
+            F.when(below, s["lo"]).otherwise(mid + 1).alias("lo"), F.when(below, mid).otherwise(s["hi"]).alias("hi")))
+
+    rounds = F.sequence(F.lit(1), F.lit(max(buckets, 2).bit_length()))
+    start = F.struct(F.lit(0).alias("lo"), F.size("__bounds").alias("hi"))
+    return placed.withColumn(out, F.aggregate(rounds, start, halve, lambda s: s["lo"])).drop("__k", "__bounds")
 
 
 def global_rank(df: DataFrame, order: list[str | tuple[str, str]], out: str = "rank",

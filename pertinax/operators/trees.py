@@ -23,6 +23,8 @@ MISSING = 255
 MAX_BINS = 32
 #: Node numbers are 64-bit and levels are counted from 0.
 MAX_DEPTH = 60
+#: Histogram entries that one task builds at a time.
+CELLS = 4_000_000
 #: Least gain of a split, relative to what the node contributes: below it lies rounding.
 EPS = 1e-10
 
@@ -169,18 +171,11 @@ def grow(x: np.ndarray, a: np.ndarray, b: np.ndarray, spec: TreeSpec, tree: int,
         leaf = final(ta, tb, tn, depth, spec)
         if not leaf.all():
             open_rows = ~leaf[at]
-            x, a, b, at = x[open_rows], a[open_rows], b[open_rows], at[open_rows]
+            if not open_rows.all():
+                x, a, b, at = x[open_rows], a[open_rows], b[open_rows], at[open_rows]
             mine, number = np.flatnonzero(~leaf), np.cumsum(~leaf) - 1
-            local, rows = number[at], np.arange(len(a))
-            for f in columns(spec, tree, frontier[mine], x.shape[1]).T:
-                cell = local * bins + x[rows, f[local]]
-                h = [np.bincount(cell, w, len(mine) * bins).reshape(-1, bins) for w in (a, b, None)]
-                where, score = best_bins(*h, spec)
-                value = worth(score, ta[mine], tb[mine], spec)
-                better = value > best[mine]
-                spots = mine[better]
-                best[spots] = value[better]
-                chosen[spots], cut[spots] = f[better], where[better]
+            drawn = columns(spec, tree, frontier[mine], x.shape[1])
+            chosen[mine], cut[mine], best[mine] = _split(x, a, b, number[at], drawn, ta[mine], tb[mine], spec, bins)
         out.append((frontier, chosen, cut, leaf_value(ta, tb, spec), tn))
         split = chosen >= 0
         keep = split[at] if len(at) else np.zeros(0, bool)
@@ -193,6 +188,30 @@ def grow(x: np.ndarray, a: np.ndarray, b: np.ndarray, spec: TreeSpec, tree: int,
     return Nodes(*(np.concatenate(c) for c in zip(*out)))
 
 
+def _split(x, a, b, at, drawn, ta, tb, spec: TreeSpec, bins: int):
+    """The best split of each node (feature, bin, gain; feature -1 if none), some columns at a time."""
+    k, m = drawn.shape
+    feature, cut, best = np.full(k, -1, np.int64), np.zeros(k, np.int64), np.full(k, -np.inf)
+    shared = k == 1 or drawn.strides[0] == 0           # all nodes split on the same columns
+    step = max(1, min(m, CELLS // max(len(a), k * bins, 1)))
+    for j in range(0, m, step):
+        part = drawn[:, j:j + step]
+        width = part.shape[1]
+        xs = x[:, part[0]] if shared else np.take_along_axis(x, part[at], axis=1)
+        cell = ((at * width)[:, None] + np.arange(width)) * bins + xs
+        cell = cell.ravel()
+        size = k * width * bins
+        h = [np.bincount(cell, None if w is None else np.repeat(w, width), size).reshape(-1, bins) for w in (a, b, None)]
+        where, score = (v.reshape(k, width) for v in best_bins(*h, spec))
+        top = score.argmax(axis=1)
+        node = np.arange(k)
+        value = worth(score[node, top], ta, tb, spec)
+        better = value > best
+        feature[better], cut[better] = part[node, top][better], where[node, top][better]
+        best[better] = value[better]
+    return feature, cut, best
+
+
 class Packed:
     """Trees as flat arrays, for scoring: children stand side by side."""
 

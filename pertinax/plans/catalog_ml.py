@@ -321,11 +321,11 @@ def l5_search(spark, sf_dir, configurations=SEARCH):
     board, _ = L.search(configurations, train, inner.where("is_test"), df.where("split = 'valid'"), NUMERIC,
                         weight="weight", binary=BINARY, categorical=CATEGORICAL)
     # eight rows: each configuration's place is one more than the number of better ones
-    places = board.select(F.collect_list(F.struct("external_accuracy", "name"))).scalar()
+    board = board.withColumn("all", board.select(F.collect_list(F.struct("external_accuracy", "name"))).scalar())
     better = lambda o: (o["external_accuracy"] > F.col("external_accuracy")) | (
         (o["external_accuracy"] == F.col("external_accuracy")) & (o["name"] < F.col("name")))
     return board.select(
-        "name", "kind", "test_n", "external_n", (F.col("rank") == F.size(F.filter(places, better)) + 1).alias("rank_ok"),
+        "name", "kind", "test_n", "external_n", (F.col("rank") == F.size(F.filter("all", better)) + 1).alias("rank_ok"),
         (F.col("gap") == F.col("external_accuracy") - F.col("test_accuracy")).alias("gap_ok"))
 
 
@@ -550,3 +550,27 @@ def d7_score_stream(spark, sf_dir, sizes=FULL):
     return spark.read.parquet(sink).select(
         schema.ROW_ID, "Episodio", "reject_reasons", "valid", "alerts",
         F.when(F.col("valid"), F.coalesce(scored, F.lit(False))).otherwise(none).alias("decision_ok"))
+
+
+@register("d7_score_stream_versions", oracle=LAB + """
+SELECT CAST(row_id AS BIGINT) AS row_id, CASE WHEN row_id % 2 = 0 THEN 1 ELSE 2 END AS version, true AS decision_ok FROM enc""")
+def d7_score_stream_versions(spark, sf_dir, sizes=FULL):
+    """A stream that scores from a store: the even rows arrive under the first version; a second is
+    saved, and the odd rows, arriving after it, are scored by that one when the stream goes on."""
+    from pertinax.plans.clinical import clinical_encounters, prepare_clinical
+    from pertinax.streaming.score_stream import score_stream_from_store
+    train, _ = _split(spark, sf_dir)
+    store, src, sink, ckpt = (_run_dir(spark, n) for n in ("stream-store", "stream-src", "stream-out", "stream-ckpt"))
+    raw, number = clinical_encounters(spark, sf_dir), {}
+    for k, kind in enumerate(("gbt", "forest")):
+        model_store.save_model(spark, _fit(train, kind, sizes=sizes), store, {"kind": kind})
+        number[model_store.versions(spark, store)[-1]] = k + 1
+        sinks.write_table(raw.where(F.col(schema.ROW_ID) % 2 == k), src, "parquet", mode="append")
+        score_stream_from_store(spark, src, raw.schema, lambda d: model_input(prepare_clinical(d)), store, sink, ckpt,
+                                keep=[schema.ROW_ID]).awaitTermination()
+    version = F.create_map(*[x for v, k in number.items() for x in (F.lit(v), F.lit(k))])[F.col("model_version")]
+    decided = F.when(F.col("`Confianza_%`") < 65, schema.LABEL_UNDETERMINED).otherwise(F.col("Prediccion_Modelo"))
+    return spark.read.parquet(sink).select(
+        F.col(schema.ROW_ID).cast("long").alias(schema.ROW_ID), version.cast("int").alias("version"),
+        F.when(F.col("valid"), F.coalesce(F.col("Prediccion") == decided, F.lit(False))).otherwise(
+            F.col("Prediccion").isNull()).alias("decision_ok"))

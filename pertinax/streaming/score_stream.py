@@ -16,6 +16,7 @@ from pyspark.sql.types import StructType
 from pertinax.functions.rules import clinical_alerts
 from pertinax.operators import score as D
 from pertinax.operators.project import validate_ranges
+from pertinax.sources import model_store
 
 
 def score_records(df: DataFrame, model, threshold: float = 65.0,
@@ -54,3 +55,48 @@ def score_stream(spark: SparkSession, source_dir: str, schema: StructType, prepa
               .option("checkpointLocation", checkpoint_dir).option("path", sink_dir))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()
+
+
+def _pinned(spark: SparkSession, store: str, pins: str, batch: int) -> str:
+    """The model version of a micro-batch: the latest when it first ran, then always that one."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{pins}/{batch}")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    complete = model_store.versions(spark, store)
+    if not fs.exists(path):
+        if not complete:
+            raise FileNotFoundError(f"no model saved under {store}")
+        # the version is in a folder's name: it is there whole or not at all
+        fs.mkdirs(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{pins}/{batch}/{complete[-1]}"))
+    # a retry that stopped between two such folders would see both: the oldest counts
+    return sorted(st.getPath().getName() for st in fs.listStatus(path))[0]
+
+
+def score_stream_from_store(spark: SparkSession, source_dir: str, schema: StructType, prepare, store: str,
+                            sink_dir: str, checkpoint_dir: str, fmt: str = "parquet", keep: list[str] | None = None,
+                            available_now: bool = True, max_files_per_trigger: int | None = None):
+    """:func:`score_stream` with the models of a store (S9) instead of one fixed model.
+
+    Each micro-batch takes the version that is the latest when it first runs, so a new version is used
+    without a restart.  The choice is pinned under the checkpoint by batch id, and a batch is written to
+    a folder of its own, overwritten if it runs again: after a failure the same rows get the same
+    scores, once.  Adds ``model_version`` and the partition column ``batch``."""
+    reader = spark.readStream.schema(schema).format(fmt)
+    if fmt == "csv":
+        reader = reader.option("header", True)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    cols = (keep or []) + ["valid", "reject_reasons", "alerts", "Prediccion_Modelo", "Confianza_%", "Prediccion"]
+    models: dict = {}
+
+    def score(batch: DataFrame, number: int) -> None:
+        version = _pinned(spark, store, f"{checkpoint_dir}/model-versions", number)
+        if version not in models:
+            models.clear()                     # one version at a time is kept loaded
+            models[version] = model_store.load_model(spark, store, version)[0]
+        out = score_records(prepare(batch), models[version]).select(*cols, F.lit(version).alias("model_version"))
+        out.withColumn("reject_reasons", F.array_join("reject_reasons", ",")).write.mode("overwrite").parquet(
+            f"{sink_dir}/batch={number}")
+
+    writer = reader.load(source_dir).writeStream.foreachBatch(score).option("checkpointLocation", checkpoint_dir)
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
+    return writer.start()

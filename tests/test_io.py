@@ -3,6 +3,7 @@
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from pertinax.sources import sinks
@@ -81,3 +82,52 @@ def test_stream_scoring_matches_batch(spark, sf_small):
     assert len(rows) == spark.read.parquet(f"{sf_small}/events.parquet").where("event_id % 61 <> 0").count()  # a key is required
     assert all(r["decision_ok"] for r in rows)      # in range: scored; out of range: not
     assert {r["valid"] for r in rows} == {True, False}
+
+
+def test_stream_changes_model_between_batches_and_repeats_after_a_failure(spark, tmp_path, monkeypatch):
+    """Each batch keeps the version it first ran with, also when it has to run again."""
+    from pertinax.operators import ensembles as E
+    from pertinax.operators import trees as T
+    from pertinax.sources import model_store
+    from pertinax.streaming import score_stream as S
+
+    rows = spark.range(400).select(F.col("id").alias("row_id"), (F.col("id") % 100).cast("double").alias("x"),
+                                   (F.col("id") % 100 > 50).cast("double").alias("label"))
+
+    def save(depth):
+        m = E.fit(rows, E.Features(["x"]), [E.Member("m", T.TreeSpec("forest", 5, depth))], F.col("row_id"))["m"]
+        model_store.save_model(spark, m, f"{tmp_path}/store", {"depth": depth})
+        return model_store.versions(spark, f"{tmp_path}/store")[-1]
+
+    def score(df, model, **_):
+        out = model.transform(df).withColumns({"valid": F.lit(True), "reject_reasons": F.array().cast("array<string>")})
+        return out.withColumns({c: F.col("prediction") for c in ("alerts", "Prediccion_Modelo", "Confianza_%", "Prediccion")})
+
+    monkeypatch.setattr(S, "score_records", score)
+    schema = rows.drop("label").schema
+
+    def run():
+        q = S.score_stream_from_store(spark, f"{tmp_path}/src", schema, lambda d: d, f"{tmp_path}/store", f"{tmp_path}/out",
+                                      f"{tmp_path}/ckpt", keep=["row_id"])
+        q.awaitTermination()
+
+    part = lambda k: rows.drop("label").where(F.col("row_id") % 2 == k).coalesce(1)
+    first = save(2)
+    part(0).write.mode("append").parquet(f"{tmp_path}/src")
+    run()
+    part(1).write.mode("append").parquet(f"{tmp_path}/src")
+    second = save(3)
+
+    def broken(df, model, **_):
+        raise RuntimeError("lost after the version was pinned")
+
+    monkeypatch.setattr(S, "score_records", broken)
+    with pytest.raises(Exception, match="lost after"):
+        run()
+    third = save(4)                       # newer than the version that the failed batch has
+    monkeypatch.setattr(S, "score_records", score)
+    run()
+    out = spark.read.parquet(f"{tmp_path}/out")
+    got = {(r["model_version"], r["row_id"] % 2): r["n"] for r in
+           out.groupBy("model_version", (F.col("row_id") % 2).alias("row_id")).agg(F.count("*").alias("n")).collect()}
+    assert got == {(first, 0): 200, (second, 1): 200} and third not in {v for v, _ in got}

@@ -8,7 +8,7 @@ SF = "/root/testdata/sf0.001"
 # training / writing / streaming queries run jobs while they are built
 EAGER = {"l1_train_forest", "l2_train_gbt", "l3_train_boosted", "l4_soft_vote", "l5_search",
          "l6_cross_validate", "l7_evaluate_train_test", "l8_train_end_to_end", "l8_train_production", "d1_predict",
-         "d6_score_file", "d7_score_stream", "s9_model_store", "s8_convert_files",
+         "d6_score_file", "d7_score_stream", "d7_score_stream_versions", "s9_model_store", "s8_convert_files",
          "s5_write_predictions", "s6_write_errors", "s1_read_table_csv", "s2_read_table_json",
          "m2_assemble", "m4_median_impute", "m5_mode_impute", "m7_standardize", "m8_one_hot",
          "p17_encode_label_sorted"}
