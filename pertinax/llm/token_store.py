@@ -111,13 +111,11 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, id_col: str,
     """A dictionary from the id arrays of SAMPLE_DOCS documents, those with the smallest hashes, and of
     each at most SAMPLE_IDS ids; as raw content where there are too few of them to train on, empty for an
     empty table.  The same table gives the same dictionary."""
-    of_id, of_hash = "__id", "__hash"
-    key = F.xxhash64(col(id_col), col(text_col))
-    # narrow: the texts are read again for the few that are drawn
-    drawn = (docs.select(col(id_col).alias(of_id), key.alias(of_hash)).distinct()
-             .orderBy(of_hash, of_id).limit(SAMPLE_DOCS))
-    same = col(id_col).eqNullSafe(F.col(of_id)) & (key == F.col(of_hash))
-    few = docs.select(col(id_col), col(text_col)).join(F.broadcast(drawn), same).dropDuplicates([of_id, of_hash]).drop(of_id, of_hash)
+    of_id = "__id"
+    # narrow: ids alone are hashed, and the texts are read again for the few that are drawn
+    drawn = docs.select(col(id_col).alias(of_id)).distinct().orderBy(F.xxhash64(of_id), of_id).limit(SAMPLE_DOCS)
+    few = docs.join(F.broadcast(drawn), col(id_col).eqNullSafe(F.col(of_id))).groupBy(F.col(of_id).alias(id_col)).agg(
+        F.min_by(col(text_col).cast("string"), F.struct(F.xxhash64(col(text_col)), col(text_col))).alias(text_col))
     sample = encoded(few, tokenizer, end_id, id_col, text_col, most=SAMPLE_IDS)
     arrays = sorted(bytes(r["frame"]) for r in sample.select("frame").collect())
     try:

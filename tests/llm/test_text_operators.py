@@ -498,3 +498,21 @@ def test_names_are_told_from_chance(spark):
     wanted = {n.lower() for n in names}
     assert wanted <= found                                     # recall 1
     assert len(found & set(common)) <= 0.02 * len(common)      # frequent words stay
+
+
+def test_dictionary_is_the_same_in_every_run(spark):
+    """Sampled by hash from whole documents: other partitions and orders of the rows change nothing."""
+    import random
+
+    from pertinax.llm import token_store
+    from pertinax.llm.catalog import TOKENIZER
+
+    rng = random.Random(1)
+    rows = [(i % 1500, " ".join(rng.choice(["alpha", "beta", "gamma", f"w{rng.randrange(999)}"]) for _ in range(rng.choice([5, 40, 9000 if i < 3 else 60]))))
+            for i in range(1600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    first = token_store.train_dictionary(df.repartition(7), TOKENIZER, 2, "doc_id", "text")
+    assert first and first == token_store.train_dictionary(df.orderBy("text").repartition(3), TOKENIZER, 2, "doc_id", "text")
+    ids = bytes(range(256)) * 400
+    few = token_store.drawn_blocks(ids, 4096)
+    assert len(few) <= 4 * 4096 and few == token_store.drawn_blocks(ids, 4096) and token_store.drawn_blocks(ids[:400], 4096) == ids[:400]
