@@ -129,8 +129,11 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, short: int = SHORT) ->
     if not 0 <= max_bits <= 4:
         raise ValueError("four shared bytes are guaranteed up to a distance of four bits")
     fp = F.col("fp")
-    # the table is narrow, its entries are not: dealt out before they are made
-    entries = distinct.repartition("fp").select("fp", F.posexplode(F.array(*[fp.bitwiseAND(F.lit(m)) for m in MASKS]))
+    # the table is narrow, its entries are not: dealt out before they are made, to a fixed number of
+    # partitions, as Spark would merge them by the size of the narrow rows
+    spark = distinct.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    entries = distinct.repartition(parts, "fp").select("fp", F.posexplode(F.array(*[fp.bitwiseAND(F.lit(m)) for m in MASKS]))
                               .alias("positions", "bytes"))
     sizes = (entries.groupBy("positions", "bytes").agg(F.count(F.lit(1)).alias("size"))
              .where("size > 1"))
