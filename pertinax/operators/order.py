@@ -1,83 +1,43 @@
 """Sort, rank, top-k (O1–O3).
 
-``global_rank`` numbers rows 1..n in a total order without a single-partition window.  Rows go
-to range buckets of the order key, are numbered inside their bucket and shifted by the counts of
-the buckets before it (a table with one row per bucket).  The bucket is a function of the row
-and of a sample of keys drawn by hash, never of where Spark placed the row, so the counts and the
-rows agree however often, and in whatever shape, Spark evaluates the plan.
+``global_rank`` numbers rows 1..n in a total order without a single-partition window.  The rows are
+range-partitioned by the order, sorted and numbered inside their partition and written once, each
+with its partition and its place; a table with one row per partition then shifts them.  Partition
+and place are data of the written row, so the counts and the rows agree however often, and in
+whatever shape, Spark evaluates the rest, and planning does not depend on the partitions.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-#: Keys sampled per bucket.
-SAMPLE_PER_BUCKET = 20
+from pertinax.session import written
 
-
-def ascending(name: str, df: DataFrame, descending: bool = False) -> Column:
-    """A value whose ascending order is the wanted order of the column, nulls last."""
-    c, kind = F.col(name), dict(df.dtypes)[name]
-    value = c
-    if descending:
-        if kind in ("string", "binary"):
-            # complemented hex digits, closed by a letter behind all of them
-            value = F.concat(F.translate(F.hex(c), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("G"))
-        elif kind in ("date", "timestamp", "timestamp_ntz"):
-            value = -F.unix_micros(c.cast("timestamp"))
-        elif kind == "boolean":
-            value = ~c
-        else:
-            value = -c
-    return F.struct(c.isNull().alias("none"), value.alias("value"))
-
-
-def with_range_bucket(df: DataFrame, key: Column, buckets: int, out: str) -> DataFrame:
-    """Add the number of each row's range bucket.
-
-    The bounds are quantiles of a bounded sample of the keys (those with the smallest hashes):
-    ``buckets - 1`` rows, collected once when the plan is built.  A row finds its bucket by a
-    binary search written as nested conditions, all in generated code."""
-    keys = df.select(key.alias("k"))
-    sample = keys.orderBy(F.xxhash64("k"), "k").limit(SAMPLE_PER_BUCKET * buckets).agg(
-        F.array_sort(F.collect_list("k")).alias("ks"))
-    bounds = sample.select(F.filter("ks", lambda _, i: (i % SAMPLE_PER_BUCKET == 0) & (i > 0)).alias("b")).first()["b"]
-    kind = keys.schema["k"].dataType
-
-    def search(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("__k") < _literal(bounds[mid], kind), search(lo, mid)).otherwise(search(mid + 1, hi))
-
-    return df.withColumn("__k", key).withColumn(out, search(0, len(bounds))).drop("__k")
-
-
-def _literal(value, kind: T.DataType) -> Column:
-    if isinstance(kind, T.StructType):
-        return F.struct(*[_literal(v, f.dataType).alias(f.name) for v, f in zip(value, kind)])
-    return F.lit(value).cast(kind)
+#: ``monotonically_increasing_id`` holds the partition above this bit and the place below it.
+PLACE_BITS = 33
 
 
 def global_rank(df: DataFrame, order: list[str | tuple[str, str]], out: str = "rank",
                 buckets: int | None = None) -> DataFrame:
     """Row numbers 1..n in a total order: column names or ``(name, "desc")``, nulls last.  Include
-    a unique tie-breaker, so equal keys can be told apart."""
+    a unique tie-breaker: it tells equal keys apart and lets them spread over partitions.
+
+    The rows are written once under the shared folder when the plan is built."""
     n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    names = [(c, False) if isinstance(c, str) else (c[0], c[1] == "desc") for c in order]
-    key = F.struct(*[ascending(c, df, desc).alias(f"k{i}") for i, (c, desc) in enumerate(names)])
-    placed = with_range_bucket(df.withColumn("__key", key), F.col("__key"), n, "__bucket")
-    local = placed.withColumn("__local", F.row_number().over(
-        Window.partitionBy("__bucket").orderBy("__key")))
+    names = [(c, "asc") if isinstance(c, str) else c for c in order]
+    by = [F.col(c).desc_nulls_last() if way == "desc" else F.col(c).asc_nulls_last() for c, way in names]
+    placed = written(df.repartitionByRange(n, *by).sortWithinPartitions(*by)
+                     .withColumn("__id", F.monotonically_increasing_id()), "global-rank")
+    placed = placed.withColumn("__bucket", F.shiftright("__id", PLACE_BITS))
     sizes = placed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__size"))
     w = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("__bucket", F.coalesce(F.sum("__size").over(w), F.lit(0)).alias("__offset"))
-    # one row per bucket: a proven size bound, so broadcast it
-    return (local.join(F.broadcast(offsets), "__bucket")
-            .withColumn(out, (F.col("__offset") + F.col("__local")).cast("long"))
-            .drop("__key", "__bucket", "__local", "__offset"))
+    place = F.col("__id").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)) + 1
+    # one row per partition: a proven size bound, so broadcast it
+    return (placed.join(F.broadcast(offsets), "__bucket")
+            .withColumn(out, (F.col("__offset") + place).cast("long"))
+            .drop("__id", "__bucket", "__offset"))
 
 
 def leaderboard(results: DataFrame, metric: str, name: str, descending: bool = True,

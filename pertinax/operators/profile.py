@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pertinax import schema
 from pertinax.functions.clean import normalize_name, plain_key, to_number
 from pertinax.operators import order, stats
+from pertinax.session import written
 
 YES_NO_TOKENS = ["si", "sí", "no", "s", "n"]
 NUMBER_TYPES = {"tinyint", "smallint", "int", "bigint", "float", "double"}
@@ -129,7 +130,7 @@ def column_profiles(sources: dict[str, DataFrame]) -> DataFrame:
     long = longs[0]
     for x in longs[1:]:
         long = long.unionByName(x)
-    counts = stats.value_counts(long, [*keys, "hint"])
+    counts = written(stats.value_counts(long, [*keys, "hint"]), "column-counts")
     distinct = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_distinct"))
     facts = facts.join(distinct, keys, "left")  # one row per column on both sides
     if not any(hinted.values()):

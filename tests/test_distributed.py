@@ -18,7 +18,7 @@ def test_exact_median_and_mode_with_a_hot_value(spark):
     rows = [("a", v) for v in vals] + [("b", float(i)) for i in range(10)] + [("c", None)]
     df = spark.createDataFrame(rows, "k string, value double")
     counts = stats.value_counts(df, ["k"])
-    med = {r["k"]: r["median"] for r in stats.exact_median(counts, ["k"], partitions=16).collect()}
+    med = {r["k"]: r["median"] for r in stats.exact_median(counts, ["k"], cells=16).collect()}
     assert med["a"] == pytest.approx(statistics.median(vals))
     assert med["b"] == pytest.approx(4.5)
     assert "c" not in med
@@ -29,10 +29,52 @@ def test_exact_median_and_mode_with_a_hot_value(spark):
 @pytest.mark.parametrize("n", [1, 2, 7, 1000])
 def test_exact_median_small_groups(spark, n):
     df = spark.createDataFrame([("x", float(i * 3 % 11)) for i in range(n)], "k string, value double")
-    got = stats.exact_median(stats.value_counts(df, ["k"]), ["k"], partitions=8).first()["median"]
+    got = stats.exact_median(stats.value_counts(df, ["k"]), ["k"], cells=8).first()["median"]
     assert got == pytest.approx(statistics.median([float(i * 3 % 11) for i in range(n)]))
 
 
+HOSTILE = {
+    "spread": [2.0 ** i for i in range(-1074, 1024, 3)] + [-(2.0 ** i) for i in range(-1074, 1000, 7)],
+    "far": [1e300, -1e300] + [i / 997 for i in range(900)],
+    "ends": [1.7e308, -1.7e308, 5e-324, -5e-324, 0.0, -0.0],
+    "tiny": [i * 5e-324 for i in range(301)],
+    "close": [1.0 + i * 2.0 ** -52 for i in range(500)],
+    "infinite": [float("inf")] * 5 + [1.0, 2.0] + [float("-inf")] * 2,
+    "two": [3.0] * 400 + [3.0000000000000004] * 400,
+    "hot": [7.5] * 1001 + [7.5 + i * 1e-9 for i in range(1, 400)] + [7.5 - i * 1e-9 for i in range(1, 300)],
+    None: [4.0, 1.0],
+}
+
+
+@pytest.mark.parametrize("counted", [True, False])
+def test_radix_median_on_hostile_values(spark, counted):
+    rows = [(k, x) for k, xs in HOSTILE.items() for x in xs] + [("spread", None), ("far", float("nan")), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, value double")
+    source = stats.value_counts(df, ["k"]) if counted else df
+    got = stats.exact_median(source, ["k"], c="c" if counted else None, cells=8, local_rows=5)
+    assert {r["k"]: r["median"] for r in got.collect()} == {k: statistics.median(xs) for k, xs in HOSTILE.items()}
+
+
+def test_radix_median_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "k string, value double")
+    assert stats.exact_median(df, ["k"], c=None).collect() == []
+
+
+def test_plans_of_ranks_and_medians_do_not_grow_with_partitions(spark):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    df = spark.range(20_000).select("id", ((F.col("id") * 7919) % 1009).cast("double").alias("v"), F.lit("x").alias("k"))
+    sizes = []
+    try:
+        for n in (8, 2000):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            frames = [order.global_rank(df, [("v", "desc"), "id"]), stats.exact_median(df, ["k"], "v", None)]
+            plans = [f._jdf.queryExecution().optimizedPlan().toString() for f in frames]
+            sizes.append([(len(p.splitlines()), len(p) // 1000) for p in plans])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert sizes[0] == sizes[1]
+
+
 def test_column_stats_matches_python(spark):
     df = spark.createDataFrame([(1.0, "3"), (2.0, "x"), (2.0, None), (None, "5")], "a double, b string")
     s = {r["column"]: r for r in A.column_stats(df, ["a", "b"]).collect()}
@@ -126,7 +168,7 @@ def test_exact_median_without_exchange_reuse(spark):
         df = spark.range(300_000, numPartitions=8).select(
             F.explode(F.create_map(F.lit("a"), F.col("id") * 1.0, F.lit("b"), F.col("id") * -3.0)).alias("k", "value"))
         med = {r["k"]: r["median"] for r in stats.exact_median(
-            stats.value_counts(df, ["k"]), ["k"], partitions=40).collect()}
+            stats.value_counts(df, ["k"]), ["k"], cells=40).collect()}
         assert med == {"a": 149999.5, "b": -449998.5}
     finally:
         spark.conf.set("spark.sql.exchange.reuse", old)
