@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from pertinax.functions.clean import comma_to_dot, month_period, to_number
 from pertinax.operators import stats
-from pertinax.session import written
 
 MISSING_COLUMN = "COLUMNA NO EXISTE"
 
@@ -167,10 +166,8 @@ def column_stats(df: DataFrame, cols: list[str]) -> DataFrame:
         F.struct(F.lit(c).alias("column"), (F.col(f"bad{i}") == 0).alias("numeric"))
         for i, c in enumerate(cols)])))
     long = stats.to_long(parsed, cols)
-    counts = written(stats.value_counts(long, ["column"]), "column-counts")
-    base = counts.groupBy("column").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("n_distinct"),
-                                        F.min("value").alias("min"), F.max("value").alias("max"))
-    med = stats.exact_median(counts, ["column"])
+    base = stats.distinct_count(long, ["column"])
+    med = stats.exact_median(long, ["column"], c=None)
     # all three inputs have one row per column: the joins are over a handful of rows
     return numeric.join(base, "column", "left").join(med, "column", "left").select(
         "column", F.coalesce("n", F.lit(0)).alias("n"),

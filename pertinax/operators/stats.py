@@ -6,6 +6,7 @@ helpers compute the same exact answers from distributed steps instead:
 
 * ``value_counts``: ``(keys, value) -> c`` — one hash aggregate with map-side combine, so a
   hot value (a third of all rows) collapses to one row before the shuffle.
+* ``distinct_count``: whole numbers as bits of 64-bit words, so one row stands for up to 64 values.
 * ``exact_mode``: ``min(struct(-c, value))`` per key — algebraic, partial-aggregated.
 * ``exact_median``: radix selection.  Every pass counts rows by cells of a key's interval, and the
   interval shrinks to the cell that holds the middle rank.  Rows are not shuffled, only counts.
@@ -34,6 +35,27 @@ def value_counts(long_df: DataFrame, keys: list[str], value: str = "value",
     return clean.groupBy(*keys, value).agg(F.count(F.lit(1)).alias(out))
 
 
+def distinct_count(rows: DataFrame, keys: list[str], value: str = "value", out: str = "n_distinct") -> DataFrame:
+    """Per key ``(n, n_distinct, min, max)`` of a numeric column, all exact, nulls and NaN left out.
+
+    A whole number below 2^53 is one bit of the word ``floor(value / 64)``, and words are combined
+    by ``bit_or`` before and after the shuffle; any other value is a word of its own.  So at most
+    one row a word and task is shuffled, never more than distinct values, and the aggregate stays
+    in generated code.
+    """
+    v = F.col(value).cast("double")
+    whole = (F.abs(v) < F.lit(2.0 ** 53)) & (v == F.floor(v))
+    word = F.floor(v / 64)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (v - word * 64).cast("int"))
+    words = (rows.where(v.isNotNull() & ~F.isnan(v))
+             .groupBy(*keys, whole.alias("__whole"), F.when(whole, word.cast("double")).otherwise(v).alias("__word"))
+             .agg(F.bit_or(F.when(whole, bit).otherwise(F.lit(1).cast("long"))).alias("__bits"),
+                  F.count(F.lit(1)).alias("__n"), F.min(v).alias("__min"), F.max(v).alias("__max")))
+    return words.groupBy(*keys).agg(
+        F.sum("__n").alias("n"), F.sum(F.bit_count("__bits").cast("long")).alias(out),
+        F.min("__min").alias("min"), F.max("__max").alias("max"))
+
+
 def exact_mode(counts: DataFrame, keys: list[str], value: str = "value", c: str = "c",
                out: str = "mode") -> DataFrame:
     """Most frequent value per key, smallest value on ties (sklearn/Spark semantics)."""

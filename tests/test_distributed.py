@@ -60,6 +60,30 @@ def test_radix_median_of_an_empty_table(spark):
     assert stats.exact_median(df, ["k"], c=None).collect() == []
 
 
+def test_distinct_counts_by_words(spark):
+    cases = {
+        "dense": [float(i % 1000 - 500) for i in range(5000)],
+        "sparse": [float(i * 10 ** 9) for i in range(-200, 200)],
+        "fractions": [i / 8 for i in range(-100, 100)] * 2,
+        "zero": [0.0, -0.0, 1.0, -1.0, 63.0, 64.0, -64.0, -65.0],
+        "large": [2.0 ** 53 - 1, 2.0 ** 53, 2.0 ** 53 + 2, -(2.0 ** 53), 1e300, float("inf"), float("-inf")],
+        # a word's number is a value of its own as well
+        "clash": [0.5, 32.0, 1.5, 96.0, 1.0, 2.0 ** 59, 2.0 ** 53],
+    }
+    rows = [(k, x) for k, xs in cases.items() for x in xs] + [("dense", None), ("zero", float("nan")), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, value double")
+    got = {r["k"]: (r["n"], r["n_distinct"], r["min"], r["max"]) for r in stats.distinct_count(df, ["k"]).collect()}
+    assert got == {k: (len(xs), len(set(xs)), min(xs), max(xs)) for k, xs in cases.items()}
+
+
+def test_distinct_counts_shuffle_words_not_values(spark):
+    df = spark.range(640_000, numPartitions=4).select(F.lit("k").alias("k"), F.col("id").cast("double").alias("value"))
+    got = stats.distinct_count(df, ["k"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+    assert got.first()["n_distinct"] == 640_000
+
+
 def test_plans_of_ranks_and_medians_do_not_grow_with_partitions(spark):
     old = spark.conf.get("spark.sql.shuffle.partitions")
     df = spark.range(20_000).select("id", ((F.col("id") * 7919) % 1009).cast("double").alias("v"), F.lit("x").alias("k"))
