@@ -79,8 +79,8 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``docs`` without its duplicate rows, all columns kept.
 
     Rows of a frequent digest other than its winner leave on the map side.  What else has to go is
-    found on the narrow table of ids and digests; Spark broadcasts the list of it if its size allows, so
-    that no text is shuffled, and joins by shuffle if not.  Rows equal in id and text are merged by an
+    found on the narrow table of ids and digests; the rows are joined to the list of it by shuffle whatever
+    its size, as the list grows with the table: texts are shuffled once.  Rows equal in id and text are merged by an
     aggregate, which combines them on the map side."""
     digest, hot_digest, best, row, of_digest, of_id = fresh(
         docs, "digest", "hot_digest", "best", "row", "of_digest", "of_id")
@@ -106,5 +106,5 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lost = listed.where("lost")
     merged = (matched(matched(rows, listed.where("NOT lost"), "left_semi"), lost, "left_anti")
               .groupBy(col(id_col), col(digest)).agg(F.min_by(F.struct(*columns), tie_break(docs)).alias(row)))
-    return matched(rows, listed, "left_anti").select(*columns).unionAll(
+    return matched(rows, listed.hint("merge"), "left_anti").select(*columns).unionAll(
         merged.select(*[col(row).getField(c).alias(c) for c in docs.columns]))

@@ -198,8 +198,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     """``docs`` with one row of each component (its smallest doc_id, null last; of rows equal in
     id and text, one), all columns kept.
 
-    The rows that something happens to are written as a narrow table.  Spark broadcasts it if its
-    size allows, so that most texts are not shuffled, and joins by shuffle if not."""
+    The rows that something happens to are written as a narrow table.  All rows are joined to it by shuffle
+    whatever its size, as it grows with the table: texts are shuffled once."""
     found = report(docs, id_col, text_col, shingle, max_bits)
     keys = found.groupBy("component", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("copies"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("text_hash"))
@@ -221,4 +221,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     repeated = joined(touched.where("kept"), "left_semi").withColumn(tie, tie_break(docs))
     repeated = repeated.withColumn(rank, F.row_number().over(once)).where(col(rank) == 1)
     columns = [col(c) for c in docs.columns]
-    return joined(touched, "left_anti").select(*columns).unionAll(repeated.select(*columns))
+    return joined(touched.hint("merge"), "left_anti").select(*columns).unionAll(repeated.select(*columns))

@@ -70,6 +70,16 @@ def test_every_stage_against_brute_force(spark, corpus):
                 (r["doc_id"], tuple(library.encode(r["text"], add_special_tokens=False).ids)) for r in before)
 
 
+def test_dropping_copies_shuffles_alike_at_any_size(spark):
+    """The list of copies grows with the table, so a small one is not joined in another way than a large one."""
+    docs = spark.createDataFrame([(i, f"text number {i // 2} of a few words") for i in range(40)], "doc_id long, text string")
+    for stage in (corpus_pipeline.drop_exact_copies, corpus_pipeline.drop_near_copies):
+        kept = stage(spark, docs, "")
+        plan = kept._jdf.queryExecution().sparkPlan().toString()
+        assert any("SortMergeJoin" in line and "LeftAnti" in line for line in plan.splitlines())
+    assert corpus_pipeline.drop_exact_copies(spark, docs, "").count() == 20
+
+
 def test_an_empty_corpus_runs_through(spark, corpus):
     docs = corpus.limit(0)
     for _, stage in corpus_pipeline.STAGES:
