@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pertinax import schema
 from pertinax.functions.clean import col, pct_round, stamp
 from pertinax.operators.project import decode_label
+from pertinax.session import spread
 
 THRESHOLD_CHOICES = list(range(50, 95, 5))
 
@@ -128,7 +129,7 @@ def score_file(spark, path: str, model, features: list[str], out_path: str,
     from pertinax.plans.clinical import prepare_clinical
     from pertinax.sources.sinks import write_table
     from pertinax.sources.tables import read_table
-    raw = read_table(spark, path, fmt)
+    raw = spread(read_table(spark, path, fmt))
     missing = [c for c in required or [] if c not in normalize_columns(raw).columns]
     if missing:   # P13: nothing is scored or written
         raise ValueError(f"{path} lacks required columns: {', '.join(missing)}")

@@ -13,6 +13,7 @@ from pertinax.operators import models as L
 from pertinax.operators import prep
 from pertinax.operators.project import (clean_label, encode_label, rename_base, rename_form,
                                         select_present)
+from pertinax.session import written
 
 
 @dataclass
@@ -36,7 +37,7 @@ def train_pipeline(base: DataFrame, form: DataFrame, key: str, spec: L.ModelSpec
     features = [c for c in schema.PRODUCTION_FEATURES if c in ready.columns]
     rows = select_present(ready.where(F.col("label").isNotNull()), features, [key, "label"])
     rows = rows.withColumns({c: F.col(c).cast("double") for c in features})
-    rows = prep.stratified_split(rows, key, "label", frac, seed)
+    rows = written(prep.stratified_split(rows, key, "label", frac, seed), "training")
     binary = [c for c in features if c in schema.PRODUCTION_BINARY]
     numeric = [c for c in features if c not in binary]
     train, test = rows.where(~F.col("is_test")), rows.where("is_test")

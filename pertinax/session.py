@@ -64,6 +64,14 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return ensure_checkpoint_dir(spark).rstrip("/") + "/" + name
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt out evenly, two tasks a core: for work that costs far more a row than moving the row.
+    A scan alone has no more busy tasks than its files have row groups.  Takes scans and streams, as the
+    number of partitions is asked of the plan."""
+    parts = 2 * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(parts if df.isStreaming else max(parts, df.rdd.getNumPartitions()))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet under the shared folder and return a scan of it.
 

@@ -16,6 +16,7 @@ from pyspark.sql.types import StructType
 from pertinax.functions.rules import clinical_alerts
 from pertinax.operators import score as D
 from pertinax.operators.project import validate_ranges
+from pertinax.session import spread
 from pertinax.sources import model_store
 
 
@@ -47,7 +48,7 @@ def score_stream(spark: SparkSession, source_dir: str, schema: StructType, prepa
         reader = reader.option("header", True)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    scored = score_records(prepare(reader.load(source_dir)), model)
+    scored = score_records(prepare(spread(reader.load(source_dir))), model)     # a batch may be one file
     cols = (keep or []) + ["valid", "reject_reasons", "alerts", "Prediccion_Modelo", "Confianza_%",
                            "Prediccion"]
     out = scored.select(*cols).withColumn("reject_reasons", F.array_join("reject_reasons", ","))
@@ -93,7 +94,7 @@ def score_stream_from_store(spark: SparkSession, source_dir: str, schema: Struct
         if version not in models:
             models.clear()                     # one version at a time is kept loaded
             models[version] = model_store.load_model(spark, store, version)[0]
-        out = score_records(prepare(batch), models[version]).select(*cols, F.lit(version).alias("model_version"))
+        out = score_records(prepare(spread(batch)), models[version]).select(*cols, F.lit(version).alias("model_version"))
         out.withColumn("reject_reasons", F.array_join("reject_reasons", ",")).write.mode("overwrite").parquet(
             f"{sink_dir}/batch={number}")
 
