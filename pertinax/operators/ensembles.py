@@ -37,9 +37,9 @@ from pertinax.operators.trees import MAX_BINS, MISSING, TreeSpec
 from pertinax.session import scratch_dir, written
 
 #: Rows of one tree that a single task may hold (about 50 bytes each, times a few for its histograms).
-LOCAL_ROWS = 131_072
+LOCAL_ROWS = 524_288
 #: Drawn rows that the trees of one group send in all.
-GROUP_ROWS = 16_000_000
+GROUP_ROWS = 48_000_000
 #: Nodes whose histograms one job adds up (up to 25 kB each in a task).
 JOB_NODES = 1_024
 #: Rounds of boosting between two rewritings of the margins.
@@ -160,7 +160,11 @@ def medians(counts: dict[int, np.ndarray], without: int | None) -> np.ndarray:
 
 
 def _bytes(column: pa.Array, p: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), p)
+    """The rows of a column of ``p`` bytes each, without a copy of every value."""
+    chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    parts = [np.frombuffer(c.buffers()[2], np.uint8)[int.from_bytes(c.buffers()[1][4 * c.offset:4 * c.offset + 4], "little"):][
+        :len(c) * p] for c in chunks if len(c)]
+    return np.concatenate(parts).reshape(-1, p) if parts else np.zeros((0, p), np.uint8)
 
 
 # ------------------------------------------------------------------ growing
@@ -312,7 +316,13 @@ def _blocks(table: DataFrame, work) -> DataFrame:
         for batch in batches:
             rows = []
             for tree, _, _, row, x, a, b in w.drawn(batch):
-                at = T.route(x, *w.upper[tree]) if tree in w.upper else np.ones(len(x), np.int64)
+                if not len(x):
+                    continue
+                if tree not in w.upper or not len(w.upper[tree][0]):
+                    if 1 not in w.done.get(tree, ()):
+                        rows.append((tree, 1, int(row.min()), x.tobytes(), a.tobytes(), b.tobytes()))
+                    continue
+                at = T.route(x, *w.upper[tree])
                 for root in np.unique(at):
                     if tree in w.done and root in w.done[tree]:
                         continue
@@ -384,7 +394,7 @@ def _grow_boosted_whole(table: DataFrame, work: Work, ids: dict[int, int], path:
         m = rows.column("member")[0].as_py()
         member, spec = w.members[m], w.members[m].spec
         row, y, weight, fold = (rows.column(c).to_numpy() for c in ("row", "y", "w", "fold"))
-        x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.uint8).reshape(len(row), w.p)
+        x = _bytes(rows.column("x"), w.p)
         x = np.where(x == MISSING, w.fills[m], x)
         weight = (weight if member.weighted else np.ones(len(y))) * (fold != member.without if member.without is not None else 1.0)
         margin, out = np.full(len(y), w.base[m]), []

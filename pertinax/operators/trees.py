@@ -23,10 +23,11 @@ MISSING = 255
 MAX_BINS = 32
 #: Node numbers are 64-bit and levels are counted from 0.
 MAX_DEPTH = 60
-#: Histogram entries that one task builds at a time.
-CELLS = 4_000_000
 #: Least gain of a split, relative to what the node contributes: below it lies rounding.
 EPS = 1e-10
+TINY = 1e-300
+#: Bits of each of three sums that fit one exact double.
+SUM_BITS = 17
 
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(16)])
 
@@ -103,8 +104,7 @@ def soft(g, l1: float):
 def goodness(a, b, spec: TreeSpec):
     """What a node contributes to the score of a split; higher is better."""
     if spec.kind == "forest":
-        total = a + b
-        return np.where(total > 0, (a * a + b * b) / np.where(total > 0, total, 1), 0.0)
+        return (a * a + b * b) / np.maximum(a + b, TINY)      # no weight: 0
     under = b + spec.l2
     return np.where(under > 0, soft(a, spec.l1) ** 2 / np.where(under > 0, under, 1), 0.0)
 
@@ -138,9 +138,16 @@ def final(a, b, n, depth: int, spec: TreeSpec):
 
 def best_bins(h_a, h_b, h_n, spec: TreeSpec):
     """Per node (rows of the histograms): the best bin to split behind and its score; -inf if none."""
-    a, b, n = (np.cumsum(h, axis=1) for h in (h_a, h_b, h_n))
-    ra, rb, rn = (c[:, -1:] - c for c in (a, b, n))
-    ok = (n >= max(spec.min_leaf, 1)) & (rn >= max(spec.min_leaf, 1))
+    return _best_cuts(*(np.cumsum(h, axis=1) for h in (h_a, h_b, h_n)), spec)
+
+
+def _best_cuts(a, b, n, spec: TreeSpec):
+    """:func:`best_bins` from sums up to and with each bin."""
+    ta, tb, tn = (c[:, -1:] for c in (a, b, n))
+    least = max(spec.min_leaf, 1)
+    a, b, n = (c[:, :-1] for c in (a, b, n))                 # behind the last bin there is nothing
+    ra, rb = ta - a, tb - b
+    ok = (n >= least) & (tn - n >= least)
     if spec.kind == "boost" and spec.min_hessian > 0:
         ok &= (b >= spec.min_hessian) & (rb >= spec.min_hessian)
     score = np.where(ok, goodness(a, b, spec) + goodness(ra, rb, spec), -np.inf)
@@ -161,8 +168,12 @@ class Nodes:
 def grow(x: np.ndarray, a: np.ndarray, b: np.ndarray, spec: TreeSpec, tree: int, root: int = 1,
          bins: int = MAX_BINS) -> Nodes:
     """All nodes at and below ``root``, level by level, from its drawn rows."""
-    out = []
+    out, p = [], x.shape[1]
     frontier, at, depth = np.array([root], np.int64), np.zeros(len(a), np.int64), int(root).bit_length() - 1
+    wide = x.max(axis=0, initial=0) > 1            # the other columns have two bins and one cut
+    rows, flat = np.arange(len(a)), x.ravel()
+    whole = _Columns(x, wide, bins) if spec.kind == "boost" and not spec.node_columns else None
+    units = _units(a, b) if spec.kind == "forest" else None
     while len(frontier):
         k = len(frontier)
         ta, tb = np.bincount(at, a, k), np.bincount(at, b, k)
@@ -170,17 +181,22 @@ def grow(x: np.ndarray, a: np.ndarray, b: np.ndarray, spec: TreeSpec, tree: int,
         best, chosen, cut = np.full(k, -np.inf), np.full(k, -1, np.int64), np.zeros(k, np.int64)
         leaf = final(ta, tb, tn, depth, spec)
         if not leaf.all():
-            open_rows = ~leaf[at]
-            if not open_rows.all():
-                x, a, b, at = x[open_rows], a[open_rows], b[open_rows], at[open_rows]
+            if leaf.any():
+                open_rows = np.flatnonzero(~leaf[at])
+                rows, a, b, at = rows[open_rows], a[open_rows], b[open_rows], at[open_rows]
             mine, number = np.flatnonzero(~leaf), np.cumsum(~leaf) - 1
-            drawn = columns(spec, tree, frontier[mine], x.shape[1])
-            chosen[mine], cut[mine], best[mine] = _split(x, a, b, number[at], drawn, ta[mine], tb[mine], spec, bins)
+            drawn = columns(spec, tree, frontier[mine], p)
+            if whole is not None:
+                found = whole.split(rows, a, b, number[at], drawn[0], ta[mine], tb[mine], spec)
+            else:
+                found = _split(flat, p, rows, a, b, number[at], drawn, ta[mine], tb[mine], tn[mine], spec, bins, wide, units)
+            chosen[mine], cut[mine], best[mine] = found
         out.append((frontier, chosen, cut, leaf_value(ta, tb, spec), tn))
         split = chosen >= 0
-        keep = split[at] if len(at) else np.zeros(0, bool)
-        x, a, b, at = x[keep], a[keep], b[keep], at[keep]
-        right = x[np.arange(len(at)), chosen[at]] > cut[at]
+        if not split.all():
+            keep = np.flatnonzero(split[at])
+            rows, a, b, at = rows[keep], a[keep], b[keep], at[keep]
+        right = flat[rows * p + chosen[at]] > cut[at]
         number = np.cumsum(split) - 1
         at = number[at] * 2 + right
         frontier = np.stack([2 * frontier[split], 2 * frontier[split] + 1], axis=1).ravel()
@@ -188,65 +204,163 @@ def grow(x: np.ndarray, a: np.ndarray, b: np.ndarray, spec: TreeSpec, tree: int,
     return Nodes(*(np.concatenate(c) for c in zip(*out)))
 
 
-def _split(x, a, b, at, drawn, ta, tb, spec: TreeSpec, bins: int):
-    """The best split of each node (feature, bin, gain; feature -1 if none), some columns at a time."""
+def _units(a, b):
+    """How often each row counts for class 0 and class 1 and the weights of both, if a class has one weight."""
+    out = []
+    for v in (a, b):
+        some = v[v > 0]
+        unit = float(some.min()) if len(some) else 1.0
+        times = np.rint(v / unit)
+        if not np.array_equal(times * unit, v):
+            return None
+        out.append((times, unit))
+    return (out[0][0] + out[1][0] * 2.0 ** SUM_BITS + 2.0 ** (2 * SUM_BITS)), out[0][1], out[1][1]
+
+
+def _split(flat, p: int, rows, a, b, at, drawn, ta, tb, tn, spec: TreeSpec, bins: int, wide, units):
+    """The best split of each node (feature, bin, gain; feature -1 if none), from the columns drawn for it.
+
+    A column that is not wide takes two cells.  Where each class has one weight, the three sums of a
+    cell are added up as one number."""
     k, m = drawn.shape
-    feature, cut, best = np.full(k, -1, np.int64), np.zeros(k, np.int64), np.full(k, -np.inf)
-    shared = k == 1 or drawn.strides[0] == 0           # all nodes split on the same columns
-    step = max(1, min(m, CELLS // max(len(a), k * bins, 1)))
-    for j in range(0, m, step):
-        part = drawn[:, j:j + step]
-        width = part.shape[1]
-        xs = x[:, part[0]] if shared else np.take_along_axis(x, part[at], axis=1)
-        cell = ((at * width)[:, None] + np.arange(width)) * bins + xs
-        cell = cell.ravel()
-        size = k * width * bins
-        h = [np.bincount(cell, None if w is None else np.repeat(w, width), size).reshape(-1, bins) for w in (a, b, None)]
-        where, score = (v.reshape(k, width) for v in best_bins(*h, spec))
-        top = score.argmax(axis=1)
-        node = np.arange(k)
-        value = worth(score[node, top], ta, tb, spec)
-        better = value > best
-        feature[better], cut[better] = part[node, top][better], where[node, top][better]
-        best[better] = value[better]
-    return feature, cut, best
+    broad = wide[drawn].ravel()
+    many = int(broad.sum())
+    start = np.where(broad, (np.cumsum(broad) - 1) * bins, many * bins + (np.cumsum(~broad) - 1) * 2).reshape(k, m)
+    size = many * bins + (k * m - many) * 2
+    cell = np.empty((m, len(rows)), np.int64)
+    for j in range(m):
+        cell[j] = start[:, j][at]
+        cell[j] += flat[rows * p + drawn[:, j][at]]
+    cell = cell.ravel()
+    once = units is not None and max(ta.max() / units[1], tb.max() / units[2], tn.max()) < 2 ** SUM_BITS - 1
+    if once:
+        sums = [np.bincount(cell, np.tile(units[0][rows], m), size).astype(np.int64)]
+    else:
+        sums = [np.bincount(cell, None if w is None else np.tile(w, m), size) for w in (a, b, None)]
+    where, score = np.zeros(k * m, np.int64), np.full(k * m, -np.inf)
+    for of, part, width in ((broad, slice(0, many * bins), bins), (~broad, slice(many * bins, size), 2)):
+        c = [np.cumsum(s[part].reshape(-1, width), axis=1) for s in sums]
+        if not len(c[0]):
+            continue
+        if once:
+            low = (1 << SUM_BITS) - 1
+            c = [(c[0] & low) * units[1], ((c[0] >> SUM_BITS) & low) * units[2], c[0] >> (2 * SUM_BITS)]
+        where[of], score[of] = _best_cuts(*c, spec)
+    where, score = where.reshape(k, m), score.reshape(k, m)
+    return _chosen(where, score, drawn, ta, tb, spec)
+
+
+def _chosen(where, score, drawn, ta, tb, spec: TreeSpec):
+    node, top = np.arange(len(score)), score.argmax(axis=1)
+    best = worth(score[node, top], ta, tb, spec)
+    good = best > -np.inf
+    return np.where(good, drawn[node, top], -1), np.where(good, where[node, top], 0), best
+
+
+class _Columns:
+    """Histograms of columns that all nodes share.  Eight columns of two bins are read as one of 256."""
+
+    def __init__(self, x: np.ndarray, wide: np.ndarray, bins: int):
+        self.n, self.bins = len(x), bins
+        self.wide, self.narrow = np.flatnonzero(wide), np.flatnonzero(~wide)
+        self.x = {int(f): np.ascontiguousarray(x[:, f]) for f in self.wide}
+        self.joint = [np.packbits(x[:, self.narrow[s:s + 8]], axis=1)[:, 0] for s in range(0, len(self.narrow), 8)]
+        bits = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)
+        self.zero = 1.0 - bits                                # (joint value, column): is its bin 0
+
+    def split(self, rows, a, b, at, drawn, ta, tb, spec: TreeSpec):
+        k, allowed = len(ta), np.zeros(len(self.wide) + len(self.narrow), bool)
+        allowed[drawn] = True
+        take = (lambda c: c) if len(rows) == self.n else (lambda c: c[rows])
+        tn = np.bincount(at, minlength=k)
+        where, score = np.zeros((k, len(drawn)), np.int64), np.full((k, len(drawn)), -np.inf)
+        slot = np.cumsum(allowed) - 1
+        base = at * self.bins
+        for f in self.wide[allowed[self.wide]]:
+            cell = base + take(self.x[int(f)])
+            h = [np.bincount(cell, w, k * self.bins).reshape(k, self.bins) for w in (a, b, None)]
+            where[:, slot[f]], score[:, slot[f]] = best_bins(*h, spec)
+        base = at * 256
+        for s, joint in enumerate(self.joint):
+            f = self.narrow[8 * s:8 * s + 8]
+            f, column = f[allowed[f]], np.flatnonzero(allowed[f])
+            if not len(f):
+                continue
+            cell = base + take(joint)
+            left = [np.bincount(cell, w, k * 256).reshape(k, 256) @ self.zero[:, column] for w in (a, b, None)]
+            c = [np.stack([v, np.broadcast_to(t[:, None], v.shape)], axis=2).reshape(-1, 2) for v, t in zip(left, (ta, tb, tn))]
+            _, best = _best_cuts(*c, spec)
+            score[:, slot[f]] = best.reshape(k, len(f))
+        return _chosen(where, score, np.broadcast_to(drawn, (k, len(drawn))), ta, tb, spec)
 
 
 class Packed:
-    """Trees as flat arrays, for scoring: children stand side by side."""
+    """Trees as flat arrays, for scoring: children stand side by side.
+
+    A value is compared by its place among the bounds of its feature; what a step needs to know of a
+    node (first child, column, place of its bound) is one number.  A leaf leads to itself."""
 
     def __init__(self, tree: np.ndarray, node: np.ndarray, feature: np.ndarray, bound: np.ndarray, value: np.ndarray):
         order = np.lexsort((node, tree))
         tree, node = tree[order], node[order]
-        self.feature, self.value = feature[order].astype(np.int32), value[order].astype(np.float64)
-        self.bound = bound[order]
+        feature, bound = feature[order].astype(np.int64), bound[order]
+        self.value = value[order].astype(np.float64)
         self.trees, self.root = np.unique(tree, return_index=True)
-        self.left = np.full(len(node), -1, np.int64)
         end = np.append(self.root[1:], len(node))
+        self.levels = [int(node[s:e].max()).bit_length() - 1 for s, e in zip(self.root, end)]
+        inner = feature >= 0
+        left, column, place = np.arange(len(node)), np.zeros(len(node), np.int64), np.full(len(node), 0xFFFF)
         for start, stop in zip(self.root, end):
-            part = slice(start, stop)
-            inner = self.feature[part] >= 0
-            self.left[part][inner] = start + np.searchsorted(node[part], 2 * node[part][inner])
-
-    def leaves(self, x: np.ndarray, which: np.ndarray | None = None) -> np.ndarray:
-        """The leaf of every row in every tree (``which``: only these): rows by trees."""
-        root = self.root if which is None else self.root[which]
-        n, t = len(x), len(root)
-        at = np.broadcast_to(root, (n, t)).astype(np.int64).ravel()
-        row = np.repeat(np.arange(n), t)
-        active = np.flatnonzero(self.feature[at] >= 0)
-        while len(active):
-            here = at[active]
-            right = ~(x[row[active], self.feature[here]] <= self.bound[here])
-            at[active] = here = self.left[here] + right
-            active = active[self.feature[here] >= 0]
-        return at.reshape(n, t)
-
-    def sums(self, x: np.ndarray, which: np.ndarray | None = None, rows: int = 4096) -> np.ndarray:
+            mine = start + np.flatnonzero(inner[start:stop])
+            left[mine] = start + np.searchsorted(node[start:stop], 2 * node[mine])
+        self.features, column[inner] = np.unique(feature[inner], return_inverse=True)
+        self.ends = []
+        for c in range(len(self.features)):
+            mine = np.flatnonzero(inner & (column == c))
+            ends, place[mine] = np.unique(bound[mine], return_inverse=True)
+            self.ends.append(ends)
+        if max([len(self.ends), *map(len, self.ends)]) >= 0xFFFF:
+            raise ValueError("a step holds 65,534 columns and as many bounds of each")
+        self.step = left << 32 | column << 16 | place
+
+    def _places(self, x: np.ndarray) -> np.ndarray:
+        """Columns by rows: how many bounds of its feature lie below each value."""
+        out = np.empty((max(len(self.ends), 1), len(x)), np.uint16)
+        for c, (f, ends) in enumerate(zip(self.features, self.ends)):
+            if x.dtype == np.uint8:
+                out[c] = np.searchsorted(ends, np.arange(256)).astype(np.uint16)[x[:, f]]
+            else:
+                out[c] = np.searchsorted(ends, x[:, f])
+        return out
+
+    def leaves(self, places: np.ndarray, tree: int) -> np.ndarray:
+        """The leaf of every row in one tree."""
+        n, flat, step = places.shape[1], places.ravel(), self.step
+        out = at = np.full(n, self.root[tree], np.int64)
+        row, all_rows = np.arange(n), True
+        for level in range(self.levels[tree]):
+            if level % 4 == 0 and level:
+                moving = np.flatnonzero((step[at] & 0xFFFF) != 0xFFFF)
+                if len(moving) < 0.75 * len(at):
+                    if all_rows:
+                        out, all_rows = at.copy(), False
+                    else:
+                        out[row] = at
+                    row, at = row[moving], at[moving]
+            s = step[at]
+            at = (s >> 32) + (flat[(s >> 16 & 0xFFFF) * n + row] > (s & 0xFFFF))
+        if all_rows:
+            return at
+        out[row] = at
+        return out
+
+    def sums(self, x: np.ndarray, rows: int = 8192) -> np.ndarray:
         """Sum of the trees' values per row."""
         out = np.zeros(len(x))
         for k in range(0, len(x), rows):
-            out[k:k + rows] = self.value[self.leaves(x[k:k + rows], which)].sum(axis=1)
+            places = self._places(x[k:k + rows])
+            for tree in range(len(self.root)):
+                out[k:k + rows] += self.value[self.leaves(places, tree)]
         return out
 
 

@@ -200,3 +200,53 @@ def test_missing_and_odd_values(spark, rows):
     one_class = E.fit(rows.withColumn("label", F.lit(1.0)), features(rows), [E.Member("f", FOREST), E.Member("b", BOOST)], F.col("row_id"))
     assert accuracy(one_class["f"], rows.withColumn("label", F.lit(1.0))) == 1.0
     assert accuracy(one_class["b"], rows.withColumn("label", F.lit(1.0))) == 1.0
+
+
+def test_one_weight_a_class_gives_the_same_tree(monkeypatch):
+    """Sums added up as one number, and those of any weights."""
+    x, y, _ = table(3000, 12, 4)
+    x[:, 5:] %= 2
+    d = T.draws(np.arange(3000), FOREST, 1)
+    x, y, d = x[d > 0], y[d > 0], d[d > 0]
+    a, b = 0.75 * d * (y == 0), 1.25 * d * (y == 1)
+    assert T._units(a, b) is not None and T._units(a, b * np.linspace(1, 2, len(b))) is None
+    fast = T.grow(x, a, b, T.TreeSpec(depth=12), 3)
+    monkeypatch.setattr(T, "_units", lambda *_: None)
+    slow = T.grow(x, a, b, T.TreeSpec(depth=12), 3)
+    assert len(fast.node) > 200 and all((getattr(fast, c) == getattr(slow, c)).all() for c in ("node", "feature", "bin", "value", "n"))
+
+
+def test_scores_are_those_of_a_walk():
+    x, y, w = table(400, 6, 9)
+    values = x * 1.5
+    values[::7, 2] = np.nan
+    forest = [T.grow(x, w * (y == 0), w * (y == 1), T.TreeSpec(depth=9, min_split=2, min_leaf=1), t) for t in range(4)]
+    c = [np.concatenate([getattr(g, k) for g in forest]) for k in ("node", "feature", "bin", "value")]
+    tree = np.repeat(np.arange(4), [len(g.node) for g in forest])
+    want = []
+    for row in values:
+        total = 0.0
+        for t, g in enumerate(forest):
+            at = {int(n): k for k, n in enumerate(g.node)}
+            n = 1
+            while g.feature[at[n]] >= 0:
+                n = 2 * n + (not row[g.feature[at[n]]] <= g.bin[at[n]] * 1.5)
+            total += g.value[at[n]]
+        want.append(total)
+    assert T.Packed(tree, c[0], c[1], c[2] * 1.5, c[3]).sums(values, rows=64) == pytest.approx(want)
+
+
+def test_packed_bytes_of_sliced_columns():
+    import pyarrow as pa
+    whole = pa.array([bytes([i, i + 1, i + 2]) for i in range(20)], pa.binary())
+    some = pa.chunked_array([whole.slice(3, 4), whole.slice(0, 0), whole.slice(10, 2)])
+    assert E._bytes(some, 3)[:, 0].tolist() == [3, 4, 5, 6, 10, 11]
+    assert E._bytes(whole.slice(5, 0), 3).shape == (0, 3)
+
+
+def test_extract_of_one_file_is_prepared_and_scored_by_many_tasks(spark, tmp_path):
+    from pertinax.plans.catalog_ml import training_frame
+    spark.range(2000).selectExpr("id AS event_id", "timestamp'2024-01-01' AS ts", "id % 50 AS user_id", "'view' AS event_type",
+                                 "id * 37 % 80 + 0.5D AS value", "'' AS props").coalesce(1).write.parquet(f"file:{tmp_path}/events.parquet")
+    tasks = training_frame(spark, f"file:{tmp_path}").select("label", F.spark_partition_id().alias("t")).distinct()
+    assert tasks.select("t").distinct().count() >= spark.sparkContext.defaultParallelism
