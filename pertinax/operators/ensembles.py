@@ -162,8 +162,10 @@ def medians(counts: dict[int, np.ndarray], without: int | None) -> np.ndarray:
 def _bytes(column: pa.Array, p: int) -> np.ndarray:
     """The rows of a column of ``p`` bytes each, without a copy of every value."""
     chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
-    parts = [np.frombuffer(c.buffers()[2], np.uint8)[int.from_bytes(c.buffers()[1][4 * c.offset:4 * c.offset + 4], "little"):][
-        :len(c) * p] for c in chunks if len(c)]
+    parts = []
+    for c in filter(len, chunks):
+        starts = np.frombuffer(c.buffers()[1], np.int64 if pa.types.is_large_binary(c.type) else np.int32)
+        parts.append(np.frombuffer(c.buffers()[2], np.uint8)[starts[c.offset]:][:len(c) * p])
     return np.concatenate(parts).reshape(-1, p) if parts else np.zeros((0, p), np.uint8)
 
 

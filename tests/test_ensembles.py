@@ -242,6 +242,7 @@ def test_packed_bytes_of_sliced_columns():
     some = pa.chunked_array([whole.slice(3, 4), whole.slice(0, 0), whole.slice(10, 2)])
     assert E._bytes(some, 3)[:, 0].tolist() == [3, 4, 5, 6, 10, 11]
     assert E._bytes(whole.slice(5, 0), 3).shape == (0, 3)
+    assert E._bytes(whole.cast(pa.large_binary()).slice(5, 2), 3).tolist() == [[5, 6, 7], [6, 7, 8]]
 
 
 def test_extract_of_one_file_is_prepared_and_scored_by_many_tasks(spark, tmp_path):
