@@ -79,32 +79,25 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``docs`` without its duplicate rows, all columns kept.
 
     Rows of a frequent digest other than its winner leave on the map side.  What else has to go is
-    found on the narrow table of ids and digests; the rows are joined to the list of it by shuffle whatever
-    its size, as the list grows with the table: texts are shuffled once.  Rows equal in id and text are merged by an
-    aggregate, which combines them on the map side."""
-    digest, hot_digest, best, row, of_digest, of_id = fresh(
-        docs, "digest", "hot_digest", "best", "row", "of_digest", "of_id")
+    found on the narrow table of ids and digests.  Rows equal in id and text are merged by an aggregate, which
+    combines them on the map side; what it returns is joined to the list by the aggregate's own key, and by shuffle
+    whatever the list's size, as that grows with the table.  So texts are shuffled once."""
+    digest, hot_digest, best, row, key, of_key = fresh(docs, "digest", "hot_digest", "best", "row", "key", "of_key")
     digests = digest_table(docs, id_col, text_col)
     hot = written(winners(digests, support).select("digest", F.col("best.doc_id").alias("best_id")), "winners")
     rest = digests.join(F.broadcast(hot), "digest", "left_anti").select("digest", "doc_id")
     largest = rest.groupBy("digest").agg(F.max("doc_id").alias("best_id"))
     losers = rest.join(largest, "digest").where(~F.col("doc_id").eqNullSafe(F.col("best_id"))).select("digest", "doc_id")
-    repeated = digests.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "doc_id")
-    listed = written(losers.distinct().withColumn("lost", F.lit(True)).unionByName(
-        repeated.withColumn("lost", F.lit(False))).select(F.col("digest").alias(of_digest), F.col("doc_id").alias(of_id), "lost"),
-        "exact-copies")
-    rows = (docs.withColumn(digest, digest_hex(col(text_col)))
-            .join(F.broadcast(hot.select(F.col("digest").alias(hot_digest), F.col("best_id").alias(best))),
-                  col(digest) == col(hot_digest), "left")
-            .where(col(hot_digest).isNull() | col(id_col).eqNullSafe(col(best))))
-
-    def matched(of: DataFrame, table: DataFrame, how: str) -> DataFrame:
-        same = (col(digest) == col(of_digest)) & col(id_col).eqNullSafe(col(of_id))
-        return of.join(table.select(of_digest, of_id), same, how)
-
-    columns = [col(c) for c in docs.columns]
-    lost = listed.where("lost")
-    merged = (matched(matched(rows, listed.where("NOT lost"), "left_semi"), lost, "left_anti")
-              .groupBy(col(id_col), col(digest)).agg(F.min_by(F.struct(*columns), tie_break(docs)).alias(row)))
-    return matched(rows, listed.hint("merge"), "left_anti").select(*columns).unionAll(
-        merged.select(*[col(row).getField(c).alias(c) for c in docs.columns]))
+    # a struct equals another of equal fields, nulls too, and is one key for the aggregate and the join
+    listed = written(losers.distinct().select(F.struct("digest", "doc_id").alias(of_key)), "exact-copies")
+    merged = (docs.withColumn(digest, digest_hex(col(text_col)))
+              .join(F.broadcast(hot.select(F.col("digest").alias(hot_digest), F.col("best_id").alias(best))),
+                    col(digest) == col(hot_digest), "left")
+              .where(col(hot_digest).isNull() | col(id_col).eqNullSafe(col(best)))
+              .groupBy(F.struct(col(digest).alias("digest"), col(id_col).alias("doc_id")).alias(key))
+              .agg(F.min_by(F.struct(*[col(c) for c in docs.columns]), tie_break(docs)).alias(row)))
+    # the condition on the merged row, always true, keeps the join behind the aggregate: before it, a row that is
+    # repeated very often would go to one task
+    of_list = (col(key) == col(of_key)) & col(row).isNotNull()
+    return merged.join(listed.hint("merge"), of_list, "left_anti").select(
+        *[col(row).getField(c).alias(c) for c in docs.columns])

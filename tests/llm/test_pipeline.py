@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pertinax.llm import hd_langid
@@ -80,6 +81,21 @@ def test_dropping_copies_shuffles_alike_at_any_size(spark):
     assert corpus_pipeline.drop_exact_copies(spark, docs, "").count() == 20
 
 
+def test_exact_dedup_shuffles_texts_once(spark):
+    """Copies, rows equal in id and text, and null ids leave by one shuffle of the texts, not by one each."""
+    rows = [(i, f"text number {i // 2}") for i in range(40)] + [(7, "Text number 3"), (7, "text number 3")] * 30
+    rows += [(None, "text number 3"), (None, "no id"), (None, "no id"), (None, "NO ID"), (50, None), (51, ""), (51, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = corpus_pipeline.drop_exact_copies(spark, docs.withColumn("n", F.lit(1)), "")
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    lines = plan.splitlines()
+    assert sum("Exchange hashpartitioning" in line for line in lines) == 2     # the rows; the list of copies, without texts
+    first = lambda name: next(i for i, line in enumerate(lines) if name in line)
+    assert first("SortMergeJoin") < first("partial_min_by")                    # equal rows are merged before they travel
+    assert Counter((r["doc_id"], r["text"].lower() if r["text"] else "") for r in kept.collect()) == Counter(
+        [(i, f"text number {i // 2}") for i in range(1, 40, 2)] + [(None, "no id"), (51, "")])
+
+
 def test_an_empty_corpus_runs_through(spark, corpus):
     docs = corpus.limit(0)
     for _, stage in corpus_pipeline.STAGES:
