@@ -15,6 +15,10 @@ ordinary box bounds hold.
 3. The blocks that are left for a left block pass by it in order of their bounds, as a stream, while each
    left row keeps its best ``k``; a block beyond the worst of these is skipped.
 
+Right rows with equal values are equally far from any row, and ties go to the smaller id: of a point that very many
+rows share, only the ``k`` smallest ids can be found, so no more of them are packed.  Which these are is decided
+over all rows, by a window whose limit works on the map side.
+
 So no pair of rows is formed outside a pair of blocks that may matter, and no task holds more than one left
 and one right block.  Ties go to the smaller id.  Numbers that are not finite count as missing.
 """
@@ -23,7 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pertinax.session import written
@@ -256,17 +260,25 @@ def _search(left: DataFrame, right: DataFrame, pairs: DataFrame, p: int, k: int,
 
 
 class Donors:
-    """The right side of the join, packed: fitted state, in a written table."""
+    """The right side of the join, packed: fitted state, in a written table.
+
+    ``most``: the greatest ``k`` of a search that skips no pairs; of equal rows, so many are packed."""
 
-    def __init__(self, df: DataFrame, columns: list[str], id_col: str):
+    def __init__(self, df: DataFrame, columns: list[str], id_col: str, most: int | None = None):
         self.columns = list(columns)
         points = _points(df, F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)), self.columns, F.lit(-1))
-        points = written(points.where("pattern <> 0"), "nearest-rows")
+        points, self.most = points.where("pattern <> 0"), most
+        if most is not None:
+            place = F.row_number().over(Window.partitionBy("pattern", "v").orderBy("id"))
+            points = points.withColumn("place", place).where(F.col("place") <= most).drop("place")
+        points = written(points, "nearest-rows")
         self.ranks = _ranks(points, len(self.columns))
         self.blocks = _blocks(points, self.ranks, "nearest-right")
 
     def search(self, rows: DataFrame, row: Column, k: int, need: Column | None = None, skip_same: bool = False) -> DataFrame:
         """The k nearest donors of every row; ``need``: the number of a column that a donor must have."""
+        if self.most is not None and (skip_same or k > self.most):
+            raise ValueError(f"these donors were packed for searches of up to {self.most} that skip no pairs")
         p = len(self.columns)
         points = _points(rows, row, self.columns, need if need is not None else F.lit(-1)).where("pattern <> 0")
         left = _blocks(points, self.ranks, "nearest-left")
@@ -281,7 +293,7 @@ def nearest_join(left: DataFrame, right: DataFrame, on: list[str], k: int, left_
     Ids are whole numbers; ties go to the smaller right id.  A left row without a value, or without a
     right row that shares one, has no rows.  ``skip_same`` leaves out pairs with equal ids (a table
     joined to itself); rows without an id come last among ties."""
-    found = Donors(right, on, right_id).search(left.where(F.col(f"`{left_id}`").isNotNull()), F.col(f"`{left_id}`"), k,
+    found = Donors(right, on, right_id, None if skip_same else k).search(left.where(F.col(f"`{left_id}`").isNotNull()), F.col(f"`{left_id}`"), k,
                                                skip_same=skip_same)
     other = F.when(F.col("other") != NO_ID, F.col("other"))
     return found.select(F.col("id").alias(left_id), "rank", other.alias(right_id if right_id != left_id else f"{right_id}_near"),
@@ -297,7 +309,7 @@ class KnnImputer:
         self.donors: Donors | None = None
 
     def fit(self, df: DataFrame) -> "KnnImputer":
-        self.donors = Donors(df, self.columns, self.id_col)
+        self.donors = Donors(df, self.columns, self.id_col, self.k)
         means = df.agg(*[F.avg(_finite(F.col(f"`{c}`"))).alias(f"m{i}") for i, c in enumerate(self.columns)]).first()
         self.means = list(means)              # one number a column
         return self

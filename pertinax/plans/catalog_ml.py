@@ -159,7 +159,8 @@ def _m3_sql():
 @register("m3_knn_impute", oracle=_m3_sql())
 def m3_knn_impute(spark, sf_dir):
     """Missing vitals take the mean of the five nearest encounters that have them."""
-    e = prepared_encounters(spark, sf_dir).select(schema.ROW_ID, *_M3)
+    e = prepare_clinical(spread(clinical_encounters(spark, sf_dir))).select(schema.ROW_ID, *_M3)
+    e = written(e, "vitals")         # the search reads each column many times over
     out = nearest.knn_impute(e, _M3, 5, schema.ROW_ID)
     return out.withColumns({c: F.round(c, 6) for c in _M3})
 

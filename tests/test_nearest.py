@@ -101,3 +101,18 @@ def test_impute_keeps_rows_and_empty_columns(spark):
     assert fitted.transform(df.limit(0)).count() == 0
     with pytest.raises(ValueError, match="fit"):
         nearest.KnnImputer(COLS).transform(df)
+
+
+def test_equal_donors_are_packed_as_often_as_they_can_be_found(spark, small_blocks):
+    """A point that most rows share costs no more than k rows; the smallest ids of it are found, null ids last."""
+    rows = [(None, 5.0, 5.0, 1.0)] * 3 + [(i, 5.0, 5.0, 1.0) for i in range(400, 0, -1)]
+    rows += [(2, 5.0, 5.0, 1.0), (900, 5.0, 5.0, None), (901, 5.0, None, None), (902, 6.0, 5.0, 3.0)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    fitted = nearest.KnnImputer(COLS, 3).fit(df)
+    assert fitted.donors.blocks.agg(F.sum("n")).first()[0] == 3 + 3         # of 404 equal rows three, and three others
+    assert {r["row_id"]: r["c"] for r in fitted.transform(df.where("row_id >= 900")).collect()} == {900: 1.0, 901: 1.0, 902: 3.0}
+    one = spark.createDataFrame([(7, 5.0, 5.0, 1.0)], SCHEMA)
+    found = nearest.nearest_join(one, df, COLS, 5, "row_id", "row_id").orderBy("rank").collect()
+    assert [r["row_id_near"] for r in found] == [1, 2, 2, 3, 4]
+    with pytest.raises(ValueError, match="skip no pairs"):
+        fitted.donors.search(one, F.col("row_id"), 4)
