@@ -11,8 +11,8 @@
 * **Upper levels by histograms, subtrees in one task.**  While a node has more than ``LOCAL_ROWS`` drawn
   rows, tasks add up (tree, node, feature, bin) histograms, Spark sums them by tree and node, and the best split of each
   node comes back to the driver (at most ``JOB_NODES`` at a time).  Rows of a smaller node are sent to one task, packed, which grows all that is
-  below it.  So no task holds more than ``LOCAL_ROWS`` rows of a tree.  A boosted member whose whole
-  table is within that bound grows all its rounds there.
+  below it.  So no task holds more than ``LOCAL_ROWS`` rows of a tree.  A table that is within that bound
+  as a whole goes to each task once; the task grows its share of the trees, or all rounds of a boosted member.
 * **A model is a node table.**  ``(tree, node, feature, bound, value)``, in Parquet by group.  Scoring reads
   it group by group into broadcasts; nothing grows with the model in a closure.
 
@@ -214,7 +214,10 @@ class Work:
         return out + recent.sums(x) if recent is not None else out
 
     def node_batch(self, tree: int, grown: T.Nodes) -> pa.RecordBatch:
-        bound = np.array([self.ends[f][c] if f >= 0 else 0.0 for f, c in zip(grown.feature, grown.bin)], np.float64)
+        start = np.cumsum([0, *map(len, self.ends)])[:-1]
+        inner, bound = grown.feature >= 0, np.zeros(len(grown.node))
+        if inner.any():
+            bound[inner] = np.concatenate(self.ends)[start[grown.feature[inner]] + grown.bin[inner]]
         columns = [np.full(len(bound), tree), grown.node, grown.feature, grown.bin, bound, grown.value, grown.n]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _NODE_TYPES)], names=_NODE_NAMES)
 
@@ -370,7 +373,7 @@ def _grow_forests(table: DataFrame, work: Work, trees: list[tuple[int, int, int]
     for g in range(0, len(trees), size):
         work.trees = trees[g:g + size]
         work.upper, work.done = {}, {}
-        top = _upper(table, work) if n > LOCAL_ROWS else []
+        top = _upper(table, work)
         roots = max(len(work.trees), 2 * n // LOCAL_ROWS * len(work.trees))
         nodes = _subtrees(table, work, _parts(spark, roots))
         if top:
@@ -378,46 +381,100 @@ def _grow_forests(table: DataFrame, work: Work, trees: list[tuple[int, int, int]
         nodes.write.parquet(f"{path}/group={g}")
 
 
-def _grow_boosted_whole(table: DataFrame, work: Work, ids: dict[int, int], path: str) -> None:
-    """Members whose table one task may hold: all rounds there, all members side by side."""
-    sent = table.sparkSession.sparkContext.broadcast((work, ids))
-    members = sorted(ids)
+def _grow_whole(table: DataFrame, work: Work, trees: list[tuple[int, int, int]], ids: dict[int, int], n: int, path: str) -> None:
+    """Where one task may hold the table: it goes to each task once, packed, and a task draws and grows its
+    trees from it, or all rounds of one boosted member."""
+    spark = table.sparkSession
+    tasks = min(len(trees), 4 * spark.sparkContext.defaultParallelism)
+    boosted = sorted(ids, key=lambda m: -work.members[m].spec.trees)           # the long ones start first
+    deals: list = [[(m, ids[m])] for m in boosted] + [trees[k::tasks] for k in range(tasks)]
+    sent = spark.sparkContext.broadcast((work, deals, len(boosted)))
+    size = max(1, GROUP_ROWS // max(n, 1))
 
-    def deal(batches):
+    def pack(batches):
         for batch in batches:
-            k = len(batch)
-            for m in members:
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, m), pa.int32()), *batch.columns[:5]],
-                                                 names=["member", "row", "y", "w", "fold", "x"])
-
-    def run(rows: pa.Table) -> pa.Table:
-        w, ids = sent.value
-        rows = rows.sort_by("row")
-        m = rows.column("member")[0].as_py()
-        member, spec = w.members[m], w.members[m].spec
-        row, y, weight, fold = (rows.column(c).to_numpy() for c in ("row", "y", "w", "fold"))
-        x = _bytes(rows.column("x"), w.p)
-        x = np.where(x == MISSING, w.fills[m], x)
-        weight = (weight if member.weighted else np.ones(len(y))) * (fold != member.without if member.without is not None else 1.0)
-        margin, out = np.full(len(y), w.base[m]), []
-        for k in range(spec.trees):
-            d = T.draws(row, spec, k) * (weight > 0)
-            take = np.flatnonzero(d)
-            q = T.sigmoid(margin)
-            grown = T.grow(x[take], (d * weight * (q - y))[take], (d * weight * q * (1 - q))[take], spec, k)
-            margin = margin + T.Packed(np.zeros(len(grown.node), int), grown.node, grown.feature, grown.bin, grown.value).sums(x)
-            out.append(w.node_batch(ids[m] + k, grown))
-        return pa.Table.from_batches(out)
+            if len(batch):
+                row, y, w = (batch.column(i).to_numpy() for i in range(3))
+                fold = batch.column(3).fill_null(-1).to_numpy()
+                values = [int(row.min()), row, y, w, fold, _bytes(batch.column(4), sent.value[0].p)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([v if i == 0 else np.ascontiguousarray(v).tobytes()], t.type) for i, (v, t) in enumerate(zip(values, _PACKED))],
+                    schema=_PACKED)
 
-    rows = table.mapInArrow(deal, "member int, row long, y double, w double, fold int, x binary")
-    rows.repartition(len(members), "member").groupBy("member").applyInArrow(run, NODE_SCHEMA).write.parquet(f"{path}/group=boosted")
+    def run(batches):
+        w, deals, of_boosted = sent.value
+        parts: dict = {}
+        for batch in batches:
+            for g, part in zip(batch.column(0).to_pylist(), zip(*(batch.column(i + 1).to_pylist() for i in range(6)))):
+                parts.setdefault(g, []).append(part)
+        for g in sorted(parts):
+            rows = Rows(w, parts.pop(g))
+            for grown in (rows.rounds(*deals[g][0]) if g < of_boosted else map(rows.tree, deals[g])):
+                yield grown
+
+    blocks = table.mapInArrow(pack, "first long, row binary, y binary, w binary, fold binary, x binary")
+    dealt = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(len(deals) - 1))).alias("deal"), "*").repartitionById(len(deals), F.col("deal"))
+    nodes = dealt.mapInArrow(run, NODE_SCHEMA)
+    nodes.withColumn("group", F.floor(F.col("tree") / size)).write.partitionBy("group").parquet(path)
+
+
+_PACKED = pa.schema([("first", pa.int64()), *[(c, pa.binary()) for c in ("row", "y", "w", "fold", "x")]])
+
+
+class Rows:
+    """The rows of a table that one task holds, in order of their keys."""
+
+    def __init__(self, work: Work, parts: list[tuple]):
+        self.work = work
+        parts = sorted(parts, key=lambda p: p[0])
+        row, self.y, self.w, self.fold, x = (np.frombuffer(b"".join(c), t) for c, t in zip(
+            list(zip(*parts))[1:], (np.int64, np.float64, np.float64, np.int32, np.uint8)))
+        order = np.argsort(row, kind="stable")
+        self.row, self.y, self.w, self.fold = (v[order] for v in (row, self.y, self.w, self.fold))
+        self.x, self.filled = x.reshape(-1, work.p)[order], {}
+
+    def fill(self, m: int) -> np.ndarray:
+        """The bins as a member sees them."""
+        key = self.work.fills[m].tobytes()
+        if key not in self.filled:
+            self.filled[key] = np.where(self.x == MISSING, self.work.fills[m], self.x)
+        return self.filled[key]
+
+    def tree(self, of: tuple[int, int, int]) -> pa.RecordBatch:
+        """One tree of a forest."""
+        tree, m, number = of
+        member = self.work.members[m]
+        d = T.draws(self.row, member.spec, number)
+        if member.without is not None:
+            d = d * (self.fold != member.without)
+        take = np.flatnonzero(d)
+        d = d[take] * (self.w[take] if member.weighted else 1.0)
+        y = self.y[take]
+        return self.work.node_batch(tree, T.grow(self.fill(m)[take], d * (y == 0), d * (y == 1), member.spec, number))
+
+    def rounds(self, m: int, first: int):
+        """All rounds of a boosted member."""
+        w, member = self.work, self.work.members[m]
+        spec, weight = member.spec, self.w if member.weighted else np.ones(len(self.y))
+        seen = weight > 0
+        if member.without is not None:
+            seen = seen & (self.fold != member.without)
+        row, y, weight, x = self.row[seen], self.y[seen], weight[seen], self.fill(m)[seen]
+        table, margin = T.Columns(x), np.full(len(y), w.base[m])
+        for k in range(spec.trees):
+            d = T.draws(row, spec, k)
+            take, rest = np.flatnonzero(d), np.flatnonzero(d == 0)
+            q = T.sigmoid(margin[take])
+            grown, value = T.grow_boosted(table, take, weight[take] * (q - y[take]), weight[take] * q * (1 - q), spec, k)
+            margin[take] += value
+            if len(rest):
+                margin[rest] += T.Packed(np.zeros(len(grown.node), int), grown.node, grown.feature, grown.bin, grown.value).sums(x[rest])
+            yield w.node_batch(first + k, grown)
 
 
 def _grow_boosted(table: DataFrame, work: Work, ids: dict[int, int], n: int, path: str) -> None:
     """All boosted members, a round at a time; the margins are stored every REWRITE rounds."""
     spark = table.sparkSession
-    if n <= LOCAL_ROWS:
-        return _grow_boosted_whole(table, work, ids, path)
     recent: dict[int, list] = {m: [] for m in ids}
     held: list = []
     last = max(work.members[m].spec.trees for m in ids)
@@ -484,6 +541,9 @@ def fit(train: DataFrame, features: Features, members: list[Member], key: Column
         values = [float(e[b]) if b < len(e) else (float("inf") if len(e) else 0.0) for e, b in zip(ends, fills[m])]
         out[member.name] = Ensemble(path, member.spec, features, values, work.base[m], first, count)
         first += count
+    if n <= LOCAL_ROWS:
+        _grow_whole(table, work, forests, boosted, n, path)
+        return out
     if forests:
         _grow_forests(table, work, forests, n, path)
     if boosted:

@@ -168,11 +168,12 @@ class Nodes:
 def grow(x: np.ndarray, a: np.ndarray, b: np.ndarray, spec: TreeSpec, tree: int, root: int = 1,
          bins: int = MAX_BINS) -> Nodes:
     """All nodes at and below ``root``, level by level, from its drawn rows."""
+    if spec.kind == "boost" and not spec.node_columns:
+        return grow_boosted(Columns(x, bins), np.arange(len(a)), a, b, spec, tree, root)[0]
     out, p = [], x.shape[1]
     frontier, at, depth = np.array([root], np.int64), np.zeros(len(a), np.int64), int(root).bit_length() - 1
     wide = x.max(axis=0, initial=0) > 1            # the other columns have two bins and one cut
     rows, flat = np.arange(len(a)), x.ravel()
-    whole = _Columns(x, wide, bins) if spec.kind == "boost" and not spec.node_columns else None
     units = _units(a, b) if spec.kind == "forest" else None
     while len(frontier):
         k = len(frontier)
@@ -182,23 +183,20 @@ def grow(x: np.ndarray, a: np.ndarray, b: np.ndarray, spec: TreeSpec, tree: int,
         leaf = final(ta, tb, tn, depth, spec)
         if not leaf.all():
             if leaf.any():
-                open_rows = np.flatnonzero(~leaf[at])
-                rows, a, b, at = rows[open_rows], a[open_rows], b[open_rows], at[open_rows]
+                open_rows = np.flatnonzero((~leaf).take(at))
+                rows, a, b, at = (v.take(open_rows) for v in (rows, a, b, at))
             mine, number = np.flatnonzero(~leaf), np.cumsum(~leaf) - 1
             drawn = columns(spec, tree, frontier[mine], p)
-            if whole is not None:
-                found = whole.split(rows, a, b, number[at], drawn[0], ta[mine], tb[mine], spec)
-            else:
-                found = _split(flat, p, rows, a, b, number[at], drawn, ta[mine], tb[mine], tn[mine], spec, bins, wide, units)
-            chosen[mine], cut[mine], best[mine] = found
+            chosen[mine], cut[mine], best[mine] = _split(flat, p, rows, a, b, number[at], drawn, ta[mine], tb[mine], tn[mine],
+                                                         spec, bins, wide, units)
         out.append((frontier, chosen, cut, leaf_value(ta, tb, spec), tn))
         split = chosen >= 0
         if not split.all():
-            keep = np.flatnonzero(split[at])
-            rows, a, b, at = rows[keep], a[keep], b[keep], at[keep]
-        right = flat[rows * p + chosen[at]] > cut[at]
-        number = np.cumsum(split) - 1
-        at = number[at] * 2 + right
+            keep = np.flatnonzero(split.take(at))
+            rows, a, b, at = (v.take(keep) for v in (rows, a, b, at))
+        right = flat.take(rows * p + chosen.take(at)) > cut.take(at)
+        number = 2 * np.cumsum(split) - 2
+        at = number.take(at) + right
         frontier = np.stack([2 * frontier[split], 2 * frontier[split] + 1], axis=1).ravel()
         depth += 1
     return Nodes(*(np.concatenate(c) for c in zip(*out)))
@@ -227,16 +225,17 @@ def _split(flat, p: int, rows, a, b, at, drawn, ta, tb, tn, spec: TreeSpec, bins
     many = int(broad.sum())
     start = np.where(broad, (np.cumsum(broad) - 1) * bins, many * bins + (np.cumsum(~broad) - 1) * 2).reshape(k, m)
     size = many * bins + (k * m - many) * 2
-    cell = np.empty((m, len(rows)), np.int64)
-    for j in range(m):
-        cell[j] = start[:, j][at]
-        cell[j] += flat[rows * p + drawn[:, j][at]]
-    cell = cell.ravel()
+    cell, base = np.empty((m, len(rows)), np.int64), rows * p
+    for j, (first, column) in enumerate(zip(np.ascontiguousarray(start.T), np.ascontiguousarray(drawn.T))):
+        np.take(first, at, out=cell[j], mode="clip")
+        cell[j] += flat.take(base + column.take(at))
     once = units is not None and max(ta.max() / units[1], tb.max() / units[2], tn.max()) < 2 ** SUM_BITS - 1
-    if once:
-        sums = [np.bincount(cell, np.tile(units[0][rows], m), size).astype(np.int64)]
+    values = [units[0].take(rows)] if once else [a, b, None]
+    if size <= 2 * len(rows):
+        sums = [sum(np.bincount(c, w, size) for c in cell) for w in values]
     else:
-        sums = [np.bincount(cell, None if w is None else np.tile(w, m), size) for w in (a, b, None)]
+        sums = [np.bincount(cell.ravel(), None if w is None else np.tile(w, m), size) for w in values]
+    sums = [s.astype(np.int64) if once else s for s in sums]
     where, score = np.zeros(k * m, np.int64), np.full(k * m, -np.inf)
     for of, part, width in ((broad, slice(0, many * bins), bins), (~broad, slice(many * bins, size), 2)):
         c = [np.cumsum(s[part].reshape(-1, width), axis=1) for s in sums]
@@ -257,41 +256,186 @@ def _chosen(where, score, drawn, ta, tb, spec: TreeSpec):
     return np.where(good, drawn[node, top], -1), np.where(good, where[node, top], 0), best
 
 
-class _Columns:
-    """Histograms of columns that all nodes share.  Eight columns of two bins are read as one of 256."""
-
-    def __init__(self, x: np.ndarray, wide: np.ndarray, bins: int):
-        self.n, self.bins = len(x), bins
-        self.wide, self.narrow = np.flatnonzero(wide), np.flatnonzero(~wide)
-        self.x = {int(f): np.ascontiguousarray(x[:, f]) for f in self.wide}
-        self.joint = [np.packbits(x[:, self.narrow[s:s + 8]], axis=1)[:, 0] for s in range(0, len(self.narrow), 8)]
-        bits = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)
-        self.zero = 1.0 - bits                                # (joint value, column): is its bin 0
+class Columns:
+    """Histograms of columns that all nodes share, for any rows of one table.  Columns are read jointly:
+    while nodes are few, two wide ones as one and ten of two bins as one; then each wide one and five."""
+
+    def __init__(self, x: np.ndarray, bins: int = MAX_BINS):
+        self.n, self.p, self.bins, self.flat = len(x), x.shape[1], bins, x.ravel()
+        self.is_wide = x.max(axis=0, initial=0) > 1
+        wide, narrow = np.flatnonzero(self.is_wide), np.flatnonzero(~self.is_wide)
+        self.joint = [self._join(x, wide, narrow, many, ten) for many, ten in ((2, 10), (1, 5))]
+
+    def _join(self, x, wide, narrow, many: int, ten: int):
+        out = []
+        for features, size, base in ((wide, many, max(self.bins, 3)), (narrow, ten, 2)):
+            for s in range(0, len(features), size):
+                f = features[s:s + size]
+                joint = np.zeros(self.n, np.int16)
+                for c in f:
+                    joint = joint * np.int16(base) + x[:, c]
+                out.append((f, base, joint))
+        return out
 
-    def split(self, rows, a, b, at, drawn, ta, tb, spec: TreeSpec):
-        k, allowed = len(ta), np.zeros(len(self.wide) + len(self.narrow), bool)
-        allowed[drawn] = True
-        take = (lambda c: c) if len(rows) == self.n else (lambda c: c[rows])
-        tn = np.bincount(at, minlength=k)
-        where, score = np.zeros((k, len(drawn)), np.int64), np.full((k, len(drawn)), -np.inf)
-        slot = np.cumsum(allowed) - 1
-        base = at * self.bins
-        for f in self.wide[allowed[self.wide]]:
-            cell = base + take(self.x[int(f)])
-            h = [np.bincount(cell, w, k * self.bins).reshape(k, self.bins) for w in (a, b, None)]
-            where[:, slot[f]], score[:, slot[f]] = best_bins(*h, spec)
-        base = at * 256
-        for s, joint in enumerate(self.joint):
-            f = self.narrow[8 * s:8 * s + 8]
-            f, column = f[allowed[f]], np.flatnonzero(allowed[f])
-            if not len(f):
+    def sums(self, rows, values: list, slot, k: int, allowed: np.ndarray) -> np.ndarray:
+        """(value, node, cell): sums of each value, ``None`` counts.  Cells are the bins of each allowed
+        wide column, then bin 0 of each other allowed column; columns ascend."""
+        wide, narrow = np.flatnonzero(allowed & self.is_wide), np.flatnonzero(allowed & ~self.is_wide)
+        out = np.empty((len(values), k, len(wide) * self.bins + len(narrow)))
+        of_wide = out[:, :, :len(wide) * self.bins].reshape(len(values), k, len(wide), self.bins)
+        of_narrow = out[:, :, len(wide) * self.bins:]
+        few = k * self.bins * self.bins <= max(len(rows), 4096)
+        for features, base, joint in self.joint[0 if few else 1]:
+            mine = allowed[features]
+            if not mine.any():
                 continue
-            cell = base + take(joint)
-            left = [np.bincount(cell, w, k * 256).reshape(k, 256) @ self.zero[:, column] for w in (a, b, None)]
-            c = [np.stack([v, np.broadcast_to(t[:, None], v.shape)], axis=2).reshape(-1, 2) for v, t in zip(left, (ta, tb, tn))]
-            _, best = _best_cuts(*c, spec)
-            score[:, slot[f]] = best.reshape(k, len(f))
-        return _chosen(where, score, np.broadcast_to(drawn, (k, len(drawn))), ta, tb, spec)
+            size = base ** len(features)
+            cell = slot * size
+            cell += joint if len(rows) == self.n else joint.take(rows)
+            if base == 2:
+                bits = np.arange(size)[:, None] >> np.arange(len(features))[::-1]
+                zero, to = 1.0 - (bits[:, mine] & 1), np.searchsorted(narrow, features[mine])
+            for v, w in enumerate(values):
+                h = np.bincount(cell, w, k * size)
+                if base == 2:
+                    of_narrow[v][:, to] = h.reshape(k, size) @ zero
+                elif len(features) == 1:
+                    of_wide[v, :, np.searchsorted(wide, features[0])] = h.reshape(k, size)
+                else:
+                    h = h.reshape(k, base, base)
+                    for j in np.flatnonzero(mine):
+                        of_wide[v, :, np.searchsorted(wide, features[j])] = h.sum(axis=2 - j)
+        return out
+
+
+def _on_grid(v: np.ndarray) -> np.ndarray:
+    """The values as multiples of one power of two, fine enough (2^-52 of their sum) to lose nothing that counts
+    and coarse enough that any sum or difference of sums is exact, in any order.  No value becomes 0."""
+    total = float(np.abs(v).sum())
+    if not 0 < total < math.inf:
+        return v
+    unit = 2.0 ** max(math.frexp(total)[1] - 52, -1000)
+    out = np.rint(v / unit)
+    return np.where((out == 0) & (v != 0), np.sign(v), out) * unit
+
+
+#: Cells of one level's histograms that are kept for the next.
+KEEP_CELLS = 4_000_000
+
+
+def grow_boosted(table: Columns, rows, a, b, spec: TreeSpec, tree: int, root: int = 1) -> tuple[Nodes, np.ndarray]:
+    """All nodes at and below ``root`` from its drawn rows (numbers of rows of the table), and the value of
+    the leaf that each row comes to.
+
+    Of two children only the smaller is read; the other is what is left of their parent's sums, which is
+    exact, as the sums are.  The sums of nodes come from their parent's cut."""
+    out, worth_of, place = [], np.zeros(len(rows)), np.arange(len(rows))
+    a, b = _on_grid(a), _on_grid(b)
+    counted = max(spec.min_leaf, 1) > 1 or not (b > 0).all()     # else a side has rows if it has hessians
+    drawn = columns(spec, tree, np.array([root]), table.p)[0]
+    allowed = np.zeros(table.p, bool)
+    allowed[drawn] = True
+    wide, narrow = np.flatnonzero(allowed & table.is_wide), np.flatnonzero(allowed & ~table.is_wide)
+    cells = len(wide) * table.bins + len(narrow)
+    frontier, at, depth = np.array([root], np.int64), np.zeros(len(rows), np.int64), int(root).bit_length() - 1
+    ta, tb, tn = a.sum(keepdims=True), b.sum(keepdims=True), np.array([len(rows)])
+    before = None                                               # the sums of the parents, in order
+    while len(frontier):
+        k = len(frontier)
+        chosen, cut = np.full(k, -1, np.int64), np.zeros(k, np.int64)
+        left = np.zeros((2, k))
+        leaf = final(ta, tb, tn, depth, spec)
+        here = None
+        if not leaf.all():
+            mine = np.flatnonzero(~leaf)
+            step = max(1, KEEP_CELLS // max(cells, 1))
+            if len(mine) <= step:
+                here = _level(table, rows, a, b, at, leaf, tn, before, allowed, counted, k)
+                found = [_cuts(table, here, wide, narrow, ta[mine], tb[mine], tn[mine], counted, spec)]
+            else:                                               # part by part; nothing is kept
+                number, found = np.cumsum(~leaf) - 1, []
+                for s in range(0, len(mine), step):
+                    some = mine[s:s + step]
+                    r = np.flatnonzero(~leaf[at] & (number[at] >= s) & (number[at] < s + step))
+                    h = table.sums(rows[r], [a[r], b[r]] + [None] * counted, number[at[r]] - s, len(some), allowed)
+                    found.append(_cuts(table, h, wide, narrow, ta[some], tb[some], tn[some], counted, spec))
+            chosen[mine], cut[mine], left[0, mine], left[1, mine] = (np.concatenate(c) for c in zip(*found))
+        value = leaf_value(ta, tb, spec)
+        out.append((frontier, chosen, cut, value, tn))
+        split = chosen >= 0
+        if not split.all():
+            goes = split.take(at)
+            ends, keep = np.flatnonzero(~goes), np.flatnonzero(goes)
+            worth_of[place.take(ends)] = value.take(at.take(ends))
+            place, rows, a, b, at = (v.take(keep) for v in (place, rows, a, b, at))
+        if here is not None:
+            before = here[:, split[~leaf]]
+        else:
+            before = None
+        right = table.flat.take(rows * table.p + chosen.take(at)) > cut.take(at)
+        at = (2 * np.cumsum(split) - 2).take(at) + right
+        frontier = np.stack([2 * frontier[split], 2 * frontier[split] + 1], axis=1).ravel()
+        ta, tb = (np.stack([v[split], t[split] - v[split]], axis=1).ravel() for v, t in zip(left, (ta, tb)))
+        tn = np.bincount(at, minlength=len(frontier))
+        depth += 1
+    return Nodes(*(np.concatenate(c) for c in zip(*out))), worth_of
+
+
+def _level(table: Columns, rows, a, b, at, leaf, tn, before, allowed, counted: bool, k: int) -> np.ndarray:
+    """The sums of the nodes of a level that are no leaves; ``before`` has those of their parents."""
+    if before is None:
+        number = np.cumsum(~leaf) - 1
+        r = np.flatnonzero(~leaf[at]) if leaf.any() else slice(None)
+        return table.sums(rows[r], [a[r], b[r]] + [None] * counted, number[at[r]], k - int(leaf.sum()), allowed)
+    pairs = ~(leaf[::2] & leaf[1::2])
+    number = np.cumsum(pairs) - 1
+    is_right = tn[1::2] < tn[::2]                               # the smaller child
+    lesser = np.zeros(k, bool)
+    lesser[2 * np.flatnonzero(pairs) + is_right[pairs]] = True
+    r = np.flatnonzero(lesser.take(at))
+    small = table.sums(rows.take(r), [a.take(r), b.take(r)] + [None] * counted, number.take(at.take(r) >> 1), int(pairs.sum()), allowed)
+    both = np.empty((len(small), small.shape[1], 2, small.shape[2]))
+    where, side = np.arange(small.shape[1]), is_right[pairs].astype(np.int64)
+    both[:, where, side] = small
+    both[:, where, 1 - side] = before[:, pairs] - small
+    return both.reshape(len(small), -1, small.shape[2])[:, ~leaf[np.repeat(pairs, 2)]]
+
+
+def _cuts(table: Columns, h, wide, narrow, ta, tb, tn, counted: bool, spec: TreeSpec):
+    """Of each node: feature (-1 if none), bin and both sums left of its best cut."""
+    k, edge = len(ta), len(wide) * table.bins
+    least = max(spec.min_leaf, 1)
+    kinds = []
+    if len(wide):
+        kinds.append((wide, np.cumsum(h[:, :, :edge].reshape(len(h), k, len(wide), table.bins), axis=3)[..., :-1]))
+    if len(narrow):
+        kinds.append((narrow, h[:, :, edge:, None]))
+    features = np.concatenate([wide, narrow])
+    order = np.argsort(features, kind="stable")
+    score, where, la, lb = (np.empty((k, len(features))) for _ in range(4))
+    start = 0
+    for f, s in kinds:
+        a, b = s[0], s[1]
+        ra, rb = ta[:, None, None] - a, tb[:, None, None] - b
+        if counted:
+            ok = (s[2] >= least) & (tn[:, None, None] - s[2] >= least)
+        else:
+            ok = (b > 0) & (rb > 0)
+        if spec.min_hessian > 0:
+            ok &= (b >= spec.min_hessian) & (rb >= spec.min_hessian)
+        of = np.where(ok, goodness(a, b, spec) + goodness(ra, rb, spec), -np.inf)
+        best = of.argmax(axis=2)[:, :, None]
+        part = slice(start, start + len(f))
+        where[:, part] = best[:, :, 0]
+        for target, v in ((score, of), (la, a), (lb, b)):
+            target[:, part] = np.take_along_axis(v, best, 2)[:, :, 0]
+        start += len(f)
+    score = score[:, order]
+    node, top = np.arange(k), score.argmax(axis=1)
+    good = worth(score[node, top], ta, tb, spec) > -np.inf
+    top = order[top]
+    return (np.where(good, features[top], -1), np.where(good, where[node, top], 0).astype(np.int64),
+            la[node, top], lb[node, top])
 
 
 class Packed:

@@ -216,6 +216,46 @@ def test_one_weight_a_class_gives_the_same_tree(monkeypatch):
     assert len(fast.node) > 200 and all((getattr(fast, c) == getattr(slow, c)).all() for c in ("node", "feature", "bin", "value", "n"))
 
 
+@pytest.mark.parametrize("min_leaf,zero", [(1, False), (3, False), (1, True)])
+def test_boosting_reads_the_smaller_child_only(monkeypatch, min_leaf, zero):
+    """Sums left over from the parent's are those of reading every node, to the last bit; rows get their leaf's value."""
+    x, y, _ = table(4000, 14, 5)
+    x[:, 4:] %= 2
+    q = np.random.default_rng(2).uniform(0.05, 0.95, len(y))
+    g, h = q - y, q * (1 - q) * ~(zero & (np.arange(len(y)) % 7 == 0))
+    spec = T.TreeSpec("boost", 1, 8, 2, min_leaf, tree_columns=0.8, l2=1.0)
+    rows = np.flatnonzero(np.arange(len(y)) % 5)
+    read, sums = [], T.Columns.sums
+    monkeypatch.setattr(T.Columns, "sums", lambda self, rows, *a: read.append(len(rows)) or sums(self, rows, *a))
+    fast, value = T.grow_boosted(T.Columns(x), rows, g[rows], h[rows], spec, 2)
+    levels = len(read)
+    assert levels > 5 and all(n <= len(rows) / 2 for n in read[1:])
+    level = T._level
+    monkeypatch.setattr(T, "_level", lambda *a: level(*a[:7], None, *a[8:]))
+    slow = T.grow_boosted(T.Columns(x), rows, g[rows], h[rows], spec, 2)[0]
+    monkeypatch.setattr(T, "KEEP_CELLS", 300)                      # nodes part by part
+    parts = T.grow_boosted(T.Columns(x), rows, g[rows], h[rows], spec, 2)[0]
+    for other in (slow, parts):
+        assert len(fast.node) > 100 and all((getattr(fast, c) == getattr(other, c)).all() for c in ("node", "feature", "bin", "value", "n"))
+    packed = T.Packed(np.zeros(len(fast.node), int), fast.node, fast.feature, fast.bin, fast.value)
+    assert (packed.sums(x[rows]) == value).all()
+
+
+def test_a_small_table_goes_to_each_task_once(spark, rows):
+    """Not its drawn rows once a tree."""
+    blocks, deal = [], type(rows).repartitionById
+    try:
+        type(rows).repartitionById = lambda self, n, c: blocks.append((self, n)) or deal(self, n, c)
+        models = E.fit(rows, features(rows), [E.Member("f", T.TreeSpec("forest", 300, 4)), E.Member("b", BOOST)], F.col("row_id"))
+    finally:
+        type(rows).repartitionById = deal
+    (dealt, tasks), = blocks
+    assert tasks == 4 * spark.sparkContext.defaultParallelism + 1
+    sent = dealt.select(F.sum(F.length("row") / 8).alias("n"), F.count_distinct("deal").alias("deals")).first()
+    assert sent["deals"] == tasks and sent["n"] == 900 * tasks
+    assert models["f"].nodes(spark).select("tree").distinct().count() == 300
+
+
 def test_scores_are_those_of_a_walk():
     x, y, w = table(400, 6, 9)
     values = x * 1.5
