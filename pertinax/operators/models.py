@@ -193,6 +193,14 @@ def member_pipeline(spec: ModelSpec, features: list[str], label: str = "label",
                     + [classifier(spec, label, f"{prefix}features", weight, prefix)])
 
 
+def fit_members(specs: dict[str, ModelSpec], train: DataFrame, features: list[str], label: str = "label",
+                weight: str | None = None, categorical: list[str] | None = None, binary: list[str] | None = None) -> list[tuple]:
+    """Forest and boosted members of a vote, by prefix, trained together on one binned table."""
+    members = [ensembles.Member(prefix, tree_spec(s), bool(s.weighted and weight)) for prefix, s in specs.items()]
+    fitted = ensembles.fit(train, feature_set(train, features, categorical, binary), members, row_key(train), label, weight)
+    return [(prefix, _prefixed(fitted[prefix], prefix)) for prefix in specs]
+
+
 def soft_vote(members: list[tuple], df: DataFrame) -> DataFrame:
     """L4: mean of the members' class probabilities, argmax (tie -> class 0).
 

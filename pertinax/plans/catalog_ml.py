@@ -91,6 +91,7 @@ def _checked(model_out, prefix=""):
 
 
 def _checks(rows):
+    rows = written(rows, "scored")       # two readers, scored once
     p0, p1 = F.col("p0"), F.col("p1")
     beats = rows.select(F.avg((F.col("prediction") == F.col("label")).cast("double"))
                         > F.greatest(F.avg("label"), 1 - F.avg("label"))).scalar()
@@ -260,9 +261,8 @@ def l3_train_boosted(spark, sf_dir, sizes=FULL):
 @register("l4_soft_vote", oracle=CHECKED)
 def l4_soft_vote(spark, sf_dir, sizes=FULL):
     train, test = _split(spark, sf_dir)
-    members = [("rf_", _fit(train, "forest", prefix="rf_", sizes=sizes)),
-               ("gb_", _fit(train, "gbt", prefix="gb_", sizes=sizes))]
-    v = L.soft_vote(members, test)
+    specs = {prefix: L.ModelSpec(kind, KIND[kind], sizes[kind]) for prefix, kind in (("rf_", "forest"), ("gb_", "gbt"))}
+    v = L.soft_vote(L.fit_members(specs, train, NUMERIC, categorical=CATEGORICAL, binary=BINARY), test)
     mean = (vector_to_array("rf_probability")[1] + vector_to_array("gb_probability")[1]) / 2
     return _checks(v.select(schema.ROW_ID, "label", "prediction", (1 - F.col("p_pert")).alias("p0"),
                             mean.alias("p1")))

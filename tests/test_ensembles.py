@@ -256,6 +256,14 @@ def test_a_small_table_goes_to_each_task_once(spark, rows):
     assert models["f"].nodes(spark).select("tree").distinct().count() == 300
 
 
+def test_members_of_a_vote_are_those_fitted_alone(spark, rows):
+    from pertinax.operators import models as L
+    specs = {"a_": L.ModelSpec("f", "forest", dict(numTrees=9, maxDepth=5)), "b_": L.ModelSpec("g", "boost", dict(maxIter=5, maxDepth=3))}
+    for (prefix, model), spec in zip(L.fit_members(specs, rows, ["x1", "x2", "noise"], binary=["flag"], categorical=["kind"]), specs.values()):
+        alone = L.member_pipeline(spec, ["x1", "x2", "noise"], prefix=prefix, binary=["flag"], categorical=["kind"]).fit(rows)
+        assert model.prefix == prefix and nodes(model, spark) == nodes(alone, spark)
+
+
 def test_scores_are_those_of_a_walk():
     x, y, w = table(400, 6, 9)
     values = x * 1.5
