@@ -373,14 +373,14 @@ def l8_train_end_to_end(spark, sf_dir, sizes=FULL):
     and re-score the test side with the reloaded model."""
     train, test = _split(spark, sf_dir)
     model = _fit(train, sizes=sizes)
-    acc = L.evaluate_train_test(model, train, test)
+    acc = written(L.evaluate_train_test(model, train, test), "evaluation")     # read three times, scored once
     path = _run_dir(spark, "model")
     before = acc.where(F.col("set") == "test").first()["accuracy"]
     meta = {"features": NUMERIC + BINARY, "categorical": CATEGORICAL,
             "int_to_label": schema.INT_TO_LABEL, "params": sizes["forest"], "accuracy_test": before}
     model_store.save_model(spark, model, path, meta)
     reloaded, kept = model_store.load_model(spark, path)
-    again = L.evaluate(reloaded, test).withColumn("set", F.lit("reloaded_test"))
+    again = written(L.evaluate(reloaded, test), "reloaded").withColumn("set", F.lit("reloaded_test"))
     every = acc.unionByName(again).withColumn("same", (F.col("set") != "reloaded_test")
                                               | (F.col("accuracy") == F.lit(kept["accuracy_test"])))
     return _evaluation_ok(every).join(every.select("set", F.col("same").alias("same_after_reload")), "set")

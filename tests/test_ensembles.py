@@ -299,3 +299,12 @@ def test_extract_of_one_file_is_prepared_and_scored_by_many_tasks(spark, tmp_pat
                                  "id * 37 % 80 + 0.5D AS value", "'' AS props").coalesce(1).write.parquet(f"file:{tmp_path}/events.parquet")
     tasks = training_frame(spark, f"file:{tmp_path}").select("label", F.spark_partition_id().alias("t")).distinct()
     assert tasks.select("t").distinct().count() >= spark.sparkContext.defaultParallelism
+
+
+def test_end_to_end_scores_each_set_once(spark, tmp_path):
+    from pertinax.plans.catalog_ml import l8_train_end_to_end
+    spark.range(2000).selectExpr("id AS event_id", "timestamp'2024-01-01' AS ts", "id % 50 AS user_id", "'view' AS event_type",
+                                 "id * 37 % 80 + 0.5D AS value", "'' AS props").write.parquet(f"file:{tmp_path}/events.parquet")
+    out = l8_train_end_to_end(spark, f"file:{tmp_path}", {"forest": dict(numTrees=4, maxDepth=3, minInstancesPerNode=2, minSamplesSplit=5)})
+    assert "EvalPython" not in out._jdf.queryExecution().executedPlan().toString()      # what is left reads scores
+    assert sorted(r["set"] for r in out.where("counts_ok AND accuracy_ok AND same_after_reload").collect()) == ["reloaded_test", "test", "train"]
