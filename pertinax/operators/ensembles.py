@@ -431,7 +431,7 @@ class Rows:
             list(zip(*parts))[1:], (np.int64, np.float64, np.float64, np.int32, np.uint8)))
         order = np.argsort(row, kind="stable")
         self.row, self.y, self.w, self.fold = (v[order] for v in (row, self.y, self.w, self.fold))
-        self.x, self.filled = x.reshape(-1, work.p)[order], {}
+        self.x, self.filled, self.bits = x.reshape(-1, work.p)[order], {}, {}
 
     def fill(self, m: int) -> np.ndarray:
         """The bins as a member sees them."""
@@ -450,7 +450,11 @@ class Rows:
         take = np.flatnonzero(d)
         d = d[take] * (self.w[take] if member.weighted else 1.0)
         y = self.y[take]
-        return self.work.node_batch(tree, T.grow(self.fill(m)[take], d * (y == 0), d * (y == 1), member.spec, number))
+        x = self.fill(m)
+        key = self.work.fills[m].tobytes()
+        if key not in self.bits:
+            self.bits[key] = T.Bits(x)
+        return self.work.node_batch(tree, T.grow(x, d * (y == 0), d * (y == 1), member.spec, number, rows=take, bits=self.bits[key]))
 
     def rounds(self, m: int, first: int):
         """All rounds of a boosted member."""

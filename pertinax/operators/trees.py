@@ -165,16 +165,120 @@ class Nodes:
     n: np.ndarray
 
 
+#: Drawn rows from which on a node of a forest is read by itself.
+NODE_ROWS = 768
+#: Cells that columns of one node may be read as jointly.
+JOINT_CELLS = 4096
+
+
+class Bits:
+    """Columns of one table side by side in 64-bit words: a node's columns are read from its rows' words by
+    shifts, which is sequential."""
+
+    def __init__(self, x: np.ndarray, bins: int = MAX_BINS):
+        p = x.shape[1]
+        self.wide = x.max(axis=0, initial=0) > 1       # the other columns have two bins and one cut
+        self.bits = np.where(self.wide, max((bins - 1).bit_length(), 1), 1).tolist()
+        self.word, self.shift, used = [0] * p, [0] * p, [0]
+        for c in range(p):
+            if used[-1] + self.bits[c] > 63:
+                used.append(0)
+            self.word[c], self.shift[c] = len(used) - 1, used[-1]
+            used[-1] += self.bits[c]
+        self.words = [np.zeros(len(x), np.uint64) for _ in used]
+        for s in range(0, len(x), 65_536):
+            for c in range(p):
+                self.words[self.word[c]][s:s + 65_536] |= x[s:s + 65_536, c].astype(np.uint64) << np.uint64(self.shift[c])
+
+    def of(self, words: list, c: int) -> np.ndarray:
+        """A column's bins."""
+        return words[self.word[c]] >> np.uint64(self.shift[c]) & np.uint64((1 << self.bits[c]) - 1)
+
+    def sums(self, words: list, values: np.ndarray, drawn: list, out: np.ndarray) -> None:
+        """(column, bin) sums of the values; columns are read jointly while their cells are few."""
+        most, j = min(JOINT_CELLS, max(len(values) // 4, 32)), 0
+        while j < len(drawn):
+            cell, of = self.of(words, drawn[j]), j
+            size = self.bits[drawn[j]]
+            j += 1
+            while j < len(drawn) and 1 << (size + self.bits[drawn[j]]) <= most:
+                cell <<= np.uint64(self.bits[drawn[j]])
+                cell |= self.of(words, drawn[j])
+                size += self.bits[drawn[j]]
+                j += 1
+            h = np.bincount(cell.view(np.int64), values, 1 << size)
+            left = size
+            for i in range(of, j):
+                width = 1 << self.bits[drawn[i]]
+                left -= self.bits[drawn[i]]
+                out[i, :width] = h if j - of == 1 else h.reshape(-1, width, 1 << left).sum(axis=(0, 2))
+
+
+def _big_nodes(bits: Bits, rows, place, units, step: int, spec: TreeSpec, tree: int, root: int, bins: int):
+    """Splits every node of more than NODE_ROWS drawn rows.  Returns these nodes (and leaves among them) by
+    level, and the smaller nodes below them with the places of their rows.  ``step`` rows have sums that fit."""
+    packed, unit_a, unit_b = units
+    low = (1 << SUM_BITS) - 1
+    big, small, out = [(root, place, [w.take(rows) for w in bits.words], packed)], [], []
+    depth, p = int(root).bit_length() - 1, len(bits.bits)
+    while big:
+        nodes = np.array([b[0] for b in big], np.int64)
+        drawn = columns(spec, tree, nodes, p)
+        first = np.cumsum([0] + [-(-len(b[1]) // step) for b in big])
+        h = np.zeros((first[-1], drawn.shape[1], max(bins, 2)))
+        for k, (_, _, words, v) in enumerate(big):
+            cols = drawn[k].tolist()
+            for c, s in enumerate(range(0, len(v), step)):
+                part = slice(s, s + step)
+                bits.sums([w[part] for w in words], v[part], cols, h[first[k] + c])
+        h = h.astype(np.int64)
+        a, b, n = (np.add.reduceat(v, first[:-1], axis=0) for v in (h & low, h >> SUM_BITS & low, h >> 2 * SUM_BITS))
+        ta, tb, tn = a[:, 0].sum(axis=1) * unit_a, b[:, 0].sum(axis=1) * unit_b, n[:, 0].sum(axis=1)
+        k, m = drawn.shape
+        a, b, n = (np.cumsum(v.reshape(k * m, -1), axis=1) for v in (a, b, n))
+        where, score = _best_cuts(a * unit_a, b * unit_b, n, spec)
+        chosen, cut, _ = _chosen(where.reshape(k, m), score.reshape(k, m), drawn, ta, tb, spec)
+        stop = final(ta, tb, tn, depth, spec)
+        chosen, cut = np.where(stop, -1, chosen), np.where(stop, 0, cut)
+        out.append((nodes, chosen, cut, leaf_value(ta, tb, spec), tn))
+        below = []
+        for (node, at, words, v), c, edge in zip(big, chosen.tolist(), cut.tolist()):
+            if c < 0:
+                continue
+            right = bits.of(words, c) > np.uint64(edge)
+            for child, mine in ((2 * node, np.flatnonzero(~right)), (2 * node + 1, np.flatnonzero(right))):
+                if len(mine) > NODE_ROWS:
+                    below.append((child, at.take(mine), [w.take(mine) for w in words], v.take(mine)))
+                else:
+                    small.append((child, at.take(mine)))
+        big, depth = below, depth + 1
+    return out, small
+
+
 def grow(x: np.ndarray, a: np.ndarray, b: np.ndarray, spec: TreeSpec, tree: int, root: int = 1,
-         bins: int = MAX_BINS) -> Nodes:
-    """All nodes at and below ``root``, level by level, from its drawn rows."""
+         bins: int = MAX_BINS, rows: np.ndarray | None = None, bits: Bits | None = None) -> Nodes:
+    """All nodes at and below ``root`` from its drawn rows: those of ``x``, or the given ones.
+
+    A large node of a forest is read by itself; the small ones grow together, level by level."""
+    rows = np.arange(len(a)) if rows is None else rows
     if spec.kind == "boost" and not spec.node_columns:
-        return grow_boosted(Columns(x, bins), np.arange(len(a)), a, b, spec, tree, root)[0]
+        return grow_boosted(Columns(x, bins), rows, a, b, spec, tree, root)[0]
     out, p = [], x.shape[1]
-    frontier, at, depth = np.array([root], np.int64), np.zeros(len(a), np.int64), int(root).bit_length() - 1
-    wide = x.max(axis=0, initial=0) > 1            # the other columns have two bins and one cut
-    rows, flat = np.arange(len(a)), x.ravel()
+    frontier, at = np.array([root], np.int64), np.zeros(len(a), np.int64)
+    flat = x.ravel()
     units = _units(a, b) if spec.kind == "forest" else None
+    most = 0 if units is None else int(max(a.max(initial=0) / units[1], b.max(initial=0) / units[2], 1) + 0.5)
+    if 0 < most <= 32 and len(a) > NODE_ROWS:      # else a few rows would overflow one sum
+        bits = bits or Bits(x, bins)
+        place = np.arange(len(a))
+        out, small = _big_nodes(bits, rows, place, units, ((1 << SUM_BITS) - 1) // most, spec, tree, root, bins)
+        small.sort(key=lambda s: s[0])
+        frontier = np.array([s[0] for s in small], np.int64)
+        at = np.repeat(np.arange(len(small)), [len(s[1]) for s in small])
+        take = np.concatenate([s[1] for s in small]) if small else place[:0]
+        rows, a, b, units = rows.take(take), a.take(take), b.take(take), (units[0].take(take), *units[1:])
+    wide = bits.wide if bits is not None else x.max(axis=0, initial=0) > 1
+    depth = np.array([int(n).bit_length() - 1 for n in frontier])
     while len(frontier):
         k = len(frontier)
         ta, tb = np.bincount(at, a, k), np.bincount(at, b, k)
@@ -185,6 +289,7 @@ def grow(x: np.ndarray, a: np.ndarray, b: np.ndarray, spec: TreeSpec, tree: int,
             if leaf.any():
                 open_rows = np.flatnonzero((~leaf).take(at))
                 rows, a, b, at = (v.take(open_rows) for v in (rows, a, b, at))
+                units = units and (units[0].take(open_rows), *units[1:])
             mine, number = np.flatnonzero(~leaf), np.cumsum(~leaf) - 1
             drawn = columns(spec, tree, frontier[mine], p)
             chosen[mine], cut[mine], best[mine] = _split(flat, p, rows, a, b, number[at], drawn, ta[mine], tb[mine], tn[mine],
@@ -194,12 +299,15 @@ def grow(x: np.ndarray, a: np.ndarray, b: np.ndarray, spec: TreeSpec, tree: int,
         if not split.all():
             keep = np.flatnonzero(split.take(at))
             rows, a, b, at = (v.take(keep) for v in (rows, a, b, at))
+            units = units and (units[0].take(keep), *units[1:])
         right = flat.take(rows * p + chosen.take(at)) > cut.take(at)
         number = 2 * np.cumsum(split) - 2
         at = number.take(at) + right
         frontier = np.stack([2 * frontier[split], 2 * frontier[split] + 1], axis=1).ravel()
-        depth += 1
-    return Nodes(*(np.concatenate(c) for c in zip(*out)))
+        depth = np.repeat(depth[split] + 1, 2)
+    out = [np.concatenate(c) for c in zip(*out)]
+    order = np.argsort(out[0], kind="stable")
+    return Nodes(*(c[order] for c in out))
 
 
 def _units(a, b):
@@ -230,7 +338,7 @@ def _split(flat, p: int, rows, a, b, at, drawn, ta, tb, tn, spec: TreeSpec, bins
         np.take(first, at, out=cell[j], mode="clip")
         cell[j] += flat.take(base + column.take(at))
     once = units is not None and max(ta.max() / units[1], tb.max() / units[2], tn.max()) < 2 ** SUM_BITS - 1
-    values = [units[0].take(rows)] if once else [a, b, None]
+    values = [units[0]] if once else [a, b, None]
     if size <= 2 * len(rows):
         sums = [sum(np.bincount(c, w, size) for c in cell) for w in values]
     else:

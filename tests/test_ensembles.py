@@ -216,6 +216,46 @@ def test_one_weight_a_class_gives_the_same_tree(monkeypatch):
     assert len(fast.node) > 200 and all((getattr(fast, c) == getattr(slow, c)).all() for c in ("node", "feature", "bin", "value", "n"))
 
 
+@pytest.mark.parametrize("p,unit,most", [(12, 1.0, 9), (12, 1.25, 9), (70, 1.0, 32), (3, 1.0, 40)])
+def test_large_nodes_of_a_forest_are_read_by_themselves(monkeypatch, p, unit, most):
+    """They give the nodes that growing level by level gives; only small nodes are left to it."""
+    rng = np.random.default_rng(p)
+    x = rng.integers(0, 32, (9000, p)).astype(np.uint8)
+    x[:, 2:p // 2] %= 2
+    y = (x[:, 0] > 11) ^ (rng.random(9000) < 0.2)
+    rows = np.flatnonzero(np.arange(9000) % 4)
+    d = rng.integers(1, 4, len(rows)).astype(float)
+    d[0] = most
+    a, b, spec = unit * d * ~y[rows], d * y[rows], T.TreeSpec(depth=14, min_leaf=3)
+    sizes, split = [], T._split
+    monkeypatch.setattr(T, "_split", lambda *args: sizes.append(args[9].max()) or split(*args))
+    fast = T.grow(x, a, b, spec, 3, rows=rows, bits=T.Bits(x))
+    alone = T.grow(x[rows], a, b, spec, 3)
+    assert max(sizes) <= T.NODE_ROWS or most > 32          # a row that counts so often leaves no room in the sums
+    monkeypatch.setattr(T, "NODE_ROWS", len(rows))
+    slow = T.grow(x[rows], a, b, spec, 3)
+    assert len(slow.node) > 200
+    for one in (fast, alone):
+        assert all((getattr(one, c) == getattr(slow, c)).all() for c in ("node", "feature", "bin", "n"))
+        assert np.allclose(one.value, slow.value, rtol=1e-12)
+
+
+def test_large_nodes_are_read_in_parts_that_sums_can_hold(monkeypatch):
+    x, y, _ = table(6000, 6, 8)
+    x[:, 3:] %= 2
+    whole = T.grow(x, 1.0 * (y == 0), 1.0 * (y == 1), T.TreeSpec(depth=6), 1)
+    add, parts = T.Bits.sums, []
+
+    def small(bits, rows, place, units, step, *rest):
+        return big(bits, rows, place, units, 500, *rest)
+
+    big = T._big_nodes
+    monkeypatch.setattr(T, "_big_nodes", small)
+    monkeypatch.setattr(T.Bits, "sums", lambda self, words, values, *r: parts.append(len(values)) or add(self, words, values, *r))
+    again = T.grow(x, 1.0 * (y == 0), 1.0 * (y == 1), T.TreeSpec(depth=6), 1)
+    assert max(parts) == 500 and all((getattr(whole, c) == getattr(again, c)).all() for c in ("node", "feature", "bin", "value", "n"))
+
+
 @pytest.mark.parametrize("min_leaf,zero", [(1, False), (3, False), (1, True)])
 def test_boosting_reads_the_smaller_child_only(monkeypatch, min_leaf, zero):
     """Sums left over from the parent's are those of reading every node, to the last bit; rows get their leaf's value."""
