@@ -323,6 +323,7 @@ def search(specs: list[ModelSpec], train: DataFrame, test: DataFrame, external:
             if name not in fitted:
                 fitted[name] = member_pipeline(m, features, label, weight, "", categorical, binary).fit(tr)
     prefix = {name: f"m{i}_" for i, name in enumerate(single)}
+    fitted = {name: _prefixed(model, prefix[name]) for name, model in fitted.items()}    # each is read once for both sets
     sets = [_accuracies(parts, fitted, prefix, d, label).first().asDict() for d in (test, external)]
     results = [(spec.name, spec.kind, sets[0]["n"], float(sets[0][f"a{i}"] or 0.0), sets[1]["n"], float(sets[1][f"a{i}"] or 0.0))
                for i, spec in enumerate(specs)]
@@ -330,7 +331,7 @@ def search(specs: list[ModelSpec], train: DataFrame, test: DataFrame, external:
         results, "name string, kind string, test_n long, test_accuracy double, external_n long, external_accuracy double")
     board = leaderboard(res, "external_accuracy", "name", gap_of=("external_accuracy", "test_accuracy"))
     best = min(results, key=lambda r: (-r[5], r[0]))[0] if results else None
-    return board, [(prefix[n], _prefixed(fitted[n], prefix[n])) for n in parts[best]] if best else None
+    return board, [(prefix[n], fitted[n]) for n in parts[best]] if best else None
 
 
 def _prefixed(model, prefix: str):
@@ -355,10 +356,10 @@ class _Renamed:
 
 
 def _accuracies(parts: dict[str, list[str]], fitted: dict, prefix: dict[str, str], df: DataFrame, label: str) -> DataFrame:
-    """One row: ``n`` and the accuracy of every configuration, in order."""
+    """One row: ``n`` and the accuracy of every configuration, in order; models write under their prefix."""
     out, p = df, {}
     for name, model in fitted.items():
-        out = _prefixed(model, prefix[name]).transform(out)
+        out = model.transform(out)
         p[name] = vector_to_array(F.col(f"{prefix[name]}probability"))[1]
     hits = [(vote([p[m] for m in names])[1] == F.col(label)).cast("double") for names in parts.values()]
     names = {name: f"a{i}" for i, name in enumerate(parts)}

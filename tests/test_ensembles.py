@@ -256,6 +256,19 @@ def test_large_nodes_are_read_in_parts_that_sums_can_hold(monkeypatch):
     assert max(parts) == 500 and all((getattr(whole, c) == getattr(again, c)).all() for c in ("node", "feature", "bin", "value", "n"))
 
 
+def test_search_reads_each_model_once(spark, rows, monkeypatch):
+    """Both sets are scored by the models as sent the first time."""
+    from pertinax.operators import models as L
+    read, nodes = [], E.Ensemble.nodes
+    monkeypatch.setattr(E.Ensemble, "nodes", lambda self, spark: read.append(self.prefix) or nodes(self, spark))
+    specs = [L.ModelSpec("f", "forest", dict(numTrees=5, maxDepth=4)), L.ModelSpec("g", "boost", dict(maxIter=3, maxDepth=3)),
+             L.ModelSpec("v", "vote", members=["f", "g"])]
+    part = F.col("row_id") % 3
+    board, best = L.search(specs, rows.where(part == 0), rows.where(part == 1), rows.where(part == 2), ["x1", "x2", "noise"],
+                           binary=["flag"], categorical=["kind"])
+    assert board.count() == 3 and best and sorted(read) == ["m0_", "m1_"]
+
+
 @pytest.mark.parametrize("min_leaf,zero", [(1, False), (3, False), (1, True)])
 def test_boosting_reads_the_smaller_child_only(monkeypatch, min_leaf, zero):
     """Sums left over from the parent's are those of reading every node, to the last bit; rows get their leaf's value."""
