@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
@@ -42,6 +43,8 @@ LOCAL_ROWS = 524_288
 GROUP_ROWS = 48_000_000
 #: Nodes whose histograms one job adds up (up to 25 kB each in a task).
 JOB_NODES = 1_024
+#: Groups of a model that are packed for scoring at a time.
+READERS = 4
 #: Rounds of boosting between two rewritings of the margins.
 REWRITE = 20
 
@@ -588,14 +591,17 @@ class Ensemble:
         return table.where(F.col("tree").between(self.first, self.first + self.count - 1))
 
     def sent(self, spark: SparkSession) -> list:
-        """The node table as broadcasts, read group by group."""
+        """The node table as broadcasts, read group by group, a few groups at a time."""
         if self._sent is None:
             nodes = self.nodes(spark).withColumn("group", F.col("group").cast("string"))
             groups = sorted(r[0] for r in nodes.select("group").distinct().collect())
-            self._sent = []
-            for g in groups:
+
+            def pack(g: str):
                 part = nodes.where(F.col("group") == g).select("tree", "node", "feature", "bound", "value").toArrow()
-                self._sent.append(spark.sparkContext.broadcast(T.Packed(*(part.column(i).to_numpy() for i in range(5)))))
+                return spark.sparkContext.broadcast(T.Packed(*(part.column(i).to_numpy() for i in range(5))))
+
+            with ThreadPoolExecutor(READERS) as pool:
+                self._sent = list(pool.map(pack, groups))
         return self._sent
 
     def score(self, spark: SparkSession, x: Column) -> Column:

@@ -256,6 +256,21 @@ def test_large_nodes_are_read_in_parts_that_sums_can_hold(monkeypatch):
     assert max(parts) == 500 and all((getattr(whole, c) == getattr(again, c)).all() for c in ("node", "feature", "bin", "value", "n"))
 
 
+def test_groups_of_a_model_are_packed_side_by_side(spark, rows, monkeypatch):
+    """For scoring; in order, and as one by one."""
+    import threading
+    monkeypatch.setattr(E, "GROUP_ROWS", 900 * 5)
+    model = E.fit(rows, features(rows), [E.Member("f", T.TreeSpec("forest", 10, 4))], F.col("row_id"))["f"]
+    both, packed = threading.Barrier(2, timeout=30), T.Packed
+    monkeypatch.setattr(T, "Packed", lambda *columns: both.wait() < 2 and packed(*columns))
+    sent = [s.value for s in model.sent(spark)]
+    monkeypatch.setattr(T, "Packed", packed)
+    monkeypatch.setattr(E, "READERS", 1)
+    model._sent = None
+    for one, other in zip(sent, [s.value for s in model.sent(spark)], strict=True):
+        assert len(one.root) == 5 and (one.step == other.step).all() and (one.value == other.value).all()
+
+
 def test_search_reads_each_model_once(spark, rows, monkeypatch):
     """Both sets are scored by the models as sent the first time."""
     from pertinax.operators import models as L
