@@ -261,10 +261,10 @@ def test_groups_of_a_model_are_packed_side_by_side(spark, rows, monkeypatch):
     import threading
     monkeypatch.setattr(E, "GROUP_ROWS", 900 * 5)
     model = E.fit(rows, features(rows), [E.Member("f", T.TreeSpec("forest", 10, 4))], F.col("row_id"))["f"]
-    both, packed = threading.Barrier(2, timeout=30), T.Packed
-    monkeypatch.setattr(T, "Packed", lambda *columns: both.wait() < 2 and packed(*columns))
+    both, pack = threading.Barrier(2, timeout=30), T.Packed.__init__
+    monkeypatch.setattr(T.Packed, "__init__", lambda self, *columns: both.wait() < 2 and pack(self, *columns))
     sent = [s.value for s in model.sent(spark)]
-    monkeypatch.setattr(T, "Packed", packed)
+    monkeypatch.setattr(T.Packed, "__init__", pack)
     monkeypatch.setattr(E, "READERS", 1)
     model._sent = None
     for one, other in zip(sent, [s.value for s in model.sent(spark)], strict=True):
