@@ -135,9 +135,11 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, short: int = SHORT) ->
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     entries = distinct.repartition(parts, "fp").select("fp", F.posexplode(F.array(*[fp.bitwiseAND(F.lit(m)) for m in MASKS]))
                               .alias("positions", "bytes"))
+    # joined by shuffle whatever the estimate: Spark sizes entries as the narrow rows they are made of, and would
+    # send tens of millions of them through the driver
     sizes = (entries.groupBy("positions", "bytes").agg(F.count(F.lit(1)).alias("size"))
              .where("size > 1"))
-    listed = written(entries.join(sizes, ["positions", "bytes"]), "posting-lists")
+    listed = written(entries.join(sizes.hint("merge"), ["positions", "bytes"]), "posting-lists")
 
     members = (listed.where(F.col("size") <= short).groupBy("positions", "bytes")
                .agg(F.collect_list("fp").alias("members")).select("members"))
@@ -168,7 +170,7 @@ def _crowd_links(crowd: DataFrame, max_bits: int) -> DataFrame:
               .agg(F.min(F.when(F.col("nearer"), F.col("fp"))).alias("first"),
                    F.min("fp").alias("least"), F.max("fp").alias("most"))
               .where(F.col("first").isNotNull() & (F.col("least") != F.col("most"))))
-    near = named.join(points.select("point", "first"), "point").where(F.col("fp") != F.col("first"))
+    near = named.join(points.select("point", "first").hint("merge"), "point").where(F.col("fp") != F.col("first"))
     return near.select(F.col("first").alias("a"), F.col("fp").alias("b")).distinct()
 
 
@@ -185,7 +187,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     linked = marked.where(F.col("component").isNotNull())
     named = linked.groupBy("component").agg(F.min("first_id").alias("component_id")).select(
         "component", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    classes = linked.select("fp", "component", salt.alias("salt")).join(named, ["component", "salt"]).select(
+    classes = linked.select("fp", "component", salt.alias("salt")).join(named.hint("merge"), ["component", "salt"]).select(
         "fp", "component", "component_id").unionAll(
         marked.where(F.col("component").isNull()).select("fp", F.col("fp").alias("component"), F.col("first_id").alias("component_id")))
     return prints.join(classes, "fp").select(

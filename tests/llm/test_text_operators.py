@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pertinax.llm import bpe, byte_cnn, components, hd_langid, pii, simhash, token_store
 from pertinax.llm.catalog import TOKENIZER
-from pertinax.session import scratch_dir
+from pertinax.session import scratch_dir, written
 
 # -- personal data ------------------------------------------------------------------------------
 
@@ -222,6 +222,22 @@ def test_links_keep_every_component_of_crowded_lists(spark, bits, short):
     assert {p: got.get(p, p) for p in prints} == want
 
 
+def test_exploded_rows_are_joined_by_shuffle(spark, monkeypatch):
+    """Spark sizes a table as before its explode: a few narrow rows are sent to no driver as seventy or two thousand each."""
+    plans = []
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    monkeypatch.setattr(simhash, "written", lambda df, name: (plans.append((name, plan(df))), written(df, name))[1])
+    prints = spark.createDataFrame([(x, x, x) for x in range(40)], "doc_id long, text_hash long, fp long")
+    crowd = simhash.links(prints.select("fp"), short=8)
+    plans.append(("crowd", plan(simhash._crowd_links(prints.select("fp"), 4))))
+    plans.append(("report", plan(simhash.report(prints, prints=prints))))
+    found = {name: [line for line in text.splitlines() if "Join" in line] for name, text in plans}
+    assert all("SortMergeJoin" in line for line in found["posting-lists"] + found["crowd"])
+    assert len(found["posting-lists"]) == len(found["crowd"]) == 1
+    assert [line for line in found["report"] if "salt" in line and "SortMergeJoin" in line]
+    assert {r["node"]: r["component"] for r in components.components(crowd).collect()} == {x: 0 for x in range(40)}
+
+
 def test_components_of_a_long_chain(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 500), (900, 901)], "a long, b long")
     got = {r["node"]: r["component"] for r in components.components(chain).collect()}
