@@ -79,7 +79,7 @@ def _per_source(rows: DataFrame, source: Column, key: Column, table: DataFrame,
     (salt,) = fresh(rows, "salt")
     salted = table.withColumn(salt + "_of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return (rows.withColumn(salt, F.pmod(key, F.lit(SALTS)).cast("int"))
-            .join(salted, source.eqNullSafe(F.col("of")) & (F.col(salt) == F.col(salt + "_of")), "left")
+            .join(salted.hint("merge"), source.eqNullSafe(F.col("of")) & (F.col(salt) == F.col(salt + "_of")), "left")
             .drop(salt, salt + "_of"))
 
 

@@ -117,6 +117,13 @@ def test_many_sources_take_the_salted_join(odd, monkeypatch):
     assert sorted(map(str, mixing.report(odd).collect())) == plain
 
 
+def test_salted_sources_are_joined_by_shuffle(odd, monkeypatch):
+    """Spark sizes the table of sources as before it is repeated by salts."""
+    monkeypatch.setattr(mixing, "MAX_BROADCAST_SOURCES", 0)
+    plan = mixing.report(odd)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_mix_repeats_and_cuts_documents(spark, clashing):
     report = {(r["doc_id"], r["size"]): r for r in mixing.report(clashing).collect()}
     out = mixing.mix(clashing)
